@@ -12,11 +12,8 @@ def dense(counts: DataFrame, levels: list[DataFrame], n: str = "n") -> DataFrame
     The grid is the product of report dimensions such as states and years.
     """
     grid = reduce(DataFrame.crossJoin, levels)
-    return grid.join(counts, grid.columns, "left").withColumn(n, F.coalesce(n, F.lit(0)))
-
-
-def level_table(counts: DataFrame, values: list, name: str, dtype: str) -> DataFrame:
-    return counts.sparkSession.createDataFrame([(v,) for v in values], f"{name} {dtype}")
+    keys = [c for c in grid.columns if c in counts.columns]
+    return grid.join(counts, keys, "left").withColumn(n, F.coalesce(n, F.lit(0)))
 
 
 def percent(part: Column, whole: Column) -> Column:
@@ -42,7 +39,8 @@ def attenuation(ratio: Column, crude: Column, digits: int | None = 3) -> Column:
     """Percent of the excess crude ratio removed; uses ratios as reported unless digits is None."""
     if digits is not None:
         ratio, crude = F.round(ratio, digits), F.round(crude, digits)
-    return 100 * F.try_divide(crude - ratio, crude - 1)
+    percent_removed = 100 * F.try_divide(crude - ratio, crude - 1)
+    return F.when(percent_removed == 0, F.lit(0.0)).otherwise(percent_removed)
 
 
 def long_form(wide: DataFrame, keys: list[str], parts: dict[str, list[Column]],

@@ -11,7 +11,7 @@ from vitalcells.operators.cohort import inclusion_groups
 from vitalcells.operators.reshape import dense, first_rows
 from vitalcells.plans.reports import extremes
 from vitalcells.registry.base import Workspace, query
-from vitalcells.registry.sources_q import MISSINGNESS_SQL, missingness_table, profiled
+from vitalcells.registry.sources_q import MISSINGNESS_SQL, missingness_table
 from vitalcells.sources import star_births as S
 
 FOCUS_LABELS = [f"NATION_{int(code) - 11}" for code in S.FOCUS_CODES]
@@ -26,7 +26,7 @@ def rounded(df):
 select ANO_ARQUIVO as ano, count(*) as n from births_raw group by 1
 union all select null, count(*) from births_raw""")
 def _(w: Workspace):
-    years = P.rows_per_year(profiled(w))
+    years = P.rows_per_year(w.profiled)
     return years.unionByName(years.agg(F.sum("n").alias("n")).select(F.lit(None).cast("int").alias("ano"), "n"))
 
 
@@ -45,12 +45,12 @@ select ano, coalesce(codigo, '(null)') as codigo, case when codigo is null then
 
 @query("e03_exposure_codes", distribution_sql("RACACORMAE", V.RACE_PROFILE))
 def _(w):
-    return rounded(P.code_distribution(profiled(w), "RACACORMAE", V.RACE_PROFILE))
+    return rounded(P.code_distribution(w.profiled, "RACACORMAE", V.RACE_PROFILE))
 
 
 @query("e04_plurality_codes", distribution_sql("GRAVIDEZ", V.PLURALITY_PROFILE))
 def _(w):
-    return rounded(P.code_distribution(profiled(w), "GRAVIDEZ", V.PLURALITY_PROFILE))
+    return rounded(P.code_distribution(w.profiled, "GRAVIDEZ", V.PLURALITY_PROFILE))
 
 
 @query("e05_weeks_range", """
@@ -65,7 +65,7 @@ select ano, min(v) as min, max(v) as max, any_value(p1) as p1, any_value(p50) as
   round(100.0 * (count(*) - count(v)) / count(*), 6) as pct_null
 from s join q using (ano) group by 1""")
 def _(w):
-    return rounded(P.number_range(profiled(w), "SEMAGESTAC", *V.WEEKS_VALID))
+    return rounded(P.number_range(w.profiled, "SEMAGESTAC", *V.WEEKS_VALID))
 
 
 @query("e06_state_year_counts", f"""
@@ -76,7 +76,7 @@ where t.n_regionkey = 4 group by 1, 2, 3""")
 def _(w):
     years = w.spark.createDataFrame([(y,) for y in range(S.YEARS[0], S.YEARS[1] + 1)], "ano int")
     focus = w.states.where(F.col("uf_code").isin(*S.FOCUS_CODES)).select("uf_code", F.col("UF").alias("uf"))
-    return dense(P.state_counts(profiled(w)), [years, focus]).select("ano", "uf_code", "uf", "n")
+    return dense(P.state_counts(w.profiled), [years, focus]).select("ano", "uf_code", "uf", "n")
 
 
 @query("e07_focus_share", """
@@ -85,7 +85,7 @@ select ANO_ARQUIVO as ano, count(*) as total_nacional,
   round(100.0 * count(case when left(trim(CODMUNRES), 2) in ('15', '20', '25', '30', '35') then 1 end) / count(*), 6) as pct_foco
 from births_raw group by 1""")
 def _(w):
-    return rounded(P.focus_share(profiled(w), list(S.FOCUS_CODES)))
+    return rounded(P.focus_share(w.profiled, list(S.FOCUS_CODES)))
 
 
 @query("e08_state_year_matrix", f"""
@@ -93,7 +93,7 @@ select UF as uf, {", ".join(f"count(case when ANO_ARQUIVO = {y} then 1 end) as a
 from births where uf_code in ('15', '20', '25', '30', '35') group by 1""")
 def _(w):
     years = list(range(S.YEARS[0], S.YEARS[1] + 1))
-    counts = P.state_counts(profiled(w)).join(w.states, "uf_code").where(F.col("uf_code").isin(*S.FOCUS_CODES))
+    counts = P.state_counts(w.profiled).join(w.states, "uf_code").where(F.col("uf_code").isin(*S.FOCUS_CODES))
     wide = counts.groupBy(F.col("UF").alias("uf")).pivot("ano", years).agg(F.sum("n"))
     return wide.select("uf", *[F.coalesce(F.col(str(y)), F.lit(0)).alias(f"ano_{y}") for y in years])
 

@@ -11,7 +11,7 @@ from vitalcells.operators.cohort import period
 from vitalcells.operators.glm import order_levels
 from vitalcells.registry.base import IDS, Workspace, query
 from vitalcells.sources import star_births as S
-from vitalcells.sources.yearly import load_years, present_years
+from vitalcells.sources.yearly import load_years
 
 STRING = T.StringType()
 
@@ -87,7 +87,7 @@ def _(w):
 @query("b08_file_year_tag", """
 select ANO_ARQUIVO as ano_arquivo, ANO as ano, count(*) as n from births group by 1, 2""")
 def _(w):
-    births = load_years(w.spark, present_years(w.spark, w.yearly_paths), w.states,
+    births = load_years(w.spark, w.present_paths, w.states,
                         [str(c) for c in range(11, 36)], S.YEARS)
     return births.groupBy(F.col("ANO_ARQUIVO").alias("ano_arquivo"), F.col("ANO").alias("ano")).agg(
         F.count("*").alias("n"))

@@ -19,31 +19,14 @@ from vitalcells.storage import is_written, stored
 PROVENANCE = "vitalcells | seed 42 | anos 1995-2001"
 
 
-def paths(w: Workspace) -> dict[int, str]:
-    return Y.present_years(w.spark, w.yearly_paths)
-
-
-def schemas(w: Workspace) -> DataFrame:
-    return Y.schema_rows(w.spark, paths(w))
-
-
-def profiled(w: Workspace) -> DataFrame:
-    """Cleaned text of the profiled columns of every year."""
-    return Y.scan_years(w.spark, paths(w), V.PROFILED)
-
-
-def present_columns(w: Workspace) -> DataFrame:
-    return schemas(w).select("ano", F.col("coluna").alias("variavel"))
-
-
 BIRTH_COLUMNS = ("CODMUNRES", "UF", "regiao", *V.NUMERIC_COLUMNS, "ANO", "ANO_ARQUIVO")
 
 
 @query("a01_load_region", f"""
 select l_orderkey, l_linenumber, {", ".join(BIRTH_COLUMNS)} from births
 where uf_code in ('15', '20', '25', '30', '35')""")
-def _(w):
-    return Y.load_years(w.spark, paths(w), w.states, list(S.FOCUS_CODES), S.YEARS, IDS).select(
+def _(w: Workspace):
+    return Y.load_years(w.spark, w.present_paths, w.states, list(S.FOCUS_CODES), S.YEARS, IDS).select(
         *IDS, *BIRTH_COLUMNS)
 
 
@@ -52,7 +35,7 @@ select ANO_ARQUIVO as ano, count(*) as n, count(ESCMAE2010) as n_esc2010 from bi
 def _(w):
     parts = [Y.read_columns(w.spark, path, ["l_orderkey", "ESCMAE2010", "ESCMAE2010"])
              .agg(F.lit(year).alias("ano"), F.count("*").alias("n"),
-                  F.count("ESCMAE2010").alias("n_esc2010")) for year, path in paths(w).items()]
+                  F.count("ESCMAE2010").alias("n_esc2010")) for year, path in w.present_paths.items()]
 
     return union_all(parts)
 
@@ -62,7 +45,7 @@ select ANO_ARQUIVO as ano, count(nullif(trim(SEMAGESTAC), '')) as n_semanas,
   count(case when ANO_ARQUIVO >= 1998 then nullif(trim(SEMAGESTAC), '') end) as n_gestacao
 from births_raw group by 1""")
 def _(w):
-    return Y.scan_years(w.spark, paths(w), ("SEMAGESTAC", "GESTACAO")).groupBy("ano").agg(
+    return Y.scan_years(w.spark, w.present_paths, ("SEMAGESTAC", "GESTACAO")).groupBy("ano").agg(
         F.count("SEMAGESTAC").alias("n_semanas"), F.count("GESTACAO").alias("n_gestacao"))
 
 
@@ -70,7 +53,7 @@ def _(w):
 select l_orderkey, l_linenumber, ANO_ARQUIVO as ano_arquivo from births""")
 def _(w):
     codes = [str(c) for c in range(11, 36)]
-    return Y.load_years(w.spark, paths(w), w.states, codes, S.YEARS, IDS).select(
+    return Y.load_years(w.spark, w.present_paths, w.states, codes, S.YEARS, IDS).select(
         *IDS, F.col("ANO_ARQUIVO").alias("ano_arquivo"))
 
 
@@ -109,7 +92,7 @@ with {SCHEMA_ROWS}
 select coluna, count(*) as n_anos, string_agg(cast(ano as varchar), ',' order by ano) as anos
 from sch group by 1 having count(*) < (select count(distinct ano) from sch)""")
 def _(w):
-    return Y.columns_not_everywhere(schemas(w))
+    return Y.columns_not_everywhere(w.schemas)
 
 
 @query("a07_type_drift", f"""
@@ -117,14 +100,14 @@ with {SCHEMA_ROWS}
 select coluna, {", ".join(f"max(case when ano = {y} then tipo end) as ano_{y}" for y in range(1995, 2002))}
 from sch group by 1 having count(distinct tipo) > 1""")
 def _(w):
-    return Y.type_drift(schemas(w), list(paths(w)))
+    return Y.type_drift(w.schemas, list(w.present_paths))
 
 
 @query("a08_column_list", f"""
 with {SCHEMA_ROWS}
 select ano, count(*) as n_colunas, string_agg(coluna, ',' order by posicao) as colunas from sch group by 1""")
 def _(w):
-    return Y.column_list(schemas(w))
+    return Y.column_list(w.schemas)
 
 
 @query("a09_variable_dictionary", f"""
@@ -136,7 +119,7 @@ select papel, alvo, count(ano) as n_anos,
        else 'parcial' end as presenca
 from roles left join sch on coluna = alvo group by 1, 2""")
 def _(w):
-    return Y.variable_dictionary(w.spark, schemas(w))
+    return Y.variable_dictionary(w.spark, w.schemas)
 
 
 PREVALENCE_SQL = """
@@ -204,7 +187,7 @@ MISSINGNESS_SCHEMA = ("ano int, variavel string, n bigint, n_null bigint, pct_nu
 
 
 def missingness_table(w) -> DataFrame:
-    return P.missingness(profiled(w), present_columns(w)).withColumns(
+    return P.missingness(w.profiled, w.schemas.select("ano", F.col("coluna").alias("variavel"))).withColumns(
         {c: r6(F.col(c)) for c in ("pct_null", "pct_ign")})
 
 
@@ -221,7 +204,7 @@ select 'FALTA: ' || cast(e.ano as varchar) as pendencia from range(1994, 2003) e
 where e.ano not in (select ANO_ARQUIVO from births_raw)""")
 def _(w):
     expected = w.spark.createDataFrame([(y,) for y in EXPECTED_FILE_YEARS], "ano int")
-    found = P.rows_per_year(profiled(w))
+    found = P.rows_per_year(w.profiled)
     return expected.join(found, "ano", "left_anti").select(
         F.concat(F.lit("FALTA: "), F.col("ano").cast("string")).alias("pendencia"))
 
