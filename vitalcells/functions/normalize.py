@@ -5,7 +5,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
-EDGE_SPACE = r"(?U)^\s+|\s+$"
+# Every character that counts as white space at the edges of a value.
+EDGE_SPACE = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005"
+              "\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
 
 
 def clean(value: Column, dtype: T.DataType) -> Column:
@@ -17,7 +19,7 @@ def clean(value: Column, dtype: T.DataType) -> Column:
         text = F.regexp_replace(value.cast("string"), r"\.0*$", "")
     else:
         text = value.cast("string")
-    return F.nullif(F.regexp_replace(text, EDGE_SPACE, ""), F.lit(""))
+    return F.nullif(F.btrim(text, F.lit(EDGE_SPACE)), F.lit(""))
 
 
 def number(text: Column) -> Column:

@@ -27,6 +27,7 @@ EXPOSURE = "raca"
 Z95 = 1.959963984540054
 # Estimates beyond this standard error mean a separated or aliased design.
 MAX_SE = 100.0
+CELLS_PER_TASK = 50_000
 
 
 @dataclass(frozen=True)
@@ -75,17 +76,19 @@ def order_levels(factor: str, present: set[str]) -> list[str]:
     return [v for v in declared if v in present] + sorted(present - set(declared))
 
 
-def present_levels(cells: DataFrame, model: Model) -> dict[str, set]:
-    """Levels that occur, per factor, and level pairs that occur, per interaction."""
+def present_levels(cells: DataFrame, model: Model) -> tuple[dict[str, set], int]:
+    """Levels that occur, per factor, level pairs that occur, per interaction, and the cell count."""
     none = F.lit(None).cast("string")
     entries = [F.struct(F.lit(f).alias("f"), F.col(f).alias("a"), none.alias("b"))
                for f in model.factors]
     entries += [F.struct(F.lit(f"{f}:{g}").alias("f"), F.col(f).alias("a"), F.col(g).alias("b"))
                 for f, g in model.interactions]
+    rows = (cells.select(F.inline(F.array(*entries))).groupBy("f", "a", "b")
+            .agg(F.count("*").alias("k")).collect())
     out: dict[str, set] = {}
-    for row in cells.select(F.inline(F.array(*entries))).distinct().collect():
+    for row in rows:
         out.setdefault(row.f, set()).add(row.a if row.b is None else (row.a, row.b))
-    return out
+    return out, sum(row.k for row in rows if row.f == model.factors[0])
 
 
 def design(model: Model, present: dict[str, set]) -> tuple[Term, ...]:
@@ -100,33 +103,37 @@ def design(model: Model, present: dict[str, set]) -> tuple[Term, ...]:
     return tuple(terms)
 
 
+def _is(name: str, level: str, fixed: dict[str, str]) -> str:
+    """SQL test of a factor's level. Models have many terms, so they are written as SQL text."""
+    value = _text(fixed[name]) if name in fixed else f"`{name}`"
+    return f"{value} = {_text(level)}"
+
+
+def _text(level: str) -> str:
+    return "'" + level.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def term_value(term: Term) -> Column:
-    value = F.lit(1.0)
-    for name, level in term:
-        part = F.col(name).cast("double") if level is None else F.when(F.col(name) == level, 1.0).otherwise(0.0)
-        value = value * part
-    return value
+    return F.expr(" * ".join(
+        f"cast(`{name}` as double)" if level is None
+        else f"if({_is(name, level, {})}, 1D, 0D)" for name, level in term))
 
 
 def predictor(terms, weights, fixed: dict[str, str] | None = None) -> Column:
     """Sum of weight x term as one CASE per factor. `fixed` sets factors to a level for all rows."""
-    fixed = fixed or {}
-    cases: dict[tuple, Column] = {}
-    total = F.lit(0.0)
+    cases: dict[tuple, list[str]] = {}
+    parts = []
     for term, weight in zip(terms, weights):
-        weight = F.lit(float(weight))
-        if all(level is not None for _, level in term) and term:
-            names = tuple(name for name, _ in term)
-            hit = F.lit(True)
-            for name, level in term:
-                hit = hit & ((F.lit(fixed[name]) if name in fixed else F.col(name)) == level)
-            cases[names] = (cases[names].when(hit, weight) if names in cases
-                            else F.when(hit, weight))
+        number = f"({float(weight)!r}D)"
+        if not term:
+            parts.append(number)
+        elif term[0][1] is None:
+            parts.append(f"{number} * cast(`{term[0][0]}` as double)")
         else:
-            total = total + weight * term_value(term)
-    for case in cases.values():
-        total = total + F.coalesce(case, F.lit(0.0))
-    return total
+            test = " and ".join(_is(name, level, fixed or {}) for name, level in term)
+            cases.setdefault(tuple(n for n, _ in term), []).append(f"when {test} then {number}")
+    parts += [f"case {' '.join(whens)} else 0D end" for whens in cases.values()]
+    return F.expr(" + ".join(parts))
 
 
 def mean(eta: Column, family: str) -> Column:
@@ -138,15 +145,18 @@ def fit(cells: DataFrame, model: Model, robust: bool = False, towns: DataFrame |
     """Fit a model on cells; `towns` holds the same rows split by CODMUNRES for cluster errors."""
     data = collapse(cells, *model.keys).persist()
     try:
-        terms = design(model, present_levels(data, model))
-        coefficients, model_se = _estimate(data, model, terms)
+        present, size = present_levels(data, model)
+        terms = design(model, present)
+        # Small cell tables run in few tasks; the number of tasks grows with the cells.
+        compact = data.coalesce(max(1, math.ceil(size / CELLS_PER_TASK)))
+        coefficients, model_se = _estimate(compact, model, terms)
         mu = mean(predictor(terms, coefficients), model.family)
-        n, loglik, margins = _margins(data, model, mu)
+        n, loglik, margins = _margins(compact, model, mu)
         errors = {"model": dict(zip(terms, model_se))}
         if robust or towns is not None:
-            influence = _influence(data, model, terms, mu)
+            influence = _influence(compact, model, terms, mu)
             if robust:
-                errors["hc0"] = _hc0(data, terms, mu, influence)
+                errors["hc0"] = _hc0(compact, terms, mu, influence)
             if towns is not None:
                 split = collapse(towns, *model.keys, "CODMUNRES")
                 errors["cluster"] = _cluster(split, terms, mu, influence, n, correction_n)
@@ -161,20 +171,22 @@ def _estimate(data: DataFrame, model: Model, terms):
     inputs = VectorAssembler(inputCols=names, outputCol="features").transform(inputs)
     common = dict(labelCol="y", featuresCol="features", tol=1e-10, maxIter=60)
     if model.family == "binomial":
-        inputs = inputs.select((F.col("succ") / F.col("n")).alias("y"),
-                               F.col("n").cast("double").alias("w"), "features")
+        inputs = inputs.selectExpr("succ / n as y", "cast(n as double) as w", "features")
         glm = GeneralizedLinearRegression(family="binomial", link="logit", weightCol="w", **common)
     else:
-        inputs = inputs.select(F.col("succ").cast("double").alias("y"),
-                               F.log(F.col("n").cast("double")).alias("offset"), "features")
+        inputs = inputs.selectExpr("cast(succ as double) as y", "ln(cast(n as double)) as offset", "features")
         glm = GeneralizedLinearRegression(family="poisson", link="log", offsetCol="offset", **common)
-    fitted = glm.fit(inputs)
-    coefficients = [fitted.intercept, *fitted.coefficients]
+    inputs = inputs.persist()
     try:
-        *slopes, intercept = fitted.summary.coefficientStandardErrors
-        errors = [intercept, *slopes]
-    except Exception:  # the solver gives no errors for a singular design
-        errors = [math.inf] * len(terms)
+        fitted = glm.fit(inputs)
+        coefficients = [fitted.intercept, *fitted.coefficients]
+        try:
+            *slopes, intercept = fitted.summary.coefficientStandardErrors
+            errors = [intercept, *slopes]
+        except Exception:  # the solver gives no errors for a singular design
+            errors = [math.inf] * len(terms)
+    finally:
+        inputs.unpersist()
     return coefficients, errors
 
 
@@ -205,22 +217,20 @@ def _margins(data: DataFrame, model: Model, mu: Column):
 def _information(data: DataFrame, model: Model, terms, mu: Column) -> np.ndarray:
     """Sum of n v x x' as sums over the pairs of nonzero entries within each cell."""
     v = F.col("mu") * (1 - F.col("mu")) if model.family == "binomial" else F.col("mu")
-    index: dict[tuple, Column] = {}
-    entries = [F.struct(F.lit(0).alias("i"), F.lit(1.0).alias("v"))]
+    cases: dict[tuple, list[str]] = {}
+    entries = ["struct(0 as i, 1D as v)"]
     for i, term in enumerate(terms[1:], start=1):
-        names = tuple(name for name, _ in term)
         if term[0][1] is None:
-            entries.append(F.struct(F.lit(i).alias("i"), F.col(names[0]).cast("double").alias("v")))
-            continue
-        hit = F.lit(True)
-        for name, level in term:
-            hit = hit & (F.col(name) == level)
-        index[names] = index[names].when(hit, i) if names in index else F.when(hit, i)
-    entries += [F.when(position.isNotNull(), F.struct(position.alias("i"), F.lit(1.0).alias("v")))
-                for position in index.values()]
+            entries.append(f"struct({i} as i, cast(`{term[0][0]}` as double) as v)")
+        else:
+            test = " and ".join(_is(name, level, {}) for name, level in term)
+            cases.setdefault(tuple(n for n, _ in term), []).append(
+                f"when {test} then struct({i} as i, 1D as v)")
+    entries += [f"case {' '.join(whens)} end" for whens in cases.values()]
+    nonzero = F.expr(f"array_compact(array({', '.join(entries)}))")
     pairs = (
         data.withColumn("mu", mu)
-        .select((F.col("n") * v).alias("w"), F.array_compact(F.array(*entries)).alias("x"))
+        .select((F.col("n") * v).alias("w"), nonzero.alias("x"))
         .select("w", "x", F.explode("x").alias("a"))
         .select("w", "a", F.explode("x").alias("b"))
         .where("a.i <= b.i")

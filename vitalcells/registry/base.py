@@ -15,12 +15,14 @@ from vitalcells.plans.studies import Run
 from vitalcells.sources import star_births as S
 from vitalcells.sources.yearly import (normalise, present_years, scan_years, schema_rows,
                                        with_states)
-from vitalcells.storage import is_written, shared_folder, stored
+from vitalcells.storage import is_written, shared_folder, small, stored
 
 IDS = ("l_orderkey", "l_linenumber")
 NUMERIC_FILE_YEAR = 2000
 GESTACAO_FROM = 1998
 EXPECTED_FILE_YEARS = range(1994, 2003)
+# State codes have two digits.
+MAX_STATES = 100
 
 
 class Workspace:
@@ -43,7 +45,7 @@ class Workspace:
 
     @cached_property
     def states(self) -> DataFrame:
-        return S.states(self.spark, self.folder)
+        return small(S.states(self.spark, self.folder), MAX_STATES)
 
     @cached_property
     def focus_states(self) -> list[str]:

@@ -11,6 +11,7 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8, **settings)
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", False)
+        .config("spark.python.sql.dataFrameDebugging.enabled", False)
         .config("spark.ui.showConsoleProgress", False)
     )
     for key, value in settings.items():

@@ -3,6 +3,8 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vitalcells.storage import spread
+
 # Valid in Spark SQL and in DuckDB; the SQL checks use the same definition of the input.
 RECORD_COLUMNS = {
     "CODMUNRES": "case when l.l_orderkey % 97 = 0 then cast(null as string) else ' ' || cast((11 + c.c_nationkey) * 10000 + c.c_custkey % 20 as string) end",
@@ -33,7 +35,7 @@ def births_raw(spark: SparkSession, folder: str) -> DataFrame:
         return spark.read.parquet(f"{folder}/{name}.parquet").alias(alias)
 
     joined = (
-        table("lineitem", "l")
+        spread(spark.read.parquet(f"{folder}/lineitem.parquet")).alias("l")
         .join(table("orders", "o"), F.expr("l.l_orderkey = o.o_orderkey"))
         .join(table("customer", "c"), F.expr("o.o_custkey = c.c_custkey"))
         .join(table("part", "p"), F.expr("l.l_partkey = p.p_partkey"))

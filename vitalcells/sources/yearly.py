@@ -7,37 +7,36 @@ from pyspark.sql import functions as F
 
 from vitalcells import fixed_values as V
 from vitalcells.functions import normalize as N
-from vitalcells.storage import exists
+from vitalcells.storage import exists, small
 
 
 def normalise(raw: DataFrame, file_year: Column, window: tuple[int, int],
               keep: tuple[str, ...] = ()) -> DataFrame:
     """Typed columns from raw ones, whatever type the file stores them in."""
     types = {field.name: field.dataType for field in raw.schema}
-    text = {name: N.clean(F.col(name), types[name]) for name in V.COLUMNS}
-    town = N.pad_left(text["CODMUNRES"], 6)
-    year = N.date_year(text["DTNASC"])
-    return raw.select(
+    # Cleaned first, so that the expressions below read each cleaned value and not its recipe.
+    text = raw.select(*keep, file_year.cast("int").alias("ANO_ARQUIVO"),
+                      *[N.clean(F.col(name), types[name]).alias(name) for name in V.COLUMNS])
+    town = N.pad_left(F.col("CODMUNRES"), 6)
+    year = N.date_year(F.col("DTNASC"))
+    return text.select(
         *keep,
         town.alias("CODMUNRES"),
         N.state_code(town).alias("uf_code"),
-        *[N.number(text[name]).alias(name) for name in V.NUMERIC_COLUMNS],
-        N.year_or_file_year(year, file_year, window).alias("ANO"),
-        file_year.cast("int").alias("ANO_ARQUIVO"))
+        *[N.number(F.col(name)).alias(name) for name in V.NUMERIC_COLUMNS],
+        N.year_or_file_year(year, F.col("ANO_ARQUIVO"), window).alias("ANO"),
+        "ANO_ARQUIVO")
 
 
 def with_states(births: DataFrame, states: DataFrame) -> DataFrame:
-    """Add state and region labels; unknown codes keep null labels.
-
-    The lookup has one row per state; Spark broadcasts it by its own size check.
-    """
+    """Add state and region labels; unknown codes keep null labels."""
     return births.join(states, "uf_code", "left")
 
 
 def national_states(spark: SparkSession) -> DataFrame:
     rows = [(code, uf, region) for region, states in V.STATES.items()
             for code, uf in states.items()]
-    return spark.createDataFrame(rows, "uf_code string, UF string, regiao string")
+    return small(spark.createDataFrame(rows, "uf_code string, UF string, regiao string"), len(rows))
 
 
 def focus_codes() -> list[str]:
