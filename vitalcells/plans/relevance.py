@@ -6,11 +6,15 @@ from pyspark.sql import functions as F
 from vitalcells import fixed_values as V
 
 
-def phrase_hits(text: Column, phrases: tuple[str, ...] | list[str]) -> Column:
-    """The phrases a text contains, ignoring case. The whole text is searched."""
-    lowered = F.lower(text)
-    return F.array_compact(F.array(*[
-        F.when(lowered.contains(p.lower()), F.lit(p)) for p in phrases]))
+def with_hits(rows: DataFrame, text: str, phrases: tuple[str, ...] | list[str]) -> DataFrame:
+    """Add the phrases each text contains, ignoring case, and their number.
+
+    The whole text is searched. It is lowered once, in its own step.
+    """
+    found = F.array(*[F.when(F.col("_lowered").contains(p.lower()), F.lit(p)) for p in phrases])
+    return (rows.withColumn("_lowered", F.lower(text)).withColumn("_found", found)
+            .withColumn("achados", F.array_compact("_found"))
+            .withColumn("n_achados", F.size("achados")).drop("_lowered", "_found"))
 
 
 def tier(hits: Column, central: int, eligible: Column, deadline_open: Column) -> Column:

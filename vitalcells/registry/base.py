@@ -13,7 +13,7 @@ from vitalcells.operators import cells as C
 from vitalcells.operators import cohort as K
 from vitalcells.plans.studies import Run
 from vitalcells.sources import star_births as S
-from vitalcells.sources.yearly import (normalise, present_years, scan_years, schema_rows,
+from vitalcells.sources.yearly import (normalise, open_years, scan_years, schema_rows,
                                        with_states)
 from vitalcells.storage import is_written, shared_folder, small, stored
 
@@ -120,18 +120,18 @@ class Workspace:
         return {y: f"{folder}/{part_of(y)}/ANO_ARQUIVO={y}" for y in EXPECTED_FILE_YEARS}
 
     @cached_property
-    def present_paths(self) -> dict[int, str]:
-        return present_years(self.spark, self.yearly_paths)
+    def files(self) -> dict[int, DataFrame]:
+        return open_years(self.spark, self.yearly_paths)
 
     @cached_property
     def schemas(self) -> DataFrame:
         """One row per column of every yearly file."""
-        return schema_rows(self.spark, self.present_paths)
+        return schema_rows(self.spark, self.files)
 
     @cached_property
     def profiled(self) -> DataFrame:
         """Cleaned text of the profiled columns of every year."""
-        return scan_years(self.spark, self.present_paths, PROFILED)
+        return scan_years(self.files, PROFILED)
 
 
 _workspaces: dict[tuple[str, str], Workspace] = {}

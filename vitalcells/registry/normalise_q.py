@@ -87,7 +87,7 @@ def _(w):
 @query("b08_file_year_tag", """
 select ANO_ARQUIVO as ano_arquivo, ANO as ano, count(*) as n from births group by 1, 2""")
 def _(w):
-    births = load_years(w.spark, w.present_paths, w.states,
+    births = load_years(w.files, w.states,
                         [str(c) for c in range(11, 36)], S.YEARS)
     return births.groupBy(F.col("ANO_ARQUIVO").alias("ano_arquivo"), F.col("ANO").alias("ano")).agg(
         F.count("*").alias("n"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from vitalcells import fixed_values as V
 from vitalcells.plans import relevance as R
 from vitalcells.registry.base import Workspace, query
-from vitalcells.storage import exists
+from vitalcells.storage import exists, spread
 
 PHRASES = (*V.KEYWORDS, "license", "the area", "tion the", "the re", "email", "password", "entre la")
 CENTRAL_HITS = 2
@@ -25,11 +25,10 @@ tiers as (select *, len(achados) as n_achados, case when len(achados) >= 2 and e
 
 
 def scored(w: Workspace):
-    hits = R.phrase_hits(F.col("text"), PHRASES)
-    return w.table("documents").select(
-        "doc_id", "source", "lang", "n_chars", hits.alias("achados"),
-        F.size(hits).alias("n_achados"), (F.col("lang") == "en").alias("elegivel"),
-        (F.col("n_chars") < 5000).alias("prazo"))
+    rows = R.with_hits(spread(w.table("documents")), "text", PHRASES)
+    return rows.select(
+        "doc_id", "source", "lang", "n_chars", "achados", "n_achados",
+        (F.col("lang") == "en").alias("elegivel"), (F.col("n_chars") < 5000).alias("prazo"))
 
 
 def tiered(w):

@@ -26,16 +26,16 @@ BIRTH_COLUMNS = ("CODMUNRES", "UF", "regiao", *V.NUMERIC_COLUMNS, "ANO", "ANO_AR
 select l_orderkey, l_linenumber, {", ".join(BIRTH_COLUMNS)} from births
 where uf_code in ('15', '20', '25', '30', '35')""")
 def _(w: Workspace):
-    return Y.load_years(w.spark, w.present_paths, w.states, list(S.FOCUS_CODES), S.YEARS, IDS).select(
+    return Y.load_years(w.files, w.states, list(S.FOCUS_CODES), S.YEARS, IDS).select(
         *IDS, *BIRTH_COLUMNS)
 
 
 @query("a02_column_subset", """
 select ANO_ARQUIVO as ano, count(*) as n, count(ESCMAE2010) as n_esc2010 from births_raw group by 1""")
 def _(w):
-    parts = [Y.read_columns(w.spark, path, ["l_orderkey", "ESCMAE2010", "ESCMAE2010"])
+    parts = [Y.columns_of(file, ["ESCMAE2010", "ESCMAE2010"])
              .agg(F.lit(year).alias("ano"), F.count("*").alias("n"),
-                  F.count("ESCMAE2010").alias("n_esc2010")) for year, path in w.present_paths.items()]
+                  F.count("ESCMAE2010").alias("n_esc2010")) for year, file in w.files.items()]
 
     return union_all(parts)
 
@@ -45,7 +45,7 @@ select ANO_ARQUIVO as ano, count(nullif(trim(SEMAGESTAC), '')) as n_semanas,
   count(case when ANO_ARQUIVO >= 1998 then nullif(trim(SEMAGESTAC), '') end) as n_gestacao
 from births_raw group by 1""")
 def _(w):
-    return Y.scan_years(w.spark, w.present_paths, ("SEMAGESTAC", "GESTACAO")).groupBy("ano").agg(
+    return Y.scan_years(w.files, ("SEMAGESTAC", "GESTACAO")).groupBy("ano").agg(
         F.count("SEMAGESTAC").alias("n_semanas"), F.count("GESTACAO").alias("n_gestacao"))
 
 
@@ -53,7 +53,7 @@ def _(w):
 select l_orderkey, l_linenumber, ANO_ARQUIVO as ano_arquivo from births""")
 def _(w):
     codes = [str(c) for c in range(11, 36)]
-    return Y.load_years(w.spark, w.present_paths, w.states, codes, S.YEARS, IDS).select(
+    return Y.load_years(w.files, w.states, codes, S.YEARS, IDS).select(
         *IDS, F.col("ANO_ARQUIVO").alias("ano_arquivo"))
 
 
@@ -68,12 +68,12 @@ select cast(e.ano as int) as ano, y.ano is not null as existe, y.n_linhas, cast(
   case when y.ano is null then 'ausente' else 'presente' end as escopo
 from range(1994, 2003) e(ano) left join y on y.ano = e.ano""")
 def _(w):
-    return Y.inventory(w.spark, w.yearly_paths).drop("tamanho_mb")
+    return Y.inventory(w.spark, list(w.yearly_paths), w.files).drop("tamanho_mb")
 
 
 @query("a05_inventory_sizes")
 def _(w):
-    return Y.inventory(w.spark, w.yearly_paths).select("ano", "tamanho_mb")
+    return Y.inventory(w.spark, list(w.yearly_paths), w.files).select("ano", "tamanho_mb")
 
 
 SCHEMA_ROWS = """
@@ -100,7 +100,7 @@ with {SCHEMA_ROWS}
 select coluna, {", ".join(f"max(case when ano = {y} then tipo end) as ano_{y}" for y in range(1995, 2002))}
 from sch group by 1 having count(distinct tipo) > 1""")
 def _(w):
-    return Y.type_drift(w.schemas, list(w.present_paths))
+    return Y.type_drift(w.schemas, list(w.files))
 
 
 @query("a08_column_list", f"""

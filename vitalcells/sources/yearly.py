@@ -43,69 +43,63 @@ def focus_codes() -> list[str]:
     return list(V.STATES[V.FOCUS_REGION])
 
 
-def read_columns(spark: SparkSession, path: str, columns) -> DataFrame:
-    """Read only the named columns of a file; a name given twice is read once."""
-    return spark.read.parquet(path).select(*dict.fromkeys(columns))
+def open_years(spark: SparkSession, expected: dict[int, str]) -> dict[int, DataFrame]:
+    """The expected yearly files that exist, each with its schema read once."""
+    return {year: spark.read.parquet(path) for year, path in expected.items()
+            if exists(spark, path)}
 
 
-def load_years(spark: SparkSession, paths: dict[int, str], states: DataFrame,
-               codes: list[str], window: tuple[int, int] = V.YEARS,
-               keep: tuple[str, ...] = ()) -> DataFrame:
+def columns_of(file: DataFrame, columns) -> DataFrame:
+    """Only the named columns of a file; a name given twice is read once."""
+    return file.select(*dict.fromkeys(columns))
+
+
+def load_years(files: dict[int, DataFrame], states: DataFrame, codes: list[str],
+               window: tuple[int, int] = V.YEARS, keep: tuple[str, ...] = ()) -> DataFrame:
     """All yearly files of the given state codes as one table.
 
     Files are normalised before the union because their column types differ.
     """
-    parts = [
-        normalise(read_columns(spark, path, [*keep, *V.COLUMNS]), F.lit(year), window, keep)
-        for year, path in paths.items()
-    ]
+    parts = [normalise(columns_of(file, [*keep, *V.COLUMNS]), F.lit(year), window, keep)
+             for year, file in files.items()]
     births = reduce(DataFrame.unionByName, parts).where(F.col("uf_code").isin(codes))
     return with_states(births, states)
 
 
-def scan_years(spark: SparkSession, paths: dict[int, str], columns) -> DataFrame:
+def scan_years(files: dict[int, DataFrame], columns) -> DataFrame:
     """The cleaned text of some columns of every year; a column a year lacks is null."""
-    def one(year, path):
-        raw = spark.read.parquet(path)
-        types = {f.name: f.dataType for f in raw.schema}
-        return raw.select(
+    def one(year, file):
+        types = {f.name: f.dataType for f in file.schema}
+        return file.select(
             F.lit(year).alias("ano"),
             *[(N.clean(F.col(c), types[c]) if c in types else F.lit(None).cast("string")).alias(c)
               for c in columns])
 
-    return reduce(DataFrame.unionByName, [one(y, p) for y, p in paths.items()])
-
+    return reduce(DataFrame.unionByName, [one(*item) for item in files.items()])
 
-def present_years(spark: SparkSession, expected: dict[int, str]) -> dict[int, str]:
-    return {year: path for year, path in expected.items() if exists(spark, path)}
 
-
-def schema_rows(spark: SparkSession, paths: dict[int, str]) -> DataFrame:
-    """One row per (year, column) with its position and type. Reads file footers only."""
+def schema_rows(spark: SparkSession, files: dict[int, DataFrame]) -> DataFrame:
+    """One row per (year, column) with its position and type, from the files' schemas alone."""
     rows = [(year, position, field.name, field.dataType.simpleString())
-            for year, path in paths.items()
-            for position, field in enumerate(spark.read.parquet(path).schema)]
+            for year, file in files.items() for position, field in enumerate(file.schema)]
     return spark.createDataFrame(rows, "ano int, posicao int, coluna string, tipo string")
 
 
-def inventory(spark: SparkSession, expected: dict[int, str]) -> DataFrame:
+def inventory(spark: SparkSession, expected: list[int], files: dict[int, DataFrame]) -> DataFrame:
     """Expected years with rows, columns and size; absent files are flagged."""
-    paths = present_years(spark, expected)
-    sizes = reduce(DataFrame.unionByName, [
-        spark.read.parquet(path).select(
-            F.lit(year).alias("ano"), "_metadata.file_path", "_metadata.file_size")
-        .groupBy("ano", "file_path").agg(F.count("*").alias("n"), F.max("file_size").alias("b"))
-        for year, path in paths.items()])
-    files = sizes.groupBy("ano").agg(
-        F.sum("n").alias("n_linhas"), F.round(F.sum("b") / 1e6, 1).alias("tamanho_mb"))
-    widths = schema_rows(spark, paths).groupBy("ano").agg(
-        F.count("*").alias("n_colunas"))
-    years = spark.createDataFrame([(year,) for year in expected], "ano int")
-    return (
-        years.join(files, "ano", "left").join(widths, "ano", "left")
-        .select("ano", F.col("n_linhas").isNotNull().alias("existe"), "n_linhas", "n_colunas",
-                "tamanho_mb",
-                F.when(F.col("n_linhas").isNull(), "ausente").otherwise("presente").alias("escopo")))
+    parts = reduce(DataFrame.unionByName, [
+        file.select(F.lit(year).alias("ano"), "_metadata.file_path", "_metadata.file_size")
+        for year, file in files.items()])
+    sizes = (parts.groupBy("ano", "file_path")
+             .agg(F.count("*").alias("n"), F.max("file_size").alias("bytes"))
+             .groupBy("ano").agg(F.sum("n").alias("n_linhas"),
+                                 F.round(F.sum("bytes") / 1e6, 1).alias("tamanho_mb")))
+    widths = [(year, len(files[year].columns) if year in files else None) for year in expected]
+    years = spark.createDataFrame(widths, "ano int, n_colunas bigint")
+    found = F.col("n_linhas").isNotNull()
+    return years.join(sizes, "ano", "left").select(
+        "ano", found.alias("existe"), "n_linhas", "n_colunas", "tamanho_mb",
+        F.when(found, "presente").otherwise("ausente").alias("escopo"))
 
 
 def columns_not_everywhere(schemas: DataFrame) -> DataFrame:
