@@ -28,6 +28,8 @@ ARMS = {
 
 MODEL_KEYS = ("raca", "idade_cat", "esc_cat", "ano_cat", "uf_cat", "cons_cat", "parid_cat",
               "estciv_cat")
+# The codes behind esc_cat and cons_cat, for models that use them as numbers; they add no cells.
+MODEL_CODES = ("esc_lin", "cons_lin")
 
 
 def _arm_rows(cohort: DataFrame, arm: Arm) -> DataFrame:
@@ -40,17 +42,14 @@ def _arm_rows(cohort: DataFrame, arm: Arm) -> DataFrame:
 
 
 def finest(cohort: DataFrame, arm: Arm) -> DataFrame:
-    """Cells every model of the arm rolls up from.
-
-    esc_lin and cons_lin are the codes behind esc_cat and cons_cat and add no cells.
-    """
+    """Cells every model of the arm rolls up from."""
     return collapse_rows(_arm_rows(cohort, arm),
-                         *MODEL_KEYS, "sens", "esc_lin", "cons_lin", "singleton", "mesp1trim")
+                         *MODEL_KEYS, *MODEL_CODES, "sens", "singleton", "mesp1trim")
 
 
 def by_town(cohort: DataFrame, arm: Arm) -> DataFrame:
     """Model cells split by municipality, for cluster-robust errors."""
-    return collapse_rows(_arm_rows(cohort, arm), *MODEL_KEYS, "sens", "CODMUNRES")
+    return collapse_rows(_arm_rows(cohort, arm), *MODEL_KEYS, *MODEL_CODES, "sens", "CODMUNRES")
 
 
 def collapse_rows(rows: DataFrame, *keys: str) -> DataFrame:

@@ -98,11 +98,30 @@ def design(model: Model, present: dict[str, set]) -> tuple[Term, ...]:
     terms += [((f, v),) for f in model.factors for v in levels[f][1:]]
     terms += [((x, None),) for x in model.linear]
     for f, g in model.interactions:
-        terms += [((f, a), (g, b)) for a in levels[f][1:] for b in levels[g][1:]
-                  if (a, b) in present[f"{f}:{g}"]]
+        terms += _estimable_products(f, levels[f], g, levels[g], present.get(f"{f}:{g}", set()))
     return tuple(terms)
 
 
+def _estimable_products(f, f_levels, g, g_levels, pairs: set) -> list[Term]:
+    """Products that add information beyond the main effects, given the level pairs that occur."""
+    rows = sorted(pairs)
+
+    def column(test):
+        return [1.0 if test(a, b) else 0.0 for a, b in rows]
+
+    columns = [column(lambda a, b: True)]
+    columns += [column(lambda a, b, v=v: a == v) for v in f_levels[1:]]
+    columns += [column(lambda a, b, v=v: b == v) for v in g_levels[1:]]
+    kept: list[Term] = []
+    for u in f_levels[1:]:
+        for v in g_levels[1:]:
+            candidate = [*columns, column(lambda a, b: (a, b) == (u, v))]
+            if (u, v) in pairs and np.linalg.matrix_rank(np.array(candidate)) == len(candidate):
+                columns = candidate
+                kept.append(((f, u), (g, v)))
+    return kept
+
+
 def _is(name: str, level: str, fixed: dict[str, str]) -> str:
     """SQL test of a factor's level. Models have many terms, so they are written as SQL text."""
     value = _text(fixed[name]) if name in fixed else f"`{name}`"
@@ -147,6 +166,8 @@ def fit(cells: DataFrame, model: Model, robust: bool = False, towns: DataFrame |
     try:
         present, size = present_levels(data, model)
         terms = design(model, present)
+        if len(terms) < 2:  # no rows, or nothing varies
+            return Fit(model, (), (), 0, math.nan, ())
         # Small cell tables run in few tasks; the number of tasks grows with the cells.
         compact = data.coalesce(max(1, math.ceil(size / CELLS_PER_TASK)))
         coefficients, model_se = _estimate(compact, model, terms)
@@ -194,9 +215,10 @@ def _margins(data: DataFrame, model: Model, mu: Column):
     """Rows, log-likelihood and fitted totals per level (and number-weighted totals), in one pass."""
     s, n = F.col("succ"), F.col("n")
     if model.family == "binomial":
-        loglik = s * F.log("mu") + (n - s) * F.log1p(-F.col("mu"))
+        loglik = (F.when(s > 0, s * F.log("mu")).otherwise(0)
+                  + F.when(n > s, (n - s) * F.log1p(-F.col("mu"))).otherwise(0))
     else:
-        loglik = s * F.log("mu") - n * F.col("mu")
+        loglik = F.when(s > 0, s * F.log("mu")).otherwise(0) - n * F.col("mu")
     fitted = n * F.col("mu")
 
     def entry(name, level, value):
@@ -286,7 +308,7 @@ def effects(result: Fit, se_type: str = "model", name: str | None = None) -> lis
     rows = []
     for level in V.RACE_LEVELS[1:]:
         term = ((EXPOSURE, level),)
-        b, se = result.coefficient(term), result.standard_errors[se_type].get(term)
+        b, se = result.coefficient(term), result.standard_errors.get(se_type, {}).get(term)
         if b is None:
             continue
         if se is None or not se < MAX_SE:

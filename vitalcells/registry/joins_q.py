@@ -165,8 +165,8 @@ def _(w):
 
 @query("d10_order_by_other_key", """
 with p as (select UF, raca, count(*) as n, 100 * avg(ptb) as pct from cohort where in_primary and raca in ('Branca', 'Indigena') group by 1, 2)
-select b.UF as uf, round(b.pct, 6) as branca_pct, round(i.pct, 6) as indigena_pct, i.n as n_focal
-from p b join p i on i.UF = b.UF and i.raca = 'Indigena' where b.raca = 'Branca'""")
+select i.UF as uf, round(b.pct, 6) as branca_pct, round(i.pct, 6) as indigena_pct, i.n as n_focal
+from p i left join p b on i.UF = b.UF and b.raca = 'Branca' where i.raca = 'Indigena'""")
 def _(w):
     table = D.prevalence(w.cohort, "UF", "raca")
     wide = table.groupBy("UF").pivot("raca", [V.RACE_REFERENCE, V.RACE_FOCAL]).agg(F.first("ptb_pct"))

@@ -233,7 +233,7 @@ def _(w):
 
 def crude_year_sql() -> str:
     return """
-g as (select ANO, raca, cast(sum(ptb) as double) as s, cast(count(*) as double) as n from focus where in_primary and raca in ('Branca', 'Indigena') group by 1, 2),
+g as (select ANO, raca, nullif(cast(sum(ptb) as double), 0) as s, cast(count(*) as double) as n from focus where in_primary and raca in ('Branca', 'Indigena') group by 1, 2),
 t as (select ANO, count(*) as n from focus where in_primary group by 1)"""
 
 
