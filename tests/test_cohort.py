@@ -104,9 +104,8 @@ def test_null_group_is_not_the_total(spark):
 def test_empty_state_group_cell_is_kept(spark):
     flagged = K.with_categories(K.with_flags(births(spark, {}), K.main_rules("ESCMAE", WINDOW)))
     states = spark.createDataFrame([("GO",), ("MT",)], "UF string")
-    groups = spark.createDataFrame([("Branca",), ("Preta",)], "raca string")
-    grid = D.prevalence_grid(flagged, states, groups).collect()
-    assert len(grid) == 4
+    grid = D.prevalence_grid(flagged, states).collect()
+    assert len(grid) == 8
     empty = next(r for r in grid if (r.UF, r.raca) == ("MT", "Preta"))
     assert (empty.n, empty.ptb_n, empty.ptb_pct) == (0, 0, None)
 

@@ -62,9 +62,9 @@ def prevalence(cohort: DataFrame, *by: str) -> DataFrame:
     return cohort.where("in_primary").groupBy(*by).agg(*outcome_measures())
 
 
-def prevalence_grid(cohort: DataFrame, states: DataFrame, groups: DataFrame) -> DataFrame:
+def prevalence_grid(cohort: DataFrame, states: DataFrame) -> DataFrame:
     """Prevalence for every state and group, also the empty ones."""
-    grid = dense(prevalence(cohort, "UF", "raca"), [states, groups])
+    grid = dense(prevalence(cohort, "UF", "raca"), states, {"raca": list(V.RACE_LEVELS)})
     return grid.withColumn("ptb_n", F.coalesce("ptb_n", F.lit(0)))
 
 
@@ -122,7 +122,7 @@ def included_vs_excluded(members: DataFrame) -> DataFrame:
         share(F.coalesce(race == 9, F.lit(False))).alias("raca_codigo9_pct"))
 
 
-def exposure_missing_grid(births: DataFrame, years: DataFrame, states: DataFrame) -> DataFrame:
+def exposure_missing_grid(births: DataFrame, years: list[int], states: DataFrame) -> DataFrame:
     """Exposure missing, other and unknown code for every year and state, on all rows."""
     race = F.col("RACACORMAE")
     counts = births.groupBy("ANO", "UF").agg(
@@ -130,7 +130,7 @@ def exposure_missing_grid(births: DataFrame, years: DataFrame, states: DataFrame
         F.count_if(race.isNull()).alias("missing_n"),
         F.count_if(race == V.RACE_OTHER_CODE).alias("outra_n"),
         F.count_if(race == 9).alias("codigo9_n"))
-    grid = dense(counts, [years, states], "n_total")
+    grid = dense(counts, states, {"ANO": years}, "n_total")
     return grid.select(
         "ANO", "UF", "n_total",
         *[F.coalesce(c, F.lit(0)).alias(c) for c in ("missing_n", "outra_n", "codigo9_n")],

@@ -297,6 +297,8 @@ def _cluster(split, terms, mu, influence, n, correction_n) -> dict[Term, float]:
         *[F.sum(score * predictor(terms, w)).alias(u) for u, w in zip(names, influence.values())])
     row = per_town.agg(F.count("*").alias("groups"), F.sum("cells").alias("cells"),
                        *[F.sum(F.col(u) ** 2).alias(u) for u in names]).first()
+    if row.groups < 2:
+        return {}
     total = n if correction_n == "rows" else row.cells
     factor = row.groups / (row.groups - 1) * (total - 1) / (total - len(terms))
     return {t: math.sqrt(row[u] * factor) for u, t in zip(names, influence)}

@@ -6,16 +6,20 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def dense(counts: DataFrame, levels: list[DataFrame], n: str = "n") -> DataFrame:
-    """Every combination of the level tables, with zero where `counts` has no row.
-
-    The grid is the product of report dimensions such as states and years.
-    """
-    grid = reduce(DataFrame.crossJoin, levels)
+def dense(counts: DataFrame, base: DataFrame, levels: dict[str, list], n: str = "n") -> DataFrame:
+    """Every row of `base` with every listed level, and zero where `counts` has no such row."""
+    grid = with_levels(base, levels)
     keys = [c for c in grid.columns if c in counts.columns]
     return grid.join(counts, keys, "left").withColumn(n, F.coalesce(n, F.lit(0)))
 
 
+def with_levels(base: DataFrame, levels: dict[str, list]) -> DataFrame:
+    """Repeat the rows of a report dimension for the listed values of others."""
+    for name, values in levels.items():
+        base = base.withColumn(name, F.explode(F.array(*[F.lit(v) for v in values])))
+    return base
+
+
 def percent(part: Column, whole: Column) -> Column:
     return 100 * F.try_divide(part.cast("double"), whole.cast("double"))
 

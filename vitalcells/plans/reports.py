@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vitalcells import fixed_values as V
-from vitalcells.functions.text import count_text, decimal_text, interval_text, keyed_list
+from vitalcells.functions.text import count_text, decimal_text, interval_text
 from vitalcells.operators.reshape import attenuation, union_all
 
 GROUPS = V.RACE_LEVELS[1:]
@@ -100,15 +100,9 @@ def consolidated(sections: list[DataFrame], expected: DataFrame) -> DataFrame:
 
 def extremes(grid: DataFrame, value: str) -> DataFrame:
     """Lowest and highest value and the first row, by year and state, that has it."""
-    where = F.struct("ano", "uf")
     known = grid.where(F.col(value).isNotNull())
-    ends = known.agg(F.min(value).alias("lo"), F.max(value).alias("hi"))
-    at = known.crossJoin(ends).agg(
-        F.first("lo").alias("minimo"), F.min(F.when(F.col(value) == F.col("lo"), where)).alias("a"),
-        F.first("hi").alias("maximo"), F.min(F.when(F.col(value) == F.col("hi"), where)).alias("b"))
-    return at.select("minimo", F.col("a.ano").alias("min_ano"), F.col("a.uf").alias("min_uf"),
-                     "maximo", F.col("b.ano").alias("max_ano"), F.col("b.uf").alias("max_uf"))
-
-
-def yearly_text(series: DataFrame) -> DataFrame:
-    return series.agg(keyed_list(F.col("ano"), decimal_text(F.col("estimativa"))).alias("lista"))
+    low = F.min(F.struct(F.col(value).alias("v"), "ano", "uf"))
+    high = F.min(F.struct((-F.col(value)).alias("v"), "ano", "uf"))
+    return known.agg(low.alias("a"), high.alias("b")).select(
+        F.col("a.v").alias("minimo"), F.col("a.ano").alias("min_ano"), F.col("a.uf").alias("min_uf"),
+        (-F.col("b.v")).alias("maximo"), F.col("b.ano").alias("max_ano"), F.col("b.uf").alias("max_uf"))

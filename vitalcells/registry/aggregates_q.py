@@ -14,6 +14,7 @@ from vitalcells.registry.base import Workspace, query
 from vitalcells.registry.sources_q import MISSINGNESS_SQL, missingness_table
 from vitalcells.sources import star_births as S
 
+STUDY_YEARS = list(range(S.YEARS[0], S.YEARS[1] + 1))
 FOCUS_LABELS = [f"NATION_{int(code) - 11}" for code in S.FOCUS_CODES]
 
 
@@ -74,9 +75,8 @@ from nation t cross join range(1995, 2002) y(ano)
 left join births_raw r on left(trim(r.CODMUNRES), 2) = cast(11 + t.n_nationkey as varchar) and r.ANO_ARQUIVO = y.ano
 where t.n_regionkey = 4 group by 1, 2, 3""")
 def _(w):
-    years = w.spark.createDataFrame([(y,) for y in range(S.YEARS[0], S.YEARS[1] + 1)], "ano int")
     focus = w.states.where(F.col("uf_code").isin(*S.FOCUS_CODES)).select("uf_code", F.col("UF").alias("uf"))
-    return dense(P.state_counts(w.profiled), [years, focus]).select("ano", "uf_code", "uf", "n")
+    return dense(P.state_counts(w.profiled), focus, {"ano": STUDY_YEARS}).select("ano", "uf_code", "uf", "n")
 
 
 @query("e07_focus_share", """
@@ -92,10 +92,9 @@ def _(w):
 select UF as uf, {", ".join(f"count(case when ANO_ARQUIVO = {y} then 1 end) as ano_{y}" for y in range(1995, 2002))}
 from births where uf_code in ('15', '20', '25', '30', '35') group by 1""")
 def _(w):
-    years = list(range(S.YEARS[0], S.YEARS[1] + 1))
     counts = P.state_counts(w.profiled).join(w.states, "uf_code").where(F.col("uf_code").isin(*S.FOCUS_CODES))
-    wide = counts.groupBy(F.col("UF").alias("uf")).pivot("ano", years).agg(F.sum("n"))
-    return wide.select("uf", *[F.coalesce(F.col(str(y)), F.lit(0)).alias(f"ano_{y}") for y in years])
+    wide = counts.groupBy(F.col("UF").alias("uf")).pivot("ano", STUDY_YEARS).agg(F.sum("n"))
+    return wide.select("uf", *[F.coalesce(F.col(str(y)), F.lit(0)).alias(f"ano_{y}") for y in STUDY_YEARS])
 
 
 def pct(condition: str, known: str = "true") -> str:
@@ -149,8 +148,7 @@ def _(w):
 
 
 def prevalence_by_state(w):
-    groups = w.spark.createDataFrame([(g,) for g in V.RACE_LEVELS], "raca string")
-    grid = D.prevalence_grid(w.cohort, w.states.select("UF"), groups)
+    grid = D.prevalence_grid(w.cohort, w.states.select("UF"))
     return rounded(grid.withColumnRenamed("UF", "uf"))
 
 
@@ -223,9 +221,8 @@ where t.n_regionkey = 4 group by 1, 2"""
 
 
 def exposure_grid(w):
-    years = w.spark.createDataFrame([(y,) for y in range(S.YEARS[0], S.YEARS[1] + 1)], "ANO int")
     states = w.states.where(F.col("uf_code").isin(*S.FOCUS_CODES)).select("UF")
-    return D.exposure_missing_grid(w.focus, years, states).withColumnsRenamed({"ANO": "ano", "UF": "uf"})
+    return D.exposure_missing_grid(w.focus, STUDY_YEARS, states).withColumnsRenamed({"ANO": "ano", "UF": "uf"})
 
 
 @query("e17_exposure_missing_grid", EXPOSURE_GRID_SQL)

@@ -30,7 +30,7 @@ class Workspace:
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
-        self.root = f"{shared_folder(spark)}/{self.folder.rsplit('/', 1)[-1]}"
+        self.root = f"{shared_folder(spark)}/{re.sub('[^A-Za-z0-9.]+', '_', self.folder).strip('_')}"
         self._runs: dict[tuple, Run] = {}
         self._lock = threading.RLock()
 

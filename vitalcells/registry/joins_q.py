@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 from vitalcells import fixed_values as V
 from vitalcells.functions.derive import r6, share
 from vitalcells.operators import describe as D
-from vitalcells.operators.reshape import dense
+from vitalcells.operators.reshape import dense, with_levels
 from vitalcells.plans import reconcile as R
 from vitalcells.plans import studies as T
 from vitalcells.plans.reports import ratios_beside_odds
-from vitalcells.registry.base import IDS, Workspace, query
+from vitalcells.registry.base import EXPECTED_FILE_YEARS, IDS, Workspace, query
 from vitalcells.sources import star_births as S
 from vitalcells.sources.yearly import with_states
 
@@ -158,8 +158,7 @@ def _(w):
     counts = (w.cohort.where(F.col("in_primary") & (F.col("raca") == V.RACE_FOCAL))
               .groupBy(F.col("UF").alias("uf"), F.col("ANO").alias("ano"))
               .agg(F.count("*").alias("n"), F.sum("ptb").alias("s")))
-    years = w.spark.createDataFrame([(y,) for y in range(1994, 2003)], "ano int")
-    grid = dense(counts, [w.states.select(F.col("UF").alias("uf")), years])
+    grid = dense(counts, w.states.select(F.col("UF").alias("uf")), {"ano": list(EXPECTED_FILE_YEARS)})
     return grid.select("uf", "ano", "n", r6(100 * F.try_divide("s", "n")).alias("ptb_pct"))
 
 
@@ -180,8 +179,7 @@ def _(w):
 select t.n_name as uf, r.raca from nation t cross join (select unnest(['Branca', 'Parda', 'Preta', 'Indigena']) as raca) r
 where not exists (select 1 from cohort c where c.in_sens and c.mesp1trim = '1' and c.cons_cat = 'Ignorado' and c.UF = t.n_name and c.raca = r.raca)""")
 def _(w):
-    expected = w.states.select(F.col("UF").alias("uf")).crossJoin(
-        w.spark.createDataFrame([(g,) for g in V.RACE_LEVELS], "raca string"))
+    expected = with_levels(w.states.select(F.col("UF").alias("uf")), {"raca": list(V.RACE_LEVELS)})
     found = (w.cohort.where("in_sens and mesp1trim = '1' and cons_cat = 'Ignorado'")
              .select(F.col("UF").alias("uf"), "raca").distinct())
     return expected.join(found, ["uf", "raca"], "left_anti")

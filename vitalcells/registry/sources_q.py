@@ -142,8 +142,8 @@ def written_prevalence(w) -> str:
 select '# {PROVENANCE}' as provenance, (select count(*) from (select distinct UF, raca from cohort where in_primary)) as n_linhas""")
 def _(w):
     path = written_prevalence(w)
-    rows = R.read_csv(w.spark, path, PREVALENCE_SCHEMA).agg(F.count("*").alias("n_linhas"))
-    return R.read_provenance(w.spark, path).crossJoin(rows)
+    lines = R.read_provenance(w.spark, path)
+    return lines.withColumn("n_linhas", F.lit(R.read_csv(w.spark, path, PREVALENCE_SCHEMA).count()).cast("bigint"))
 
 
 @query("a11_csv_source", PREVALENCE_SQL)

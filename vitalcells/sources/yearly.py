@@ -102,15 +102,16 @@ def inventory(spark: SparkSession, expected: list[int], files: dict[int, DataFra
         F.when(found, "presente").otherwise("ausente").alias("escopo"))
 
 
+def _year_count(schemas: DataFrame) -> int:
+    return schemas.select("ano").distinct().count()
+
+
 def columns_not_everywhere(schemas: DataFrame) -> DataFrame:
     """Columns that some years lack, with the years that have them."""
-    total = schemas.agg(F.count_distinct("ano").alias("total"))
-    return (
-        schemas.groupBy("coluna")
-        .agg(F.count_distinct("ano").alias("n_anos"),
-             F.array_join(F.array_sort(F.collect_set(F.col("ano").cast("string"))), ",").alias("anos"))
-        .join(total, F.col("n_anos") < F.col("total"))
-        .select("coluna", "n_anos", "anos"))
+    years = F.array_sort(F.collect_set(F.col("ano").cast("string")))
+    return (schemas.groupBy("coluna")
+            .agg(F.count_distinct("ano").alias("n_anos"), F.array_join(years, ",").alias("anos"))
+            .where(F.col("n_anos") < _year_count(schemas)))
 
 
 def type_drift(schemas: DataFrame, years: list[int]) -> DataFrame:
@@ -132,10 +133,9 @@ def variable_dictionary(spark: SparkSession, schemas: DataFrame) -> DataFrame:
     """Each study role with its column and whether all, some or no years have it."""
     roles = spark.createDataFrame(list(V.ROLES) + [("Perfil", c) for c in ("GESTACAO", "CONSPRENAT")],
                                   "papel string, alvo string")
-    total = schemas.agg(F.count_distinct("ano").alias("total"))
     seen = schemas.groupBy(F.col("coluna").alias("alvo")).agg(F.count_distinct("ano").alias("n"))
     n = F.coalesce("n", F.lit(0))
-    return roles.join(seen, "alvo", "left").crossJoin(total).select(
+    return roles.join(seen, "alvo", "left").select(
         "papel", "alvo", n.alias("n_anos"),
-        F.when(n == 0, "ausente").when(n == F.col("total"), "todos").otherwise("parcial")
+        F.when(n == 0, "ausente").when(n == _year_count(schemas), "todos").otherwise("parcial")
         .alias("presenca"))

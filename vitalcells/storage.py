@@ -34,7 +34,7 @@ def is_written(spark: SparkSession, path: str) -> bool:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Use every core when the input comes in fewer splits than there are cores.
+    """Use every core when a file scan has fewer splits than there are cores.
 
     Large inputs have more splits than cores and are left as they are.
     """
