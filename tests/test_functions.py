@@ -17,7 +17,8 @@ def values(spark, rows, dtype, build):
 
 
 @pytest.mark.parametrize("dtype, rows, expected", [
-    ("string", [" 4 ", "", "  ", "\t7\n", " 9 ", None], ["4", None, None, "7", "9", None]),
+    ("string", [" 4 ", "", "  ", "\t7\n", "\u00a09\u2003", "a b", "é", None],
+     ["4", None, None, "7", "9", "a b", "é", None]),
     ("double", [9.0, 12012023.0, 520870.0, 1.5, float("nan"), None],
      ["9", "12012023", "520870", "1.5", None, None]),
     ("int", [9, None], ["9", None]),
@@ -28,9 +29,9 @@ def test_clean(spark, dtype, rows, expected):
 
 
 def test_number_rejects_what_is_not_plainly_numeric(spark):
-    rows = ["4", "-1.5", "x", "1d", "0x10", "1f", "nan", "inf", "", "1e2", ".", None]
+    rows = ["4", "-1.5", "x", "1d", "0x10", "0x1p3", "1f", "nan", "inf", "", "1e2", "7.", ".", "1/2", None]
     assert values(spark, rows, "string", N.number) == [
-        4.0, -1.5, None, None, None, None, None, None, None, 100.0, None, None]
+        4.0, -1.5, None, None, None, None, None, None, None, None, 100.0, 7.0, None, None, None]
 
 
 def test_pad_keeps_longer_values(spark):

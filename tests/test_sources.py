@@ -47,7 +47,7 @@ def test_region_filter_drops_other_states(spark, files):
 
 
 def test_absent_year_is_flagged(spark, files):
-    rows = {r.ano: r for r in Y.inventory(spark, list(files), Y.open_years(spark, files)).collect()}
+    rows = {r.ano: r for r in Y.inventory(spark, files, Y.open_years(spark, files)).collect()}
     assert (rows[2024].existe, rows[2024].n_linhas, rows[2024].escopo) == (False, None, "ausente")
     assert (rows[2022].n_linhas, rows[2022].n_colunas) == (1, 12)
 

@@ -4,10 +4,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
-# Every character that counts as white space at the edges of a value.
-EDGE_SPACE = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005"
-              "\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
+# Characters that count as white space at the edges of a value: the ASCII ones, and all.
+ASCII_SPACE = " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f"
+ANY_SPACE = (ASCII_SPACE + "\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008"
+             "\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
 
 
 def clean(value: Column, dtype: T.DataType) -> Column:
@@ -19,12 +19,26 @@ def clean(value: Column, dtype: T.DataType) -> Column:
         text = F.regexp_replace(value.cast("string"), r"\.0*$", "")
     else:
         text = value.cast("string")
-    return F.nullif(F.btrim(text, F.lit(EDGE_SPACE)), F.lit(""))
+    return F.nullif(strip(text), F.lit(""))
+
+
+def strip(text: Column) -> Column:
+    """Drop white space of any kind at both ends.
+
+    Plain ASCII values, nearly all of them, search the short list. These expressions run for every
+    value of every column: they are kept short so that the generated code stays small enough for
+    the JVM to compile.
+    """
+    ascii_only = F.octet_length(text) == F.char_length(text)
+    return F.btrim(text, F.when(ascii_only, ASCII_SPACE).otherwise(ANY_SPACE))
 
 
 def number(text: Column) -> Column:
-    """Lenient number: anything that is not plainly numeric is null."""
-    return F.when(text.rlike(NUMBER), text.try_cast("double"))
+    """Lenient number: anything that is not plainly numeric is null.
+
+    The cast alone would also take '1d', 'inf' and '0x1p3'.
+    """
+    return F.when(text.rlike("^[0-9.eE+-]+$"), text.try_cast("double"))
 
 
 def pad_left(text: Column, width: int) -> Column:

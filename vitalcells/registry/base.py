@@ -59,7 +59,7 @@ class Workspace:
         known = with_states(births, self.states)
         return known.where(F.col("UF").isNotNull())
 
-    @property
+    @cached_property
     def rules(self) -> dict[str, K.Rules]:
         return {"ESCMAE": K.main_rules("ESCMAE", S.YEARS),
                 "ESCMAE2010": K.main_rules("ESCMAE2010", S.YEARS, "_2010"),

@@ -68,12 +68,12 @@ select cast(e.ano as int) as ano, y.ano is not null as existe, y.n_linhas, cast(
   case when y.ano is null then 'ausente' else 'presente' end as escopo
 from range(1994, 2003) e(ano) left join y on y.ano = e.ano""")
 def _(w):
-    return Y.inventory(w.spark, list(w.yearly_paths), w.files).drop("tamanho_mb")
+    return Y.inventory(w.spark, w.yearly_paths, w.files).drop("tamanho_mb")
 
 
 @query("a05_inventory_sizes")
 def _(w):
-    return Y.inventory(w.spark, list(w.yearly_paths), w.files).select("ano", "tamanho_mb")
+    return Y.inventory(w.spark, w.yearly_paths, w.files).select("ano", "tamanho_mb")
 
 
 SCHEMA_ROWS = """

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from vitalcells import fixed_values as V
 from vitalcells.functions import normalize as N
-from vitalcells.storage import exists, small
+from vitalcells.storage import exists, size_of, small
 
 
 def normalise(raw: DataFrame, file_year: Column, window: tuple[int, int],
@@ -85,19 +85,21 @@ def schema_rows(spark: SparkSession, files: dict[int, DataFrame]) -> DataFrame:
     return spark.createDataFrame(rows, "ano int, posicao int, coluna string, tipo string")
 
 
-def inventory(spark: SparkSession, expected: list[int], files: dict[int, DataFrame]) -> DataFrame:
-    """Expected years with rows, columns and size; absent files are flagged."""
-    parts = reduce(DataFrame.unionByName, [
-        file.select(F.lit(year).alias("ano"), "_metadata.file_path", "_metadata.file_size")
+def inventory(spark: SparkSession, expected: dict[int, str],
+              files: dict[int, DataFrame]) -> DataFrame:
+    """Expected years with rows, columns and size; absent files are flagged.
+
+    Counting needs no column, and sizes come from the file system's own listing.
+    """
+    counts = reduce(DataFrame.unionByName, [
+        file.agg(F.count("*").alias("n_linhas")).withColumn("ano", F.lit(year))
         for year, file in files.items()])
-    sizes = (parts.groupBy("ano", "file_path")
-             .agg(F.count("*").alias("n"), F.max("file_size").alias("bytes"))
-             .groupBy("ano").agg(F.sum("n").alias("n_linhas"),
-                                 F.round(F.sum("bytes") / 1e6, 1).alias("tamanho_mb")))
-    widths = [(year, len(files[year].columns) if year in files else None) for year in expected]
-    years = spark.createDataFrame(widths, "ano int, n_colunas bigint")
+    known = [(year, len(files[year].columns) if year in files else None,
+              round(size_of(spark, path) / 1e6, 1) if year in files else None)
+             for year, path in expected.items()]
+    years = spark.createDataFrame(known, "ano int, n_colunas bigint, tamanho_mb double")
     found = F.col("n_linhas").isNotNull()
-    return years.join(sizes, "ano", "left").select(
+    return years.join(counts, "ano", "left").select(
         "ano", found.alias("existe"), "n_linhas", "n_colunas", "tamanho_mb",
         F.when(found, "presente").otherwise("ausente").alias("escopo"))
 

@@ -22,10 +22,21 @@ def shared_folder(spark: SparkSession) -> str:
     return _local_roots[app]
 
 
+def _file_system(spark: SparkSession, path: str):
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     """Whether a file or folder exists on the file system the path names."""
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+    system, target = _file_system(spark, path)
+    return system.exists(target)
+
+
+def size_of(spark: SparkSession, path: str) -> int:
+    """Bytes in a file or folder."""
+    system, target = _file_system(spark, path)
+    return system.getContentSummary(target).getLength()
 
 
 def is_written(spark: SparkSession, path: str) -> bool:
