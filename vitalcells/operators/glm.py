@@ -27,7 +27,7 @@ EXPOSURE = "raca"
 Z95 = 1.959963984540054
 # Estimates beyond this standard error mean a separated or aliased design.
 MAX_SE = 100.0
-CELLS_PER_TASK = 50_000
+CELLS_PER_TASK = 10_000
 
 
 @dataclass(frozen=True)
@@ -139,18 +139,30 @@ def term_value(term: Term) -> Column:
 
 
 def predictor(terms, weights, fixed: dict[str, str] | None = None) -> Column:
-    """Sum of weight x term as one CASE per factor. `fixed` sets factors to a level for all rows."""
+    """Sum of weight x term: one lookup per factor, one CASE per product of factors.
+
+    `fixed` sets factors to a level for all rows.
+    """
+    fixed = fixed or {}
+    lookups: dict[str, list[str]] = {}
     cases: dict[tuple, list[str]] = {}
     parts = []
     for term, weight in zip(terms, weights):
         number = f"({float(weight)!r}D)"
         if not term:
             parts.append(number)
-        elif term[0][1] is None:
-            parts.append(f"{number} * cast(`{term[0][0]}` as double)")
+            continue
+        name, level = term[0]
+        if level is None:
+            parts.append(f"{number} * cast(`{name}` as double)")
+        elif len(term) == 1:
+            lookups.setdefault(name, []).append(f"{_text(level)}, {number}")
         else:
-            test = " and ".join(_is(name, level, fixed or {}) for name, level in term)
+            test = " and ".join(_is(n, v, fixed) for n, v in term)
             cases.setdefault(tuple(n for n, _ in term), []).append(f"when {test} then {number}")
+    for name, entries in lookups.items():
+        key = _text(fixed[name]) if name in fixed else f"`{name}`"
+        parts.append(f"coalesce(try_element_at(map({', '.join(entries)}), {key}), 0D)")
     parts += [f"case {' '.join(whens)} else 0D end" for whens in cases.values()]
     return F.expr(" + ".join(parts))
 
