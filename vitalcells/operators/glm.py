@@ -27,7 +27,7 @@ EXPOSURE = "raca"
 Z95 = 1.959963984540054
 # Estimates beyond this standard error mean a separated or aliased design.
 MAX_SE = 100.0
-CELLS_PER_TASK = 10_000
+CELLS_PER_TASK = 20_000
 
 
 @dataclass(frozen=True)
