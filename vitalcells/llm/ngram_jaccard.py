@@ -226,6 +226,28 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     part in links, and a component without any id has a null one. Further columns of the input are
     not read.
     """
+    return _components(docs, words, percent).select("doc_id", "n_shingles", "component_id", "set_id")
+
+
+def representatives(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """One document of each component, with all its columns: the smallest doc_id, of repeated ids the
+    one with the smallest hash of its text, of repeated rows one. Documents without words all stay."""
+    found = _components(docs, words, percent)
+    first = F.min(F.struct(F.coalesce("doc_id", F.lit(LAST)).alias("doc"), "text_id"))
+    chosen = (found.where("label is not null").groupBy("label").agg(first.alias("r"))
+              .select(F.col("r.doc").alias("r_doc"), F.col("r.text_id").alias("r_text")))
+    own = (docs.withColumn("r_doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)))
+           .withColumn("r_text", F.xxhash64(F.coalesce("text", F.lit("")))))
+    has_words = F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    once = own.where(has_words).join(chosen, ["r_doc", "r_text"], "left_semi")
+    # Repeated rows share their key; one of each is kept.
+    once = once.dropDuplicates(["r_doc", "r_text"])
+    return once.union(own.where(~has_words)).select(*docs.columns)
+
+
+def _components(docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """doc_id, text_id, n_shingles, set_id, label (of the component, null for empty sets) and
+    component_id of each document."""
     scratch = Scratch(docs.sparkSession, "jaccard")
     texts = _texts(docs)
     table = scratch.write(texts.mapInArrow(set_rows(words, percent), SETS), "sets")
@@ -279,6 +301,6 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     smallest = (named.where("label is not null").groupBy("label")
                 .agg(F.min("doc_id").alias("smallest")))
     return (named.join(smallest, "label", "left")
-            .select("doc_id", "n_shingles",
+            .select("doc_id", "text_id", "n_shingles", "set_id", "label",
                     F.when(F.col("set_id").isNull(), F.col("doc_id")).otherwise(F.col("smallest"))
-                    .alias("component_id"), "set_id"))
+                    .alias("component_id")))

@@ -180,3 +180,21 @@ def row_sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
 def signed(values: np.ndarray) -> np.ndarray:
     """Unsigned 64-bit values as the longs Spark stores."""
     return values.view(np.int64)
+
+
+def normalised(texts: Texts, words: Words) -> tuple[bytes, np.ndarray]:
+    """Words in lower case with one space between them, a line end after a row's last one.
+
+    Also gives where each word begins, so that places map back to the words of the texts.
+    """
+    sizes = words.ends - words.starts
+    begins = np.cumsum(sizes + 1) - (sizes + 1)
+    total = int((sizes + 1).sum())
+    source = np.repeat(words.starts - begins, sizes + 1) + np.arange(total)
+    out = LOWER[texts.data[np.minimum(source, max(len(texts.data) - 1, 0))]] if total else \
+        np.zeros(0, np.uint8)
+    gaps = begins + sizes
+    out[gaps] = 0x20
+    filled = np.flatnonzero(words.counts)
+    out[gaps[words.first[filled + 1] - 1]] = 0x0A
+    return out.tobytes(), begins
