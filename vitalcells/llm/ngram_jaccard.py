@@ -242,7 +242,7 @@ def representatives(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     once = own.where(has_words).join(chosen, ["r_doc", "r_text"], "left_semi")
     # Repeated rows share their key; one of each is kept.
     once = once.dropDuplicates(["r_doc", "r_text"])
-    return once.union(own.where(~has_words)).select(*docs.columns)
+    return once.unionByName(own.where(~has_words)).select(*docs.columns)
 
 
 def _components(docs: DataFrame, words: int, percent: int) -> DataFrame:

@@ -5,6 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from vitalcells.llm import (chat_format, decontamination, license_scan, line_crf, lm_scoring,
                             mixing, ngram_jaccard, quality_rules, repeats, secret_scan)
 
@@ -81,3 +82,8 @@ def op10_line_crf_quality(spark, folder):
     """Labels are learned from rows whose crc32(doc_id) mod 4 is not 2."""
     documents = _table(spark, folder, "documents")
     return line_crf.score_documents(documents, _table(spark, folder, "labels"))
+
+
+QUERIES["pipeline"] = corpus_pipeline.run
+if corpus_pipeline.ORACLE_SQL is not None:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
