@@ -2,8 +2,9 @@
 
 Parity sketches: each shingle flips one bit of a bit sketch, so bits that differ between two sketches
 are at most as many as shingles in only one of the sets. For sets of a size band the threshold bounds
-that number by d. The sketch has k > d blocks of 64 bits; of two linked sets at least k - d blocks
-are equal. A block without a set bit says nothing, so k leaves room for such blocks: when one of two
+that number by d. The sketch has k > d blocks; of two linked sets at least k - d blocks are equal. A
+block is as wide as hashes are, so that unlike shingles hardly meet in a bit; of its few set bits only
+the XOR of their hashes is kept. A block without a set bit says nothing, so k leaves room for such blocks: when one of two
 sets has fewer than k - d of them, at least one equal block is not empty, and joining on (band, block
 number, block) meets the pair. Sets with more empty blocks also send a sketch by the next seed, and
 after the last seed they meet in one bucket of their band. So no pair is lost.
@@ -89,12 +90,26 @@ class Bands:
         return d + 2, 1
 
 
-def sketch(hashes: np.ndarray, blocks: int, seed: int) -> np.ndarray:
-    """Each value flips one bit of one 64-bit block."""
+def _placed(hashes: np.ndarray, blocks: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Block of each value, and its place inside the block."""
     values = mix(hashes + np.uint64((seed + 1) * _STEP % (1 << 64)))
-    block = (((values >> np.uint64(32)) * np.uint64(blocks)) >> np.uint64(32)).astype(np.intp)
+    block = ((values >> np.uint64(32)) * np.uint64(blocks)) >> np.uint64(32)
+    return block.astype(np.intp), mix(values)
+
+
+def sketch(hashes: np.ndarray, blocks: int, seed: int) -> np.ndarray:
+    """Blocks of 64 bits, in which each value flips one."""
+    block, place = _placed(hashes, blocks, seed)
+    out = np.zeros(blocks, np.uint64)
+    np.bitwise_xor.at(out, block, np.uint64(1) << (place & np.uint64(63)))
+    return out
+
+
+def wide_sketch(hashes: np.ndarray, blocks: int, seed: int) -> np.ndarray:
+    """The XOR of the places that are set in each wide block."""
+    block, place = _placed(hashes, blocks, seed)
     out = np.zeros(blocks, np.uint64)
-    np.bitwise_xor.at(out, block, np.uint64(1) << (values & np.uint64(63)))
+    np.bitwise_xor.at(out, block, place)
     return out
 
 
@@ -104,7 +119,7 @@ def keys_of(shingles: np.ndarray, bands: Bands) -> np.ndarray:
     for band in bands.probed(len(shingles)):
         k, spare = bands.blocks(band)
         for seed in range(SEEDS if k else 0):
-            blocks = sketch(shingles, k, seed)
+            blocks = wide_sketch(shingles, k, seed)
             full = np.flatnonzero(blocks)
             name = np.uint64(((band + 64) * 64 + seed) * _STEP % (1 << 64))
             out.append(mix(mix(blocks[full] + name) + full.astype(np.uint64)))
