@@ -71,7 +71,7 @@ def test_linked_sets_always_share_a_key():
     rng = np.random.default_rng(5)
     bands = J.Bands(80)
     for _ in range(1500):
-        size = int(rng.integers(4, 90))
+        size = int(rng.integers(4, 400))
         common = int(np.ceil(0.8 * size + rng.random() * 0.2 * size))
         a_only = int(rng.integers(0, size - common + 1))
         union = rng.integers(0, 1 << 63, size).astype(np.uint64)
@@ -79,7 +79,11 @@ def test_linked_sets_always_share_a_key():
         b = np.sort(np.concatenate([union[:common], union[common + a_only:]]))
         if 100 * common < 80 * size or len(a) == common == len(b):
             continue
-        assert np.intersect1d(J.keys_of(a, bands), J.keys_of(b, bands)).size, (len(a), len(b), common)
+        if len(a) > len(b):
+            a, b = b, a
+        (mine, sure), (theirs, _) = J.keys_of(a, bands), J.keys_of(b, bands)
+        least = max(1, sure - (len(a) + len(b)) // 9)
+        assert len(np.intersect1d(mine, theirs)) >= least, (len(a), len(b), common)
 
 
 def test_empty_table_and_clashing_columns(documents):

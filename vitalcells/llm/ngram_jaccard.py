@@ -9,6 +9,9 @@ sets has fewer than k - d of them, at least one equal block is not empty, and jo
 number, block) meets the pair. Sets with more empty blocks also send a sketch by the next seed, and
 after the last seed they meet in one bucket of their band. So no pair is lost.
 
+The two sets' own sizes bound their difference more closely than the band does, and so they share a
+known number of blocks, mostly many; pairs that meet in fewer buckets are not linked and are not read.
+
 Sets in a bucket are not paired with each other: each is compared with the bucket's first one, and
 after components are known only those still apart from it are compared with the others.
 """
@@ -25,6 +28,7 @@ from vitalcells.llm.arrow import LAST, by_key, longs, record_batch
 from vitalcells.llm.scratch import Scratch
 from vitalcells.llm.textbytes import (NOT_SPACE, mix, pieces, signed, windows_of, word_hashes,
                                       words_of)
+from vitalcells.storage import small
 
 WORDS = 5
 PERCENT = 80
@@ -32,9 +36,11 @@ SEEDS = 4
 #: Words of 64 bits of the sketch that is compared before two sets are.
 FILTER_WORDS = 16
 SMALLEST = 4
+#: Rows of three numbers that may be broadcast; more are joined by a shuffle.
+MOST_BROADCAST = 200_000
 _STEP = 0x9E3779B97F4A7C15
 
-SETS = "doc_id long, text_id long, n_shingles long, set_id long, keys array<long>"
+SETS = "doc_id long, text_id long, n_shingles long, set_id long, sure int, keys array<long>"
 
 
 class Bands:
@@ -83,7 +89,8 @@ class Bands:
     def _choose(low: int, d: int) -> tuple[int, int]:
         if d == 0:
             return 0, 0
-        for k in range(d + 2, d + d // 2 + 4):
+        # A tenth more blocks than needed: sets that only share a passage then meet in too few.
+        for k in range(max(d + 2, d * 11 // 10), d + d // 2 + 4):
             empty = k * exp(-low / k)
             if k - d - 1 >= empty + sqrt(empty):
                 return k, k - d - 1
@@ -113,9 +120,13 @@ def wide_sketch(hashes: np.ndarray, blocks: int, seed: int) -> np.ndarray:
     return out
 
 
-def keys_of(shingles: np.ndarray, bands: Bands) -> np.ndarray:
-    """Join keys of a set: its blocks that are not empty, in its own band and those below."""
-    out = [shingles[:0]]
+def keys_of(shingles: np.ndarray, bands: Bands) -> tuple[np.ndarray, int]:
+    """Join keys of a set: its blocks that are not empty, in its own band and those below.
+
+    Also its number of such blocks by the first seed in its own band, of which every larger linked
+    set has all but their difference; 0 where empty blocks leave nothing sure.
+    """
+    out, sure = [shingles[:0]], 0
     for band in bands.probed(len(shingles)):
         k, spare = bands.blocks(band)
         for seed in range(SEEDS if k else 0):
@@ -124,11 +135,13 @@ def keys_of(shingles: np.ndarray, bands: Bands) -> np.ndarray:
             name = np.uint64(((band + 64) * 64 + seed) * _STEP % (1 << 64))
             out.append(mix(mix(blocks[full] + name) + full.astype(np.uint64)))
             if k - len(full) <= spare:
+                sure = len(full) if seed == 0 else 0
                 break
         else:
+            sure = 0
             if k:
                 out.append(mix(np.array([((band + 64) * 64 + 63) * _STEP % (1 << 64)], np.uint64)))
-    return np.concatenate(out)
+    return np.concatenate(out), sure
 
 
 def shingle_sets(texts, size: int):
@@ -154,26 +167,28 @@ def _set_id(shingles: np.ndarray) -> int:
 def set_rows(size: int, percent: int):
     """One row per document: the size of its set, the set's id and its join keys. Of equal sets in a
     piece only the first sends keys, as they join as one."""
-    names = ["doc_id", "text_id", "n_shingles", "set_id", "keys"]
+    names = ["doc_id", "text_id", "n_shingles", "set_id", "sure", "keys"]
 
     def run(batches):
         bands = Bands(percent)
         for batch in batches:
             for rows, texts in pieces(batch):
-                counts, ids, keys, ends, sent = [], [], [], [0], set()
+                counts, ids, keys, ends, sent = [], [], [], [0], {}
+                sure = []
                 for shingles in shingle_sets(texts, size):
                     counts.append(len(shingles))
                     ids.append(_set_id(shingles) if len(shingles) else None)
+                    ends.append(ends[-1])
                     if len(shingles) and ids[-1] not in sent:
-                        sent.add(ids[-1])
-                        keys.append(signed(keys_of(shingles, bands)))
-                        ends.append(ends[-1] + len(keys[-1]))
-                    else:
-                        ends.append(ends[-1])
+                        own, sent[ids[-1]] = keys_of(shingles, bands)
+                        keys.append(signed(own))
+                        ends[-1] += len(own)
+                    sure.append(sent.get(ids[-1], 0))
                 flat = np.concatenate(keys) if keys else np.zeros(0, np.int64)
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
                 yield record_batch(names, rows.column("doc_id"), rows.column("text_id"),
-                             pa.array(counts, pa.int64()), pa.array(ids, pa.int64()), lists)
+                             pa.array(counts, pa.int64()), pa.array(ids, pa.int64()),
+                                   pa.array(sure, pa.int32()), lists)
 
     return run
 
@@ -270,48 +285,65 @@ def _components(docs: DataFrame, words: int, percent: int) -> DataFrame:
     links = scratch.write(rows.repartition("key").sortWithinPartitions("key")
                           .mapInArrow(bucket_links, "key long, first long, set_id long"), "links")
 
-    # Shingles of the sets that met another one, from one of the texts that have the set.
     known = table.where("set_id is not null")
     met = links.select(F.explode(F.array("first", "set_id")).alias("set_id")).distinct()
-    holders = (known.join(met, "set_id").groupBy("set_id")
-               .agg(F.min(F.struct(F.coalesce("doc_id", F.lit(LAST)).alias("doc"), "text_id")).alias("h"))
-               .select("set_id", "h.doc", "h.text_id"))
-    held = (texts.select(F.coalesce("doc_id", F.lit(LAST)).alias("doc"), "text_id", "text")
-            .join(holders, ["doc", "text_id"]).select("set_id", "text"))
-    sets = scratch.write(
-        held.mapInArrow(shingle_rows(words), "set_id long, shingles array<long>, parity array<long>")
-        .groupBy("set_id").agg(F.first("shingles").alias("shingles"), F.first("parity").alias("parity")),
-        "shingles")
-    sizes = sets.select("set_id", F.size("shingles").alias("n"))
+    holder = F.min(F.struct(F.coalesce("doc_id", F.lit(LAST)).alias("doc"), "text_id"))
+    sizes = scratch.write(known.join(met, "set_id").groupBy("set_id")
+                          .agg(F.first("n_shingles").alias("n"), F.first("sure").alias("sure"),
+                               holder.alias("holder")), "sizes")
+    a, b = (sizes.select(F.col("set_id").alias(x), F.col("n").alias(f"n_{x}"),
+                         F.col("sure").alias(f"sure_{x}")) for x in "ab")
 
     def fitting(pairs: DataFrame) -> DataFrame:
-        """Distinct pairs whose sizes can reach the threshold."""
-        return (pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-                .join(sizes.toDF("a", "n_a"), "a").join(sizes.toDF("b", "n_b"), "b")
+        """Distinct pairs that meet in as many buckets as their sizes ask of linked sets."""
+        both = F.col("n_a") + F.col("n_b")
+        differ = F.floor(both * (100 - percent) / (100 + percent))
+        sure = F.when(F.col("n_a") <= F.col("n_b"), F.col("sure_a")).otherwise(F.col("sure_b"))
+        return (pairs.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+                .agg(F.count("*").alias("shared")).join(a, "a").join(b, "b")
                 .where(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
-                .select("a", "b"))
-
-    firsts = fitting(links.select(F.col("first").alias("a"), F.col("set_id").alias("b")))
-    near = scratch.write(_verified(firsts, sets, percent), "links-to-first")
+                .where(F.col("shared") >= F.greatest(F.lit(1), sure - differ)).select("a", "b"))
+
+    def linked(pairs: DataFrame, name: str) -> DataFrame:
+        """Pairs whose sets, read again from a text that has each, reach the threshold."""
+        pairs = scratch.write(pairs, name)
+        ids = pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct()
+        holders = (sizes.join(ids, "set_id")
+                   .select("set_id", F.col("holder.doc").alias("doc"), F.col("holder.text_id").alias("text_id")))
+        held = (texts.select(F.coalesce("doc_id", F.lit(LAST)).alias("doc"), "text_id", "text")
+                .join(small(scratch.write(holders, "holders"), MOST_BROADCAST), ["doc", "text_id"])
+                .select("set_id", "text"))
+        sets = scratch.write(
+            held.mapInArrow(shingle_rows(words),
+                            "set_id long, shingles array<long>, parity array<long>")
+            .groupBy("set_id").agg(F.first("shingles").alias("shingles"),
+                                   F.first("parity").alias("parity")), "shingles")
+        return scratch.write(_verified(pairs, sets, percent), "linked")
+
+    # Not all buckets of a pair are seen here, so a link may wait for the second round.
+    near = linked(fitting(links.select(F.col("first").alias("a"), F.col("set_id").alias("b"))), "to-first")
     labels = components(near, scratch)
 
-    # Sets that are still apart from their bucket's first one, with the bucket's other sets.
+    # Pairs of a bucket that are still apart: with its first set, and with each other.
     label = F.coalesce("component", "set_id")
-    labelled = (links.join(labels.withColumnRenamed("node", "set_id"), "set_id", "left")
-                .select("key", "first", "set_id", label.alias("label")))
     heads = labels.select(F.col("node").alias("first"), F.col("component").alias("first_label"))
     labelled = scratch.write(
-        labelled.join(heads, "first", "left")
-        .select("key", "set_id", "label",
+        links.join(labels.withColumnRenamed("node", "set_id"), "set_id", "left")
+        .select("key", "first", "set_id", label.alias("label")).join(heads, "first", "left")
+        .select("key", "first", "set_id", "label",
                 (F.col("label") != F.coalesce("first_label", "first")).alias("apart")), "labelled")
-    others = labelled.select("key", F.col("set_id").alias("b"), F.col("label").alias("label_b"))
-    rest = (labelled.where("apart").select("key", F.col("set_id").alias("a"), "label")
-            .join(others, "key").where("label != label_b").select("a", "b"))
-    more = scratch.write(_verified(fitting(rest), sets, percent), "further-links")
+    apart = labelled.where("apart")
+    others = labelled.select("key", F.col("set_id").alias("b"), F.col("label").alias("label_b"),
+                             F.col("apart").alias("apart_b"))
+    # Of two sets that are both apart from the first, only one order is made.
+    rest = (apart.select("key", F.col("set_id").alias("a"), "label").join(others, "key")
+            .where("label != label_b and (not apart_b or a < b)").select("a", "b"))
+    rest = rest.union(apart.select(F.col("first").alias("a"), F.col("set_id").alias("b")))
+    more = linked(fitting(rest), "apart")
     if not more.isEmpty():
         labels = components(near.union(more), scratch)
 
-    named = (table.drop("keys").join(labels.withColumnRenamed("node", "set_id"), "set_id", "left")
+    named = (table.drop("keys", "sure").join(labels.withColumnRenamed("node", "set_id"), "set_id", "left")
              .withColumn("label", F.coalesce("component", "set_id")))
     smallest = (named.where("label is not null").groupBy("label")
                 .agg(F.min("doc_id").alias("smallest")))
