@@ -81,8 +81,8 @@ def test_linked_sets_always_share_a_key():
             continue
         if len(a) > len(b):
             a, b = b, a
-        (mine, sure), (theirs, _) = J.keys_of(a, bands), J.keys_of(b, bands)
-        least = max(1, sure - (len(a) + len(b)) // 9)
+        (mine, sure, spared), (theirs, _, spared_b) = J.keys_of(a, bands), J.keys_of(b, bands)
+        least = max(1, sure - (len(a) + len(b)) // 9, spared + 1, spared_b + 1)
         assert len(np.intersect1d(mine, theirs)) >= least, (len(a), len(b), common)
 
 

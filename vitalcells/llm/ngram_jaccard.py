@@ -9,18 +9,22 @@ sets has fewer than k - d of them, at least one equal block is not empty, and jo
 number, block) meets the pair. Sets with more empty blocks also send a sketch by the next seed, and
 after the last seed they meet in one bucket of their band. So no pair is lost.
 
-The two sets' own sizes bound their difference more closely than the band does, and so they share a
-known number of blocks, mostly many; pairs that meet in fewer buckets are not linked and are not read.
-
-Sets in a bucket are not paired with each other: each is compared with the bucket's first one, and
-after components are known only those still apart from it are compared with the others.
+As k leaves more room than that, linked sets share c blocks and not just one. In any common order of
+the buckets they then meet in one that is not among the last c - 1 of either; with the largest buckets
+last, each set leaves its c - 1 largest buckets, which passages of many documents fill. The two sets'
+own sizes bound their difference more closely than the band does; pairs that meet in fewer buckets than
+that asks for are not read.
+
+Sets in a bucket are not paired with each other: each is compared with the one of the bucket that
+stands in most buckets (of slightly changed copies, the original), and after components are known only
+those still apart from it are compared with the others.
 """
 
 from math import exp, sqrt
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vitalcells.llm.graph import components
@@ -40,7 +44,7 @@ SMALLEST = 4
 MOST_BROADCAST = 200_000
 _STEP = 0x9E3779B97F4A7C15
 
-SETS = "doc_id long, text_id long, n_shingles long, set_id long, sure int, keys array<long>"
+SETS = "doc_id long, text_id long, n_shingles long, set_id long, sure int, spared int, keys array<long>"
 
 
 class Bands:
@@ -89,8 +93,8 @@ class Bands:
     def _choose(low: int, d: int) -> tuple[int, int]:
         if d == 0:
             return 0, 0
-        # A tenth more blocks than needed: sets that only share a passage then meet in too few.
-        for k in range(max(d + 2, d * 11 // 10), d + d // 2 + 4):
+        # A fifth more blocks than needed: sets that only share a passage then meet in too few.
+        for k in range(max(d + 2, d * 6 // 5), d + d // 2 + 4):
             empty = k * exp(-low / k)
             if k - d - 1 >= empty + sqrt(empty):
                 return k, k - d - 1
@@ -120,13 +124,13 @@ def wide_sketch(hashes: np.ndarray, blocks: int, seed: int) -> np.ndarray:
     return out
 
 
-def keys_of(shingles: np.ndarray, bands: Bands) -> tuple[np.ndarray, int]:
+def keys_of(shingles: np.ndarray, bands: Bands) -> tuple[np.ndarray, int, int]:
     """Join keys of a set: its blocks that are not empty, in its own band and those below.
 
-    Also its number of such blocks by the first seed in its own band, of which every larger linked
-    set has all but their difference; 0 where empty blocks leave nothing sure.
+    Also how many of them every larger linked set shares but for their difference, and how many of
+    them may be left out since any linked set shares more; 0 where empty blocks leave nothing sure.
     """
-    out, sure = [shingles[:0]], 0
+    out, sure, spared = [shingles[:0]], 0, len(shingles)
     for band in bands.probed(len(shingles)):
         k, spare = bands.blocks(band)
         for seed in range(SEEDS if k else 0):
@@ -136,12 +140,14 @@ def keys_of(shingles: np.ndarray, bands: Bands) -> tuple[np.ndarray, int]:
             out.append(mix(mix(blocks[full] + name) + full.astype(np.uint64)))
             if k - len(full) <= spare:
                 sure = len(full) if seed == 0 else 0
+                # Of the full blocks at most k - 1 - spare, the band's difference, are not shared.
+                spared = min(spared, len(full) - (k - spare)) if seed == 0 else 0
                 break
         else:
-            sure = 0
+            sure = spared = 0
             if k:
                 out.append(mix(np.array([((band + 64) * 64 + 63) * _STEP % (1 << 64)], np.uint64)))
-    return np.concatenate(out), sure
+    return np.concatenate(out), sure, spared
 
 
 def shingle_sets(texts, size: int):
@@ -167,7 +173,7 @@ def _set_id(shingles: np.ndarray) -> int:
 def set_rows(size: int, percent: int):
     """One row per document: the size of its set, the set's id and its join keys. Of equal sets in a
     piece only the first sends keys, as they join as one."""
-    names = ["doc_id", "text_id", "n_shingles", "set_id", "sure", "keys"]
+    names = ["doc_id", "text_id", "n_shingles", "set_id", "sure", "spared", "keys"]
 
     def run(batches):
         bands = Bands(percent)
@@ -180,21 +186,22 @@ def set_rows(size: int, percent: int):
                     ids.append(_set_id(shingles) if len(shingles) else None)
                     ends.append(ends[-1])
                     if len(shingles) and ids[-1] not in sent:
-                        own, sent[ids[-1]] = keys_of(shingles, bands)
+                        own, *sent[ids[-1]] = keys_of(shingles, bands)
                         keys.append(signed(own))
                         ends[-1] += len(own)
-                    sure.append(sent.get(ids[-1], 0))
+                    sure.append(sent.get(ids[-1], (0, 0)))
                 flat = np.concatenate(keys) if keys else np.zeros(0, np.int64)
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
                 yield record_batch(names, rows.column("doc_id"), rows.column("text_id"),
                              pa.array(counts, pa.int64()), pa.array(ids, pa.int64()),
-                                   pa.array(sure, pa.int32()), lists)
+                                   pa.array([x for x, _ in sure], pa.int32()),
+                                   pa.array([x for _, x in sure], pa.int32()), lists)
 
     return run
 
 
-def bucket_links(batches):
-    """Per key: each further set with the first one. Input is sorted by key."""
+def full_buckets(batches):
+    """Sets of each key that has several, and their number. Input is sorted by key."""
     for part in by_key(batches, ["key", "set_id"]):
         key, ids = longs(part["key"]), longs(part["set_id"])
         order = np.lexsort((ids, key))
@@ -202,11 +209,11 @@ def bucket_links(batches):
         fresh = np.ones(len(key), bool)
         fresh[1:] = (key[1:] != key[:-1]) | (ids[1:] != ids[:-1])
         key, ids = key[fresh], ids[fresh]
-        opens = np.ones(len(key), bool)
-        opens[1:] = key[1:] != key[:-1]
-        first = ids[np.flatnonzero(opens)][np.cumsum(opens) - 1]
-        if not opens.all():
-            yield record_batch(["key", "first", "set_id"], key[~opens], first[~opens], ids[~opens])
+        opens = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        count = np.diff(np.append(opens, len(key)))
+        size = np.repeat(count, count)
+        if (size > 1).any():
+            yield record_batch(["key", "set_id", "size"], key[size > 1], ids[size > 1], size[size > 1])
 
 
 def shingle_rows(size: int):
@@ -282,27 +289,39 @@ def _components(docs: DataFrame, words: int, percent: int) -> DataFrame:
     texts = _texts(docs)
     table = scratch.write(texts.mapInArrow(set_rows(words, percent), SETS), "sets")
     rows = table.select(F.explode("keys").alias("key"), "set_id")
-    links = scratch.write(rows.repartition("key").sortWithinPartitions("key")
-                          .mapInArrow(bucket_links, "key long, first long, set_id long"), "links")
-
-    known = table.where("set_id is not null")
-    met = links.select(F.explode(F.array("first", "set_id")).alias("set_id")).distinct()
+    buckets = scratch.write(rows.repartition("key").sortWithinPartitions("key")
+                            .mapInArrow(full_buckets, "key long, set_id long, size long"), "buckets")
+    met = buckets.groupBy("set_id").agg(F.count("*").alias("degree"))
     holder = F.min(F.struct(F.coalesce("doc_id", F.lit(LAST)).alias("doc"), "text_id"))
-    sizes = scratch.write(known.join(met, "set_id").groupBy("set_id")
-                          .agg(F.first("n_shingles").alias("n"), F.first("sure").alias("sure"),
+    sizes = scratch.write(table.join(met, "set_id").groupBy("set_id")
+                          .agg(F.first("n_shingles").alias("n"), F.max("sure").alias("sure"),
+                               F.max("spared").alias("spared"), F.first("degree").alias("degree"),
                                holder.alias("holder")), "sizes")
+    # Each set leaves its largest buckets, as many as it can spare; a set has no more buckets than keys.
+    largest = Window.partitionBy("set_id").orderBy(F.desc("size"), F.desc("key"))
+    kept = scratch.write(
+        buckets.join(sizes.where("degree > spared").select("set_id", "spared", "degree", "n"), "set_id")
+        .withColumn("place", F.row_number().over(largest)).where("place > spared")
+        .select("key", "set_id", "degree", "n"), "kept-buckets")
+    centre = F.max(F.struct("degree", "set_id"))
+    heads = (kept.groupBy("key").agg(centre.alias("c"), F.count("*").alias("size")).where("size > 1")
+             .select("key", F.col("c.set_id").alias("first")))
+    links = scratch.write(kept.join(heads, "key").where("set_id != first")
+                          .select("key", "first", "set_id", "n"), "links")
     a, b = (sizes.select(F.col("set_id").alias(x), F.col("n").alias(f"n_{x}"),
-                         F.col("sure").alias(f"sure_{x}")) for x in "ab")
+                         F.col("sure").alias(f"sure_{x}"), F.col("spared").alias(f"spared_{x}"))
+            for x in "ab")
 
     def fitting(pairs: DataFrame) -> DataFrame:
         """Distinct pairs that meet in as many buckets as their sizes ask of linked sets."""
         both = F.col("n_a") + F.col("n_b")
         differ = F.floor(both * (100 - percent) / (100 + percent))
         sure = F.when(F.col("n_a") <= F.col("n_b"), F.col("sure_a")).otherwise(F.col("sure_b"))
+        sure = sure - differ - F.col("spared_a") - F.col("spared_b")
         return (pairs.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
                 .agg(F.count("*").alias("shared")).join(a, "a").join(b, "b")
                 .where(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
-                .where(F.col("shared") >= F.greatest(F.lit(1), sure - differ)).select("a", "b"))
+                .where(F.col("shared") >= F.greatest(F.lit(1), sure)).select("a", "b"))
 
     def linked(pairs: DataFrame, name: str) -> DataFrame:
         """Pairs whose sets, read again from a text that has each, reach the threshold."""
@@ -329,15 +348,16 @@ def _components(docs: DataFrame, words: int, percent: int) -> DataFrame:
     heads = labels.select(F.col("node").alias("first"), F.col("component").alias("first_label"))
     labelled = scratch.write(
         links.join(labels.withColumnRenamed("node", "set_id"), "set_id", "left")
-        .select("key", "first", "set_id", label.alias("label")).join(heads, "first", "left")
-        .select("key", "first", "set_id", "label",
+        .select("key", "first", "set_id", "n", label.alias("label")).join(heads, "first", "left")
+        .select("key", "first", "set_id", "n", "label",
                 (F.col("label") != F.coalesce("first_label", "first")).alias("apart")), "labelled")
     apart = labelled.where("apart")
     others = labelled.select("key", F.col("set_id").alias("b"), F.col("label").alias("label_b"),
-                             F.col("apart").alias("apart_b"))
+                             F.col("apart").alias("apart_b"), F.col("n").alias("n_b"))
     # Of two sets that are both apart from the first, only one order is made.
-    rest = (apart.select("key", F.col("set_id").alias("a"), "label").join(others, "key")
-            .where("label != label_b and (not apart_b or a < b)").select("a", "b"))
+    rest = (apart.select("key", F.col("set_id").alias("a"), "label", "n").join(others, "key")
+            .where("label != label_b and (not apart_b or a < b)")
+            .where(F.least("n", "n_b") * 100 >= F.greatest("n", "n_b") * percent).select("a", "b"))
     rest = rest.union(apart.select(F.col("first").alias("a"), F.col("set_id").alias("b")))
     more = linked(fitting(rest), "apart")
     if not more.isEmpty():
