@@ -69,5 +69,5 @@ def label(code: Column, labels: dict) -> Column:
 
 
 def code_text(code: Column) -> Column:
-    """A numeric code as text without a decimal part."""
-    return code.cast("int").cast("string")
+    """A numeric code as text without a decimal part; a code of any length keeps its digits."""
+    return code.try_cast("bigint").cast("string")

@@ -1,17 +1,25 @@
 """Relevance of texts to a list of phrases: hits, tier, ordered report, dated snapshots."""
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vitalcells import fixed_values as V
 
 
+def whole_words(phrase: str) -> str:
+    """Pattern of a phrase with no letter before or after it."""
+    return rf"(^|[^\p{{L}}]){re.escape(phrase.lower())}($|[^\p{{L}}])"
+
+
 def with_hits(rows: DataFrame, text: str, phrases: tuple[str, ...] | list[str]) -> DataFrame:
-    """Add the phrases each text contains, ignoring case, and their number.
+    """Add the phrases each text contains as whole words, ignoring case, and their number.
 
     The whole text is searched. It is lowered once, in its own step.
     """
-    found = F.array(*[F.when(F.col("_lowered").contains(p.lower()), F.lit(p)) for p in phrases])
+    found = F.array(*[F.when(F.col("_lowered").contains(p.lower())
+                             & F.col("_lowered").rlike(whole_words(p)), F.lit(p)) for p in phrases])
     return (rows.withColumn("_lowered", F.lower(text)).withColumn("_found", found)
             .withColumn("achados", F.array_compact("_found"))
             .withColumn("n_achados", F.size("achados")).drop("_lowered", "_found"))

@@ -244,14 +244,14 @@ SIZE_CONDITIONS = {
     "mesprenat_subsample": "in_sens and MESPRENAT between 1 and 9",
     "sem_ultimo_ano_primaria": "in_primary and ANO < 2001", "sem_ultimo_ano_sensib": "in_sens and ANO < 2001",
     "ultimo_ano_contribuicao": "in_primary and ANO = 2001",
-    **{f"{uf}_M{m}_n": f"{flag} and UF = '{uf}'" for uf in FOCUS_LABELS[:2]
+    **{f"{uf}_M{m}_n": f"{flag} and UF = '{uf}'" for uf in FOCUS_LABELS
        for m, flag in ((5, "in_primary"), (8, "in_sens"))}}
 
 
 @query("e19_sample_sizes", " union all ".join(
     f"select '{name}' as amostra, count(*) as n from focus where {cond}" for name, cond in SIZE_CONDITIONS.items()))
 def _(w):
-    return D.sample_sizes(w.focus, S.YEARS[1], w.focus_states[:2])
+    return D.sample_sizes(w.focus, S.YEARS[1], w.focus_states)
 
 
 @query("e20_cells", """

@@ -11,15 +11,16 @@ from vitalcells.plans import relevance as R
 from vitalcells.registry.base import Workspace, query
 from vitalcells.storage import exists, spread
 
-PHRASES = (*V.KEYWORDS, "license", "the area", "tion the", "the re", "email", "password", "entre la")
+PHRASES = (*V.KEYWORDS, "license", "token", "rights reserved", "in the", "of the", "de la", "ist der")
 CENTRAL_HITS = 2
 
-PHRASE_LIST = ", ".join(f"'{p}'" for p in PHRASES)
+PHRASE_LIST = ", ".join(
+    f"case when regexp_matches(low, '{R.whole_words(p)}') then '{p}' end" for p in PHRASES)
 SCORED_SQL = f"""
 with scored as (
-  select doc_id, source, lang, n_chars, list_filter([{PHRASE_LIST}], lambda p: contains(lower(text), lower(p))) as achados,
+  select doc_id, source, lang, n_chars, list_filter([{PHRASE_LIST}], lambda x: x is not null) as achados,
     lang = 'en' as elegivel, n_chars < 5000 as prazo
-  from documents),
+  from (select *, lower(text) as low from documents)),
 tiers as (select *, len(achados) as n_achados, case when len(achados) >= 2 and elegivel and prazo then 'Alta'
     when len(achados) >= 1 and (elegivel or prazo) then 'Média' else 'Baixa' end as aderencia from scored)"""
 
