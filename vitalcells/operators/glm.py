@@ -216,7 +216,9 @@ def _estimate(data: DataFrame, model: Model, terms):
         try:
             *slopes, intercept = fitted.summary.coefficientStandardErrors
             errors = [intercept, *slopes]
-        except Exception:  # the solver gives no errors for a singular design
+        except Exception as error:  # the solver gives no errors for a singular design
+            if "Std. Error" not in str(error):
+                raise
             errors = [math.inf] * len(terms)
     finally:
         inputs.unpersist()
