@@ -16,8 +16,13 @@ own sizes bound their difference more closely than the band does; pairs that mee
 that asks for are not read.
 
 Sets in a bucket are not paired with each other: each is compared with the one of the bucket that
-stands in most buckets (of slightly changed copies, the original), and after components are known only
-those still apart from it are compared with the others.
+stands in most buckets (of slightly changed copies, the original). After components are known, sets still
+apart from that centre may be linked with other members. Parities are linear, so the symmetric difference
+of two members is that of their own differences from the centre. A set that the centre is not linked with
+differs from it by so much that a partner must share about half of the partner's difference. Two sets
+that share t values have one in common among all but the last t - 1 of each, in any common order. With
+values the centre lacks first, slightly changed copies, and texts that only share a passage with the
+centre, hardly meet there; pairs that do are verified.
 """
 
 from math import exp, sqrt
@@ -249,6 +254,44 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             .select("a", "b"))
 
 
+def _differences(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Per member of a centre's buckets: whether the two are linked though apart so far, the size of their
+    difference, and those of its values, the ones that the centre lacks first, by which it can meet
+    others. `indexed` is how many of them meet a set that the centre is not linked with."""
+    over, under = 100 + percent, 100 - percent
+    centre = sets.select(F.col("set_id").alias("first"), F.col("shingles").alias("of_first"))
+    both = (members.join(sets.select("set_id", "shingles"), "set_id").join(centre, "first")
+            .withColumn("added", F.array_except("shingles", "of_first"))
+            .withColumn("removed", F.array_except("of_first", "shingles"))
+            .withColumn("n_first", F.size("of_first")).withColumn("differ", F.size("added") + F.size("removed")))
+    linked = F.col("apart") & (F.col("differ") * over <= (F.col("n") + F.col("n_first")) * under)
+    # Linked sets differ by no more than this, so all but as many of a difference are shared.
+    most = F.floor(F.col("n") * under / percent) + 1
+    shared = F.ceil((F.col("differ") * over + (F.col("n_first") - F.col("n")) * under + 1) / (2 * over))
+    return (both.withColumn("linked", linked).withColumn("probes", F.col("apart") & ~F.col("linked"))
+            .withColumn("indexed", F.least(F.col("differ") - shared + 1, most).cast("int"))
+            .withColumn("length", F.when(F.col("probes"), F.least(F.col("differ"), most)).otherwise(F.col("indexed")))
+            .select("first", "set_id", "n", "label", "differ", "linked", "probes", "indexed",
+                    F.slice(F.concat("added", "removed"), F.lit(1), F.col("length").cast("int")).alias("values")))
+
+
+def _meeting(differences: DataFrame, percent: int) -> DataFrame:
+    """Distinct pairs (a, b) with a common value in their differences from a centre, one of them apart
+    from it, whose sizes and distances from the centre allow a link."""
+    over, under = 100 + percent, 100 - percent
+    values = differences.select("*", F.posexplode("values").alias("place", "value")).drop("values")
+    a = (values.where("probes")
+         .select("first", "value", *[F.col(x).alias(y) for x, y in
+                                     zip(("set_id", "n", "label", "differ"), ("a", "n_a", "label_a", "differ_a"))]))
+    b = (values.where("place < indexed")
+         .select("first", "value", *[F.col(x).alias(y) for x, y in
+                                     zip(("set_id", "n", "label", "differ"), ("b", "n_b", "label_b", "differ_b"))]))
+    met = (a.join(b, ["first", "value"]).where("label_a != label_b")
+           .where(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
+           .where(F.abs(F.col("differ_a") - F.col("differ_b")) * over <= (F.col("n_a") + F.col("n_b")) * under))
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"),
                        F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_id"), "text")
@@ -323,27 +366,27 @@ def _components(docs: DataFrame, words: int, percent: int) -> DataFrame:
                 .where(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
                 .where(F.col("shared") >= F.greatest(F.lit(1), sure)).select("a", "b"))
 
-    def linked(pairs: DataFrame, name: str) -> DataFrame:
-        """Pairs whose sets, read again from a text that has each, reach the threshold."""
-        pairs = scratch.write(pairs, name)
-        ids = pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct()
+    def read_again(ids: DataFrame) -> DataFrame:
+        """Shingles and parity of sets, from a text that has each."""
         holders = (sizes.join(ids, "set_id")
                    .select("set_id", F.col("holder.doc").alias("doc"), F.col("holder.text_id").alias("text_id")))
         held = (texts.select(F.coalesce("doc_id", F.lit(LAST)).alias("doc"), "text_id", "text")
                 .join(small(scratch.write(holders, "holders"), MOST_BROADCAST), ["doc", "text_id"])
                 .select("set_id", "text"))
-        sets = scratch.write(
+        return scratch.write(
             held.mapInArrow(shingle_rows(words),
                             "set_id long, shingles array<long>, parity array<long>")
             .groupBy("set_id").agg(F.first("shingles").alias("shingles"),
                                    F.first("parity").alias("parity")), "shingles")
-        return scratch.write(_verified(pairs, sets, percent), "linked")
 
     # Not all buckets of a pair are seen here, so a link may wait for the second round.
-    near = linked(fitting(links.select(F.col("first").alias("a"), F.col("set_id").alias("b"))), "to-first")
+    pairs = scratch.write(
+        fitting(links.select(F.col("first").alias("a"), F.col("set_id").alias("b"))), "to-first")
+    sets = read_again(pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct())
+    near = scratch.write(_verified(pairs, sets, percent), "linked")
     labels = components(near, scratch)
 
-    # Pairs of a bucket that are still apart: with its first set, and with each other.
+    # Members of buckets in which a set is still apart from the centre, once per centre.
     label = F.coalesce("component", "set_id")
     heads = labels.select(F.col("node").alias("first"), F.col("component").alias("first_label"))
     labelled = scratch.write(
@@ -351,15 +394,16 @@ def _components(docs: DataFrame, words: int, percent: int) -> DataFrame:
         .select("key", "first", "set_id", "n", label.alias("label")).join(heads, "first", "left")
         .select("key", "first", "set_id", "n", "label",
                 (F.col("label") != F.coalesce("first_label", "first")).alias("apart")), "labelled")
-    apart = labelled.where("apart")
-    others = labelled.select("key", F.col("set_id").alias("b"), F.col("label").alias("label_b"),
-                             F.col("apart").alias("apart_b"), F.col("n").alias("n_b"))
-    # Of two sets that are both apart from the first, only one order is made.
-    rest = (apart.select("key", F.col("set_id").alias("a"), "label", "n").join(others, "key")
-            .where("label != label_b and (not apart_b or a < b)")
-            .where(F.least("n", "n_b") * 100 >= F.greatest("n", "n_b") * percent).select("a", "b"))
-    rest = rest.union(apart.select(F.col("first").alias("a"), F.col("set_id").alias("b")))
-    more = linked(fitting(rest), "apart")
+    open_keys = labelled.groupBy("key").agg(F.max("apart").alias("any")).where("any").select("key")
+    members = scratch.write(
+        labelled.join(open_keys, "key", "left_semi").groupBy("first", "set_id")
+        .agg(F.first("n").alias("n"), F.first("label").alias("label"), F.first("apart").alias("apart")),
+        "members")
+    sets = read_again(members.select(F.explode(F.array("first", "set_id")).alias("set_id")).distinct())
+    differences = scratch.write(_differences(members, sets, percent), "differences")
+    direct = differences.where("linked").select(F.col("first").alias("a"), F.col("set_id").alias("b"))
+    others = scratch.write(_meeting(differences, percent), "meeting")
+    more = scratch.write(_verified(others, sets, percent).union(direct), "linked")
     if not more.isEmpty():
         labels = components(near.union(more), scratch)
 
