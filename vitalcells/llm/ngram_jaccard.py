@@ -254,6 +254,22 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             .select("a", "b"))
 
 
+def _better_centres(members: DataFrame, links: DataFrame, sizes: DataFrame) -> DataFrame:
+    """For centres (first) that are like one with more members, that one (centre).
+
+    A changed copy that is a bucket's centre lacks values that all others have. Any set may serve as the
+    centre of a group, so this only decides how few pairs meet.
+    """
+    weight = members.groupBy("first").agg(F.count("*").alias("weight"))
+    own = weight.select(F.col("first").alias("set_id"), F.col("weight").alias("own"))
+    like = (links.groupBy("first", "set_id").agg(F.count("*").alias("shared"))
+            .join(own, "set_id").join(sizes.select("set_id", "degree"), "set_id")
+            .where(F.col("shared") * 4 >= F.col("degree")))
+    return (like.join(weight, "first").where("weight > own").groupBy("set_id")
+            .agg(F.max(F.struct("weight", "first")).alias("c"))
+            .select(F.col("set_id").alias("first"), F.col("c.first").alias("centre")))
+
+
 def _differences(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Per member of a centre's buckets: whether the two are linked though apart so far, the size of their
     difference, and those of its values, the ones that the centre lacks first, by which it can meet
@@ -397,7 +413,17 @@ def _components(docs: DataFrame, words: int, percent: int) -> DataFrame:
     open_keys = labelled.groupBy("key").agg(F.max("apart").alias("any")).where("any").select("key")
     members = scratch.write(
         labelled.join(open_keys, "key", "left_semi").groupBy("first", "set_id")
-        .agg(F.first("n").alias("n"), F.first("label").alias("label"), F.first("apart").alias("apart")),
+        .agg(F.first("n").alias("n"), F.first("label").alias("label")), "members")
+    centres = scratch.write(_better_centres(members, links, sizes), "centres")
+    label_of = labels.select(F.col("node").alias("set_id"), F.col("component").alias("label"))
+    moved = (centres.select(F.col("centre").alias("first"), F.col("first").alias("set_id"))
+             .join(sizes.select("set_id", "n"), "set_id").join(label_of, "set_id", "left")
+             .select("first", "set_id", "n", F.coalesce("label", "set_id").alias("label")))
+    members = scratch.write(
+        members.join(centres, "first", "left").withColumn("first", F.coalesce("centre", "first"))
+        .select("first", "set_id", "n", "label").union(moved).where("first != set_id").distinct()
+        .join(heads, "first", "left")
+        .withColumn("apart", F.col("label") != F.coalesce("first_label", "first")).drop("first_label"),
         "members")
     sets = read_again(members.select(F.explode(F.array("first", "set_id")).alias("set_id")).distinct())
     differences = scratch.write(_differences(members, sets, percent), "differences")
