@@ -301,8 +301,10 @@ def _meeting(differences: DataFrame, percent: int) -> DataFrame:
                                      zip(("set_id", "n", "label", "differ"), ("a", "n_a", "label_a", "differ_a"))]))
     b = (values.where("place < indexed")
          .select("first", "value", *[F.col(x).alias(y) for x, y in
-                                     zip(("set_id", "n", "label", "differ"), ("b", "n_b", "label_b", "differ_b"))]))
-    met = (a.join(b, ["first", "value"]).where("label_a != label_b")
+                                     zip(("set_id", "n", "label", "differ", "probes"),
+                                         ("b", "n_b", "label_b", "differ_b", "probes_b"))]))
+    # Two sets that both look for others meet in either direction; one is enough.
+    met = (a.join(b, ["first", "value"]).where("label_a != label_b and (not probes_b or a < b)")
            .where(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
            .where(F.abs(F.col("differ_a") - F.col("differ_b")) * over <= (F.col("n_a") + F.col("n_b")) * under))
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
