@@ -129,6 +129,21 @@ def test_unused_level_makes_no_column(spark):
     assert [t for t in fit.terms] == [(), (("raca", "Parda"),), (("a", "y"),)]
 
 
+def test_aliased_covariate_leaves_the_exposure_as_it_is(run, rows):
+    cells = run.cells.withColumn("again", F.concat(F.lit("x"), "idade_cat"))
+    plain = G.fit(cells, G.Model("m", ("raca", "idade_cat")), robust=True)
+    twice = G.fit(cells, G.Model("m", ("raca", "idade_cat", "again")), robust=True)
+    assert twice.terms == plain.terms and twice.aic == pytest.approx(plain.aic, rel=1e-9)
+    for se in ("model", "hc0"):
+        for one, other in zip(G.effects(plain, se), G.effects(twice, se)):
+            assert one[4:8] == pytest.approx(other[4:8], rel=1e-7)
+
+
+def test_independent_columns_keep_the_first_named():
+    x = np.array([[1, 1, 1, 0], [1, 0, 0, 1], [1, 1, 1, 2], [1, 0, 0, 5.0]])
+    assert G.independent(x.T @ x, [0, 2]) == [0, 2, 3]
+
+
 def test_separated_level_has_no_estimate(spark):
     cells = spark.createDataFrame(
         [("Branca", "x", 10, 30, True), ("Parda", "x", 0, 30, True), ("Preta", "x", 15, 30, True)], CELLS)

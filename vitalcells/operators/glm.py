@@ -25,8 +25,9 @@ LEVEL_ORDER = {
 }
 EXPOSURE = "raca"
 Z95 = 1.959963984540054
-# Estimates beyond this standard error mean a separated or aliased design.
-MAX_SE = 100.0
+MOST_ROUNDS = 60
+# Share of a column that the columns before it must leave unexplained.
+RANK_TOLERANCE = 1e-9
 CELLS_PER_TASK = 20_000
 
 
@@ -58,6 +59,8 @@ class Fit:
     loglik: float
     margins: tuple[tuple[str, str, float], ...]
     standard_errors: dict[str, dict[Term, float]] = field(default_factory=dict)
+    # Exposure levels in which the outcome is always or never present.
+    separated: frozenset[str] = frozenset()
 
     @property
     def aic(self) -> float:
@@ -122,6 +125,32 @@ def _estimable_products(f, f_levels, g, g_levels, pairs: set) -> list[Term]:
     return kept
 
 
+def independent(gram: np.ndarray, first: list[int]) -> list[int]:
+    """Columns that are not sums of columns taken before them, given all cross products.
+
+    Columns in `first` are taken first, the others in their order, so that an aliased covariate is
+    left out and the exposure stays.
+    """
+    kept: list[int] = []
+    for i in [*first, *(j for j in range(len(gram)) if j not in first)]:
+        own = gram[i, i]
+        if kept and own > 0:
+            cross = gram[kept, i]
+            own -= cross @ np.linalg.solve(gram[np.ix_(kept, kept)], cross)
+        if own > RANK_TOLERANCE * gram[i, i]:
+            kept.append(i)
+    return sorted(kept)
+
+
+def _full_rank(data: DataFrame, model: Model, terms: tuple[Term, ...]) -> tuple[Term, ...]:
+    """Terms without those that are aliased by others; dummies of one factor never are."""
+    if len(model.keys) == 1:
+        return terms
+    first = [i for i, t in enumerate(terms) if not t or (len(t) == 1 and t[0][0] == EXPOSURE)]
+    kept = independent(_information(data, model, terms, F.lit(0.5)), first)
+    return tuple(terms[i] for i in kept)
+
+
 def _is(name: str, level: str, fixed: dict[str, str]) -> str:
     """SQL test of a factor's level. Models have many terms, so they are written as SQL text."""
     value = _text(fixed[name]) if name in fixed else f"`{name}`"
@@ -182,18 +211,24 @@ def fit(cells: DataFrame, model: Model, robust: bool = False, towns: DataFrame |
             return Fit(model, (), (), 0, math.nan, ())
         # Small cell tables run in few tasks; the number of tasks grows with the cells.
         compact = data.coalesce(max(1, math.ceil(size / CELLS_PER_TASK)))
-        coefficients, model_se = _estimate(compact, model, terms)
+        terms = _full_rank(compact, model, terms)
+        coefficients, converged = _estimate(compact, model, terms)
         mu = mean(predictor(terms, coefficients), model.family)
-        n, loglik, margins = _margins(compact, model, mu)
-        errors = {"model": dict(zip(terms, model_se))}
+        n, loglik, margins, separated = _margins(compact, model, mu)
+        if not (converged or separated):  # a separated level's coefficient grows without end
+            raise ArithmeticError(f"{model.name}: no convergence in {MOST_ROUNDS} rounds")
+        # A level without successes has hardly any information; its row is not used.
+        inverse = np.linalg.pinv(_information(compact, model, terms, mu), rcond=1e-14, hermitian=True)
+        errors = {"model": {t: math.sqrt(max(inverse[i, i], 0.0)) for i, t in enumerate(terms)}}
         if robust or towns is not None:
-            influence = _influence(compact, model, terms, mu)
+            influence = _influence(inverse, terms)
             if robust:
                 errors["hc0"] = _hc0(compact, terms, mu, influence)
             if towns is not None:
                 split = collapse(towns, *model.keys, "CODMUNRES")
                 errors["cluster"] = _cluster(split, terms, mu, influence, n, correction_n)
-        return Fit(model, terms, tuple(coefficients), n, loglik, margins, errors)
+        return Fit(model, terms, tuple(coefficients), n, loglik, margins, errors,
+                   frozenset(level for factor, level in separated if factor == EXPOSURE))
     finally:
         data.unpersist()
 
@@ -202,7 +237,7 @@ def _estimate(data: DataFrame, model: Model, terms):
     names = [f"x{i}" for i in range(1, len(terms))]
     inputs = data.select("succ", "n", *[term_value(t).alias(x) for t, x in zip(terms[1:], names)])
     inputs = VectorAssembler(inputCols=names, outputCol="features").transform(inputs)
-    common = dict(labelCol="y", featuresCol="features", tol=1e-10, maxIter=60)
+    common = dict(labelCol="y", featuresCol="features", tol=1e-10, maxIter=MOST_ROUNDS)
     if model.family == "binomial":
         inputs = inputs.selectExpr("succ / n as y", "cast(n as double) as w", "features")
         glm = GeneralizedLinearRegression(family="binomial", link="logit", weightCol="w", **common)
@@ -213,20 +248,15 @@ def _estimate(data: DataFrame, model: Model, terms):
     try:
         fitted = glm.fit(inputs)
         coefficients = [fitted.intercept, *fitted.coefficients]
-        try:
-            *slopes, intercept = fitted.summary.coefficientStandardErrors
-            errors = [intercept, *slopes]
-        except Exception as error:  # the solver gives no errors for a singular design
-            if "Std. Error" not in str(error):
-                raise
-            errors = [math.inf] * len(terms)
+        converged = fitted.summary.numIterations < MOST_ROUNDS
     finally:
         inputs.unpersist()
-    return coefficients, errors
+    return coefficients, converged
 
 
 def _margins(data: DataFrame, model: Model, mu: Column):
-    """Rows, log-likelihood and fitted totals per level (and number-weighted totals), in one pass."""
+    """Rows, log-likelihood, fitted totals per level (and number-weighted totals) and the
+    (factor, level) pairs without a success or a failure, in one pass."""
     s, n = F.col("succ"), F.col("n")
     if model.family == "binomial":
         loglik = (F.when(s > 0, s * F.log("mu")).otherwise(0)
@@ -243,11 +273,18 @@ def _margins(data: DataFrame, model: Model, mu: Column):
     entries += [entry(x, F.lit("sum"), F.col(x) * fitted) for x in model.linear]
     entries += [entry(f"{f}:{g}", F.concat_ws(":", f, g), fitted) for f, g in model.interactions]
     entries += [entry("*", F.lit("loglik"), loglik), entry("*", F.lit("n"), n)]
+    levels = {**{f: F.col(f) for f in model.factors},
+              **{f"{f}:{g}": F.concat_ws(":", f, g) for f, g in model.interactions}}
+    entries += [entry(f"{kind}{f}", level, value) for f, level in levels.items()
+                for kind, value in (("*succ ", s), ("*fail ", n - s))]
     rows = (data.withColumn("mu", mu).select(F.inline(F.array(*entries)))
             .groupBy("factor", "level").agg(F.sum("value").alias("value")).collect())
     totals = {r.level: r.value for r in rows if r.factor == "*"}
-    margins = tuple((r.factor, r.level, r.value) for r in rows if r.factor != "*")
-    return int(totals["n"]), totals["loglik"], margins
+    margins = tuple((r.factor, r.level, r.value) for r in rows if not r.factor.startswith("*"))
+    # A rate of 1 is an ordinary value for the log link.
+    bad = ("*succ ", "*fail ") if model.family == "binomial" else ("*succ ",)
+    separated = {(r.factor[6:], r.level) for r in rows if r.factor.startswith(bad) and r.value == 0}
+    return int(totals["n"]), totals["loglik"], margins, separated
 
 
 def _information(data: DataFrame, model: Model, terms, mu: Column) -> np.ndarray:
@@ -278,12 +315,8 @@ def _information(data: DataFrame, model: Model, terms, mu: Column) -> np.ndarray
     return out
 
 
-def _influence(data, model, terms, mu) -> dict[Term, np.ndarray]:
+def _influence(inverse: np.ndarray, terms) -> dict[Term, np.ndarray]:
     """Rows of the inverse information for the exposure terms."""
-    information = _information(data, model, terms, mu)
-    if np.linalg.matrix_rank(information) < len(terms):
-        return {}
-    inverse = np.linalg.inv(information)
     return {t: inverse[i] for i, t in enumerate(terms)
             if len(t) == 1 and t[0][0] == EXPOSURE}
 
@@ -327,7 +360,7 @@ def effects(result: Fit, se_type: str = "model", name: str | None = None) -> lis
         b, se = result.coefficient(term), result.standard_errors.get(se_type, {}).get(term)
         if b is None:
             continue
-        if se is None or not se < MAX_SE:
+        if se is None or level in result.separated or V.RACE_REFERENCE in result.separated:
             numbers = (None, None, None, None)
         else:
             numbers = (math.exp(b), math.exp(b - Z95 * se), math.exp(b + Z95 * se),
