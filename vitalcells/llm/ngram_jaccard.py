@@ -293,20 +293,25 @@ def _differences(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame
 
 def _meeting(differences: DataFrame, percent: int) -> DataFrame:
     """Distinct pairs (a, b) with a common value in their differences from a centre, one of them apart
-    from it, whose sizes and distances from the centre allow a link."""
+    from it, whose sizes allow a link, and also the places of the value: at the first value that two
+    differences share, the values before it are in one of them only, and of the rest at least as many
+    as one is longer."""
     over, under = 100 + percent, 100 - percent
     values = differences.select("*", F.posexplode("values").alias("place", "value")).drop("values")
     a = (values.where("probes")
          .select("first", "value", *[F.col(x).alias(y) for x, y in
-                                     zip(("set_id", "n", "label", "differ"), ("a", "n_a", "label_a", "differ_a"))]))
+                                     zip(("set_id", "n", "label", "differ", "place"),
+                                         ("a", "n_a", "label_a", "differ_a", "place_a"))]))
     b = (values.where("place < indexed")
          .select("first", "value", *[F.col(x).alias(y) for x, y in
-                                     zip(("set_id", "n", "label", "differ", "probes"),
-                                         ("b", "n_b", "label_b", "differ_b", "probes_b"))]))
+                                     zip(("set_id", "n", "label", "differ", "place", "probes"),
+                                         ("b", "n_b", "label_b", "differ_b", "place_b", "probes_b"))]))
+    before = F.col("place_a") + F.col("place_b")
+    rest = F.abs((F.col("differ_a") - F.col("place_a")) - (F.col("differ_b") - F.col("place_b")))
     # Two sets that both look for others meet in either direction; one is enough.
     met = (a.join(b, ["first", "value"]).where("label_a != label_b and (not probes_b or a < b)")
            .where(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
-           .where(F.abs(F.col("differ_a") - F.col("differ_b")) * over <= (F.col("n_a") + F.col("n_b")) * under))
+           .where((before + rest) * over <= (F.col("n_a") + F.col("n_b")) * under))
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
