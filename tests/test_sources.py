@@ -74,6 +74,24 @@ def test_absent_column_has_a_status_row(spark, files):
     assert rows[2023, "MESPRENAT"].n_ign == 1
 
 
+def test_absent_column_has_no_profile(spark, files):
+    opened = Y.open_years(spark, files)
+    present = Y.schema_rows(spark, opened).select("ano", F.col("coluna").alias("variavel"))
+    scan = Y.scan_years(opened, V.PROFILED).withColumn("GESTACAO", F.lit(None).cast("string"))
+    assert P.code_distribution(P.with_column(scan, present, "GESTACAO"), "GESTACAO", {}).count() == 0
+    kept = P.with_column(scan, present, "GRAVIDEZ")
+    assert P.code_distribution(kept, "GRAVIDEZ", {}).select("ano").distinct().count() == 2
+
+
+def test_schema_rows_carry_counts_of_values(spark, files):
+    opened = Y.open_years(spark, files)
+    filled = Y.with_filled(Y.schema_rows(spark, opened), opened)
+    rows = {(r.ano, r.coluna): r.preenchidos for r in filled.collect()}
+    assert len(rows) == sum(len(f.columns) for f in opened.values())
+    for (year, column), n in rows.items():
+        assert n == opened[year].where(F.col(column).isNotNull()).count()
+
+
 def test_percentiles_are_nearest_rank(spark):
     scan = spark.createDataFrame([(2020, v) for v in ("10", "20", "30", "40", "", "x")], "ano int, v string")
     scan = scan.withColumn("v", F.nullif("v", F.lit("")))

@@ -44,14 +44,18 @@ select ano, coalesce(codigo, '(null)') as codigo, case when codigo is null then
   n, round(100.0 * n / sum(n) over (partition by ano), 6) as pct from d"""
 
 
+def of_years_with(w, column: str):
+    return P.with_column(w.profiled, w.schemas.select("ano", F.col("coluna").alias("variavel")), column)
+
+
 @query("e03_exposure_codes", distribution_sql("RACACORMAE", V.RACE_PROFILE))
 def _(w):
-    return rounded(P.code_distribution(w.profiled, "RACACORMAE", V.RACE_PROFILE))
+    return rounded(P.code_distribution(of_years_with(w, "RACACORMAE"), "RACACORMAE", V.RACE_PROFILE))
 
 
 @query("e04_plurality_codes", distribution_sql("GRAVIDEZ", V.PLURALITY_PROFILE))
 def _(w):
-    return rounded(P.code_distribution(w.profiled, "GRAVIDEZ", V.PLURALITY_PROFILE))
+    return rounded(P.code_distribution(of_years_with(w, "GRAVIDEZ"), "GRAVIDEZ", V.PLURALITY_PROFILE))
 
 
 @query("e05_weeks_range", """
@@ -66,7 +70,7 @@ select ano, min(v) as min, max(v) as max, any_value(p1) as p1, any_value(p50) as
   round(100.0 * (count(*) - count(v)) / count(*), 6) as pct_null
 from s join q using (ano) group by 1""")
 def _(w):
-    return rounded(P.number_range(w.profiled, "SEMAGESTAC", *V.WEEKS_VALID))
+    return rounded(P.number_range(of_years_with(w, "SEMAGESTAC"), "SEMAGESTAC", *V.WEEKS_VALID))
 
 
 @query("e06_state_year_counts", f"""

@@ -14,7 +14,7 @@ from vitalcells.operators import cohort as K
 from vitalcells.plans.studies import Run
 from vitalcells.sources import star_births as S
 from vitalcells.sources.yearly import (normalise, open_years, scan_years, schema_rows,
-                                       with_states)
+                                       with_filled, with_states)
 from vitalcells.storage import is_written, shared_folder, small, stored
 
 IDS = ("l_orderkey", "l_linenumber")
@@ -128,6 +128,11 @@ class Workspace:
         """One row per column of every yearly file."""
         return schema_rows(self.spark, self.files)
 
+    @cached_property
+    def filled(self) -> DataFrame:
+        """The schema rows with the values that each column has."""
+        return stored(self.spark, f"{self.root}/filled", lambda: with_filled(self.schemas, self.files))
+
     @cached_property
     def profiled(self) -> DataFrame:
         """Cleaned text of the profiled columns of every year."""

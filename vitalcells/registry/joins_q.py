@@ -37,6 +37,20 @@ def crude_sql(name: str, flag: str, source: str = "cohort") -> str:
   from {name}_g g, {name}_g b where b.raca = 'Branca' and g.raca <> 'Branca')"""
 
 
+def rounded_ratios(table):
+    values = ("nosso", "referencia", "delta")
+    return table.select(*[c for c in table.columns if c not in values],
+                        *[r6(F.col(c)).alias(c) for c in values])
+
+
+def national_ratios(w: Workspace, arm: str, names):
+    """Effects of the named national models under their short names."""
+    run = w.run(arm, True)
+    tasks = [t for t in run.national() if t.model.name in names]
+    rows = T.effect_table(w.spark, [(f, "model") for f in run.fit_all(tasks)])
+    return rows.withColumn("modelo", F.split("modelo", "_")[0])
+
+
 @query("d01_state_lookup", """
 select l_orderkey, l_linenumber, UF as uf, regiao from births""")
 def _(w):
@@ -60,7 +74,9 @@ select amostra, cast(nosso as double) as nosso, cast(referencia as double) as re
 def _(w):
     ours = D.sample_sizes(w.cohort, S.YEARS[1], [])
     theirs = D.sample_sizes(variant_cohort(w), S.YEARS[1], [])
-    ratio = theirs.limit(1).select(F.lit("OR_M8").alias("amostra"), "n")
+    run = w.run("variant", True)
+    ratio = R.focal_rows(T.effect_table(w.spark, [(run.fit(run.ladder()[-1]), "model")])).select(
+        F.lit("OR_M8").alias("amostra"), F.col("estimativa").alias("n"))
     return R.sample_sizes(ours, theirs.unionByName(ratio))
 
 
@@ -79,6 +95,14 @@ def _(w):
         r6(F.col(c)).alias(c) for c in ("nosso", "referencia", "delta")])
 
 
+@query("d03_ratio_by_model_ladder")
+def _(w):
+    """Focal odds ratios of all eight models, ours beside the variant's."""
+    tables = [T.effect_table(w.spark, [(f, "model") for f in run.fit_all(run.ladder())])
+              for run in (w.run("ESCMAE", True), w.run("variant", True))]
+    return rounded_ratios(R.ratios_by_model(*tables))
+
+
 @query("d04_odds_vs_prevalence_ratio", f"""
 with {crude_sql("a", "in_primary")}, {crude_sql("v", "in_primary_var")}
 select 'M1' as modelo, grupo, 'OR' as medida, round(exp(a.b), 6) as nosso, round(exp(v.b), 6) as referencia,
@@ -86,15 +110,15 @@ select 'M1' as modelo, grupo, 'OR' as medida, round(exp(a.b), 6) as nosso, round
 union all
 select 'M1', grupo, 'RR', round(exp(a.lrr), 6), null, null from a where grupo = 'Indigena'""")
 def _(w):
-    def table(arm, tags):
-        run = w.run(arm, True)
-        tasks = [t for t in run.national() if t.model.name in tags]
-        rows = T.effect_table(w.spark, [(f, "model") for f in run.fit_all(tasks)])
-        return rows.withColumn("modelo", F.split("modelo", "_")[0])
+    return rounded_ratios(R.ratios_by_measure(national_ratios(w, "ESCMAE", ("M1_logit", "M1_poisson_RR")),
+                                              national_ratios(w, "variant", ("M1_logit",))))
+
 
-    return R.ratios_by_measure(
-        table("ESCMAE", ("M1_logit", "M1_poisson_RR")), table("variant", ("M1_logit",))
-    ).select("modelo", "grupo", "medida", *[r6(F.col(c)).alias(c) for c in ("nosso", "referencia", "delta")])
+@query("d04_odds_vs_prevalence_ratio_models")
+def _(w):
+    """Odds and prevalence ratios of M1, M5 and M8, ours beside the variant's."""
+    names = [t.model.name for t in w.run("ESCMAE", True).national()]
+    return rounded_ratios(R.ratios_by_measure(*[national_ratios(w, arm, names) for arm in ("ESCMAE", "variant")]))
 
 
 @query("d05_adjusted_probability", """
@@ -110,6 +134,14 @@ def _(w):
         r6(F.col(c)).alias(c) for c in ("nosso", "referencia", "delta")])
 
 
+@query("d05_adjusted_probability_m5")
+def _(w):
+    """Probabilities standardised over the covariates of M5, ours beside the variant's."""
+    tables = [T.adjusted_probabilities(run, run.ladder()[4])
+              for run in (w.run("ESCMAE", True), w.run("variant", True))]
+    return rounded_ratios(R.probabilities(*tables))
+
+
 @query("d06_year_counts", """
 with o as (select ANO as ano, count(*) as n from cohort where in_primary group by 1),
 v as (select ANO as ano, count(*) as n from cohort where in_primary_var group by 1)
@@ -135,6 +167,30 @@ def _(w):
         *[r6(F.col(c)).alias(c) for c in ("razao", "razao_low", "razao_high")])
 
 
+@query("d07_ratio_beside_odds_ladder")
+def _(w):
+    """Odds ratios of all eight models with the prevalence ratios of M1, M5 and M8 beside them."""
+    run = w.run()
+    odds = T.effect_table(w.spark, [(f, "model") for f in run.fit_all(run.ladder())])
+    rates = T.effect_table(w.spark, [(f, "hc0") for f in run.fit_all(run.or_vs_rr()[1::2])])
+    return ratios_beside_odds(odds, rates).select(
+        "modelo", "grupo", r6(F.col("estimativa")).alias("odds"),
+        *[r6(F.col(c)).alias(c) for c in ("razao", "razao_low", "razao_high")])
+
+
+@query("d08_education_ratios")
+def _(w):
+    """Odds and prevalence ratios of M5 and M8 under both education variables."""
+    def table(arm, name):
+        run = w.run(arm)
+        logistic_and_rates = zip(run.fit_all(run.or_vs_rr()[2:]), ("model", "hc0") * 2)
+        return T.effect_table(w.spark, list(logistic_and_rates)).select(
+            F.split("modelo", "_")[0].alias("modelo"), "grupo", "medida",
+            *[r6(F.col(c)).alias(f"{name}_{c}") for c in ("estimativa", "ic_low", "ic_high")])
+
+    return table("ESCMAE", "escmae").join(table("ESCMAE2010", "escmae2010"), ["modelo", "grupo", "medida"])
+
+
 @query("d08_education_variants", """
 with o as (select raca as grupo, count(*) as n, 100 * avg(ptb) as p from cohort where in_primary group by 1),
 v as (select raca as grupo, count(*) as n, 100 * avg(ptb) as p from cohort where in_primary_2010 group by 1)
@@ -194,3 +250,14 @@ def _(w):
     fits = run.fit_all(run.variant()[:1])
     return R.published_ratios(T.effect_table(w.spark, [(f, "model") for f in fits])).select(
         "modelo", r6(F.col("estimativa")).alias("estimativa"), F.round("aic", 4).alias("aic"), "n", "publicado")
+
+
+@query("d12_published_ratios_models")
+def _(w):
+    """Focal odds ratios of all published models beside the published ones, with their parameters."""
+    run = w.run("variant", True)
+    fits = run.fit_all(run.variant())
+    params = w.spark.createDataFrame([(f.model.name, len(f.terms)) for f in fits], "modelo string, n_params int")
+    return R.published_ratios(T.effect_table(w.spark, [(f, "model") for f in fits])).join(params, "modelo").select(
+        "modelo", r6(F.col("estimativa")).alias("estimativa"), F.round("aic", 4).alias("aic"), "n", "n_params",
+        "publicado")

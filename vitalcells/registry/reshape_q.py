@@ -94,15 +94,18 @@ def _(w):
     return rounded(largest_states(D.prevalence(w.cohort, "UF", "regiao", "raca")))
 
 
-@query("f08_latest_file", """select 'build_20260627' as arquivo, count(*) as n_linhas from (
-  select distinct ordem from (select unnest(range(7)) as ordem) where (select count(*) from cohort) > 0)""")
+@query("f08_latest_file", f"with {CASCADE_SQL} select 'build_20260627' as arquivo, passo, n from steps")
 def _(w):
+    """Rows of the newest of two written cascades; the older one has the variant rules."""
     folder = f"{w.root}/latest"
-    for stamp in ("20260101", "20260627"):
+    for stamp, rules in (("20260101", "variant"), ("20260627", "ESCMAE")):
         if not is_written(w.spark, f"{folder}/build_{stamp}"):
-            cascade(w.cohort, w.rules["ESCMAE"]).select("passo").write.mode("overwrite").text(f"{folder}/build_{stamp}")
+            rows = cascade(w.cohort, w.rules[rules]).select(F.concat_ws(";", "passo", "n").alias("value"))
+            rows.write.mode("overwrite").text(f"{folder}/build_{stamp}")
     lines = S.read_lines(w.spark, folder).withColumn("file", F.regexp_extract("file", r"(build_\d+)", 1))
-    return S.newest(lines).groupBy(F.col("file").alias("arquivo")).agg(F.count("*").alias("n_linhas"))
+    cells = F.split("value", ";")
+    return S.newest(lines).select(F.col("file").alias("arquivo"), cells[0].alias("passo"),
+                                  cells[1].cast("bigint").alias("n"))
 
 
 WIDE_SQL = ", ".join(

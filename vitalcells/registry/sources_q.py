@@ -76,7 +76,14 @@ def _(w):
     return Y.inventory(w.spark, w.yearly_paths, w.files).select("ano", "tamanho_mb")
 
 
-SCHEMA_ROWS = """
+# The file of one year stores numbers, so text that is no number is null there.
+FILLED = " union all ".join([
+    *[f"select ANO_ARQUIVO as ano, '{c}' as coluna, count(*) as preenchidos from births_raw group by 1" for c in IDS],
+    *[f"select ANO_ARQUIVO, '{c}', count(case when ANO_ARQUIVO <> {NUMERIC_FILE_YEAR} "
+      f"or try_cast(nullif(trim({c}), '') as double) is not null then {c} end) from births_raw group by 1"
+      for c in S.RECORD_COLUMNS if c != "ANO_ARQUIVO"],
+    "select ANO_ARQUIVO, 'GESTACAO', count(nullif(SEMAGESTAC, '')) from births_raw group by 1"])
+SCHEMA_ROWS = f"""
 cols as (select unnest(['l_orderkey','l_linenumber','CODMUNRES','RACACORMAE','SEMAGESTAC','ESCMAE','ESCMAE2010',
    'IDADEMAE','DTNASC','CONSULTAS','QTDFILVIVO','ESTCIVMAE','GRAVIDEZ','MESPRENAT','GESTACAO']) as coluna,
    unnest(range(15)) as posicao),
@@ -84,30 +91,35 @@ sch as (select y.ano, c.coluna, c.posicao,
    case when c.coluna = 'l_orderkey' then 'bigint' when c.coluna = 'l_linenumber' then 'int'
         when y.ano = 2000 then 'double' else 'string' end as tipo
   from (select distinct ANO_ARQUIVO as ano from births_raw) y
-  join cols c on c.coluna <> 'GESTACAO' or y.ano >= 1998)"""
+  join cols c on c.coluna <> 'GESTACAO' or y.ano >= 1998),
+filled as ({FILLED}),
+full_sch as (select sch.*, f.preenchidos from sch join filled f using (ano, coluna))"""
 
 
 @query("a06_columns_not_in_all_years", f"""
 with {SCHEMA_ROWS}
-select coluna, count(*) as n_anos, string_agg(cast(ano as varchar), ',' order by ano) as anos
-from sch group by 1 having count(*) < (select count(distinct ano) from sch)""")
+select coluna, count(*) as n_anos, string_agg(cast(ano as varchar), ',' order by ano) as anos,
+  cast(sum(preenchidos) as bigint) as preenchidos
+from full_sch group by 1 having count(*) < (select count(distinct ano) from sch)""")
 def _(w):
-    return Y.columns_not_everywhere(w.schemas)
+    return Y.columns_not_everywhere(w.filled)
 
 
 @query("a07_type_drift", f"""
 with {SCHEMA_ROWS}
-select coluna, {", ".join(f"max(case when ano = {y} then tipo end) as ano_{y}" for y in range(1995, 2002))}
-from sch group by 1 having count(distinct tipo) > 1""")
+select coluna, {", ".join(f"max(case when ano = {y} then tipo end) as ano_{y}" for y in range(1995, 2002))},
+  cast(sum(preenchidos) as bigint) as preenchidos
+from full_sch group by 1 having count(distinct tipo) > 1 and count(*) = (select count(distinct ano) from sch)""")
 def _(w):
-    return Y.type_drift(w.schemas, list(w.files))
+    return Y.type_drift(w.filled, list(w.files))
 
 
 @query("a08_column_list", f"""
 with {SCHEMA_ROWS}
-select ano, count(*) as n_colunas, string_agg(coluna, ',' order by posicao) as colunas from sch group by 1""")
+select ano, count(*) as n_colunas, string_agg(coluna, ',' order by posicao) as colunas,
+  string_agg(cast(preenchidos as varchar), ',' order by posicao) as preenchidos from full_sch group by 1""")
 def _(w):
-    return Y.column_list(w.schemas)
+    return Y.column_list(w.filled)
 
 
 @query("a09_variable_dictionary", f"""
@@ -116,10 +128,10 @@ roles as (select unnest([{", ".join(f"'{r}'" for r, _ in V.ROLES)}, 'Perfil', 'P
   unnest([{", ".join(f"'{c}'" for _, c in V.ROLES)}, 'GESTACAO', 'CONSPRENAT']) as alvo)
 select papel, alvo, count(ano) as n_anos,
   case when count(ano) = 0 then 'ausente' when count(ano) = (select count(distinct ano) from sch) then 'todos'
-       else 'parcial' end as presenca
-from roles left join sch on coluna = alvo group by 1, 2""")
+       else 'parcial' end as presenca, cast(coalesce(sum(preenchidos), 0) as bigint) as preenchidos
+from roles left join full_sch on coluna = alvo group by 1, 2""")
 def _(w):
-    return Y.variable_dictionary(w.spark, w.schemas)
+    return Y.variable_dictionary(w.spark, w.filled)
 
 
 PREVALENCE_SQL = """

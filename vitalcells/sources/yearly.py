@@ -85,6 +85,17 @@ def schema_rows(spark: SparkSession, files: dict[int, DataFrame]) -> DataFrame:
     return spark.createDataFrame(rows, "ano int, posicao int, coluna string, tipo string")
 
 
+def with_filled(schemas: DataFrame, files: dict[int, DataFrame]) -> DataFrame:
+    """Schema rows with the number of values that are not null (preenchidos), counted in one pass per file."""
+    def one(year, file):
+        counts = file.agg(*[F.count(c).alias(c) for c in file.columns])
+        return counts.select(F.lit(year).alias("ano"), F.inline(F.array(*[
+            F.struct(F.lit(c).alias("coluna"), F.col(c).alias("preenchidos")) for c in file.columns])))
+
+    filled = reduce(DataFrame.unionByName, [one(*item) for item in files.items()])
+    return schemas.join(filled, ["ano", "coluna"])
+
+
 def inventory(spark: SparkSession, expected: dict[int, str],
               files: dict[int, DataFrame]) -> DataFrame:
     """Expected years with rows, columns and size; absent files are flagged.
@@ -108,36 +119,47 @@ def _year_count(schemas: DataFrame) -> int:
     return schemas.select("ano").distinct().count()
 
 
+def _values(schemas: DataFrame) -> list[Column]:
+    """The values in all years, where the schema rows carry counts."""
+    return [F.sum("preenchidos").alias("preenchidos")] if "preenchidos" in schemas.columns else []
+
+
 def columns_not_everywhere(schemas: DataFrame) -> DataFrame:
-    """Columns that some years lack, with the years that have them."""
+    """Columns that some years lack, with the years that have them and their values in all."""
     years = F.array_sort(F.collect_set(F.col("ano").cast("string")))
     return (schemas.groupBy("coluna")
-            .agg(F.count_distinct("ano").alias("n_anos"), F.array_join(years, ",").alias("anos"))
+            .agg(F.count_distinct("ano").alias("n_anos"), F.array_join(years, ",").alias("anos"), *_values(schemas))
             .where(F.col("n_anos") < _year_count(schemas)))
 
 
 def type_drift(schemas: DataFrame, years: list[int]) -> DataFrame:
-    """Columns whose type changes between years, one type column per year."""
-    drifted = schemas.groupBy("coluna").agg(F.count_distinct("tipo").alias("k")).where("k > 1")
-    wide = (schemas.join(drifted, "coluna", "left_semi").groupBy("coluna")
-            .pivot("ano", years).agg(F.first("tipo")))
-    return wide.select("coluna", *[F.col(str(y)).alias(f"ano_{y}") for y in years])
+    """Columns of all years whose type changes between years: one type column per year, and the
+    values in all."""
+    types = [F.max(F.when(F.col("ano") == y, F.col("tipo"))).alias(f"ano_{y}") for y in years]
+    everywhere = F.count_distinct("ano") == len(years)
+    return (schemas.groupBy("coluna")
+            .agg(*types, *_values(schemas),
+                 ((F.count_distinct("tipo") > 1) & everywhere).alias("drifts"))
+            .where("drifts").drop("drifts"))
 
 
 def column_list(schemas: DataFrame) -> DataFrame:
-    ordered = F.array_sort(F.collect_list(F.struct("posicao", "coluna")))
+    """Columns of each year in file order, and as a list how many values each has."""
+    ordered = F.array_sort(F.collect_list(F.struct("posicao", "coluna", "preenchidos")))
     return schemas.groupBy("ano").agg(
         F.count("*").alias("n_colunas"),
-        F.array_join(F.transform(ordered, lambda e: e["coluna"]), ",").alias("colunas"))
+        F.array_join(F.transform(ordered, lambda e: e["coluna"]), ",").alias("colunas"),
+        F.array_join(F.transform(ordered, lambda e: e["preenchidos"].cast("string")), ",").alias("preenchidos"))
 
 
 def variable_dictionary(spark: SparkSession, schemas: DataFrame) -> DataFrame:
-    """Each study role with its column and whether all, some or no years have it."""
+    """Each study role with its column, whether all, some or no years have it, and its values in all."""
     roles = spark.createDataFrame(list(V.ROLES) + [("Perfil", c) for c in ("GESTACAO", "CONSPRENAT")],
                                   "papel string, alvo string")
-    seen = schemas.groupBy(F.col("coluna").alias("alvo")).agg(F.count_distinct("ano").alias("n"))
+    seen = schemas.groupBy(F.col("coluna").alias("alvo")).agg(
+        F.count_distinct("ano").alias("n"), F.sum("preenchidos").alias("preenchidos"))
     n = F.coalesce("n", F.lit(0))
     return roles.join(seen, "alvo", "left").select(
         "papel", "alvo", n.alias("n_anos"),
         F.when(n == 0, "ausente").when(n == _year_count(schemas), "todos").otherwise("parcial")
-        .alias("presenca"))
+        .alias("presenca"), F.coalesce("preenchidos", F.lit(0)).alias("preenchidos"))

@@ -1,12 +1,16 @@
 """Tables kept in the folder all executors share."""
 
 import tempfile
+import threading
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _local_roots: dict[str, str] = {}
+_path_locks: dict[str, threading.RLock] = {}
+_guard = threading.Lock()
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -61,8 +65,17 @@ def small(df: DataFrame, max_rows: int) -> DataFrame:
 def stored(spark: SparkSession, path: str, build: Callable[[], DataFrame]) -> DataFrame:
     """Write a table once and read it from then on.
 
-    A written table survives lost executors, and later readers prune its columns.
+    A written table survives lost executors, and later readers prune its columns. It is written under
+    a name of its own and then renamed, so nobody reads an unfinished one.
     """
-    if not is_written(spark, path):
-        build().write.mode("overwrite").parquet(path)
+    with _guard:
+        lock = _path_locks.setdefault(path, threading.RLock())
+    with lock:
+        if not is_written(spark, path):
+            system, target = _file_system(spark, path)
+            draft = f"{path}-{uuid.uuid4().hex[:8]}"
+            build().write.parquet(draft)
+            system.delete(target, True)
+            if not system.rename(_file_system(spark, draft)[1], target):
+                raise OSError(f"cannot rename {draft} to {path}")
     return spark.read.parquet(path)
