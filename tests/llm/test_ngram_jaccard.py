@@ -90,3 +90,33 @@ def test_empty_table_and_clashing_columns(documents):
     assert J.jaccard_components(documents([]).limit(0)).count() == 0
     docs = documents([(1, "a b"), (2, "A  b")]).withColumn("key", F.lit(1)).withColumn("set_id", F.lit(2))
     assert [r.component_id for r in J.jaccard_components(docs).collect()] == [1, 1]
+
+
+def all_links(rows, size=5, percent=80):
+    sets = {frozenset(shingles(t, size)) for _, t in rows} - {frozenset()}
+    linked = {frozenset((a, b)) for a in sets for b in sets
+              if a != b and 100 * len(a & b) >= percent * len(a | b)}
+    counts = defaultdict(list)
+    for i, (d, t) in enumerate(rows):
+        own = frozenset(shingles(t, size))
+        others = [frozenset(shingles(u, size)) for j, (_, u) in enumerate(rows) if j != i]
+        counts[d].append(sum(1 for o in others if own and (o == own or frozenset((o, own)) in linked)))
+    return len(linked), {d: sorted(c) for d, c in counts.items()}
+
+
+@pytest.mark.parametrize("seed,cell", [(1, 128), (2, 2)])
+def test_join_has_every_link(documents, monkeypatch, seed, cell):
+    monkeypatch.setattr(J, "CELL", cell)
+    base = [f"c{i}" for i in range(150)]
+    near = [(3000 + i, " ".join([*base[:20 * i], f"new{i}", *base[20 * i + 1:]])) for i in range(6)]
+    rows = [*make(seed), *near, (3100, " ".join(base)), (3100, " ".join(base)), (2000, None), (None, near[0][1])]
+    n, counts = all_links(rows)
+    assert n >= 21
+    links, members = J.jaccard_join(documents(rows))
+    got = [tuple(r) for r in links.collect()]
+    assert len(got) == len(set(got)) == n and all(a < b for a, b in got)
+    assert {x for pair in got for x in pair} <= {r.set_id for r in members.collect()}
+    found = defaultdict(list)
+    for r in J.jaccard_links(documents(rows)).collect():
+        found[r.doc_id].append(r.n_links)
+    assert {d: sorted(c) for d, c in found.items()} == counts

@@ -23,6 +23,10 @@ differs from it by so much that a partner must share about half of the partner's
 that share t values have one in common among all but the last t - 1 of each, in any common order. With
 values the centre lacks first, slightly changed copies, and texts that only share a passage with the
 centre, hardly meet there; pairs that do are verified.
+
+That gives components, not all links. The join itself pairs any two sets of a bucket that neither leaves
+and verifies all of them; a large bucket is dealt into cells of its square, so no key is one task's work.
+Its result grows with the square of a group of near copies, as there is a link for any two.
 """
 
 from math import exp, sqrt
@@ -47,6 +51,8 @@ FILTER_WORDS = 16
 SMALLEST = 4
 #: Rows of three numbers that may be broadcast; more are joined by a shuffle.
 MOST_BROADCAST = 200_000
+#: Sets of a bucket on one side of a cell, in which each is paired with each.
+CELL = 128
 _STEP = 0x9E3779B97F4A7C15
 
 SETS = "doc_id long, text_id long, n_shingles long, set_id long, sure int, spared int, keys array<long>"
@@ -315,6 +321,17 @@ def _meeting(differences: DataFrame, percent: int) -> DataFrame:
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def _all_meeting(kept: DataFrame) -> DataFrame:
+    """Any two sets (a, b) of a bucket, a < b, once per bucket that both keep."""
+    parts = (kept.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+             .select("key", F.ceil(F.col("size") / CELL).cast("int").alias("parts")))
+    dealt = kept.select("key", "set_id").join(parts, "key")
+    a = dealt.select("key", F.col("set_id").alias("a"), F.pmod(F.xxhash64("set_id"), "parts").cast("int").alias("part"))
+    b = dealt.select("key", F.col("set_id").alias("b"),
+                     F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    return a.join(b, ["key", "part"]).where("a < b").select("a", "b")
+
+
 def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"),
                        F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_id"), "text")
@@ -329,13 +346,36 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     part in links, and a component without any id has a null one. Further columns of the input are
     not read.
     """
-    return _components(docs, words, percent).select("doc_id", "n_shingles", "component_id", "set_id")
+    return _components(docs, words, percent)[0].select("doc_id", "n_shingles", "component_id", "set_id")
+
+
+def jaccard_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
+    """All links (set_a, set_b) of two different sets that reach the threshold, set_a < set_b, once each;
+    and the members of the sets (doc_id, text_id, n_shingles, set_id), a row per document. Documents of
+    one set are linked with each other as well."""
+    documents, links = _components(docs, words, percent, join=True)
+    return (links.select(F.col("a").alias("set_a"), F.col("b").alias("set_b")),
+            documents.where("set_id is not null").select("doc_id", "text_id", "n_shingles", "set_id"))
+
+
+def jaccard_links(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """jaccard_components(), and to how many other rows each row is linked (n_links)."""
+    documents, links = _components(docs, words, percent, join=True)
+    copies = documents.where("set_id is not null").groupBy("set_id").agg(F.count("*").alias("copies"))
+    ends = links.select("a", "b").union(links.select("b", "a")).toDF("set_id", "other")
+    others = (ends.join(copies.toDF("other", "there"), "other").groupBy("set_id")
+              .agg(F.sum("there").alias("there")))
+    counts = copies.join(others, "set_id", "left").select(
+        "set_id", (F.col("copies") - 1 + F.coalesce("there", F.lit(0))).alias("linked"))
+    return (documents.join(counts, "set_id", "left")
+            .select("doc_id", "n_shingles", "component_id", "set_id",
+                    F.coalesce("linked", F.lit(0)).cast("long").alias("n_links")))
 
 
 def representatives(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """One document of each component, with all its columns: the smallest doc_id, of repeated ids the
     one with the smallest hash of its text, of repeated rows one. Documents without words all stay."""
-    found = _components(docs, words, percent)
+    found, _ = _components(docs, words, percent)
     first = F.min(F.struct(F.coalesce("doc_id", F.lit(LAST)).alias("doc"), "text_id"))
     chosen = (found.where("label is not null").groupBy("label").agg(first.alias("r"))
               .select(F.col("r.doc").alias("r_doc"), F.col("r.text_id").alias("r_text")))
@@ -348,9 +388,10 @@ def representatives(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     return once.unionByName(own.where(~has_words)).select(*docs.columns)
 
 
-def _components(docs: DataFrame, words: int, percent: int) -> DataFrame:
+def _components(docs: DataFrame, words: int, percent: int,
+                join: bool = False) -> tuple[DataFrame, DataFrame | None]:
     """doc_id, text_id, n_shingles, set_id, label (of the component, null for empty sets) and
-    component_id of each document."""
+    component_id of each document; if asked, also all links (a, b) of different sets."""
     scratch = Scratch(docs.sparkSession, "jaccard")
     texts = _texts(docs)
     table = scratch.write(texts.mapInArrow(set_rows(words, percent), SETS), "sets")
@@ -444,7 +485,12 @@ def _components(docs: DataFrame, words: int, percent: int) -> DataFrame:
              .withColumn("label", F.coalesce("component", "set_id")))
     smallest = (named.where("label is not null").groupBy("label")
                 .agg(F.min("doc_id").alias("smallest")))
-    return (named.join(smallest, "label", "left")
-            .select("doc_id", "text_id", "n_shingles", "set_id", "label",
-                    F.when(F.col("set_id").isNull(), F.col("doc_id")).otherwise(F.col("smallest"))
-                    .alias("component_id")))
+    documents = (named.join(smallest, "label", "left")
+                 .select("doc_id", "text_id", "n_shingles", "set_id", "label",
+                         F.when(F.col("set_id").isNull(), F.col("doc_id")).otherwise(F.col("smallest"))
+                         .alias("component_id")))
+    if not join:
+        return documents, None
+    pairs = scratch.write(fitting(_all_meeting(kept)), "all-meeting")
+    sets = read_again(pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct())
+    return documents, scratch.write(_verified(pairs, sets, percent), "all-linked")

@@ -24,7 +24,7 @@ def query(function):
 
 @query
 def op1_ngram_jaccard_join(spark, folder):
-    return ngram_jaccard.jaccard_components(_table(spark, folder, "documents"))
+    return ngram_jaccard.jaccard_links(_table(spark, folder, "documents"))
 
 
 @query
