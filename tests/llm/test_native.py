@@ -132,6 +132,32 @@ def test_secrets(documents):
     assert S.report(S.scan(docs)).where("secret").count() == 43
 
 
+HEX = "3f9c1b7ae0d24c58a6b1"
+FORMS = [(f"run TOKEN={HEX} now", HEX), (f"set password={HEX} now", HEX), (f"get /a?token={HEX}&b=1 now", HEX),
+         (f"aws2_secret_access_key={HEX} now", HEX), (f"a {HEX}0=1&token={HEX}== now", f"{HEX}=="),
+         ('secret_access_key = "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY" x', "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY"),
+         ("use ghp_a1b2C3d4E5f6G7h8I9j0K1l2M3n4O5p6Q7r8 here", "ghp_a1b2C3d4E5f6G7h8I9j0K1l2M3n4O5p6Q7r8"),
+         (f"Authorization: Bearer {HEX} x", HEX), ('password = "hunter2" x', "hunter2"),
+         ("password: correcthorsebattery\nuser: me", "correcthorsebattery"),
+         ('secret_key="qwErtYuiOpasDfghJkLz" x', "qwErtYuiOpasDfghJkLz")]
+OTHERS = ["password = os.environ.get(1)", "the password: something that you know", f"commit {HEX} was made",
+          "author: Johannes Brahms", 'token = "example" x', "token: /usr/share/images1/index1.html x"]
+
+
+def test_forms_of_secrets(documents):
+    rows = [(i, text) for i, (text, _) in enumerate(FORMS)] + [(100 + i, t) for i, t in enumerate(OTHERS)]
+    found = defaultdict(set)
+    for r in S.features(S.candidates(documents(rows))).withColumn("label", S.rule_label()).collect():
+        if r.label:
+            found[r.doc_id].add(r.value)
+    assert found == {i: {value} for i, (_, value) in enumerate(FORMS)}
+    many = [(d + 1000 * k, t) for d, t in rows for k in range(20)]
+    secret = {r.doc_id for r in S.scan(documents(many)).where("secret").collect()}
+    assert secret == {i + 1000 * k for i in range(len(FORMS)) for k in range(20)}
+    assert {r.text for r in S.redacted(documents([(1, 'password="hunter" hunters x')])).collect()} == {
+        'password="[secret]" hunters x'}
+
+
 def test_secrets_without_candidates(documents):
     docs = documents([(1, "plain words"), (2, None)])
     assert S.scan(docs).count() == 0 and S.redacted(docs).count() == 2
