@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from vitalcells import fixed_values as V
 from vitalcells.functions.text import count_text, decimal_text, interval_text
 from vitalcells.operators import describe as D
-from vitalcells.operators.cohort import cascade
+from vitalcells.operators.cohort import cascade, inclusion_groups
 from vitalcells.operators.reshape import excluded_per_step, union_all
 from vitalcells.plans import reconcile as C
 from vitalcells.plans import reports as R
@@ -93,6 +93,14 @@ def _(w):
     ]))
 
 
+@query("i02_reconciliation_adjusted")
+def _(w):
+    """Adjusted probabilities of the primary model (M5), ours beside the variant cohort's. The rows of
+    i02_reconciliation are of the crude model, which has SQL."""
+    runs = [w.run("ESCMAE", True), w.run("variant", True)]
+    return rounded(C.probabilities(*[T.adjusted_probabilities(run, run.ladder()[4]) for run in runs]))
+
+
 @query("i02_reconciliation_models")
 def _(w):
     """Focal odds ratios of all models, ours beside the other education variable's."""
@@ -139,17 +147,40 @@ def _(w):
     return rounded(consolidated(w, odds))
 
 
-def consolidated(w, odds, extra=()):
-    """The numbers that need no model beyond the given odds ratios, plus any extra sections."""
+#: Samples of the report's first section.
+REPORTED_SAMPLES = ("primaria_M1-5", "sensibilidade_M6-8", "singletons_primaria", "singletons_sensib",
+                    "mesprenat_subsample")
+
+
+def exclusions(w):
+    """Included against excluded rows, and the range of missing exposure with its state and year."""
+    groups = D.included_vs_excluded(inclusion_groups(w.focus))
+    edges = R.extremes(rounded(exposure_grid(w)), "missing_pct")
+    shares = (("ptb_pct", 2), (f"raca_{V.RACE_FOCAL.lower()}_pct", 1), ("raca_outra_missing_pct", 1))
+    return [
+        R.numbers("incluidos_excluidos", groups, F.lit("n"), F.col("grupo"), F.col("n"), count_text(F.col("n"))),
+        *[R.numbers("incluidos_excluidos", groups, F.lit(name), F.col("grupo"), F.col(name),
+                    decimal_text(F.col(name), digits)) for name, digits in shares],
+        *[R.numbers("missing", edges, F.lit(f"raca_{name}"), F.concat_ws(" ", f"{at}_uf", f"{at}_ano"),
+                    F.col(name), decimal_text(F.col(name), 3))
+          for name, at in (("minimo", "min"), ("maximo", "max"))]]
+
+
+def consolidated(w, odds, extra=(), whole=False):
+    """The numbers that need no model beyond the given odds ratios, plus any extra sections. The short
+    form has one sample and one missing variable, as its SQL; the whole has those of the report."""
     blank = F.lit("")
-    sizes = D.sample_sizes(w.focus, S.YEARS[1], []).where("amostra = 'primaria_M1-5'")
+    sizes = D.sample_sizes(w.focus, S.YEARS[1], []).where(
+        F.col("amostra").isin(*REPORTED_SAMPLES) if whole else "amostra = 'primaria_M1-5'")
     steps = excluded_per_step(cascade(w.focus, w.rules["ESCMAE"]))
     groups = D.prevalence(w.focus, "raca")
     states = D.prevalence(w.focus, "UF", "raca")
     pct = F.col("ptb_pct")
     gap = groups.agg((F.max(F.when(F.col("raca") == V.RACE_FOCAL, pct))
                       - F.max(F.when(F.col("raca") == V.RACE_REFERENCE, pct))).alias("gap"))
-    missing = D.missing_by_group(w.focus).where("variavel = 'Idade gestacional' and grupo <> 'TOTAL'")
+    missing = D.missing_by_group(w.focus).where("grupo <> 'TOTAL'")
+    if not whole:
+        missing = missing.where("variavel = 'Idade gestacional'")
     by_state = rounded(exposure_grid(w)).groupBy("uf").agg(F.avg("missing_pct").alias("media"))
     estimate = F.concat(decimal_text(F.col("estimativa")), F.lit(" ("),
                         interval_text(F.col("ic_low"), F.col("ic_high")), F.lit(")"))
@@ -165,6 +196,7 @@ def consolidated(w, odds, extra=()):
                   decimal_text(F.col("missing_pct"), 2)),
         R.numbers("missing", by_state, F.lit("media_uf"), F.col("uf"), F.col("media"),
                   decimal_text(F.col("media"), 2)),
+        *(exclusions(w) if whole else ()),
         *extra]
     expected = w.spark.createDataFrame(list(EXPECTED), "secao string, metrica string")
     return R.consolidated(sections, expected)
@@ -172,7 +204,8 @@ def consolidated(w, odds, extra=()):
 
 @query("i03_consolidated_numbers_models")
 def _(w):
-    """All eleven sections, with every model of the ladder and the model-based studies."""
+    """The whole numbers: every model of the ladder, the model-based studies, all reported samples and
+    missing variables, and the exclusions."""
     odds, rates = odds_and_rates(w)
     run = w.run()
 
@@ -206,7 +239,7 @@ def _(w):
         R.numbers("escmae2010", other_odds, F.col("modelo"), F.col("grupo"), ratio,
                   decimal_text(ratio)),
     ]
-    return rounded(consolidated(w, odds, extra))
+    return rounded(consolidated(w, odds, extra, whole=True))
 
 
 @query("i04_forest_crude", f"""
