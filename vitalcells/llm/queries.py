@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from vitalcells.llm import (chat_format, decontamination, license_scan, line_crf, lm_scoring,
-                            mixing, ngram_jaccard, quality_rules, repeats, secret_scan)
+                            mixing, ngram_jaccard, quality_rules, repeats, secret_scan, sharding)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -84,6 +84,11 @@ def op10_line_crf_quality(spark, folder):
     return line_crf.score_documents(documents, _table(spark, folder, "labels"))
 
 
+@query
+def op11_sharding(spark, folder):
+    return sharding.shard_documents(_table(spark, folder, "documents"))
+
+
 QUERIES["pipeline"] = corpus_pipeline.run
 if corpus_pipeline.ORACLE_SQL is not None:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
