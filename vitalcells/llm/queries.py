@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from vitalcells.llm import (chat_format, decontamination, license_scan, line_crf, lm_scoring,
                             mixing, ngram_jaccard, periodic_runs, quality_rules, repeats, secret_scan,
-                            sharding)
+                            sharding, token_alignment)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -90,6 +90,11 @@ def op11_sharding(spark, folder):
     return sharding.shard_documents(_table(spark, folder, "documents"))
 
 
+@query
+def op12_token_alignment(spark, folder):
+    return token_alignment.align_documents(_table(spark, folder, "documents"))
+
+
 @query
 def op13_periodic_runs(spark, folder):
     return periodic_runs.run_digests(_table(spark, folder, "documents"))
