@@ -130,7 +130,7 @@ def test_unused_level_makes_no_column(spark):
 
 
 def test_aliased_covariate_leaves_the_exposure_as_it_is(run, rows):
-    cells = run.cells.withColumn("again", F.concat(F.lit("x"), "idade_cat"))
+    cells = run.cells.cells("primary", ("raca", "idade_cat")).withColumn("again", F.concat(F.lit("x"), "idade_cat"))
     plain = G.fit(cells, G.Model("m", ("raca", "idade_cat")), robust=True)
     twice = G.fit(cells, G.Model("m", ("raca", "idade_cat", "again")), robust=True)
     assert twice.terms == plain.terms and twice.aic == pytest.approx(plain.aic, rel=1e-9)
@@ -151,6 +151,110 @@ def test_separated_level_has_no_estimate(spark):
     assert rows["Parda"][4] is None and rows["Preta"][4] == pytest.approx(2.0)
 
 
+# Two binary covariates of which the combination n,n never and y,y always has the outcome: no level is
+# separated, their combination is.
+JOINT = [(r, a, b, s, n, True) for i, r in enumerate(("Branca", "Parda", "Preta", "Indigena"))
+         for a, b, s, n in (("n", "n", 0, 20 + i), ("y", "y", 15 + i, 15 + i), ("y", "n", 8 + 3 * i, 30 + i),
+                            ("n", "y", 14 - 2 * i, 29 + i))]
+JOINT_CELLS = "raca string, a string, b string, succ bigint, n bigint, singleton boolean"
+
+
+def singles(cells):
+    """Cells as single records with a town each."""
+    return [{"raca": r, "a": a, "b": b, "ptb": int(k < s), "CODMUNRES": f"{r}{k % 7}"}
+            for r, a, b, s, n, _ in cells for k in range(n)]
+
+
+def test_separated_combination_leaves_the_other_effects(spark):
+    model = G.Model("joint", ("raca", "a", "b"))
+    rest = [c for c in JOINT if c[1] != c[2]]
+    rows = spark.createDataFrame(singles(JOINT))
+    fit = G.fit(spark.createDataFrame(JOINT, JOINT_CELLS), model, robust=True, rows=rows)
+    terms = [(), *[(("raca", g),) for g in ("Parda", "Preta", "Indigena")], (("a", "y"),)]
+    beta, errors, aic = dense(singles(rest), G.Model("rest", ("raca", "a")), terms)
+    assert set(fit.status.values()) == {"ok"} and fit.n == sum(c[4] for c in JOINT)
+    for i, term in enumerate(terms[1:4], start=1):
+        assert fit.coefficient(term) == pytest.approx(beta[i], abs=1e-8)
+        for kind in ("model", "hc0"):
+            assert fit.standard_errors[kind][term] == pytest.approx(errors[kind][i], rel=1e-7)
+        assert fit.standard_errors["cluster"][term] > 0
+    assert fit.n_params == 6 and fit.aic == pytest.approx(aic - 2 * len(terms) + 2 * 6, abs=1e-6)
+    observed = {("a", "y"): 0, ("b", "y"): 0}
+    for _, a, b, s, _, _ in JOINT:
+        for key in (("a", a), ("b", b)):
+            observed[key] = observed.get(key, 0) + s
+    fitted = {(f, v): x for f, v, x in fit.margins}
+    for key, total in observed.items():
+        assert fitted[key] == pytest.approx(total, abs=1e-6)
+    assert len(G.effects(fit)) == 3 and all(row[-1] == "ok" and row[4] > 0 for row in G.effects(fit))
+
+
+def test_separated_level_beside_a_covariate(spark):
+    """One group without the outcome: its ratio has no number, the others are those without its rows."""
+    cells = [c if c[0] != "Preta" else (*c[:3], 0, *c[4:]) for c in JOINT if c[1] != c[2]]
+    model = G.Model("level", ("raca", "a"))
+    for family in ("binomial", "poisson"):
+        fit = G.fit(spark.createDataFrame(cells, JOINT_CELLS), G.Model("level", ("raca", "a"), family=family))
+        assert fit.status == {"Parda": "ok", "Preta": "separada", "Indigena": "ok"}
+        terms = [(), (("raca", "Parda"),), (("raca", "Indigena"),), (("a", "y"),)]
+        beta, errors, _ = dense(singles([c for c in cells if c[0] != "Preta"]),
+                                G.Model("rest", model.factors, family=family), terms)
+        rows = {r[1]: r for r in G.effects(fit)}
+        assert rows["Preta"][4:8] == (None,) * 4 and rows["Preta"][-1] == "separada"
+        for i, g in ((1, "Parda"), (2, "Indigena")):
+            assert rows[g][4] == pytest.approx(math.exp(beta[i]), rel=1e-7)
+        table = {r.grupo: r.p_ajustada_pct for r in G.standardised(spark.createDataFrame(cells, JOINT_CELLS), fit).collect()}
+        assert table["Preta"] == 0.0 and table["Branca"] > 0
+
+
+def test_separated_reference_separates_every_ratio(spark):
+    cells = [("Branca", "n", "n", 0, 9, True), ("Parda", "n", "n", 3, 9, True), ("Preta", "n", "n", 4, 9, True)]
+    fit = G.fit(spark.createDataFrame(cells, JOINT_CELLS), G.Model("m", ("raca",)))
+    assert fit.status == {"Parda": "separada", "Preta": "separada"}
+    everything = [("Branca", "n", "n", 0, 9, True), ("Parda", "n", "n", 9, 9, True)]
+    fit = G.fit(spark.createDataFrame(everything, JOINT_CELLS), G.Model("m", ("raca",)))
+    assert fit.separated == {"Parda"} and G.effects(fit)[0][4] is None
+
+
+def test_rare_outcome_is_not_separated(spark):
+    """Far predictors alone are no separation."""
+    cells = [("Branca", "n", "n", 1, 60_000_000, True), ("Parda", "n", "n", 2, 50_000_000, True)]
+    fit = G.fit(spark.createDataFrame(cells, JOINT_CELLS), G.Model("m", ("raca",)))
+    assert fit.status == {"Parda": "ok"}
+    assert G.effects(fit)[0][4] == pytest.approx(2 / (50_000_000 - 2) * (60_000_000 - 1), rel=1e-6)
+
+
+def test_random_sparse_cells_agree_with_a_long_dense_fit(spark):
+    """Sparse tables, some separated: finite effects equal a dense fit without the perfectly fitted rows."""
+    rng = np.random.default_rng(5)
+    seen = set()
+    for trial in range(6):
+        cells = [(g, a, b, int(rng.integers(0, n + 1)) if rng.random() < 0.35 else (n if rng.random() < 0.5 else 0), n, True)
+                 for g in ("Branca", "Parda", "Preta", "Indigena") for a in "xyz" for b in "uvw"
+                 for n in [int(rng.integers(1, 4))] if rng.random() < 0.7]
+        model = G.Model(f"sparse{trial}", ("raca", "a", "b"))
+        fit = G.fit(spark.createDataFrame(cells, JOINT_CELLS), model)
+        rows = singles(cells)
+        names = ["Parda", "Preta", "Indigena"]
+        x = np.array([[1.0, *[float(r["raca"] == g) for g in names], float(r["a"] == "y"), float(r["a"] == "z"),
+                       float(r["b"] == "v"), float(r["b"] == "w")] for r in rows])
+        y = np.array([r["ptb"] for r in rows], float)
+        beta = np.zeros(x.shape[1])
+        for _ in range(22):  # damped: an infinite coefficient walks away about one a step
+            mu = 1 / (1 + np.exp(-x @ beta))
+            v = np.maximum(mu * (1 - mu), 1e-12)
+            beta = beta + np.linalg.pinv((x * v[:, None]).T @ x, rcond=1e-13) @ (x.T @ (y - mu))
+        for i, g in enumerate(names, start=1):
+            if g not in fit.status:
+                continue
+            seen.add(fit.status[g])
+            if fit.status[g] == "ok":
+                assert fit.log_ratio(g) == pytest.approx(beta[i], abs=2e-4), (trial, g)
+            else:
+                assert abs(beta[i]) > 8, (trial, g)
+    assert "ok" in seen
+
+
 def test_empty_stratum_gives_no_rows(spark):
     cells = spark.createDataFrame([], CELLS)
     assert G.effects(G.fit(cells, G.Model("m", ("raca",)))) == []
@@ -170,8 +274,7 @@ def test_one_group_with_most_rows(spark):
         F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("t"), F.col("id") % 50)).alias("CODMUNRES"),
         F.when(F.col("id") % 10 < 8, "Branca").otherwise("Parda").alias("raca"),
         (F.col("id") % 7 == 0).cast("int").alias("ptb"))
-    fit = G.fit(collapse_rows(data, "raca"), G.Model("m", ("raca",)), robust=True,
-                towns=collapse_rows(data, "raca", "CODMUNRES"))
+    fit = G.fit(collapse_rows(data, "raca"), G.Model("m", ("raca",)), robust=True, rows=data)
     expected = [r.asDict() for r in data.collect()]
     beta, errors, _ = dense(expected, fit.model, fit.terms)
     np.testing.assert_allclose(fit.coefficients, beta, atol=1e-9)

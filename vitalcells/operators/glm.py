@@ -1,16 +1,20 @@
 """Logistic and Poisson models on cells, with model, HC0 and cluster covariances.
 
 Cells stay on the executors. The driver sees level lists, coefficients and k x k sums, whose
-size depends on the model and not on the data.
+size depends on the model and not on the data. A fit takes one aggregation of all factor pairs
+before Spark's own solver and one after it: the first gives the levels that occur, the rank of the
+design and whether outcomes can be told apart by it, the second the likelihood, the fitted totals,
+the information and the HC0 sums.
 """
 
 import math
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
+from itertools import combinations
 
 import numpy as np
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GeneralizedLinearRegression
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vitalcells import fixed_values as V
@@ -25,10 +29,16 @@ LEVEL_ORDER = {
 }
 EXPOSURE = "raca"
 Z95 = 1.959963984540054
-MOST_ROUNDS = 60
+MOST_ROUNDS = 30
+#: A column with more values is no factor.
+MOST_LEVELS = 2000
 # Share of a column that the columns before it must leave unexplained.
 RANK_TOLERANCE = 1e-9
 CELLS_PER_TASK = 20_000
+# A linear predictor beyond this is on its way to infinity if the outcomes can be told apart.
+FAR = 15.0
+MOST_RECTIFIED = 500
+OK, SEPARATED = "ok", "separada"
 
 
 @dataclass(frozen=True)
@@ -50,21 +60,169 @@ class Model:
 Term = tuple[tuple[str, str | None], ...]
 
 
+def order_levels(factor: str, present: set[str]) -> list[str]:
+    """Declared order first, anything else by text."""
+    declared = LEVEL_ORDER.get(factor, ())
+    return [v for v in declared if v in present] + sorted(present - set(declared))
+
+
+def levels_of(cells: DataFrame, factors: tuple[str, ...]) -> dict[str, tuple[str, ...]]:
+    """Values of each factor, in order."""
+    entries = [F.struct(F.lit(f).alias("f"), F.col(f).alias("v")) for f in factors]
+    rows = (cells.select(F.inline(F.array(*entries))).where("v is not null").distinct()
+            .limit(len(factors) * MOST_LEVELS + 1).collect())
+    out: dict[str, set] = {f: set() for f in factors}
+    for row in rows:
+        out[row.f].add(row.v)
+    for f, values in out.items():
+        if len(values) > MOST_LEVELS:
+            raise ValueError(f"{f} has more than {MOST_LEVELS} values")
+    return {f: tuple(order_levels(f, values)) for f, values in out.items()}
+
+
+def _text(level: str) -> str:
+    return "'" + level.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+class Coding:
+    """Levels as numbers: every factor column becomes its level's place, so that all later work looks
+    weights up by number. `kinds` are the blocks of the design: the constant, factors, numbers and
+    products of factors, each with its places in the table of cross sums."""
+
+    def __init__(self, model: Model, levels: dict[str, tuple[str, ...]]):
+        self.model = model
+        self.levels = {f: levels[f] for f in model.factors}
+        self.kinds: list[tuple[str, ...]] = [(), *[(f,) for f in model.factors],
+                                             *[(x,) for x in model.linear], *model.interactions]
+        self.sizes = [math.prod(len(self.levels[c]) for c in kind if c in self.levels) for kind in self.kinds]
+        self.first = np.concatenate([[0], np.cumsum(self.sizes)]).tolist()
+        self.total = self.first[-1]
+        self._place = {kind: i for i, kind in enumerate(self.kinds)}
+
+    def apply(self, rows: DataFrame, *keep: str) -> DataFrame:
+        """Numbered levels beside the columns to keep; rows with an unknown key are left out."""
+        numbered = []
+        for f in self.model.factors:
+            pairs = ", ".join(f"{_text(v)}, {i}" for i, v in enumerate(self.levels[f]))
+            numbered.append(f"try_element_at(map({pairs}), `{f}`) as `{f}`" if pairs
+                            else f"cast(null as int) as `{f}`")
+        numbers = [f"cast(`{x}` as double) as `{x}`" for x in self.model.linear]
+        return rows.selectExpr(*numbered, *numbers, *keep).na.drop(subset=list(self.model.keys))
+
+    def place(self, kind: tuple[str, ...], fixed: dict[str, int] | None = None) -> str:
+        """SQL of a row's place within a kind."""
+        parts, scale = [], 1
+        for c in reversed([c for c in kind if c in self.levels]):
+            parts.append(f"{scale} * {(fixed or {}).get(c, f'`{c}`')}")
+            scale *= len(self.levels[c])
+        return " + ".join(parts) or "0"
+
+    def value(self, kind: tuple[str, ...]) -> str:
+        return " * ".join(f"`{c}`" for c in kind if c not in self.levels) or "1D"
+
+    def code(self, term: Term) -> int:
+        """Place of a term in the table of cross sums."""
+        kind = tuple(c for c, _ in term)
+        at = 0
+        for c, level in term:
+            if level is not None:
+                at = at * len(self.levels[c]) + self.levels[c].index(level)
+        return self.first[self._place[kind]] + at
+
+    def predictor(self, terms, weights, fixed: dict[str, str] | None = None) -> str:
+        """SQL of the sum of weight x term on numbered rows; `fixed` sets factors to a level."""
+        places = {f: self.levels[f].index(v) for f, v in (fixed or {}).items()}
+        of_kind: dict[tuple, np.ndarray] = {}
+        for term, weight in zip(terms, weights):
+            kind = tuple(c for c, _ in term)
+            block = self._place[kind]
+            table = of_kind.setdefault(kind, np.zeros(self.sizes[block]))
+            table[self.code(term) - self.first[block]] = weight
+        parts = []
+        for kind, table in of_kind.items():
+            numbers = [f"{float(w)!r}D" for w in table]
+            weight = numbers[0] if len(numbers) == 1 and not any(c in self.levels for c in kind) else \
+                f"get(array({', '.join(numbers)}), {self.place(kind, places)})"
+            value = self.value(kind)
+            parts.append(weight if value == "1D" else f"{weight} * {value}")
+        return " + ".join(parts) or "0D"
+
+    def cross_sums(self, data: DataFrame, measures: dict[str, str],
+                   most: str = "0D") -> tuple[dict[str, np.ndarray], float]:
+        """Sums of measure x column x column over all pairs of columns of the design, in one pass, and
+        the largest value of `most`.
+
+        A cell is one entry per pair of kinds (not per pair of columns): the places of its two levels.
+        """
+        cells = range(len(self.kinds))
+        pairs = [(0, 0), *[(0, j) for j in cells[1:]], *combinations(cells[1:], 2),
+                 *[(j, j) for j in cells if self.value(self.kinds[j]) != "1D"]]
+        entries = ", ".join(
+            f"struct(({self.first[i]} + {self.place(self.kinds[i])}) * {self.total}L"
+            f" + {self.first[j]} + {self.place(self.kinds[j])} as k,"
+            f" {self.value(self.kinds[i])} * {self.value(self.kinds[j])} as v)" for i, j in pairs)
+        names = [f"m{i}" for i in range(len(measures))]
+        rows = (data.selectExpr(*[f"cast({sql} as double) as {n}" for n, sql in zip(names, measures.values())],
+                                f"{most} as most", f"inline(array({entries}))")
+                .groupBy("k").agg(F.max("most").alias("most"),
+                                  *[F.sum(F.col(n) * F.col("v")).alias(n) for n in names]).collect())
+        out = {m: np.zeros((self.total, self.total)) for m in measures}
+        for row in rows:
+            i, j = divmod(row.k, self.total)
+            for n, table in zip(names, out.values()):
+                table[i, j] = table[j, i] = row[n]
+        for block, kind in enumerate(self.kinds):
+            if self.value(kind) == "1D":  # of the levels of a factor only one is 1
+                at = np.arange(self.first[block], self.first[block + 1])
+                for table in out.values():
+                    table[at, at] = table[0, at]
+        return out, max((row.most for row in rows), default=0.0)
+
+    def of_terms(self, table: np.ndarray, terms) -> np.ndarray:
+        codes = [self.code(t) for t in terms]
+        return table[np.ix_(codes, codes)]
+
+    def present(self, cells: np.ndarray) -> dict[str, set]:
+        """Levels and level pairs that some cell has, given the numbers of cells."""
+        out: dict[str, set] = {}
+        for block, kind in enumerate(self.kinds):
+            if not kind or kind[0] not in self.levels:
+                continue
+            found = [i for i in range(self.sizes[block]) if cells[0, self.first[block] + i] > 0]
+            if len(kind) == 1:
+                out[kind[0]] = {self.levels[kind[0]][i] for i in found}
+            else:
+                f, g = kind
+                width = len(self.levels[g])
+                out[f"{f}:{g}"] = {(self.levels[f][i // width], self.levels[g][i % width]) for i in found}
+        return out
+
+
 @dataclass(frozen=True)
 class Fit:
     model: Model
+    # Terms with a coefficient: the others are aliased, or infinite and set aside.
     terms: tuple[Term, ...]
     coefficients: tuple[float, ...]
     n: int
     loglik: float
     margins: tuple[tuple[str, str, float], ...]
     standard_errors: dict[str, dict[Term, float]] = field(default_factory=dict)
-    # Exposure levels in which the outcome is always or never present.
-    separated: frozenset[str] = frozenset()
+    # Per exposure level beyond the reference: ok, or separated (its ratio is zero or infinite).
+    status: dict[str, str] = field(default_factory=dict)
+    # Parameters of the design, infinite ones included.
+    n_params: int = 0
+    # Directions in which the predictor grows without end, strongest first, with their terms.
+    directions: tuple[tuple[tuple[Term, ...], tuple[float, ...]], ...] = ()
+    coding: Coding | None = None
 
     @property
     def aic(self) -> float:
-        return -2 * self.loglik + 2 * len(self.terms)
+        return -2 * self.loglik + 2 * self.n_params
+
+    @property
+    def separated(self) -> frozenset[str]:
+        return frozenset(level for level, status in self.status.items() if status == SEPARATED)
 
     def coefficient(self, term: Term) -> float | None:
         return dict(zip(self.terms, self.coefficients)).get(term)
@@ -72,26 +230,19 @@ class Fit:
     def log_ratio(self, level: str) -> float | None:
         return self.coefficient(((EXPOSURE, level),))
 
+    def mean(self, fixed: dict[str, str] | None = None) -> str:
+        """SQL of the fitted mean on numbered rows; where the predictor has no end, its limit."""
+        eta = self.coding.predictor(self.terms, self.coefficients, fixed)
+        sql = f"1D / (1D + exp(-({eta})))" if self.model.family == "binomial" else f"exp({eta})"
+        top = "1D" if self.model.family == "binomial" else "cast(null as double)"
+        for terms, weights in reversed(self.directions):
+            along = self.coding.predictor(terms, weights, fixed)
+            sql = f"case when {along} > {ALONG} then {top} when {along} < -{ALONG} then 0D else {sql} end"
+        return sql
 
-def order_levels(factor: str, present: set[str]) -> list[str]:
-    """Declared order first, anything else by text."""
-    declared = LEVEL_ORDER.get(factor, ())
-    return [v for v in declared if v in present] + sorted(present - set(declared))
-
-
-def present_levels(cells: DataFrame, model: Model) -> tuple[dict[str, set], int]:
-    """Levels that occur, per factor, level pairs that occur, per interaction, and the cell count."""
-    none = F.lit(None).cast("string")
-    entries = [F.struct(F.lit(f).alias("f"), F.col(f).alias("a"), none.alias("b"))
-               for f in model.factors]
-    entries += [F.struct(F.lit(f"{f}:{g}").alias("f"), F.col(f).alias("a"), F.col(g).alias("b"))
-                for f, g in model.interactions]
-    rows = (cells.select(F.inline(F.array(*entries))).groupBy("f", "a", "b")
-            .agg(F.count("*").alias("k")).collect())
-    out: dict[str, set] = {}
-    for row in rows:
-        out.setdefault(row.f, set()).add(row.a if row.b is None else (row.a, row.b))
-    return out, sum(row.k for row in rows if row.f == model.factors[0])
+    def finite(self) -> str:
+        """SQL test of the numbered rows whose predictor has an end."""
+        return " and ".join(["true", *[f"abs({self.coding.predictor(*d)}) <= {ALONG}" for d in self.directions]])
 
 
 def design(model: Model, present: dict[str, set]) -> tuple[Term, ...]:
@@ -142,103 +293,144 @@ def independent(gram: np.ndarray, first: list[int]) -> list[int]:
     return sorted(kept)
 
 
-def _full_rank(data: DataFrame, model: Model, terms: tuple[Term, ...]) -> tuple[Term, ...]:
-    """Terms without those that are aliased by others; dummies of one factor never are."""
-    if len(model.keys) == 1:
-        return terms
-    first = [i for i, t in enumerate(terms) if not t or (len(t) == 1 and t[0][0] == EXPOSURE)]
-    kept = independent(_information(data, model, terms, F.lit(0.5)), first)
-    return tuple(terms[i] for i in kept)
+def _exposure_first(terms) -> list[int]:
+    return [i for i, t in enumerate(terms) if not t or (len(t) == 1 and t[0][0] == EXPOSURE)]
 
 
-def _is(name: str, level: str, fixed: dict[str, str]) -> str:
-    """SQL test of a factor's level. Models have many terms, so they are written as SQL text."""
-    value = _text(fixed[name]) if name in fixed else f"`{name}`"
-    return f"{value} = {_text(level)}"
+def _full_rank(gram: np.ndarray, terms: tuple[Term, ...]) -> tuple[Term, ...]:
+    return tuple(terms[i] for i in independent(gram, _exposure_first(terms)))
 
 
-def _text(level: str) -> str:
-    return "'" + level.replace("\\", "\\\\").replace("'", "\\'") + "'"
+def null_space(gram: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    """Directions (columns) in which the cross products vanish, measured against `scale`."""
+    root = 1 / np.sqrt(scale)
+    values, vectors = np.linalg.eigh(gram * root[:, None] * root[None, :])
+    return vectors[:, values < RANK_TOLERANCE] * root[:, None]
 
 
-def term_value(term: Term) -> Column:
-    return F.expr(" * ".join(
-        f"cast(`{name}` as double)" if level is None
-        else f"if({_is(name, level, {})}, 1D, 0D)" for name, level in term))
+# Separation.
 
+# A predictor along a direction counts as zero below this; directions are scaled to a largest of 1.
+ALONG = 1e-4
+#: SQL of the side a cell's outcomes pull the predictor to; null where they hold it in place.
+SIDE = {"binomial": "case when succ = n then 1D when succ = 0 then -1D end",
+        "poisson": "case when succ = 0 then -1D end"}
 
-def predictor(terms, weights, fixed: dict[str, str] | None = None) -> Column:
-    """Sum of weight x term: one lookup per factor, one CASE per product of factors.
 
-    `fixed` sets factors to a level for all rows.
-    """
-    fixed = fixed or {}
-    lookups: dict[str, list[str]] = {}
-    cases: dict[tuple, list[str]] = {}
-    parts = []
-    for term, weight in zip(terms, weights):
-        number = f"({float(weight)!r}D)"
-        if not term:
-            parts.append(number)
-            continue
-        name, level = term[0]
-        if level is None:
-            parts.append(f"{number} * cast(`{name}` as double)")
-        elif len(term) == 1:
-            lookups.setdefault(name, []).append(f"{_text(level)}, {number}")
-        else:
-            test = " and ".join(_is(n, v, fixed) for n, v in term)
-            cases.setdefault(tuple(n for n, _ in term), []).append(f"when {test} then {number}")
-    for name, entries in lookups.items():
-        key = _text(fixed[name]) if name in fixed else f"`{name}`"
-        parts.append(f"coalesce(try_element_at(map({', '.join(entries)}), {key}), 0D)")
-    parts += [f"case {' '.join(whens)} else 0D end" for whens in cases.values()]
-    return F.expr(" + ".join(parts))
+def separating_direction(data: DataFrame, coding: Coding, terms, cells: np.ndarray,
+                         held: np.ndarray) -> np.ndarray | None:
+    """Weights along which the predictor can grow without lowering the likelihood, or None.
 
+    Cells with both outcomes hold the predictor in place, which leaves the null space of their cross
+    products. In it the iterative rectifier looks for a direction that no other cell opposes: the
+    cells' wish to move is projected on the design, what is negative of it set to zero, and so on. The
+    cells enter as their distinct projections; the sums of a round have the size of the null space.
+    """
+    whole, fixed = coding.of_terms(cells, terms), coding.of_terms(held, terms)
+    basis = null_space(fixed, np.diag(whole))
+    if not basis.shape[1]:
+        return None
+    names = [f"z{j}" for j in range(basis.shape[1])]
+    side = SIDE[coding.model.family]
+    points = (data.selectExpr(f"{side} as side", *[f"{coding.predictor(terms, b)} as {z}" for z, b in zip(names, basis.T)])
+              .where("side is not null")
+              .selectExpr(*[f"round(side * {z}, 9) + 0D as {z}" for z in names])
+              .where(" or ".join(f"abs({z}) > 1e-7" for z in names))
+              .groupBy(*names).agg(F.count("*").alias("w")).persist())
+    try:
+        inner = np.linalg.pinv(basis.T @ (whole - fixed) @ basis, hermitian=True)
+        along, weights = "1D", None
+        for _ in range(MOST_RECTIFIED):
+            low, high, *wish = points.selectExpr("w", *names, f"{along} as a").agg(
+                F.min("a"), F.max("a"), *[F.sum(F.expr(f"w * greatest(a, 0D) * {z}")) for z in names]).first()
+            if high is None or high < 1e-3:
+                return None
+            if weights is not None and low > -1e-5 * high:
+                return basis @ weights / high
+            weights = inner @ np.array(wish)
+            along = " + ".join(f"({z} * {w!r}D)" for z, w in zip(names, weights.tolist()))
+        return None
+    finally:
+        points.unpersist()
 
-def mean(eta: Column, family: str) -> Column:
-    return 1 / (1 + F.exp(-eta)) if family == "binomial" else F.exp(eta)
 
+def fit(cells: DataFrame, model: Model, robust: bool = False, rows: DataFrame | None = None,
+        correction_n: str = "rows", levels: dict[str, tuple[str, ...]] | None = None) -> Fit:
+    """Fit a model on cells; `rows` are the single records (ptb, CODMUNRES) behind them, for cluster
+    errors; `levels` lists at least all levels that occur, where the caller has them.
 
-def fit(cells: DataFrame, model: Model, robust: bool = False, towns: DataFrame | None = None,
-        correction_n: str = "rows") -> Fit:
-    """Fit a model on cells; `towns` holds the same rows split by CODMUNRES for cluster errors."""
-    data = collapse(cells, *model.keys).persist()
+    Where some outcomes can be told apart by the design, their cells fit perfectly in the limit and say
+    nothing of the rest: they are set aside, what becomes infinite is reported as separated, and the
+    other effects are those of the remaining cells.
+    """
+    data = collapse(cells, *model.keys)
+    coding = Coding(model, levels or levels_of(data, model.factors))
+    data = coding.apply(data, "succ", "n").persist()
     try:
-        present, size = present_levels(data, model)
-        terms = design(model, present)
-        if len(terms) < 2:  # no rows, or nothing varies
-            return Fit(model, (), (), 0, math.nan, ())
-        # Small cell tables run in few tasks; the number of tasks grows with the cells.
-        compact = data.coalesce(max(1, math.ceil(size / CELLS_PER_TASK)))
-        terms = _full_rank(compact, model, terms)
-        coefficients, converged = _estimate(compact, model, terms)
-        mu = mean(predictor(terms, coefficients), model.family)
-        n, loglik, margins, separated = _margins(compact, model, mu)
-        if not (converged or separated):  # a separated level's coefficient grows without end
-            raise ArithmeticError(f"{model.name}: no convergence in {MOST_ROUNDS} rounds")
-        # A level without successes has hardly any information; its row is not used.
-        inverse = np.linalg.pinv(_information(compact, model, terms, mu), rcond=1e-14, hermitian=True)
-        errors = {"model": {t: math.sqrt(max(inverse[i, i], 0.0)) for i, t in enumerate(terms)}}
-        if robust or towns is not None:
-            influence = _influence(inverse, terms)
-            if robust:
-                errors["hc0"] = _hc0(compact, terms, mu, influence)
-            if towns is not None:
-                split = collapse(towns, *model.keys, "CODMUNRES")
-                errors["cluster"] = _cluster(split, terms, mu, influence, n, correction_n)
-        return Fit(model, terms, tuple(coefficients), n, loglik, margins, errors,
-                   frozenset(level for factor, level in separated if factor == EXPOSURE))
+        return _fit(data, coding, robust, rows, correction_n)
     finally:
         data.unpersist()
 
 
-def _estimate(data: DataFrame, model: Model, terms):
+def _fit(data: DataFrame, coding: Coding, robust: bool, rows: DataFrame | None, correction_n: str) -> Fit:
+    model = coding.model
+    held = "succ > 0 and succ < n" if model.family == "binomial" else "succ > 0"
+    before, _ = coding.cross_sums(data, {"cells": "1", "held": f"if({held}, 1, 0)"})
+    whole = design(model, coding.present(before["cells"]))
+    if len(whole) < 2:  # no rows, or nothing varies
+        return Fit(model, (), (), 0, math.nan, ())
+    whole = _full_rank(coding.of_terms(before["cells"], whole), whole)
+    result = Fit(model, whole, (), 0, math.nan, (), n_params=len(whole), coding=coding,
+                 status={t[0][1]: OK for t in whole if len(t) == 1 and t[0][0] == EXPOSURE})
+    # Small cell tables run in few tasks; the number of tasks grows with the cells.
+    left = data = data.coalesce(max(1, math.ceil(before["cells"][0, 0] / CELLS_PER_TASK)))
+    while True:
+        coefficients, converged = _estimate(left, coding, result.terms)
+        result = replace(result, coefficients=tuple(coefficients))
+        after, far = _after(data, result)
+        along = None
+        if not converged or far > FAR:
+            along = separating_direction(left, coding, result.terms, before["cells"], before["held"])
+        if along is None:
+            if not converged:
+                raise ArithmeticError(f"{model.name}: no convergence in {MOST_ROUNDS} rounds")
+            break
+        path = coding.predictor(result.terms, along)
+        left = left.where(f"abs({path}) <= {ALONG}")
+        result = replace(result, directions=(*result.directions, (result.terms, tuple(along.tolist()))))
+        before, _ = coding.cross_sums(left, {"cells": "1", "held": f"if({held}, 1, 0)"})
+        rest = coding.of_terms(before["cells"], whole)
+        if rest[0, 0] == 0:  # every cell fits perfectly
+            return replace(result, terms=(), coefficients=(), status={v: SEPARATED for v in result.status})
+        result = replace(result, terms=_full_rank(rest, whole), status=_status(rest, whole))
+    totals = after["fitted"]
+    inverse = np.linalg.inv(coding.of_terms(after["information"], result.terms))
+    errors = {"model": {t: math.sqrt(max(inverse[i, i], 0.0)) for i, t in enumerate(result.terms)}}
+    exposure = {t: inverse[i] for i, t in enumerate(result.terms) if len(t) == 1 and t[0][0] == EXPOSURE}
+    if robust:
+        meat = coding.of_terms(after["hc0"], result.terms)
+        errors["hc0"] = {t: math.sqrt(w @ meat @ w) for t, w in exposure.items()}
+    n = int(after["n"][0, 0])
+    if rows is not None:
+        errors["cluster"] = _cluster(coding.apply(rows, "ptb", "CODMUNRES"), result, exposure, n, correction_n)
+    return replace(result, n=n, loglik=float(after["loglik"][0, 0]), margins=_margins(coding, totals, after["n"]),
+                   standard_errors=errors)
+
+
+def _status(gram: np.ndarray, terms) -> dict[str, str]:
+    """Which exposure effects the remaining cells still hold."""
+    loose = np.abs(null_space(gram, np.where(np.diag(gram) > 0, np.diag(gram), 1.0))).max(axis=1, initial=0.0)
+    return {t[0][1]: SEPARATED if loose[i] > 1e-6 * max(loose.max(), 1e-30) and loose[i] > 0 else OK
+            for i, t in enumerate(terms) if len(t) == 1 and t[0][0] == EXPOSURE}
+
+
+def _estimate(data: DataFrame, coding: Coding, terms):
     names = [f"x{i}" for i in range(1, len(terms))]
-    inputs = data.select("succ", "n", *[term_value(t).alias(x) for t, x in zip(terms[1:], names)])
+    columns = [f"{_indicator(coding, t)} as {x}" for t, x in zip(terms[1:], names)]
+    inputs = data.selectExpr("succ", "n", *columns)
     inputs = VectorAssembler(inputCols=names, outputCol="features").transform(inputs)
     common = dict(labelCol="y", featuresCol="features", tol=1e-10, maxIter=MOST_ROUNDS)
-    if model.family == "binomial":
+    if coding.model.family == "binomial":
         inputs = inputs.selectExpr("succ / n as y", "cast(n as double) as w", "features")
         glm = GeneralizedLinearRegression(family="binomial", link="logit", weightCol="w", **common)
     else:
@@ -254,124 +446,93 @@ def _estimate(data: DataFrame, model: Model, terms):
     return coefficients, converged
 
 
-def _margins(data: DataFrame, model: Model, mu: Column):
-    """Rows, log-likelihood, fitted totals per level (and number-weighted totals) and the
-    (factor, level) pairs without a success or a failure, in one pass."""
-    s, n = F.col("succ"), F.col("n")
-    if model.family == "binomial":
-        loglik = (F.when(s > 0, s * F.log("mu")).otherwise(0)
-                  + F.when(n > s, (n - s) * F.log1p(-F.col("mu"))).otherwise(0))
-    else:
-        loglik = F.when(s > 0, s * F.log("mu")).otherwise(0) - n * F.col("mu")
-    fitted = n * F.col("mu")
-
-    def entry(name, level, value):
-        return F.struct(F.lit(name).alias("factor"), level.alias("level"),
-                        value.cast("double").alias("value"))
-
-    entries = [entry(f, F.col(f), fitted) for f in model.factors]
-    entries += [entry(x, F.lit("sum"), F.col(x) * fitted) for x in model.linear]
-    entries += [entry(f"{f}:{g}", F.concat_ws(":", f, g), fitted) for f, g in model.interactions]
-    entries += [entry("*", F.lit("loglik"), loglik), entry("*", F.lit("n"), n)]
-    levels = {**{f: F.col(f) for f in model.factors},
-              **{f"{f}:{g}": F.concat_ws(":", f, g) for f, g in model.interactions}}
-    entries += [entry(f"{kind}{f}", level, value) for f, level in levels.items()
-                for kind, value in (("*succ ", s), ("*fail ", n - s))]
-    rows = (data.withColumn("mu", mu).select(F.inline(F.array(*entries)))
-            .groupBy("factor", "level").agg(F.sum("value").alias("value")).collect())
-    totals = {r.level: r.value for r in rows if r.factor == "*"}
-    margins = tuple((r.factor, r.level, r.value) for r in rows if not r.factor.startswith("*"))
-    # A rate of 1 is an ordinary value for the log link.
-    bad = ("*succ ", "*fail ") if model.family == "binomial" else ("*succ ",)
-    separated = {(r.factor[6:], r.level) for r in rows if r.factor.startswith(bad) and r.value == 0}
-    return int(totals["n"]), totals["loglik"], margins, separated
-
-
-def _information(data: DataFrame, model: Model, terms, mu: Column) -> np.ndarray:
-    """Sum of n v x x' as sums over the pairs of nonzero entries within each cell."""
-    v = F.col("mu") * (1 - F.col("mu")) if model.family == "binomial" else F.col("mu")
-    cases: dict[tuple, list[str]] = {}
-    entries = ["struct(0 as i, 1D as v)"]
-    for i, term in enumerate(terms[1:], start=1):
-        if term[0][1] is None:
-            entries.append(f"struct({i} as i, cast(`{term[0][0]}` as double) as v)")
-        else:
-            test = " and ".join(_is(name, level, {}) for name, level in term)
-            cases.setdefault(tuple(n for n, _ in term), []).append(
-                f"when {test} then struct({i} as i, 1D as v)")
-    entries += [f"case {' '.join(whens)} end" for whens in cases.values()]
-    nonzero = F.expr(f"array_compact(array({', '.join(entries)}))")
-    pairs = (
-        data.withColumn("mu", mu)
-        .select((F.col("n") * v).alias("w"), nonzero.alias("x"))
-        .select("w", "x", F.explode("x").alias("a"))
-        .select("w", "a", F.explode("x").alias("b"))
-        .where("a.i <= b.i")
-        .groupBy(F.col("a.i").alias("i"), F.col("b.i").alias("j"))
-        .agg(F.sum(F.col("w") * F.col("a.v") * F.col("b.v")).alias("s")))
-    out = np.zeros((len(terms), len(terms)))
-    for row in pairs.collect():
-        out[row.i, row.j] = out[row.j, row.i] = row.s
-    return out
-
-
-def _influence(inverse: np.ndarray, terms) -> dict[Term, np.ndarray]:
-    """Rows of the inverse information for the exposure terms."""
-    return {t: inverse[i] for i, t in enumerate(terms)
-            if len(t) == 1 and t[0][0] == EXPOSURE}
-
-
-def _hc0(data, terms, mu, influence) -> dict[Term, float]:
-    """Each cell stands for succ rows with residual 1-mu and the rest with residual -mu."""
-    if not influence:
-        return {}
-    s, n, m = F.col("succ"), F.col("n"), F.col("mu")
-    squared = s * (1 - m) ** 2 + (n - s) * m ** 2
-    row = data.withColumn("mu", mu).agg(*[
-        F.sum(squared * predictor(terms, weights) ** 2).alias(f"v{i}")
-        for i, weights in enumerate(influence.values())]).first()
-    return {t: math.sqrt(row[i]) for i, t in enumerate(influence)}
-
-
-def _cluster(split, terms, mu, influence, n, correction_n) -> dict[Term, float]:
-    """Scores summed per municipality. Partial sums per task keep large municipalities cheap."""
+def _indicator(coding: Coding, term: Term) -> str:
+    if term[0][1] is None:
+        return f"`{term[0][0]}`"
+    tests = " and ".join(f"`{c}` = {coding.levels[c].index(v)}" for c, v in term)
+    return f"if({tests}, 1D, 0D)"
+
+
+def _after(data: DataFrame, result: Fit) -> tuple[dict[str, np.ndarray], float]:
+    """Sums over the fitted cells, and how far their predictors go."""
+    binomial = result.model.family == "binomial"
+    fitted = data.selectExpr("*", f"{result.mean()} as mu")
+    # A perfect fit has a likelihood of 1, also where the mean is rounded to it.
+    loglik = ("if(succ > 0, succ * ln(greatest(mu, 1e-300D)), 0D)"
+              + (" + if(n > succ, (n - succ) * log1p(-least(mu, 1D - 1e-16D)), 0D)" if binomial else " - n * mu"))
+    eta = result.coding.predictor(result.terms, result.coefficients)
+    far = f"if({result.finite()}, {'abs' if binomial else '-'}({eta}), 0D)"
+    return result.coding.cross_sums(fitted, {
+        "n": "n", "fitted": "n * mu", "loglik": loglik,
+        "information": "n * mu * (1 - mu)" if binomial else "n * mu",
+        "hc0": "succ * (1 - mu) * (1 - mu) + (n - succ) * mu * mu"}, far)
+
+
+def _margins(coding: Coding, fitted: np.ndarray, n: np.ndarray):
+    """Fitted totals per level, per level pair of interactions, and weighted by numbers."""
+    out = []
+    for block, kind in enumerate(coding.kinds):
+        if not kind:
+            continue
+        at = coding.first[block]
+        if kind[0] not in coding.levels:
+            out.append((kind[0], "sum", float(fitted[0, at])))
+            continue
+        for i in range(coding.sizes[block]):
+            if n[0, at + i] > 0:
+                names, rest = [], i
+                for c in reversed(kind):
+                    rest, own = divmod(rest, len(coding.levels[c]))
+                    names.append(coding.levels[c][own])
+                out.append((":".join(kind), ":".join(reversed(names)), float(fitted[0, at + i])))
+    return tuple(out)
+
+
+def _cluster(rows: DataFrame, result: Fit, influence: dict[Term, np.ndarray], n: int,
+             correction_n: str) -> dict[Term, float]:
+    """Scores summed per municipality. A score is linear in the outcome, so single records are summed,
+    each task handing on one row per municipality; large municipalities stay cheap."""
     if not influence:
         return {}
-    score = F.col("succ") - F.col("n") * F.col("mu")
     names = [f"u{i}" for i in range(len(influence))]
-    per_town = split.withColumn("mu", mu).groupBy("CODMUNRES").agg(
-        F.count("*").alias("cells"),
-        *[F.sum(score * predictor(terms, w)).alias(u) for u, w in zip(names, influence.values())])
+    scores = [f"(ptb - mu) * ({result.coding.predictor(result.terms, w)}) as {u}"
+              for u, w in zip(names, influence.values())]
+    # The number of cells matters only where the correction counts them; a town has few level patterns.
+    cells = F.size(F.collect_set(F.struct(*result.model.keys))) if correction_n == "cells" else F.lit(0)
+    per_town = (rows.selectExpr("*", f"{result.mean()} as mu")
+                .selectExpr("CODMUNRES", *[f"`{k}`" for k in result.model.keys], *scores)
+                .groupBy("CODMUNRES").agg(cells.alias("cells"), *[F.sum(u).alias(u) for u in names]))
     row = per_town.agg(F.count("*").alias("groups"), F.sum("cells").alias("cells"),
                        *[F.sum(F.col(u) ** 2).alias(u) for u in names]).first()
     if row.groups < 2:
         return {}
     total = n if correction_n == "rows" else row.cells
-    factor = row.groups / (row.groups - 1) * (total - 1) / (total - len(terms))
+    factor = row.groups / (row.groups - 1) * (total - 1) / (total - result.n_params)
     return {t: math.sqrt(row[u] * factor) for u, t in zip(names, influence)}
 
 
 def effects(result: Fit, se_type: str = "model", name: str | None = None) -> list[tuple]:
-    """Ratio, interval and p-value of every exposure level against the reference."""
+    """Ratio, interval and p-value of every exposure level against the reference, and why one has none."""
     measure = "OR" if result.model.family == "binomial" else "RR"
     rows = []
     for level in V.RACE_LEVELS[1:]:
+        status = result.status.get(level)
+        if status is None:
+            continue
         term = ((EXPOSURE, level),)
         b, se = result.coefficient(term), result.standard_errors.get(se_type, {}).get(term)
-        if b is None:
-            continue
-        if se is None or level in result.separated or V.RACE_REFERENCE in result.separated:
+        if status != OK or b is None or se is None:
             numbers = (None, None, None, None)
         else:
             numbers = (math.exp(b), math.exp(b - Z95 * se), math.exp(b + Z95 * se),
                        normal_tail(b / se))
         rows.append((name or result.model.name, level, measure, se_type, *numbers,
-                     result.aic, result.n))
+                     result.aic, result.n, status))
     return rows
 
 
 EFFECT_SCHEMA = ("modelo string, grupo string, medida string, se_tipo string, estimativa double, "
-                 "ic_low double, ic_high double, p_valor double, aic double, n bigint")
+                 "ic_low double, ic_high double, p_valor double, aic double, n bigint, situacao string")
 
 
 def normal_tail(z: float) -> float:
@@ -397,21 +558,21 @@ def chi2_tail(x: float, df: int) -> float:
 
 def likelihood_ratio(base: Fit, extended: Fit) -> dict:
     chi2 = 2 * (extended.loglik - base.loglik)
-    df = len(extended.terms) - len(base.terms)
+    df = extended.n_params - base.n_params
     return {"lrt_chi2": chi2, "gl": df, "p_valor": chi2_tail(chi2, df),
             "aic_sem": base.aic, "aic_com": extended.aic}
 
 
 def standardised(cells: DataFrame, result: Fit) -> DataFrame:
     """Mean prediction with the exposure set to each level for all rows, and its difference."""
-    data = collapse(cells, *result.model.keys)
+    if result.coding is None:
+        return cells.sparkSession.createDataFrame([], "grupo string, p_ajustada_pct double, dif_pp double")
+    data = result.coding.apply(collapse(cells, *result.model.keys), "n")
 
     def average(level):
-        mu = mean(predictor(result.terms, result.coefficients, {EXPOSURE: level}),
-                  result.model.family)
-        return F.sum(F.col("n") * mu) / F.sum("n")
+        return F.sum(F.expr(f"n * ({result.mean({EXPOSURE: level})})")) / F.sum("n")
 
-    levels = [V.RACE_REFERENCE] + [v for v in V.RACE_LEVELS if result.log_ratio(v) is not None]
+    levels = [V.RACE_REFERENCE] + [v for v in V.RACE_LEVELS if v in result.status]
     wide = data.agg(*[average(level).alias(level) for level in levels])
     return wide.select(F.inline(F.array(*[
         F.struct(F.lit(level).alias("grupo"), (100 * F.col(level)).alias("p_ajustada_pct"),

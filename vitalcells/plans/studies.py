@@ -1,15 +1,19 @@
 """The model studies: which models run on which cells."""
 
+import re
+from collections import defaultdict
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from itertools import accumulate
+from threading import RLock
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vitalcells import fixed_values as V
-from vitalcells.operators.glm import (EFFECT_SCHEMA, Fit, Model, effects, fit, likelihood_ratio,
-                                      standardised)
+from vitalcells.operators.cells import VIEWS, Lattice
+from vitalcells.operators.glm import (EFFECT_SCHEMA, Fit, Model, effects, fit, levels_of,
+                                      likelihood_ratio, standardised)
 
 FACTORS = [factor for _, factor in V.LADDER]
 M1, M5, M8 = ("raca",), tuple(FACTORS[:5]), tuple(FACTORS)
@@ -47,25 +51,42 @@ class Task:
 class Run:
     """Fits on the cells of one arm and region, each done once."""
 
-    cells: DataFrame
-    towns: DataFrame
+    cells: Lattice
+    rows: DataFrame
     years: tuple[int, int]
     periods: dict[str, tuple[int, int]]
     region: str = "true"
     _done: dict[Task, Fit] = field(default_factory=dict)
+    _levels: dict[str, dict[str, tuple[str, ...]]] = field(default_factory=dict)
+    _locks: dict = field(default_factory=lambda: defaultdict(RLock))
 
-    def _select(self, table: DataFrame, task: Task) -> DataFrame:
-        rows = table.where(self.region).where(task.where)
-        return rows.where("sens") if task.sample == "sens" else rows
+    def _columns(self, task: Task) -> set[str]:
+        """Columns that a task's model and conditions use."""
+        named = set(re.findall(r"\w+", f"{self.region} {task.where}"))
+        return {*task.model.keys, *named & {k for v in VIEWS for k in v.keys}}
 
     def cells_of(self, task: Task) -> DataFrame:
-        return self._select(self.cells, task)
+        return self.cells.cells(task.sample, self._columns(task)).where(self.region).where(task.where)
+
+    def rows_of(self, task: Task) -> DataFrame:
+        rows = self.rows.where(self.region).where(task.where)
+        return rows.where("sens") if task.sample == "sens" else rows
+
+    def _levels_of(self, task: Task) -> dict[str, tuple[str, ...]]:
+        """Levels of the view a task reads, listed once for all its models."""
+        view = self.cells.parent(task.sample, self._columns(task))
+        with self._locks[view.name]:
+            if view.name not in self._levels:
+                factors = tuple(k for k in view.keys if not k.endswith("_lin") and k != "singleton")
+                self._levels[view.name] = levels_of(self.cells.cells(view.sample, view.keys), factors)
+        return self._levels[view.name]
 
     def _fit(self, task: Task) -> Fit:
-        if task not in self._done:
-            towns = self._select(self.towns, task) if task.cluster else None
-            self._done[task] = fit(self.cells_of(task), task.model, task.robust, towns,
-                                   task.correction_n)
+        with self._locks[task]:
+            if task not in self._done:
+                rows = self.rows_of(task) if task.cluster else None
+                self._done[task] = fit(self.cells_of(task), task.model, task.robust, rows,
+                                       task.correction_n, self._levels_of(task))
         return self._done[task]
 
     def fit_all(self, tasks: list[Task]) -> list[Fit]:
@@ -172,7 +193,7 @@ def margin_table(spark: SparkSession, fits: list[Fit]) -> DataFrame:
 
 def design_audit(spark: SparkSession, fits: list[Fit]) -> DataFrame:
     """Parameters and AIC per model, which factors are in, and whether AIC moved."""
-    rows = [(f.model.name, len(f.terms), f.aic, "parid_cat" in f.model.factors,
+    rows = [(f.model.name, f.n_params, f.aic, "parid_cat" in f.model.factors,
              "estciv_cat" in f.model.factors,
              None if i == 0 else abs(f.aic - fits[i - 1].aic) >= 0.01)
             for i, f in enumerate(fits)]

@@ -6,7 +6,7 @@ from vitalcells import fixed_values as V
 from vitalcells.functions.derive import r6
 from vitalcells.operators import describe as D
 from vitalcells.operators import profile as P
-from vitalcells.operators.cells import collapse
+from vitalcells.operators.cells import collapse, collapse_rows
 from vitalcells.operators.cohort import inclusion_groups
 from vitalcells.operators.reshape import dense, first_rows
 from vitalcells.plans.reports import extremes
@@ -263,14 +263,15 @@ select raca, idade_cat, esc_cat, ano_cat, UF as uf_cat, cast(sum(ptb) as bigint)
   cast(count(*) - sum(ptb) as bigint) as fail
 from cohort where in_primary group by 1, 2, 3, 4, 5""")
 def _(w):
-    cells = collapse(w.run().cells, "raca", "idade_cat", "esc_cat", "ano_cat", "uf_cat")
+    keys = ("raca", "idade_cat", "esc_cat", "ano_cat", "uf_cat")
+    cells = collapse(w.run().cells.cells("primary", keys), *keys)
     return cells.withColumn("fail", F.col("n") - F.col("succ"))
 
 
 @query("e21_cells_by_town", """
 select raca, CODMUNRES as codmunres, cast(sum(ptb) as bigint) as succ, count(*) as n from cohort where in_primary group by 1, 2""")
 def _(w):
-    return collapse(w.run().towns, "raca", "CODMUNRES").withColumnRenamed("CODMUNRES", "codmunres")
+    return collapse_rows(w.run().rows, "raca", "CODMUNRES").withColumnRenamed("CODMUNRES", "codmunres")
 
 
 @query("e22_value_shares", """

@@ -32,6 +32,7 @@ class Workspace:
         self.spark, self.folder = spark, folder.rstrip("/")
         self.root = f"{shared_folder(spark)}/{re.sub('[^A-Za-z0-9.]+', '_', self.folder).strip('_')}"
         self._runs: dict[tuple, Run] = {}
+        self._lattices: dict[str, C.Lattice] = {}
         self._lock = threading.RLock()
 
     def table(self, name: str) -> DataFrame:
@@ -84,13 +85,13 @@ class Workspace:
         with self._lock:
             if (arm, national) not in self._runs:
                 spec = C.ARMS[arm]
-                cells = stored(self.spark, f"{self.root}/cells_{arm}",
-                               lambda: C.finest(self.cohort, spec))
-                towns = stored(self.spark, f"{self.root}/towns_{arm}",
-                               lambda: C.by_town(self.cohort, spec))
+                rows = C.arm_rows(self.cohort, spec)
+                if arm not in self._lattices:
+                    self._lattices[arm] = C.Lattice(stored(
+                        self.spark, f"{self.root}/cells_{arm}", lambda: C.views(rows), ("view",)))
                 names = ", ".join(f"'{uf}'" for uf in self.focus_states)
                 region = "true" if national else f"uf_cat in ({names})"
-                self._runs[arm, national] = Run(cells, towns, S.YEARS, S.PERIODS, region)
+                self._runs[arm, national] = Run(self._lattices[arm], rows, S.YEARS, S.PERIODS, region)
             return self._runs[arm, national]
 
     @cached_property
@@ -247,6 +248,8 @@ def with_tables(sql: str) -> str:
     if re.search(r"\b(cohort|focus)\b", body):
         prelude.append(_COHORT)
     head = ",".join(prelude)
+    if body.lower().startswith("with recursive "):
+        return f"with recursive {head}, {body[15:]}" if head else body
     if body.lower().startswith("with "):
         return f"with {head}, {body[5:]}" if head else body
     return f"with {head} {body}" if head else body

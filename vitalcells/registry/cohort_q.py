@@ -106,7 +106,7 @@ def _(w):
 select UF as uf, raca, count(*) as n, cast(sum(ptb) as bigint) as succ from focus where in_primary group by 1, 2""")
 def _(w):
     run = w.run()
-    return collapse(run.cells.where(run.region), "uf_cat", "raca").select(
+    return collapse(run.cells.cells("primary", ("uf_cat", "raca")).where(run.region), "uf_cat", "raca").select(
         F.col("uf_cat").alias("uf"), "raca", "n", "succ")
 
 

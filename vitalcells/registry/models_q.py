@@ -13,6 +13,7 @@ from vitalcells.operators.glm import Model
 from vitalcells.registry.aggregates_q import FOCUS_LABELS, rounded
 from vitalcells.registry.base import Workspace, query
 from vitalcells.registry.joins_q import crude_sql
+from vitalcells.registry.newton_sql import SQL_COLUMN, newton
 from vitalcells.sources import star_births as S
 
 Z = "1.959963984540054"
@@ -21,7 +22,6 @@ P_VALUE = ("1 - (2 / sqrt(pi())) * list_sum([(case when k % 2 = 0 then 1 else -1
            "* exp((2 * k + 1) * ln(greatest(abs({z}) / sqrt(2), 1e-12)) - lgamma(k + 1)) / (2 * k + 1) "
            "for k in range(0, 120)])")
 
-SQL_COLUMN = {"uf_cat": "UF", "esc_lin": "ESCMAE", "cons_lin": "CONSULTAS"}
 
 
 def margins(tasks: list[Task], source: str, primary: str = "in_primary", sens: str = "in_sens",
@@ -62,7 +62,7 @@ SETTINGS = T.Run(None, None, S.YEARS, S.PERIODS)
 EFFECT_SQL = """
 select '{name}' as modelo, grupo, '{measure}' as medida, '{se_type}' as se_tipo, round(exp({b}), 6) as estimativa,
   round(exp({b} - {z} * {se}), 6) as ic_low, round(exp({b} + {z} * {se}), 6) as ic_high,
-  round({p}, 6) as p_valor, round({aic}, 6) as aic, nobs as n from {table}"""
+  round({p}, 6) as p_valor, round({aic}, 6) as aic, nobs as n, 'ok' as situacao from {table}"""
 
 
 def effect_sql(name, measure, se_type, b, se, aic, table):
@@ -133,7 +133,19 @@ def _(w):
     return margin_rows(w, run.fit_all(run.ladder()))
 
 
-@query("h05_ladder_effects")
+def fitted_sql(rows: list[tuple[str, str, str]], p: str = "f", condition: str = "true") -> str:
+    """Effect rows of models fitted in SQL: (family, kind of errors, its column of {p}_effects)."""
+    return " union all ".join(
+        EFFECT_SQL.format(name="", measure="OR" if family == "binomial" else "RR", se_type=kind, b="b", se=se, z=Z,
+                          aic="aic", p=P_VALUE.format(z=f"(b / {se})"), table=f"{p}_effects")
+        .replace("select '' as modelo", "select modelo") + f" where family = '{family}' and {condition}"
+        for family, kind, se in rows)
+
+
+LOGISTIC = [("binomial", "model", "se")]
+
+
+@query("h05_ladder_effects", f"with recursive {newton('f', SETTINGS.ladder(), 'focus')} {fitted_sql(LOGISTIC)}")
 def _(w):
     run = w.run()
     return effect_rows(w, [(f, "model") for f in run.fit_all(run.ladder())])

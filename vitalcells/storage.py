@@ -62,7 +62,8 @@ def small(df: DataFrame, max_rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
-def stored(spark: SparkSession, path: str, build: Callable[[], DataFrame]) -> DataFrame:
+def stored(spark: SparkSession, path: str, build: Callable[[], DataFrame],
+           partitions: tuple[str, ...] = ()) -> DataFrame:
     """Write a table once and read it from then on.
 
     A written table survives lost executors, and later readers prune its columns. It is written under
@@ -74,7 +75,7 @@ def stored(spark: SparkSession, path: str, build: Callable[[], DataFrame]) -> Da
         if not is_written(spark, path):
             system, target = _file_system(spark, path)
             draft = f"{path}-{uuid.uuid4().hex[:8]}"
-            build().write.parquet(draft)
+            build().write.partitionBy(*partitions).parquet(draft)
             system.delete(target, True)
             if not system.rename(_file_system(spark, draft)[1], target):
                 raise OSError(f"cannot rename {draft} to {path}")
