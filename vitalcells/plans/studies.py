@@ -1,5 +1,6 @@
 """The model studies: which models run on which cells."""
 
+import math
 import re
 from collections import defaultdict
 from concurrent.futures import ThreadPoolExecutor
@@ -202,6 +203,13 @@ def design_audit(spark: SparkSession, fits: list[Fit]) -> DataFrame:
               "tem_estado_civil boolean, aic_mudou boolean")
 
 
+def focal_ratios(spark: SparkSession, fits: list[Fit]) -> DataFrame:
+    """The focal group's ratio of each fit, null where it has none."""
+    rows = [(f.model.name, None if V.RACE_FOCAL in f.separated or f.log_ratio(V.RACE_FOCAL) is None
+             else math.exp(f.log_ratio(V.RACE_FOCAL))) for f in fits]
+    return spark.createDataFrame(rows, "modelo string, focal_or double")
+
+
 def interaction_test(spark: SparkSession, base: Fit, extended: Fit) -> DataFrame:
     row = likelihood_ratio(base, extended)
     return spark.createDataFrame(

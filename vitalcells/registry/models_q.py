@@ -13,7 +13,8 @@ from vitalcells.operators.glm import Model
 from vitalcells.registry.aggregates_q import FOCUS_LABELS, rounded
 from vitalcells.registry.base import Workspace, query
 from vitalcells.registry.joins_q import crude_sql
-from vitalcells.registry.newton_sql import SQL_COLUMN, newton
+from vitalcells.registry.newton_sql import (OTHER_EDUCATION, SETTINGS, SQL_COLUMN, VARIANT, newton,
+                                            standardised)
 from vitalcells.sources import star_births as S
 
 Z = "1.959963984540054"
@@ -56,9 +57,6 @@ def effect_rows(w: Workspace, fits):
     return rounded(T.effect_table(w.spark, fits))
 
 
-# The task lists need only the settings, so the SQL is built from the same model names.
-SETTINGS = T.Run(None, None, S.YEARS, S.PERIODS)
-
 EFFECT_SQL = """
 select '{name}' as modelo, grupo, '{measure}' as medida, '{se_type}' as se_tipo, round(exp({b}), 6) as estimativa,
   round(exp({b} - {z} * {se}), 6) as ic_low, round(exp({b} + {z} * {se}), 6) as ic_high,
@@ -133,16 +131,21 @@ def _(w):
     return margin_rows(w, run.fit_all(run.ladder()))
 
 
-def fitted_sql(rows: list[tuple[str, str, str]], p: str = "f", condition: str = "true") -> str:
-    """Effect rows of models fitted in SQL: (family, kind of errors, its column of {p}_effects)."""
+def fitted_sql(kinds: list[tuple[str, str, str]], table: str = "f_effects", more: str = "") -> str:
+    """Effect rows of models fitted in SQL, per (family, kind of errors, column that holds them)."""
     return " union all ".join(
         EFFECT_SQL.format(name="", measure="OR" if family == "binomial" else "RR", se_type=kind, b="b", se=se, z=Z,
-                          aic="aic", p=P_VALUE.format(z=f"(b / {se})"), table=f"{p}_effects")
-        .replace("select '' as modelo", "select modelo") + f" where family = '{family}' and {condition}"
-        for family, kind, se in rows)
+                          aic="aic", p=P_VALUE.format(z=f"(b / {se})"), table=table)
+        .replace("select '' as modelo", "select modelo").replace(" as situacao", f" as situacao{more}")
+        + f" where family = '{family}'" for family, kind, se in kinds)
 
 
 LOGISTIC = [("binomial", "model", "se")]
+BOTH = [*LOGISTIC, ("poisson", "model", "se")]
+YEAR_OF_MODEL = ", case when modelo like 'Ano~_%' escape '~' then cast(split_part(modelo, '_', 2) as int) end as ano"
+ROBUST = [("binomial", "cluster", "se_cluster"), ("poisson", "hc0", "se_hc0"), ("poisson", "cluster", "se_cluster")]
+# The effects beside the cluster errors.
+WITH_CLUSTER = "f_all as (select e.*, c.se as se_cluster from f_effects e join f_cluster c using (modelo, grupo))"
 
 
 @query("h05_ladder_effects", f"with recursive {newton('f', SETTINGS.ladder(), 'focus')} {fitted_sql(LOGISTIC)}")
@@ -177,6 +180,23 @@ def _(w):
     return T.design_audit(w.spark, run.fit_all(run.ladder()[5:])).drop("aic")
 
 
+AUDIT = " union all ".join(f"select '{t.model.name}' as modelo, {i} as ordem, {'parid_cat' in t.model.factors} as tem_paridade, "
+                           f"{'estciv_cat' in t.model.factors} as tem_estado_civil"
+                           for i, t in enumerate(SETTINGS.ladder()[5:]))
+
+
+@query("h07_design_audit_effects", f"""with recursive {newton('f', SETTINGS.ladder()[5:], 'focus')}, d as ({AUDIT})
+select modelo, cast(e.k as int) as n_params, round(e.aic, 2) as aic, tem_paridade, tem_estado_civil,
+  abs(e.aic - lag(e.aic) over (order by ordem)) >= 0.01 as aic_mudou, round(exp(e.b), 6) as focal_or
+from d join f_effects e using (modelo) where e.grupo = 'Indigena'""")
+def _(w):
+    """The whole audit: parameters, AIC, whether it moved, and the focal odds ratio."""
+    run = w.run()
+    fits = run.fit_all(run.ladder()[5:])
+    focal = T.focal_ratios(w.spark, fits).withColumn("focal_or", F.round("focal_or", 6))
+    return T.design_audit(w.spark, fits).withColumn("aic", F.round("aic", 2)).join(focal, "modelo")
+
+
 @query("h08_or_vs_rr_crude", f"""
 with {crude_sql("a", "in_primary", "focus")},
 {cluster_sql("c", "in_primary", "focus", "sum(n)")}, {cluster_sql("d", "in_primary", "focus", "sum(n)", True)},
@@ -196,7 +216,8 @@ def _(w):
     return margin_rows(w, run.fit_all(run.or_vs_rr()))
 
 
-@query("h08_or_vs_rr_effects")
+@query("h08_or_vs_rr_effects", f"with recursive {newton('f', SETTINGS.or_vs_rr(), 'focus', towns=True)}, "
+       f"{WITH_CLUSTER} {fitted_sql(ROBUST, 'f_all')}")
 def _(w):
     return or_vs_rr(w)
 
@@ -219,7 +240,9 @@ def _(w):
     return rounded(T.adjusted_probabilities(w.run(), Task(SATURATED, "primary")))
 
 
-@query("h09_standardised_m5")
+@query("h09_standardised_m5", f"with recursive {newton('f', SETTINGS.ladder()[4:5], 'focus')}, "
+       f"s as ({standardised('f', 'M5_PRIMARY')}) select grupo, round(v, 6) as p_ajustada_pct, "
+       "round(v - (select v from s where grupo = 'Branca'), 6) as dif_pp from s")
 def _(w):
     run = w.run()
     return rounded(T.adjusted_probabilities(run, run.ladder()[4]))
@@ -231,7 +254,7 @@ def _(w):
     return margin_rows(w, run.fit_all(run.coding()))
 
 
-@query("h10_coding_effects")
+@query("h10_coding_effects", f"with recursive {newton('f', SETTINGS.coding(), 'focus')} {fitted_sql(LOGISTIC)}")
 def _(w):
     run = w.run()
     return effect_rows(w, [(f, "model") for f in run.fit_all(run.coding())])
@@ -257,31 +280,63 @@ def _(w):
     return margin_rows(w, run.fit_all(run.interaction()))
 
 
-@query("h11_interaction_test")
+@query("h11_interaction_test", f"""with recursive {newton('f', SETTINGS.interaction(), 'focus')},
+l as (select max(loglik) - min(loglik) as d, max(k) - min(k) as df, max(case when modelo like '%sem%' then aic end) as aic_sem,
+  max(case when modelo like '%com%' then aic end) as aic_com from f_models)
+select round(2 * d, 6) as lrt_chi2, cast(df as int) as gl,
+  round(exp(-d) * list_sum([exp(i * ln(d) - lgamma(i + 1)) for i in range(0, df // 2)]), 6) as p_valor,
+  round(aic_sem, 6) as aic_sem, round(aic_com, 6) as aic_com from l""")
 def _(w):
     run = w.run()
     return rounded(T.interaction_test(w.spark, *run.fit_all(run.interaction())))
 
 
 STRATA = FOCUS_LABELS
+STRATUM = {t.model.name: f"UF = '{uf}'" for uf in STRATA for t in SETTINGS.stratified([uf])}
+YEAR = {f"Ano_{y}": f"ANO = {y}" for y in range(1995, 2002)}
+BLOCK = {name: f"ANO between {low} and {high}" for name, (low, high) in S.PERIODS.items()}
+WITHOUT_LAST = {t.model.name: "ANO <> 2001" for t in SETTINGS.last_year() if "sem" in t.model.name}
+SINGLE = {t.model.name: "singleton" for t in SETTINGS.singletons()}
+KNOWN_MONTH = {t.model.name: "mesp1trim is not null" for t in SETTINGS.prenatal()}
 
 
 @query("h12_stratified_margins", margins(
     SETTINGS.stratified(STRATA), "focus",
-    where={t.model.name: f"UF = '{uf}'" for uf in STRATA for t in SETTINGS.stratified([uf])}))
+    where=STRATUM))
 def _(w):
     run = w.run()
     return margin_rows(w, run.fit_all(run.stratified(w.focus_states)))
 
 
-@query("h12_stratified_effects")
+@query("h12_stratified_effects", f"with recursive {newton('f', SETTINGS.stratified(STRATA), 'focus', where=STRATUM)} {fitted_sql(LOGISTIC)}")
 def _(w):
     run = w.run()
     return effect_rows(w, [(f, "model") for f in run.fit_all(run.stratified(w.focus_states))])
 
 
+SPARSE_TASKS = {uf: Task(Model(f"M1_{uf}_ignorado", T.M1), "sens", f"uf_cat = '{uf}' and cons_cat = 'Ignorado'") for uf in STRATA}
+
+
+@query("h12_sparse_strata", """
+with t as (select 'M1_' || UF || '_ignorado' as modelo, raca, cast(sum(ptb) as double) as s, cast(count(*) as double) as n
+  from focus where in_sens and cons_cat = 'Ignorado' group by 1, 2),
+j as (select g.modelo, g.raca as grupo, g.s, g.n, b.s as bs, b.n as bn, (select sum(n) from t z where z.modelo = g.modelo) as nobs,
+  g.s > 0 and g.s < g.n and b.s > 0 and b.s < b.n as both_ways from t g join t b on b.modelo = g.modelo and b.raca = 'Branca' where g.raca <> 'Branca')
+select modelo, grupo, case when both_ways then 'ok' else 'separada' end as situacao, cast(nobs as bigint) as n,
+  case when both_ways then round((s / (n - s)) / (bs / (bn - bs)), 6) end as estimativa,
+  case when both_ways then round(exp(ln((s / (n - s)) / (bs / (bn - bs))) - 1.959963984540054 * sqrt(1 / s + 1 / (n - s) + 1 / bs + 1 / (bn - bs))), 6) end as ic_low
+from j""")
+def _(w):
+    """Small strata, where some groups always or never have the outcome: a reason in place of a number,
+    and the other groups' ratios."""
+    run = w.run()
+    tasks = [SPARSE_TASKS[uf] for uf in w.focus_states]
+    return effect_rows(w, [(f, "model") for f in run.fit_all(tasks)]).select(
+        "modelo", "grupo", "situacao", "n", "estimativa", "ic_low")
+
+
 @query("h13_yearly_margins", margins(
-    SETTINGS.yearly(), "focus", where={f"Ano_{y}": f"ANO = {y}" for y in range(1995, 2002)}))
+    SETTINGS.yearly(), "focus", where=YEAR))
 def _(w):
     run = w.run()
     return margin_rows(w, run.fit_all(run.yearly()))
@@ -289,13 +344,13 @@ def _(w):
 
 @query("h13_block_margins", margins(
     SETTINGS.blocks(), "focus",
-    where={name: f"ANO between {low} and {high}" for name, (low, high) in S.PERIODS.items()}))
+    where=BLOCK))
 def _(w):
     run = w.run()
     return margin_rows(w, run.fit_all(run.blocks()))
 
 
-@query("h13_temporal_effects")
+@query("h13_temporal_effects", f"with recursive {newton('f', SETTINGS.yearly() + SETTINGS.blocks(), 'focus', where=YEAR | BLOCK)} {fitted_sql(LOGISTIC, more=YEAR_OF_MODEL)}")
 def _(w):
     run = w.run()
     return T.by_year(effect_rows(w, [(f, "model") for f in run.fit_all(run.yearly() + run.blocks())]))
@@ -303,26 +358,26 @@ def _(w):
 
 @query("h14_last_year_margins", margins(
     SETTINGS.last_year(), "focus",
-    where={t.model.name: "ANO <> 2001" for t in SETTINGS.last_year() if "sem" in t.model.name}))
+    where=WITHOUT_LAST))
 def _(w):
     run = w.run()
     return margin_rows(w, run.fit_all(run.last_year()))
 
 
-@query("h14_last_year_effects")
+@query("h14_last_year_effects", f"with recursive {newton('f', SETTINGS.last_year(), 'focus', where=WITHOUT_LAST)} {fitted_sql(LOGISTIC)}")
 def _(w):
     run = w.run()
     return effect_rows(w, [(f, "model") for f in run.fit_all(run.last_year())])
 
 
 @query("h15_singleton_margins", margins(
-    SETTINGS.singletons(), "focus", where={t.model.name: "singleton" for t in SETTINGS.singletons()}))
+    SETTINGS.singletons(), "focus", where=SINGLE))
 def _(w):
     run = w.run()
     return margin_rows(w, run.fit_all(run.singletons()))
 
 
-@query("h15_singleton_effects")
+@query("h15_singleton_effects", f"with recursive {newton('f', SETTINGS.singletons(), 'focus', where=SINGLE)} {fitted_sql(LOGISTIC)}")
 def _(w):
     run = w.run()
     return effect_rows(w, [(f, "model") for f in run.fit_all(run.singletons())])
@@ -330,13 +385,13 @@ def _(w):
 
 @query("h16_prenatal_margins", margins(
     SETTINGS.prenatal(), "focus",
-    where={t.model.name: "mesp1trim is not null" for t in SETTINGS.prenatal()}))
+    where=KNOWN_MONTH))
 def _(w):
     run = w.run()
     return margin_rows(w, run.fit_all(run.prenatal()))
 
 
-@query("h16_prenatal_effects")
+@query("h16_prenatal_effects", f"with recursive {newton('f', SETTINGS.prenatal(), 'focus', where=KNOWN_MONTH)} {fitted_sql(LOGISTIC)}")
 def _(w):
     run = w.run()
     return effect_rows(w, [(f, "model") for f in run.fit_all(run.prenatal())])
@@ -348,7 +403,7 @@ def _(w):
     return margin_rows(w, run.fit_all(run.national()))
 
 
-@query("h17_national_effects")
+@query("h17_national_effects", f"with recursive {newton('f', SETTINGS.national(), 'cohort')} {fitted_sql(BOTH)}")
 def _(w):
     run = w.run(national=True)
     return effect_rows(w, [(f, "model") for f in run.fit_all(run.national())])
@@ -364,40 +419,39 @@ def _(w):
 
 
 @query("h19_national_yearly_margins", margins(
-    SETTINGS.yearly(), "cohort", where={f"Ano_{y}": f"ANO = {y}" for y in range(1995, 2002)}))
+    SETTINGS.yearly(), "cohort", where=YEAR))
 def _(w):
     run = w.run(national=True)
     return margin_rows(w, run.fit_all(run.yearly()))
 
 
-@query("h19_national_yearly_effects")
+@query("h19_national_yearly_effects", f"with recursive {newton('f', SETTINGS.yearly(), 'cohort', where=YEAR)} {fitted_sql(LOGISTIC, more=YEAR_OF_MODEL)}")
 def _(w):
     run = w.run(national=True)
     return T.by_year(effect_rows(w, [(f, "model") for f in run.fit_all(run.yearly())]))
 
 
 @query("h20_variant_margins", margins(
-    SETTINGS.variant(), "focus", "in_primary_var", "in_sens_var",
-    {"esc_cat": "esc2010_code", "parid_cat": "parid_known"}))
+    SETTINGS.variant(), "focus", **VARIANT))
 def _(w):
     run = w.run("variant")
     return margin_rows(w, run.fit_all(run.variant()))
 
 
-@query("h20_variant_effects")
+@query("h20_variant_effects", f"with recursive {newton('f', SETTINGS.variant(), 'focus', **VARIANT)} {fitted_sql(LOGISTIC)}")
 def _(w):
     run = w.run("variant")
     return effect_rows(w, [(f, "model") for f in run.fit_all(run.variant())])
 
 
 @query("h21_other_education_margins", margins(
-    SETTINGS.ladder(), "focus", "in_primary_2010", "in_sens_2010", {"esc_cat": "esc2010_cat"}))
+    SETTINGS.ladder(), "focus", **OTHER_EDUCATION))
 def _(w):
     run = w.run("ESCMAE2010")
     return margin_rows(w, run.fit_all(run.ladder()))
 
 
-@query("h21_other_education_effects")
+@query("h21_other_education_effects", f"with recursive {newton('f', SETTINGS.ladder(), 'focus', **OTHER_EDUCATION)} {fitted_sql(LOGISTIC)}")
 def _(w):
     run = w.run("ESCMAE2010")
     return effect_rows(w, [(f, "model") for f in run.fit_all(run.ladder())])

@@ -7,11 +7,18 @@ query are fitted at the same time.
 """
 
 from vitalcells.operators.glm import EXPOSURE
-from vitalcells.plans.studies import Task
+from vitalcells.plans.studies import Run, Task
+from vitalcells.sources import star_births as S
 
+# The task lists need only the settings, so the SQL is built from the same model names.
+SETTINGS = Run(None, None, S.YEARS, S.PERIODS)
 SQL_COLUMN = {"uf_cat": "UF", "esc_lin": "ESCMAE", "cons_lin": "CONSULTAS"}
 REFERENCE = "Branca"
 STEPS = 11
+# Samples and columns of the other two arms.
+VARIANT = {"primary": "in_primary_var", "sens": "in_sens_var",
+           "columns": {"esc_cat": "esc2010_code", "parid_cat": "parid_known"}}
+OTHER_EDUCATION = {"primary": "in_primary_2010", "sens": "in_sens_2010", "columns": {"esc_cat": "esc2010_cat"}}
 
 # Rows are lists of right sides, then coefficients; `left` is the number of right sides.
 _ELIMINATE = """list_reduce(
