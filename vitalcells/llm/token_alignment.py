@@ -51,10 +51,13 @@ ID_BITS = 20
 
 _SAFE_CUT = re.compile(r"(?<=[!-~\w]) (?=[!-~\w])")
 
-DOC = ("struct<uid: long, doc_id: long, block: int, blocks: int, n_a: long, n_b: long, n_groups: long, "
-       "groups_sha256: string, links: array<int>>")
-BUNDLE = (f"bundle string, long_uid long, ok boolean, docs array<{DOC}>, pairs array<long>, "
-          "counts array<long>, head binary, body binary, tail binary")
+DOC = ("struct<uid: long, doc_id: long, blocks: int, n_a: long, n_b: long, n_groups: long, n_links: long, "
+       "groups_sha256: string>")
+# A bundle is named by its first document and block. `links` holds, end to end and compressed, the place
+# in `pairs` of every link of its documents.
+BUNDLE = (f"uid long, block int, blocks int, ok boolean, docs array<{DOC}>, pairs array<long>, "
+          "counts array<long>, links binary, head binary, body binary, tail binary")
+BUNDLE_KEY = ["uid", "block"]
 SUMS = ("uid long, doc_id long, blocks int, n_a long, n_b long, n_groups long, n_links long, "
         "n_best long, count_sum long, groups_sha256 string")
 RESULT = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
@@ -90,7 +93,7 @@ class ByteTokens:
             while end < len(texts) and (end == at or size + len(texts[end]) <= ENCODE_CHARS):
                 size += len(texts[end])
                 end += 1
-            ids += [e.ids for e in self.tokenizer.encode_batch(texts[at:end], add_special_tokens=False)]
+            ids += [e.ids for e in self.tokenizer.encode_batch_fast(texts[at:end], add_special_tokens=False)]
             at = end
         return ids
 
@@ -312,14 +315,24 @@ def _digest(groups: bytes) -> str:
     return hashlib.sha256(groups[:-1]).hexdigest()
 
 
+def _packed(places: np.ndarray, pairs: int) -> bytes:
+    """Places as a short buffer; the most frequent pairs have the smallest."""
+    return pa.compress(places.astype(np.uint16 if pairs <= 1 << 16 else np.uint32).tobytes(), "zstd", asbytes=True)
+
+
+def _unpacked(raw: bytes, links: int, pairs: int) -> np.ndarray:
+    kind = np.dtype(np.uint16 if pairs <= 1 << 16 else np.uint32)
+    return np.frombuffer(pa.decompress(raw, links * kind.itemsize, "zstd", asbytes=True), kind)
+
+
 def _bundle_rows(byte_path: str, piece_path: str, limit: int):
     schema = pa.schema([
-        ("bundle", pa.string()), ("long_uid", pa.int64()), ("ok", pa.bool_()),
+        ("uid", pa.int64()), ("block", pa.int32()), ("blocks", pa.int32()), ("ok", pa.bool_()),
         ("docs", pa.list_(pa.struct([
-            ("uid", pa.int64()), ("doc_id", pa.int64()), ("block", pa.int32()), ("blocks", pa.int32()),
-            ("n_a", pa.int64()), ("n_b", pa.int64()), ("n_groups", pa.int64()),
-            ("groups_sha256", pa.string()), ("links", pa.list_(pa.int32()))]))),
-        ("pairs", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64())),
+            ("uid", pa.int64()), ("doc_id", pa.int64()), ("blocks", pa.int32()),
+            ("n_a", pa.int64()), ("n_b", pa.int64()), ("n_groups", pa.int64()), ("n_links", pa.int64()),
+            ("groups_sha256", pa.string())]))),
+        ("pairs", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64())), ("links", pa.binary()),
         ("head", pa.binary()), ("body", pa.binary()), ("tail", pa.binary())])
 
     def row_of(tools: Aligner, rows: list[tuple]) -> dict:
@@ -328,23 +341,25 @@ def _bundle_rows(byte_path: str, piece_path: str, limit: int):
         lists_a, back_a = _tokens(tools.a, texts, raw)
         lists_b, back_b = _tokens(tools.b, texts, raw)
         good = [i for i, ok in enumerate(zip(back_a, back_b, raw)) if all(ok)]
-        docs = [dict(uid=uid, doc_id=doc_id, block=block, blocks=blocks, n_a=0, n_b=0, n_groups=0,
-                     groups_sha256="", links=[]) for uid, doc_id, block, blocks, _ in rows]
-        long = rows[0][3] > 1
-        out = dict(bundle=f"{rows[0][0]}-{rows[0][2]}", long_uid=rows[0][0] if long else None,
-                   ok=len(good) == len(rows), docs=docs, pairs=[], counts=[], head=None, body=None, tail=None)
+        docs = [dict(uid=uid, doc_id=doc_id, blocks=blocks, n_a=0, n_b=0, n_groups=0, n_links=0,
+                     groups_sha256="") for uid, doc_id, _, blocks, _ in rows]
+        uid, _, block, blocks, _ = rows[0]
+        out = dict(uid=uid, block=block, blocks=blocks, ok=len(good) == len(rows), docs=docs, pairs=[], counts=[],
+                   links=b"", head=None, body=None, tail=None)
         if not good:
             return out
         aligned = _align(tools, [lists_a[i] for i in good], [lists_b[i] for i in good], [raw[i] for i in good])
         pairs, place, counts = np.unique(aligned.links, return_inverse=True, return_counts=True)
-        out.update(pairs=pairs, counts=counts)
-        place = place.astype(np.int32)
+        order = np.argsort(-counts, kind="stable")
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        out.update(pairs=pairs[order], counts=counts[order], links=_packed(rank[place], len(pairs)))
         for k, i in enumerate(good):
-            docs[i].update(n_a=int(aligned.n_a[k]), n_b=int(aligned.n_b[k]), n_groups=int(aligned.n_groups[k]),
-                           links=place[aligned.first_link[k]:aligned.first_link[k + 1]])
-            if not long:
+            groups = int(aligned.n_groups[k])
+            docs[i].update(n_a=int(aligned.n_a[k]), n_b=int(aligned.n_b[k]), n_groups=groups, n_links=groups)
+            if blocks == 1:
                 docs[i]["groups_sha256"] = _digest(aligned.texts[k])
-        if long:
+        if blocks > 1:
             whole = _as_fragment(aligned.texts[0])
             out.update(head=whole.head.dump(), body=whole.body, tail=whole.tail.dump())
         return out
@@ -394,28 +409,30 @@ def long_digests(fragments: DataFrame, most: int, scratch: Scratch, fan_in: int
     return fragments.mapInArrow(run, "uid long, long_sha256 string")
 
 
-def _sum_rows(batches):
+SUMS_SCHEMA = pa.schema([
+    ("uid", pa.int64()), ("doc_id", pa.int64()), ("blocks", pa.int32()), ("n_a", pa.int64()), ("n_b", pa.int64()),
+    ("n_groups", pa.int64()), ("n_links", pa.int64()), ("n_best", pa.int64()), ("count_sum", pa.int64()),
+    ("groups_sha256", pa.string())])
+
+
+def _sum_rows(bundles: pa.Table, found: pa.Table) -> pa.Table:
     """Per document of a bundle: its links whose count is the highest of their id, and all counts."""
-    names = [c.split()[0] for c in SUMS.split(", ")]
-    for batch in batches:
-        for at in range(batch.num_rows):
-            docs = batch.column("docs").slice(at, 1).flatten()
-            found = batch.column("found").slice(at, 1).flatten()
-            place = found.field(0).to_numpy()
-            count, best = np.zeros(len(place), np.int64), np.zeros(len(place), np.int64)
-            count[place] = found.field(1).to_numpy()
-            best[place] = found.field(2).to_numpy(zero_copy_only=False)
-            links = docs.field(8)
-            sizes = np.diff(links.offsets.to_numpy())
-            flat = links.flatten().to_numpy()
-            edges = np.append(0, np.cumsum(sizes))
-
-            def sums(values):
-                total = np.append(0, np.cumsum(values[flat]))
-                return total[edges[1:]] - total[edges[:-1]]
-
-            fields = [docs.field(i) for i in (0, 1, 3, 4, 5, 6)]
-            yield record_batch(names, *fields, sizes.astype(np.int64), sums(best), sums(count), docs.field(7))
+    bundles = bundles.combine_chunks()
+    docs = bundles["docs"].chunk(0).flatten()
+    uid, doc_id, blocks, n_a, n_b, n_groups, n_links, digest = docs.flatten()
+    edges = np.append(0, np.cumsum(n_links.to_numpy()))
+    count, best = np.zeros(len(found), np.int64), np.zeros(len(found), np.int64)
+    place = found["place"].to_numpy()
+    count[place] = found["count"].to_numpy()
+    best[place] = found["best"].to_numpy()
+    links = _unpacked(bundles["links"][0].as_py(), int(edges[-1]), len(found)) if edges[-1] else np.zeros(0, np.int64)
+
+    def sums(values):
+        total = np.append(0, np.cumsum(values[links]))
+        return pa.array(total[edges[1:]] - total[edges[:-1]], pa.int64())
+
+    return pa.table([uid, doc_id, blocks, n_a, n_b, n_groups, n_links, sums(best), sums(count), digest],
+                    schema=SUMS_SCHEMA)
 
 
 def pair_counts(bundles: DataFrame) -> DataFrame:
@@ -445,19 +462,19 @@ def align_documents(docs: DataFrame, byte_path: str = BYTE_TOKENIZER, piece_path
     work = short.unionByName(cut.repartition("uid", "block"))
     bundles = scratch.write(work.mapInArrow(_bundle_rows(byte_path, piece_path, bundle_chars), BUNDLE), "bundles")
 
-    long = bundles.where("long_uid is not null")
-    spoilt = long.where("not ok").select("long_uid").distinct()
-    whole = long.join(spoilt, "long_uid", "left_anti")
-    short_bundles = bundles.where("long_uid is null")
-    counted = (short_bundles.select("bundle", "docs", "pairs", "counts")
-               .unionByName(whole.select("bundle", "docs", "pairs", "counts")))
+    long = bundles.where("blocks > 1")
+    spoilt = long.where("not ok").select("uid").distinct()
+    whole = long.join(spoilt, "uid", "left_anti")
+    kept = [*BUNDLE_KEY, "docs", "pairs", "counts", "links"]
+    counted = bundles.where("blocks = 1").select(kept).unionByName(whole.select(kept))
     pairs = scratch.write(pair_counts(counted), "pairs")
-    found = (counted.select("bundle", F.posexplode("pairs").alias("place", "pair")).join(pairs, "pair")
-             .groupBy("bundle").agg(F.collect_list(F.struct("place", "count", "best")).alias("found")))
-    nothing = F.array().cast("array<struct<place: int, count: long, best: boolean>>")
+    found = (counted.select(F.col("uid").alias("of_uid"), F.col("block").alias("of_block"),
+                            F.posexplode("pairs").alias("place", "pair")).join(pairs, "pair")
+             .select("of_uid", "of_block", "place", "count", F.col("best").cast("long").alias("best")))
     sums = scratch.write(
-        counted.select("bundle", "docs").join(found, "bundle", "left")
-        .select("docs", F.coalesce("found", nothing).alias("found")).mapInArrow(_sum_rows, SUMS), "sums")
+        counted.select(*BUNDLE_KEY, "docs", "links").groupBy(*BUNDLE_KEY)
+        .cogroup(found.groupBy("of_uid", "of_block"))
+        .applyInArrow(_sum_rows, SUMS), "sums")
     return (sums.where("blocks = 1").select(RESULT)
             .unionByName(_long_results(long, whole, sums.where("blocks > 1"), scratch, fan_in)))
 
@@ -465,14 +482,12 @@ def align_documents(docs: DataFrame, byte_path: str = BYTE_TOKENIZER, piece_path
 def _long_results(long: DataFrame, whole: DataFrame, sums: DataFrame, scratch: Scratch,
                   fan_in: int) -> DataFrame:
     """Sums over the blocks of each long text; zeros where one of its blocks is not given back."""
-    doc = F.element_at("docs", 1)
-    most = long.agg(F.max(doc["blocks"])).first()[0] or 0
-    fragments = whole.select(F.col("long_uid").alias("uid"), doc["block"].cast("long").alias("place"),
-                             "head", "body", "tail")
+    most = long.agg(F.max("blocks")).first()[0] or 0
+    fragments = whole.select("uid", F.col("block").cast("long").alias("place"), "head", "body", "tail")
     digests = long_digests(fragments, most, scratch, fan_in)
     numbers = RESULT[1:-1]
     totals = sums.groupBy("uid").agg(*[F.sum(c).alias(c) for c in numbers])
-    ids = long.where(doc["block"] == 0).select(F.col("long_uid").alias("uid"), doc["doc_id"].alias("doc_id"))
+    ids = long.where("block = 0").select("uid", F.element_at("docs", 1)["doc_id"].alias("doc_id"))
     return ids.join(totals, "uid", "left").join(digests, "uid", "left").select(
         "doc_id", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in numbers],
         F.coalesce("long_sha256", F.lit("")).alias("groups_sha256"))
