@@ -24,9 +24,11 @@ that share t values have one in common among all but the last t - 1 of each, in
 values the centre lacks first, slightly changed copies, and texts that only share a passage with the
 centre, hardly meet there; pairs that do are verified.
 
-That gives components, not all links. The join itself pairs any two sets of a bucket that neither leaves
-and verifies all of them; a large bucket is dealt into cells of its square, so no key is one task's work.
-Its result grows with the square of a group of near copies, as there is a link for any two.
+The verified pairs connect every component: any two linked sets are in one, and a chain of verified pairs
+leads from one to the other. Equal sets are one set, and its members stand beside the pairs. The links of
+a group of near copies are as many as its pairs, so they are not all written out.
+
+Very long texts are sets like others: a text is read whole by one task, and its keys are a row each.
 """
 
 from math import exp, sqrt
@@ -37,7 +39,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vitalcells.llm.graph import components
-from vitalcells.llm.arrow import LAST, by_key, longs, record_batch
+from vitalcells.llm.arrow import LAST, record_batch
 from vitalcells.llm.scratch import Scratch
 from vitalcells.llm.textbytes import (NOT_SPACE, mix, pieces, signed, windows_of, word_hashes,
                                       words_of)
@@ -51,8 +53,6 @@ FILTER_WORDS = 16
 SMALLEST = 4
 #: Rows of three numbers that may be broadcast; more are joined by a shuffle.
 MOST_BROADCAST = 200_000
-#: Sets of a bucket on one side of a cell, in which each is paired with each.
-CELL = 128
 _STEP = 0x9E3779B97F4A7C15
 
 SETS = "doc_id long, text_id long, n_shingles long, set_id long, sure int, spared int, keys array<long>"
@@ -211,20 +211,11 @@ def set_rows(size: int, percent: int):
     return run
 
 
-def full_buckets(batches):
-    """Sets of each key that has several, and their number. Input is sorted by key."""
-    for part in by_key(batches, ["key", "set_id"]):
-        key, ids = longs(part["key"]), longs(part["set_id"])
-        order = np.lexsort((ids, key))
-        key, ids = key[order], ids[order]
-        fresh = np.ones(len(key), bool)
-        fresh[1:] = (key[1:] != key[:-1]) | (ids[1:] != ids[:-1])
-        key, ids = key[fresh], ids[fresh]
-        opens = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-        count = np.diff(np.append(opens, len(key)))
-        size = np.repeat(count, count)
-        if (size > 1).any():
-            yield record_batch(["key", "set_id", "size"], key[size > 1], ids[size > 1], size[size > 1])
+def full_buckets(keys: DataFrame) -> DataFrame:
+    """Sets of each key (key, set_id) that has several, and their number."""
+    distinct = keys.repartition("key").distinct()
+    return (distinct.withColumn("size", F.count("*").over(Window.partitionBy("key")))
+            .where("size > 1"))
 
 
 def shingle_rows(size: int):
@@ -321,17 +312,6 @@ def _meeting(differences: DataFrame, percent: int) -> DataFrame:
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _all_meeting(kept: DataFrame) -> DataFrame:
-    """Any two sets (a, b) of a bucket, a < b, once per bucket that both keep."""
-    parts = (kept.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-             .select("key", F.ceil(F.col("size") / CELL).cast("int").alias("parts")))
-    dealt = kept.select("key", "set_id").join(parts, "key")
-    a = dealt.select("key", F.col("set_id").alias("a"), F.pmod(F.xxhash64("set_id"), "parts").cast("int").alias("part"))
-    b = dealt.select("key", F.col("set_id").alias("b"),
-                     F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    return a.join(b, ["key", "part"]).where("a < b").select("a", "b")
-
-
 def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"),
                        F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_id"), "text")
@@ -350,26 +330,12 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
 
 
 def jaccard_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
-    """All links (set_a, set_b) of two different sets that reach the threshold, set_a < set_b, once each;
-    and the members of the sets (doc_id, text_id, n_shingles, set_id), a row per document. Documents of
-    one set are linked with each other as well."""
-    documents, links = _components(docs, words, percent, join=True)
-    return (links.select(F.col("a").alias("set_a"), F.col("b").alias("set_b")),
-            documents.where("set_id is not null").select("doc_id", "text_id", "n_shingles", "set_id"))
-
-
-def jaccard_links(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """jaccard_components(), and to how many other rows each row is linked (n_links)."""
-    documents, links = _components(docs, words, percent, join=True)
-    copies = documents.where("set_id is not null").groupBy("set_id").agg(F.count("*").alias("copies"))
-    ends = links.select("a", "b").union(links.select("b", "a")).toDF("set_id", "other")
-    others = (ends.join(copies.toDF("other", "there"), "other").groupBy("set_id")
-              .agg(F.sum("there").alias("there")))
-    counts = copies.join(others, "set_id", "left").select(
-        "set_id", (F.col("copies") - 1 + F.coalesce("there", F.lit(0))).alias("linked"))
-    return (documents.join(counts, "set_id", "left")
-            .select("doc_id", "n_shingles", "component_id", "set_id",
-                    F.coalesce("linked", F.lit(0)).cast("long").alias("n_links")))
+    """Verified links (set_a, set_b) of different sets, set_a < set_b, once each, that connect every
+    component; and the members of the sets (doc_id, text_id, n_shingles, set_id, component_id), a row per
+    document with words."""
+    documents, links = _components(docs, words, percent)
+    members = documents.where("set_id is not null").select("doc_id", "text_id", "n_shingles", "set_id", "component_id")
+    return links.select(F.least("a", "b").alias("set_a"), F.greatest("a", "b").alias("set_b")).distinct(), members
 
 
 def representatives(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -379,25 +345,24 @@ def representatives(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     first = F.min(F.struct(F.coalesce("doc_id", F.lit(LAST)).alias("doc"), "text_id"))
     chosen = (found.where("label is not null").groupBy("label").agg(first.alias("r"))
               .select(F.col("r.doc").alias("r_doc"), F.col("r.text_id").alias("r_text")))
-    own = (docs.withColumn("r_doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)))
-           .withColumn("r_text", F.xxhash64(F.coalesce("text", F.lit("")))))
-    has_words = F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    # The whole row is one column, so that none of its names can clash.
+    own = docs.select(F.struct("*").alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("r_doc"),
+                      F.xxhash64(F.coalesce("text", F.lit(""))).alias("r_text"))
+    has_words = F.coalesce("row.text", F.lit("")).rlike(r"[^\x20\x09-\x0D]")
     once = own.where(has_words).join(chosen, ["r_doc", "r_text"], "left_semi")
     # Repeated rows share their key; one of each is kept.
     once = once.dropDuplicates(["r_doc", "r_text"])
-    return once.unionByName(own.where(~has_words)).select(*docs.columns)
+    return once.unionByName(own.where(~has_words)).select("row.*")
 
 
-def _components(docs: DataFrame, words: int, percent: int,
-                join: bool = False) -> tuple[DataFrame, DataFrame | None]:
+def _components(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """doc_id, text_id, n_shingles, set_id, label (of the component, null for empty sets) and
-    component_id of each document; if asked, also all links (a, b) of different sets."""
+    component_id of each document; and the verified links (a, b) of different sets."""
     scratch = Scratch(docs.sparkSession, "jaccard")
     texts = _texts(docs)
     table = scratch.write(texts.mapInArrow(set_rows(words, percent), SETS), "sets")
     rows = table.select(F.explode("keys").alias("key"), "set_id")
-    buckets = scratch.write(rows.repartition("key").sortWithinPartitions("key")
-                            .mapInArrow(full_buckets, "key long, set_id long, size long"), "buckets")
+    buckets = scratch.write(full_buckets(rows), "buckets")
     met = buckets.groupBy("set_id").agg(F.count("*").alias("degree"))
     holder = F.min(F.struct(F.coalesce("doc_id", F.lit(LAST)).alias("doc"), "text_id"))
     sizes = scratch.write(table.join(met, "set_id").groupBy("set_id")
@@ -489,8 +454,4 @@ def _components(docs: DataFrame, words: int, percent: int,
                  .select("doc_id", "text_id", "n_shingles", "set_id", "label",
                          F.when(F.col("set_id").isNull(), F.col("doc_id")).otherwise(F.col("smallest"))
                          .alias("component_id")))
-    if not join:
-        return documents, None
-    pairs = scratch.write(fitting(_all_meeting(kept)), "all-meeting")
-    sets = read_again(pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct())
-    return documents, scratch.write(_verified(pairs, sets, percent), "all-linked")
+    return documents, near.union(more)
