@@ -164,3 +164,9 @@ def sample_sizes(cohort: DataFrame, last_year: int, states: list[str]) -> DataFr
     wide = cohort.agg(*[F.count_if(c).alias(f"c{i}") for i, c in enumerate(conditions.values())])
     return long_form(wide, [], {k: [F.col(f"c{i}")] for i, k in enumerate(conditions)},
                      ["n"], "amostra")
+
+
+def with_canonical_ratio(sizes: DataFrame, ratio: DataFrame) -> DataFrame:
+    """Sample sizes and, as one more row, the full model's focal odds ratio to three places."""
+    row = ratio.select(F.lit("OR_M8_canonico_Indig").alias("amostra"), F.round("focal_or", 3).alias("n"))
+    return sizes.withColumn("n", F.col("n").cast("double")).unionByName(row)

@@ -13,6 +13,8 @@ from vitalcells.plans import reconcile as R
 from vitalcells.plans import studies as T
 from vitalcells.plans.reports import ratios_beside_odds
 from vitalcells.registry.base import EXPECTED_FILE_YEARS, IDS, Workspace, query
+from vitalcells.registry.newton_sql import (OTHER_EDUCATION, SETTINGS, VARIANT, compared, interval, newton,
+                                            standardised)
 from vitalcells.sources import star_births as S
 from vitalcells.sources.yearly import with_states
 
@@ -74,10 +76,7 @@ select amostra, cast(nosso as double) as nosso, cast(referencia as double) as re
 def _(w):
     ours = D.sample_sizes(w.cohort, S.YEARS[1], [])
     theirs = D.sample_sizes(variant_cohort(w), S.YEARS[1], [])
-    run = w.run("variant", True)
-    ratio = R.focal_rows(T.effect_table(w.spark, [(run.fit(run.ladder()[-1]), "model")])).select(
-        F.lit("OR_M8").alias("amostra"), F.col("estimativa").alias("n"))
-    return R.sample_sizes(ours, theirs.unionByName(ratio))
+    return R.sample_sizes(ours, theirs)
 
 
 @query("d03_ratio_by_model", f"""
@@ -95,7 +94,10 @@ def _(w):
         r6(F.col(c)).alias(c) for c in ("nosso", "referencia", "delta")])
 
 
-@query("d03_ratio_by_model_ladder")
+@query("d03_ratio_by_model_ladder", f"""
+with recursive {newton("a", SETTINGS.ladder(), "cohort")}, {newton("v", SETTINGS.ladder(), "cohort", **VARIANT)}
+select modelo, grupo, {compared("exp(a.b)", "exp(v.b)")} from a_effects a join v_effects v using (modelo, grupo)
+where grupo = 'Indigena'""")
 def _(w):
     """Focal odds ratios of all eight models, ours beside the variant's."""
     tables = [T.effect_table(w.spark, [(f, "model") for f in run.fit_all(run.ladder())])
@@ -114,7 +116,10 @@ def _(w):
                                               national_ratios(w, "variant", ("M1_logit",))))
 
 
-@query("d04_odds_vs_prevalence_ratio_models")
+@query("d04_odds_vs_prevalence_ratio_models", f"""
+with recursive {newton("a", SETTINGS.national(), "cohort")}, {newton("v", SETTINGS.national(), "cohort", **VARIANT)}
+select split_part(modelo, '_', 1) as modelo, grupo, case when a.family = 'binomial' then 'OR' else 'RR' end as medida,
+  {compared("exp(a.b)", "exp(v.b)")} from a_effects a join v_effects v using (modelo, grupo) where grupo = 'Indigena'""")
 def _(w):
     """Odds and prevalence ratios of M1, M5 and M8, ours beside the variant's."""
     names = [t.model.name for t in w.run("ESCMAE", True).national()]
@@ -134,7 +139,11 @@ def _(w):
         r6(F.col(c)).alias(c) for c in ("nosso", "referencia", "delta")])
 
 
-@query("d05_adjusted_probability_m5")
+ADJUSTED_SQL = f"""{newton("a", SETTINGS.ladder()[4:5], "cohort")}, {newton("v", SETTINGS.ladder()[4:5], "cohort", **VARIANT)},
+p as (select grupo, {compared("o.v", "r.v")} from ({standardised("a", "M5_PRIMARY")}) o join ({standardised("v", "M5_PRIMARY")}) r using (grupo))"""
+
+
+@query("d05_adjusted_probability_m5", f"with recursive {ADJUSTED_SQL} select * from p")
 def _(w):
     """Probabilities standardised over the covariates of M5, ours beside the variant's."""
     tables = [T.adjusted_probabilities(run, run.ladder()[4])
@@ -167,7 +176,18 @@ def _(w):
         *[r6(F.col(c)).alias(c) for c in ("razao", "razao_low", "razao_high")])
 
 
-@query("d07_ratio_beside_odds_ladder")
+# Odds ratios of the ladder beside the prevalence ratios of the models that have them.
+ODDS_AND_RATES_SQL = f"""{newton("f", SETTINGS.ladder() + SETTINGS.or_vs_rr()[1::2], "focus")},
+o as (select o.modelo, o.grupo, o.nobs, exp(o.b) as odds, {interval("o.b", "o.se", "odds")}, exp(r.b) as razao,
+    {interval("r.b", "r.se_hc0", "razao")}
+  from f_effects o left join f_effects r on r.family = 'poisson' and r.grupo = o.grupo
+    and split_part(r.modelo, '_', 1) = split_part(o.modelo, '_', 1) where o.family = 'binomial')"""
+
+
+@query("d07_ratio_beside_odds_ladder", f"""
+with recursive {ODDS_AND_RATES_SQL}
+select modelo, grupo, round(odds, 6) as odds, round(razao, 6) as razao, round(razao_low, 6) as razao_low,
+  round(razao_high, 6) as razao_high from o""")
 def _(w):
     """Odds ratios of all eight models with the prevalence ratios of M1, M5 and M8 beside them."""
     run = w.run()
@@ -178,7 +198,15 @@ def _(w):
         *[r6(F.col(c)).alias(c) for c in ("razao", "razao_low", "razao_high")])
 
 
-@query("d08_education_ratios")
+def education_sql(p: str, name: str) -> str:
+    return f"""select split_part(modelo, '_', 1) as modelo, grupo, case when family = 'binomial' then 'OR' else 'RR' end as medida,
+  round(exp(b), 6) as {name}_estimativa, {interval("b", "case when family = 'binomial' then se else se_hc0 end", f"{name}_ic", True)}
+  from {p}_effects"""
+
+
+@query("d08_education_ratios", f"""
+with recursive {newton("a", SETTINGS.or_vs_rr()[2:], "focus")}, {newton("v", SETTINGS.or_vs_rr()[2:], "focus", **OTHER_EDUCATION)}
+select * from ({education_sql("a", "escmae")}) join ({education_sql("v", "escmae2010")}) using (modelo, grupo, medida)""")
 def _(w):
     """Odds and prevalence ratios of M5 and M8 under both education variables."""
     def table(arm, name):
@@ -252,7 +280,13 @@ def _(w):
         "modelo", r6(F.col("estimativa")).alias("estimativa"), F.round("aic", 4).alias("aic"), "n", "publicado")
 
 
-@query("d12_published_ratios_models")
+PUBLISHED_SQL = "(values " + ", ".join(f"('{m}', {v})" for m, v in V.PUBLISHED_FOCAL_OR.items()) + ") as p(curto, publicado)"
+
+
+@query("d12_published_ratios_models", f"""
+with recursive {newton("v", SETTINGS.variant(), "cohort", **VARIANT)}
+select modelo, round(exp(b), 6) as estimativa, round(aic, 4) as aic, nobs as n, cast(k as int) as n_params, cast(publicado as double) as publicado
+from v_effects left join {PUBLISHED_SQL} on curto = split_part(modelo, '_', 1) where grupo = 'Indigena'""")
 def _(w):
     """Focal odds ratios of all published models beside the published ones, with their parameters."""
     run = w.run("variant", True)

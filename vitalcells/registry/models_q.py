@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from vitalcells.plans import studies as T
 from vitalcells.plans.studies import Task
 from vitalcells.operators.glm import Model
-from vitalcells.registry.aggregates_q import FOCUS_LABELS, rounded
+from vitalcells.operators import describe as D
+from vitalcells.registry.aggregates_q import FOCUS_LABELS, SIZE_CONDITIONS, rounded
 from vitalcells.registry.base import Workspace, query
 from vitalcells.registry.joins_q import crude_sql
 from vitalcells.registry.newton_sql import (OTHER_EDUCATION, SETTINGS, SQL_COLUMN, VARIANT, newton,
@@ -154,6 +155,17 @@ def _(w):
     return effect_rows(w, [(f, "model") for f in run.fit_all(run.ladder())])
 
 
+@query("e19_sample_sizes_and_ratio", f"""with recursive {newton('f', SETTINGS.ladder()[7:], 'focus')}
+""" + " union all ".join(f"select '{name}' as amostra, cast(count(*) as double) as n from focus where {cond}"
+                         for name, cond in SIZE_CONDITIONS.items())
+       + " union all select 'OR_M8_canonico_Indig', round(exp(b), 3) from f_effects where grupo = 'Indigena'")
+def _(w):
+    """The sample sizes, and the full model's focal odds ratio that goes with them."""
+    run = w.run()
+    return D.with_canonical_ratio(D.sample_sizes(w.focus, S.YEARS[1], w.focus_states),
+                                  T.focal_ratios(w.spark, [run.fit(run.ladder()[-1])]))
+
+
 @query("h06_effect_rows", f"""
 with {crude_sql("a", "in_primary", "focus")}, {crude_sql("s", "in_primary and singleton", "focus")}
 {effect_sql("M1_Crude", "OR", "model", "b", "se", "aic", "a")} union all

@@ -127,6 +127,18 @@ def newton(p: str, tasks: list[Task], source: str, primary: str = "in_primary",
     return sql
 
 
+def compared(ours: str, theirs: str) -> str:
+    """Both values and their difference, rounded."""
+    return (f"round({ours}, 6) as nosso, round({theirs}, 6) as referencia, "
+            f"round({ours} - {theirs}, 6) as delta")
+
+
+def interval(b: str, se: str, name: str, rounded: bool = False) -> str:
+    """Both ends of a ratio's 95 % interval."""
+    ends = [(f"exp({b} {sign} 1.959963984540054 * ({se}))", f"{name}_{end}") for sign, end in (("-", "low"), ("+", "high"))]
+    return ", ".join(f"{'round(' if rounded else ''}{sql}{', 6)' if rounded else ''} as {column}" for sql, column in ends)
+
+
 def standardised(p: str, model: str) -> str:
     """Mean prediction of one model of {p} with the exposure set to each group: (grupo, v in percent)."""
     return f"""
