@@ -75,14 +75,18 @@ def with_flags(births: DataFrame, rules: Rules) -> DataFrame:
     })
 
 
-def cascade(births: DataFrame, rules: Rules) -> DataFrame:
-    """Rows left after each step, all counted in one aggregation."""
+def running_steps(rules: Rules) -> list[tuple[str, Column]]:
+    """Each step with the condition for rows that are left after it."""
     running, passed = [], None
     for name, condition in rules.steps:
         passed = condition if passed is None else passed & condition
         running.append((name, passed))
-    steps = [(V.STEP_NAMES[0], F.lit(True)), *running,
-             (V.STEP_NAMES[6], passed & rules.sensitivity)]
+    return [(V.STEP_NAMES[0], F.lit(True)), *running, (V.STEP_NAMES[6], passed & rules.sensitivity)]
+
+
+def cascade(births: DataFrame, rules: Rules) -> DataFrame:
+    """Rows left after each step, all counted in one aggregation."""
+    steps = running_steps(rules)
     counts = births.agg(*[F.count_if(keep).alias(f"n{i}") for i, (_, keep) in enumerate(steps)])
     pairs = F.array(*[F.struct(F.lit(i).alias("ordem"), F.lit(name).alias("passo"),
                                F.col(f"n{i}").alias("n")) for i, (name, _) in enumerate(steps)])

@@ -130,6 +130,11 @@ def exposure_missing_grid(births: DataFrame, years: list[int], states: DataFrame
         F.count_if(race.isNull()).alias("missing_n"),
         F.count_if(race == V.RACE_OTHER_CODE).alias("outra_n"),
         F.count_if(race == 9).alias("codigo9_n"))
+    return exposure_grid(counts, years, states)
+
+
+def exposure_grid(counts: DataFrame, years: list[int], states: DataFrame) -> DataFrame:
+    """Counts per year and state with the empty combinations and percentages."""
     grid = dense(counts, states, {"ANO": years}, "n_total")
     return grid.select(
         "ANO", "UF", "n_total",

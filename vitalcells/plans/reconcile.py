@@ -52,6 +52,21 @@ def published_ratios(effects: DataFrame) -> DataFrame:
             .select("modelo", "estimativa", "aic", "n", "publicado"))
 
 
+def audit_numbers(audit: DataFrame) -> DataFrame:
+    """Parameters and AIC of each audited model as (metrica, valor)."""
+    return audit.select(F.inline(F.array(
+        F.struct(F.concat("modelo", F.lit(" n_params")).alias("metrica"), F.col("n_params").cast("double").alias("valor")),
+        F.struct(F.concat("modelo", F.lit(" aic")).alias("metrica"), F.round("aic", 2).alias("valor")))))
+
+
+def exclusion_numbers(groups: DataFrame) -> DataFrame:
+    """The comparison of included and excluded rows as (metrica, valor)."""
+    values = [c for c in groups.columns if c != "grupo"]
+    return groups.select(F.inline(F.array(*[
+        F.struct(F.concat_ws(" ", "grupo", F.lit(c)).alias("metrica"), F.col(c).cast("double").alias("valor"))
+        for c in values])))
+
+
 def section(table: DataFrame, name: str, key: Column) -> DataFrame:
     """A comparison as rows of the long reconciliation table."""
     return table.select(F.lit(name).alias("secao"), key.cast("string").alias("metrica"),

@@ -81,11 +81,13 @@ def largest_states(prevalence: DataFrame, top: int = 20) -> DataFrame:
 
 
 def numbers(section: str, table: DataFrame, metric: Column, key: Column, value: Column,
-            text: Column) -> DataFrame:
-    """One section of the consolidated numbers."""
+            text: Column, reference: Column | None = None) -> DataFrame:
+    """One section of the consolidated numbers, with the other team's value where there is one."""
+    other = (F.lit(None) if reference is None else reference).cast("double")
     return table.select(F.lit(section).alias("secao"), metric.cast("string").alias("metrica"),
                         key.cast("string").alias("chave"), value.cast("double").alias("valor"),
-                        text.alias("texto"))
+                        text.alias("texto"), other.alias("referencia"),
+                        (value.cast("double") - other).alias("delta"))
 
 
 def consolidated(sections: list[DataFrame], expected: DataFrame) -> DataFrame:
@@ -94,7 +96,8 @@ def consolidated(sections: list[DataFrame], expected: DataFrame) -> DataFrame:
     gaps = expected.join(found.where("valor is not null"), ["secao", "metrica"], "left_anti").select(
         F.lit("pendencias").alias("secao"), "metrica", F.lit("").alias("chave"),
         F.lit(None).cast("double").alias("valor"),
-        F.concat(F.lit("FALTA: "), "secao", F.lit(" "), "metrica").alias("texto"))
+        F.concat(F.lit("FALTA: "), "secao", F.lit(" "), "metrica").alias("texto"),
+        F.lit(None).cast("double").alias("referencia"), F.lit(None).cast("double").alias("delta"))
     return found.unionByName(gaps)
 
 

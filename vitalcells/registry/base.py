@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from vitalcells.fixed_values import PROFILED
 from vitalcells.operators import cells as C
 from vitalcells.operators import cohort as K
+from vitalcells.plans.cube import measure_cube
 from vitalcells.plans.studies import Run
 from vitalcells.sources import star_births as S
 from vitalcells.sources.yearly import (normalise, open_years, scan_years, schema_rows,
@@ -77,6 +78,17 @@ class Workspace:
 
         return stored(self.spark, f"{self.root}/cohort", build)
 
+    @cached_property
+    def cube(self) -> DataFrame:
+        """Counts of all states by year and exposure group, for both teams' samples, from one pass."""
+        arms = {"ours": C.ARMS["ESCMAE"], "theirs": C.ARMS["variant"]}
+        return stored(self.spark, f"{self.root}/cube", lambda: measure_cube(
+            self.cohort, self.rules["ESCMAE"], {p: (arm.primary, arm.sensitivity) for p, arm in arms.items()}))
+
+    @property
+    def focus_cube(self) -> DataFrame:
+        return self.cube.where(F.col("UF").isin(self.focus_states))
+
     @property
     def focus(self) -> DataFrame:
         return self.cohort.where(F.col("uf_code").isin(*S.FOCUS_CODES))

@@ -7,13 +7,18 @@ from vitalcells.functions.text import count_text, decimal_text, interval_text
 from vitalcells.operators import describe as D
 from vitalcells.operators.cohort import cascade, inclusion_groups
 from vitalcells.operators.reshape import excluded_per_step, union_all
+from vitalcells.plans import cube as Q
 from vitalcells.plans import reconcile as C
 from vitalcells.plans import reports as R
 from vitalcells.plans import studies as T
 from vitalcells.registry.aggregates_q import EXPOSURE_GRID_SQL, exposure_grid, rounded
 from vitalcells.registry.base import Workspace, query
-from vitalcells.registry.joins_q import crude_sql, variant_cohort
-from vitalcells.registry.models_q import Z, cluster_sql
+from vitalcells.registry.joins_q import (ADJUSTED_SQL, ODDS_AND_RATES_SQL, PUBLISHED_SQL, crude_sql,
+                                         variant_cohort)
+from vitalcells.registry.models_q import (BLOCK, KNOWN_MONTH, STRATA, STRATUM, WITH_CLUSTER, YEAR, Z,
+                                          cluster_sql)
+from vitalcells.registry.newton_sql import (OTHER_EDUCATION, SETTINGS, VARIANT, compared, newton,
+                                            standardised)
 from vitalcells.registry.normalise_q import br_sql
 from vitalcells.registry.reshape_q import TOP_STATES_SQL
 from vitalcells.registry.sources_q import CASCADE_SQL
@@ -49,7 +54,27 @@ def _(w):
     return R.revised_table2(odds, rates)
 
 
-@query("i01_revised_table2")
+def table2_cell(g: str) -> str:
+    """Text cells of one group; a model without prevalence ratio has blanks."""
+    def one(value):
+        return f"max(case when grupo = '{g}' then {value} end)"
+
+    def ends(name):
+        return f"{br_sql(one(f'{name}_low'), 3)} || '–' || {br_sql(one(f'{name}_high'), 3)}"
+
+    key = g.lower()
+    return (f"{br_sql(one('odds'), 3)} as {key}_or, {ends('odds')} as {key}_ic, {br_sql(one('razao'), 3)} as {key}_pr, "
+            f"case when {one('razao')} is null then '' else {ends('razao')} end as {key}_pr_ic")
+
+
+REMOVED = "100 * (round(c.odds, 3) - round(o.odds, 3)) / (round(c.odds, 3) - 1)"
+
+
+@query("i01_revised_table2", f"""
+with recursive {ODDS_AND_RATES_SQL},
+r as (select o.*, case when {REMOVED} = 0 then 0 else {REMOVED} end as removed from o join o c on c.modelo = 'M1_Crude' and c.grupo = o.grupo)
+select replace(modelo, '_', ' ') as modelo, {br_sql("max(nobs)", 0)} as n, {", ".join(table2_cell(g) for g in V.RACE_LEVELS[1:])},
+  {br_sql("max(case when grupo = 'Indigena' then removed end)", 1)} as indigena_pct_atenuacao from r group by modelo""")
 def _(w):
     return R.revised_table2(*odds_and_rates(w))
 
@@ -93,7 +118,7 @@ def _(w):
     ]))
 
 
-@query("i02_reconciliation_adjusted")
+@query("i02_reconciliation_adjusted", f"with recursive {ADJUSTED_SQL} select * from p")
 def _(w):
     """Adjusted probabilities of the primary model (M5), ours beside the variant cohort's. The rows of
     i02_reconciliation are of the crude model, which has SQL."""
@@ -101,12 +126,83 @@ def _(w):
     return rounded(C.probabilities(*[T.adjusted_probabilities(run, run.ladder()[4]) for run in runs]))
 
 
-@query("i02_reconciliation_models")
+SIDES = {"o": ("in_primary", "in_sens"), "r": ("in_primary_var", "in_sens_var")}
+
+
+def size_counts(primary: str, sens: str) -> dict[str, str]:
+    return {"primaria_M1-5": primary, "sensibilidade_M6-8": sens, "singletons_primaria": f"{primary} and singleton",
+            "singletons_sensib": f"{sens} and singleton", "mesprenat_subsample": f"{sens} and MESPRENAT between 1 and 9",
+            "sem_ultimo_ano_primaria": f"{primary} and ANO < 2001", "sem_ultimo_ano_sensib": f"{sens} and ANO < 2001",
+            "ultimo_ano_contribuicao": f"{primary} and ANO = 2001"}
+
+
+def sizes_sql(side: str) -> str:
+    return " union all ".join(f"select 'amostras' as secao, '{name}' as metrica, cast(count(*) as double) as v from cohort where {cond}"
+                              for name, cond in size_counts(*SIDES[side]).items())
+
+
+def excluded_sql(side: str) -> str:
+    primary = SIDES[side][0]
+    groups = {"Incluidos": primary, "Excluidos(so raca-valida)": f"ok_race and not {primary}", "Excluidos(cascata completa)": f"not {primary}"}
+    values = {"n": "cast(count(*) as double)", "ptb_pct": "100 * avg(ptb)",
+              "raca_indigena_pct": "coalesce(100.0 * count(case when raca = 'Indigena' then 1 end) / nullif(count(raca), 0), 0)",
+              "raca_outra_missing_pct": "100.0 * count(case when RACACORMAE is null or RACACORMAE = 3 then 1 end) / nullif(count(*), 0)"}
+    return " union all ".join(f"select 'excluidos' as secao, '{g} {name}' as metrica, {value} as v from cohort where {cond}"
+                              for g, cond in groups.items() for name, value in values.items())
+
+
+def models_sql(p: str, side: str) -> str:
+    """The sections that come from fits named by the prefix p."""
+    focal = f"from {p}_effects where grupo = 'Indigena'"
+    later = "('M6_+Prenat', 'M7_+Paridade', 'M8_FULL')"
+    return f"""
+select 'or_modelo' as secao, modelo as metrica, exp(b) as v {focal} and family = 'binomial'
+union all select 'desenho', modelo || ' n_params', cast(k as double) {focal} and modelo in {later}
+union all select 'desenho', modelo || ' aic', round(aic, 2) {focal} and modelo in {later}
+union all select 'or_pr', 'OR ' || split_part(modelo, '_', 1), exp(b) {focal} and modelo in ('M1_Crude', 'M5_PRIMARY', 'M8_FULL')
+union all select 'or_pr', 'PR ' || split_part(modelo, '_', 1), exp(b) {focal} and family = 'poisson'
+union all select 'probabilidades', grupo, v from ({standardised(p, "M5_PRIMARY")})
+union all select 'anos', cast(ANO as varchar), cast(count(*) as double) from cohort where {SIDES[side][0]} group by ANO"""
+
+
+RECONCILED_TASKS = SETTINGS.ladder() + SETTINGS.or_vs_rr()[1::2]
+
+
+@query("i02_reconciliation_models", f"""
+with recursive {newton("a", RECONCILED_TASKS, "cohort")}, {newton("v", RECONCILED_TASKS, "cohort", **VARIANT)},
+o as ({sizes_sql("o")} union all {models_sql("a", "o")} union all {excluded_sql("o")}),
+r as ({sizes_sql("r")} union all {models_sql("v", "r")} union all {excluded_sql("r")}),
+parts as (select secao, metrica, o.v as nosso, r.v as referencia from o join r using (secao, metrica)
+  union all select 'publicado', e.modelo, exp(e.b), p.publicado from v_effects e join {PUBLISHED_SQL} on curto = split_part(e.modelo, '_', 1)
+    where e.grupo = 'Indigena' and e.family = 'binomial')
+select secao, metrica, {compared("nosso", "referencia")} from parts""")
 def _(w):
-    """Focal odds ratios of all models, ours beside the other education variable's."""
-    tables = [T.effect_table(w.spark, [(f, "model") for f in w.run(arm).fit_all(w.run(arm).ladder())])
-              for arm in ("ESCMAE", "ESCMAE2010")]
-    return rounded(C.ratios_by_model(*tables))
+    """All sections of the reconciliation over all models: ours beside the variant cohort's, and the
+    variant's focal ratios beside the published ones. Counts come from the cube."""
+    runs = {"ours": w.run("ESCMAE", True), "theirs": w.run("variant", True)}
+    fits = {p: run.fit_all(run.ladder()) for p, run in runs.items()}
+    odds = {p: T.effect_table(w.spark, [(f, "model") for f in fits[p]]) for p in runs}
+    rates = {p: T.effect_table(w.spark, [(f, "hc0") for f in run.fit_all(run.or_vs_rr()[1::2])])
+             for p, run in runs.items()}
+    audits = {p: C.audit_numbers(T.design_audit(w.spark, fits[p][5:])) for p in runs}
+    measured = {p: odds[p].where(F.split("modelo", "_")[0].isin("M1", "M5", "M8")).unionByName(rates[p])
+                .withColumn("modelo", F.split("modelo", "_")[0]) for p in runs}
+    adjusted = [T.adjusted_probabilities(run, run.ladder()[4]) for run in runs.values()]
+    published = C.published_ratios(odds["theirs"]).where("publicado is not null").select(
+        "modelo", F.col("estimativa").alias("nosso"), F.col("publicado").alias("referencia"),
+        (F.col("estimativa") - F.col("publicado")).alias("delta"))
+    return rounded(union_all([
+        C.section(C.sample_sizes(*[Q.sizes(w.cube, p, S.YEARS[1]) for p in runs]), "amostras", F.col("amostra")),
+        C.section(C.ratios_by_model(*odds.values()), "or_modelo", F.col("modelo")),
+        C.section(C.compare(*audits.values(), ["metrica"], "valor"), "desenho", F.col("metrica")),
+        C.section(C.ratios_by_measure(*measured.values()), "or_pr", F.concat_ws(
+            " ", F.when(F.col("medida") == "RR", "PR").otherwise(F.col("medida")), "modelo")),
+        C.section(C.probabilities(*adjusted), "probabilidades", F.col("grupo")),
+        C.section(C.year_counts(*[Q.year_counts(w.cube, p) for p in runs]), "anos", F.col("ano")),
+        C.section(published, "publicado", F.col("modelo")),
+        C.section(C.compare(*[C.exclusion_numbers(Q.included_vs_excluded(w.cube, p)) for p in runs],
+                            ["metrica"], "valor"), "excluidos", F.col("metrica")),
+    ]))
 
 
 EXPECTED = (("amostras", "primaria_M1-5"), ("amostras", "PR_por_UF"), ("cascata", "0_CO_bruto"),
