@@ -5,13 +5,13 @@ from pyspark.sql import functions as F
 from vitalcells import fixed_values as V
 from vitalcells.functions.text import count_text, decimal_text, interval_text
 from vitalcells.operators import describe as D
-from vitalcells.operators.cohort import cascade, inclusion_groups
 from vitalcells.operators.reshape import excluded_per_step, union_all
 from vitalcells.plans import cube as Q
 from vitalcells.plans import reconcile as C
 from vitalcells.plans import reports as R
 from vitalcells.plans import studies as T
-from vitalcells.registry.aggregates_q import EXPOSURE_GRID_SQL, exposure_grid, rounded
+from vitalcells.registry.aggregates_q import (EXPOSURE_GRID_SQL, MISSING_CONDITIONS, STUDY_YEARS,
+                                              rounded)
 from vitalcells.registry.base import Workspace, query
 from vitalcells.registry.joins_q import (ADJUSTED_SQL, ODDS_AND_RATES_SQL, PUBLISHED_SQL, crude_sql,
                                          variant_cohort)
@@ -237,7 +237,7 @@ rows as (
   union all select 'pendencias', 'PR_por_UF', '', null, 'FALTA: amostras PR_por_UF'
   union all select 'pendencias', 'M9', '', null, 'FALTA: tabela2 M9'
   union all select 'pendencias', 'pr_estratificado', '', null, 'FALTA: heterogeneidade pr_estratificado')
-select secao, metrica, chave, round(valor, 6) as valor, texto from rows""")
+select secao, metrica, chave, round(valor, 6) as valor, texto, cast(null as double) as referencia, cast(null as double) as delta from rows""")
 def _(w):
     odds, _rates = odds_and_rates(w, 1)
     return rounded(consolidated(w, odds))
@@ -250,8 +250,8 @@ REPORTED_SAMPLES = ("primaria_M1-5", "sensibilidade_M6-8", "singletons_primaria"
 
 def exclusions(w):
     """Included against excluded rows, and the range of missing exposure with its state and year."""
-    groups = D.included_vs_excluded(inclusion_groups(w.focus))
-    edges = R.extremes(rounded(exposure_grid(w)), "missing_pct")
+    groups = Q.included_vs_excluded(w.focus_cube, "ours")
+    edges = R.extremes(rounded(focus_grid(w)), "missing_pct")
     shares = (("ptb_pct", 2), (f"raca_{V.RACE_FOCAL.lower()}_pct", 1), ("raca_outra_missing_pct", 1))
     return [
         R.numbers("incluidos_excluidos", groups, F.lit("n"), F.col("grupo"), F.col("n"), count_text(F.col("n"))),
@@ -262,26 +262,37 @@ def exclusions(w):
           for name, at in (("minimo", "min"), ("maximo", "max"))]]
 
 
+def focus_grid(w):
+    """Missing exposure by year and focus state, from the cube."""
+    states = w.states.where(F.col("uf_code").isin(*S.FOCUS_CODES)).select("UF")
+    return Q.exposure_grid(w.focus_cube, STUDY_YEARS, states).withColumnsRenamed({"ANO": "ano", "UF": "uf"})
+
+
 def consolidated(w, odds, extra=(), whole=False):
-    """The numbers that need no model beyond the given odds ratios, plus any extra sections. The short
-    form has one sample and one missing variable, as its SQL; the whole has those of the report."""
-    blank = F.lit("")
-    sizes = D.sample_sizes(w.focus, S.YEARS[1], []).where(
+    """The numbers that need no model beyond the given odds ratios, plus any extra sections. All counts
+    come from the cube. The short form has one sample and one missing variable, as its SQL; the whole
+    has those of the report, and the other team's sample sizes beside ours."""
+    cube, blank = w.focus_cube, F.lit("")
+    sizes = Q.sizes(cube, "ours", S.YEARS[1]).where(
         F.col("amostra").isin(*REPORTED_SAMPLES) if whole else "amostra = 'primaria_M1-5'")
-    steps = excluded_per_step(cascade(w.focus, w.rules["ESCMAE"]))
-    groups = D.prevalence(w.focus, "raca")
-    states = D.prevalence(w.focus, "UF", "raca")
+    reference = None
+    if whole:
+        theirs = Q.sizes(cube, "theirs", S.YEARS[1]).withColumnRenamed("n", "theirs")
+        sizes, reference = sizes.join(theirs, "amostra"), F.col("theirs")
+    steps = excluded_per_step(Q.cascade(cube, w.rules["ESCMAE"]))
+    groups = Q.prevalence(cube, "ours", "raca")
+    states = Q.prevalence(cube, "ours", "UF", "raca")
     pct = F.col("ptb_pct")
     gap = groups.agg((F.max(F.when(F.col("raca") == V.RACE_FOCAL, pct))
                       - F.max(F.when(F.col("raca") == V.RACE_REFERENCE, pct))).alias("gap"))
-    missing = D.missing_by_group(w.focus).where("grupo <> 'TOTAL'")
+    missing = Q.missing_by_group(cube)
     if not whole:
         missing = missing.where("variavel = 'Idade gestacional'")
-    by_state = rounded(exposure_grid(w)).groupBy("uf").agg(F.avg("missing_pct").alias("media"))
+    by_state = rounded(focus_grid(w)).groupBy("uf").agg(F.avg("missing_pct").alias("media"))
     estimate = F.concat(decimal_text(F.col("estimativa")), F.lit(" ("),
                         interval_text(F.col("ic_low"), F.col("ic_high")), F.lit(")"))
     sections = [
-        R.numbers("amostras", sizes, F.col("amostra"), blank, F.col("n"), count_text(F.col("n"))),
+        R.numbers("amostras", sizes, F.col("amostra"), blank, F.col("n"), count_text(F.col("n")), reference),
         R.numbers("cascata", steps, F.col("passo"), F.col("ordem"), F.col("n"), count_text(F.col("n"))),
         R.numbers("tabela2", odds, F.col("modelo"), F.col("grupo"), F.col("estimativa"), estimate),
         R.numbers("prevalencia", groups, F.lit("ptb_pct"), F.col("raca"), pct, decimal_text(pct, 1)),
@@ -298,7 +309,90 @@ def consolidated(w, odds, extra=(), whole=False):
     return R.consolidated(sections, expected)
 
 
-@query("i03_consolidated_numbers_models")
+NUMBER_TASKS = (SETTINGS.ladder() + SETTINGS.or_vs_rr()[1::2] + SETTINGS.interaction() + SETTINGS.stratified(STRATA)
+                + SETTINGS.yearly() + SETTINGS.blocks() + SETTINGS.prenatal())
+LADDER_NAMES = ", ".join(f"'{t.model.name}'" for t in SETTINGS.ladder())
+
+
+def focal_numbers(section: str, tasks, p: str = "f") -> str:
+    names = ", ".join(f"'{t.model.name}'" for t in tasks)
+    return (f"select '{section}', modelo, grupo, exp(b), {br_sql('exp(b)', 3)} from {p}_effects "
+            f"where grupo = 'Indigena' and modelo in ({names})")
+
+
+def percent_numbers(section: str, metric: str, key: str, value: str, digits: int, source: str) -> str:
+    return f"select '{section}', {metric}, {key}, {value}, {br_sql(value, digits)} from {source}"
+
+
+def sample_numbers() -> str:
+    ours, theirs = size_counts(*SIDES["o"]), size_counts(*SIDES["r"])
+    return " union all ".join(
+        f"select 'amostras' as secao, '{name}' as metrica, '' as chave, cast(count(case when {ours[name]} then 1 end) as double) as valor, "
+        f"{br_sql(f'count(case when {ours[name]} then 1 end)', 0)} as texto, "
+        f"cast(count(case when {theirs[name]} then 1 end) as double) as referencia from focus" for name in REPORTED_SAMPLES)
+
+
+INCLUSION_SQL = " union all ".join(
+    f"select '{g}' as grupo, count(*) as n, 100 * avg(ptb) as ptb_pct, "
+    "coalesce(100.0 * count(case when raca = 'Indigena' then 1 end) / nullif(count(raca), 0), 0) as raca_indigena_pct, "
+    "100.0 * count(case when RACACORMAE is null or RACACORMAE = 3 then 1 end) / nullif(count(*), 0) as raca_outra_missing_pct "
+    f"from focus where {cond}" for g, cond in (("Incluidos", "in_primary"), ("Excluidos(so raca-valida)", "ok_race and not in_primary"),
+                                               ("Excluidos(cascata completa)", "not in_primary")))
+
+WHOLE_NUMBERS_SQL = f"""
+with recursive {newton("f", NUMBER_TASKS, "focus", where=YEAR | BLOCK | STRATUM | KNOWN_MONTH)},
+{newton("g", SETTINGS.ladder(), "focus", **OTHER_EDUCATION)},
+fsteps as ({" union all ".join(f"select {i} as ordem, '{name}' as passo, count(*) as n from focus where {cond}" for i, (name, cond) in enumerate((
+    ("0_CO_bruto", "true"), ("1_raca_valida(excl Amarela/null)", "ok_race"), ("2_SEMAGESTAC 22-44 nao-missing", "ok_race and ok_weeks"),
+    ("3_ESCMAE presente", "ok_race and ok_weeks and ok_edu"), ("4_IDADEMAE 10-60", "in_primary"),
+    ("5_ano/UF/municipio presente", "in_primary"), ("6_sensib(+cons,parid,estciv)", "in_sens"))))}),
+grid as ({EXPOSURE_GRID_SQL}),
+p as (select raca, 100 * avg(ptb) as v from focus where in_primary group by 1),
+d as (select (select v from p where raca = 'Indigena') - (select v from p where raca = 'Branca') as v),
+u as (select UF, raca, 100 * avg(ptb) as v from focus where in_primary group by 1, 2),
+pool as (select * from focus where ok_race),
+m as ({" union all ".join(f"select '{V.MISSING_LABELS[c]}' as variavel, raca, 100.0 * count(case when {cond} then 1 end) / count(*) as v from pool group by 2" for c, cond in MISSING_CONDITIONS.items())}),
+gm as (select uf, avg(missing_pct) as v from grid group by 1),
+lo as (select * from grid where missing_pct is not null order by missing_pct, ano, uf limit 1),
+hi as (select * from grid where missing_pct is not null order by missing_pct desc, ano, uf limit 1),
+inc as ({INCLUSION_SQL}),
+adj as ({standardised("f", "M5_PRIMARY")}),
+lr as (select 2 * (max(loglik) - min(loglik)) as chi2, max(k) - min(k) as df from f_models where modelo like '%_interacao'),
+lrp as (select chi2, df, exp(-chi2 / 2) * list_sum([exp(i * ln(chi2 / 2) - lgamma(i + 1)) for i in range(0, df // 2)]) as pv from lr),
+st as (select raca, 100.0 * count(case when MESPRENAT between 1 and 3 then 1 end) / count(case when MESPRENAT between 1 and 9 then 1 end) as v
+  from focus where in_sens group by 1),
+numbers as (
+  select 'cascata' as secao, passo as metrica, cast(ordem as varchar) as chave, cast(n as double) as valor, {br_sql("n", 0)} as texto from fsteps
+  union all select 'tabela2', modelo, grupo, exp(b), {br_sql("exp(b)", 3)} || ' (' || {br_sql(f"exp(b - {Z} * se)", 3)} || '–' || {br_sql(f"exp(b + {Z} * se)", 3)} || ')'
+    from f_effects where modelo in ({LADDER_NAMES})
+  union all select distinct 'tabela2', 'AIC ' || modelo, cast(k as varchar), round(aic, 10), {br_sql("aic", 1)} from f_models where modelo in ('M6_+Prenat', 'M7_+Paridade', 'M8_FULL')
+  union all {percent_numbers("prevalencia", "'ptb_pct'", "raca", "v", 1, "p")}
+  union all {percent_numbers("prevalencia", "'diferenca_pp'", "'Indigena'", "v", 1, "d")}
+  union all {percent_numbers("heterogeneidade", "UF", "raca", "v", 2, "u")}
+  union all {percent_numbers("missing", "variavel", "raca", "v", 2, "m")}
+  union all {percent_numbers("missing", "'media_uf'", "uf", "v", 2, "gm")}
+  union all {percent_numbers("missing", "'raca_minimo'", "uf || ' ' || ano", "missing_pct", 3, "lo")}
+  union all {percent_numbers("missing", "'raca_maximo'", "uf || ' ' || ano", "missing_pct", 3, "hi")}
+  union all {percent_numbers("incluidos_excluidos", "'n'", "grupo", "n", 0, "inc")}
+  union all {percent_numbers("incluidos_excluidos", "'ptb_pct'", "grupo", "ptb_pct", 2, "inc")}
+  union all {percent_numbers("incluidos_excluidos", "'raca_indigena_pct'", "grupo", "raca_indigena_pct", 1, "inc")}
+  union all {percent_numbers("incluidos_excluidos", "'raca_outra_missing_pct'", "grupo", "raca_outra_missing_pct", 1, "inc")}
+  union all select 'pr', modelo, grupo, exp(b), {br_sql("exp(b)", 3)} from f_effects where family = 'poisson'
+  union all {percent_numbers("probabilidades", "'p_ajustada_pct'", "grupo", "v", 3, "adj")}
+  union all select 'heterogeneidade', 'lrt_chi2', cast(df as varchar), chi2, {br_sql("pv", 4)} from lrp
+  union all {focal_numbers("heterogeneidade", SETTINGS.stratified(STRATA))}
+  union all {focal_numbers("temporal", SETTINGS.yearly() + SETTINGS.blocks())}
+  union all {focal_numbers("prenatal", SETTINGS.prenatal())}
+  union all {percent_numbers("prenatal", "'inicio_1trim_pct'", "raca", "v", 1, "st")}
+  union all {focal_numbers("escmae2010", SETTINGS.ladder(), "g")}
+  union all select 'pendencias', 'PR_por_UF', '', null, 'FALTA: amostras PR_por_UF'
+  union all select 'pendencias', 'M9', '', null, 'FALTA: tabela2 M9'
+  union all select 'pendencias', 'pr_estratificado', '', null, 'FALTA: heterogeneidade pr_estratificado'),
+rows as ({sample_numbers()} union all select *, cast(null as double) from numbers)
+select secao, metrica, chave, round(valor, 6) as valor, texto, round(referencia, 6) as referencia, round(valor - referencia, 6) as delta from rows"""
+
+
+@query("i03_consolidated_numbers_models", WHOLE_NUMBERS_SQL)
 def _(w):
     """The whole numbers: every model of the ladder, the model-based studies, all reported samples and
     missing variables, and the exclusions."""
@@ -317,7 +411,7 @@ def _(w):
     audit = T.design_audit(w.spark, run.fit_all(run.ladder()[5:]))
     test = T.interaction_test(w.spark, *run.fit_all(run.interaction()))
     adjusted = T.adjusted_probabilities(run, run.ladder()[4])
-    starts = D.first_trimester_by_group(w.focus)
+    starts = Q.first_trimester(w.focus_cube, "ours")
     ratio, value = F.col("estimativa"), F.col("p_ajustada_pct")
     extra = [
         R.numbers("tabela2", audit, F.concat(F.lit("AIC "), F.col("modelo")), F.col("n_params"),
@@ -355,7 +449,10 @@ def forest(w, tasks=None):
     return rounded(R.forest(odds, rates))
 
 
-@query("i04_forest")
+@query("i04_forest", f"""with recursive {newton("f", SETTINGS.or_vs_rr(), "focus", towns=True)}, {WITH_CLUSTER},
+e as (select *, case when family = 'binomial' then se_cluster else se_hc0 end as own from f_all)
+select split_part(modelo, '_', 1) as modelo, grupo, case when family = 'binomial' then 'OR' else 'PR' end as serie,
+  round(exp(b), 6) as estimativa, round(exp(b - {Z} * own), 6) as ic_low, round(exp(b + {Z} * own), 6) as ic_high from e""")
 def _(w):
     return forest(w)
 
@@ -380,7 +477,9 @@ def _(w):
     return rounded(R.yearly_series(T.effect_table(w.spark, [(f, "model") for f in fits])))
 
 
-@query("i05_yearly_series")
+@query("i05_yearly_series", f"""with recursive {newton("f", SETTINGS.yearly(), "focus", where=YEAR)}
+select cast(split_part(modelo, '_', 2) as int) as ano, round(exp(b), 6) as estimativa, round(exp(b - {Z} * se), 6) as ic_low,
+  round(exp(b + {Z} * se), 6) as ic_high, nobs as n from f_effects where grupo = 'Indigena'""")
 def _(w):
     run = w.run()
     fits = run.fit_all(run.yearly())
