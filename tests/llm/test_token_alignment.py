@@ -139,3 +139,17 @@ def brute_long(tools, rows):
         highest[y] = max(highest[y], c)
     return [(d, na, nb, len(x), len(x), sum(counts[p] == highest[p[1]] for p in x), sum(counts[p] for p in x),
              hashlib.sha256(g.encode()).hexdigest()) for d, na, nb, x, g in found]
+
+
+def test_a_forgetful_task_has_the_same_units(tools, monkeypatch):
+    monkeypatch.setattr(T, "MOST_UNITS", 3)
+    table = T.UnitTable(tools)
+    for _, text in make(7, 30):
+        if not text:
+            continue
+        numbers, = table.numbers([" " + text])
+        a, _, b, _ = brute_tokens(tools, text)
+        if a:
+            assert (table.units.n_a[numbers].sum(), table.units.n_b[numbers].sum()) == (len(a), len(b))
+        else:
+            assert not table.units.ok[numbers].all()

@@ -11,9 +11,13 @@ single space between two visible characters. The byte-level tokenizer splits the
 anything, and no piece of the other one holds a space mark after another character (this is read from
 its vocabulary). Blocks are dealt over the tasks; text without such a place stays one block.
 
-A link is a pair of tokens that end together, so it is known in the block of that end. Its count over
-the corpus is looked up per bundle of documents, in which every distinct pair occurs once; the documents
-of a bundle wait in a written table meanwhile.
+The same cuts part a block into units, mostly a word and the space before it. A unit has the same tokens
+wherever it stands, and both tokenizers end with it, so the fragment of a text is composed of those of its
+units, and a task tokenizes a unit once for as long as it remembers it.
+
+A link is a pair of tokens that end together, so it is known in the unit of that end. Its count over the
+corpus is looked up per bundle of documents, in which every distinct pair occurs once; the documents of a
+bundle wait in a written table meanwhile, as numbers of units.
 
 Defined results: texts that are null, empty, or not given back byte for byte by a tokenizer (space and
 text) have no tokens, count nothing and have zeros, and an empty digest; special tokens' strings are
@@ -28,6 +32,7 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -42,21 +47,26 @@ PIECE_TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
 #: Characters after which a long text is cut at the next safe place.
 BLOCK_CHARS = 1 << 16
 #: Characters whose tokens are looked at together, and whose documents share one list of pairs.
-BUNDLE_CHARS = 1 << 20
+BUNDLE_CHARS = 2 << 20
 #: Characters handed to the byte-level tokenizer at a time.
-ENCODE_CHARS = 1 << 18
+ENCODE_CHARS = 1 << 12
+#: Units that a task remembers.
+MOST_UNITS = 300_000
 #: Fragments composed by one task at a time.
 FAN_IN = 32
 ID_BITS = 20
 
-_SAFE_CUT = re.compile(r"(?<=[!-~\w]) (?=[!-~\w])")
-
-DOC = ("struct<uid: long, doc_id: long, blocks: int, n_a: long, n_b: long, n_groups: long, n_links: long, "
-       "groups_sha256: string>")
-# A bundle is named by its first document and block. `links` holds, end to end and compressed, the place
-# in `pairs` of every link of its documents.
-BUNDLE = (f"uid long, block int, blocks int, ok boolean, docs array<{DOC}>, pairs array<long>, "
-          "counts array<long>, links binary, head binary, body binary, tail binary")
+# Written from the space on, which is looked for fast.
+_SAFE_CUT = re.compile(r" (?<=[!-~\w] )(?=[!-~\w])")
+_VISIBLE = re.compile(r"[!-~\w]")
+
+DOC = ("struct<uid: long, doc_id: long, blocks: int, n_units: long, n_a: long, n_b: long, n_groups: long, "
+       "n_links: long, groups_sha256: string>")
+# A bundle is named by its first document and block. `units` holds the numbers of its documents' units,
+# `unit_links` how many links each distinct unit has and then their places in `pairs`, all end to end
+# and compressed.
+BUNDLE = (f"uid long, block int, blocks int, ok boolean, docs array<{DOC}>, pairs array<long>, counts array<long>, "
+          "units binary, unit_links binary, n_distinct int, n_places int, head binary, body binary, tail binary")
 BUNDLE_KEY = ["uid", "block"]
 SUMS = ("uid long, doc_id long, blocks int, n_a long, n_b long, n_groups long, n_links long, "
         "n_best long, count_sum long, groups_sha256 string")
@@ -253,19 +263,20 @@ def _ends(tokens, lists) -> tuple[np.ndarray, np.ndarray]:
 
 
 @dataclass
-class Aligned:
-    """Blocks of one bundle whose tokens give their bytes back, end to end."""
+class Units:
+    """Distinct units: tokens, groups as text, whether their bytes come back, and their links end to end."""
 
+    ok: np.ndarray
     n_a: np.ndarray
     n_b: np.ndarray
-    n_groups: np.ndarray
+    n_links: np.ndarray
     texts: list[bytes]
     links: np.ndarray
-    first_link: np.ndarray
 
 
-def _align(tools: Aligner, lists_a, lists_b, raw: list[bytes]) -> Aligned:
-    """Groups and links of some texts at once. Every text ends with a common end."""
+def _align(tools: Aligner, lists_a, lists_b, limits: np.ndarray):
+    """Tokens, group texts and links up to each limit, in tokens that lie end to end; limits are ends of
+    both kinds."""
     ids_a, ends_a = _ends(tools.a, lists_a)
     ids_b, ends_b = _ends(tools.b, lists_b)
     at = np.searchsorted(ends_b, ends_a)
@@ -281,14 +292,103 @@ def _align(tools: Aligner, lists_a, lists_b, raw: list[bytes]) -> Aligned:
     codes = np.empty(len(ids_a) + len(ids_b), np.int64)
     codes[np.arange(len(ids_a)) + through_b[group_a]] = ids_a + np.where(common_a, tools.last_a, 0)
     codes[np.arange(len(ids_b)) + through_a[group_b]] = ids_b + np.where(common_b, tools.last_b, tools.first_b)
-    n_a = np.array([len(x) for x in lists_a], np.int64)
-    n_b = np.array([len(x) for x in lists_b], np.int64)
-    edges = np.append(0, np.cumsum(n_a + n_b))
+    n_a = np.searchsorted(ends_a, limits, "right")
+    n_b = np.searchsorted(ends_b, limits, "right")
+    edges = np.append(0, n_a + n_b).tolist()
     words = list(map(tools.texts.__getitem__, codes.tolist()))
-    texts = [b"".join(words[s:e]) for s, e in zip(edges.tolist(), edges[1:].tolist())]
-    limits = np.append(0, np.cumsum(np.array([len(r) for r in raw], np.int64)))
-    first_link = np.searchsorted(ends_a[common_a], limits, "right")
-    return Aligned(n_a, n_b, np.diff(first_link), texts, links, first_link)
+    texts = [b"".join(words[s:e]) for s, e in zip(edges, edges[1:])]
+    n_links = np.searchsorted(ends_a[common_a], limits, "right")
+    return *(np.diff(n, prepend=0) for n in (n_a, n_b, n_links)), texts, links
+
+
+def _runs_of_units(parts: list[str]) -> list[list[int]]:
+    """Units that may stand behind one another in a text to tokenize: those that begin and end with a
+    visible character, some at a time; every other one alone."""
+    runs, run, size = [], [], 0
+    for i, part in enumerate(parts):
+        if not (_VISIBLE.match(part[0]) and _VISIBLE.match(part[-1])):
+            runs.append([i])
+            continue
+        run.append(i)
+        size += len(part) + 1
+        if size >= ENCODE_CHARS:
+            runs.append(run)
+            run, size = [], 0
+    return [*runs, run] if run else runs
+
+
+def align_units(tools: Aligner, parts: list[str]) -> Units:
+    """Units, given without the space before them."""
+    n = len(parts)
+    out = Units(np.zeros(n, bool), *(np.zeros(n, np.int64) for _ in range(3)), [b""] * n, np.zeros(0, np.int64))
+    found, order = [], []
+    waiting = _runs_of_units(parts)
+    while waiting:
+        texts = [" " + " ".join([parts[i] for i in run]) for run in waiting]
+        raw = [t.encode() for t in texts]
+        lists_a, back_a = _tokens(tools.a, texts, raw)
+        lists_b, back_b = _tokens(tools.b, texts, raw)
+        good = [k for k in range(len(waiting)) if back_a[k] and back_b[k]]
+        if good:
+            units = [i for k in good for i in waiting[k]]
+            limits = np.cumsum([1 + len(parts[i].encode()) for i in units])
+            n_a, n_b, n_links, texts, links = _align(
+                tools, [lists_a[k] for k in good], [lists_b[k] for k in good], limits)
+            out.ok[units], out.n_a[units], out.n_b[units], out.n_links[units] = True, n_a, n_b, n_links
+            for i, text in zip(units, texts):
+                out.texts[i] = text
+            found.append(links)
+            order += units
+        # Where a run is not given back, its units are tried alone.
+        waiting = [[i] for k in set(range(len(waiting))) - set(good) if len(waiting[k]) > 1 for i in waiting[k]]
+    if found:
+        # Links lie by the order of work; put them in the order of units.
+        sizes = out.n_links[order]
+        starts = np.zeros(n, np.int64)
+        starts[order] = np.cumsum(sizes) - sizes
+        begin = np.repeat(starts, out.n_links)
+        step = np.arange(len(begin)) - np.repeat(np.cumsum(out.n_links) - out.n_links, out.n_links)
+        out.links = np.concatenate(found)[begin + step]
+    return out
+
+
+class UnitTable:
+    """Units met by a task, numbered in order; emptied when it has grown to MOST_UNITS."""
+
+    def __init__(self, tools: Aligner):
+        self.tools = tools
+        self._clear()
+
+    def _clear(self) -> None:
+        self.number: dict[str, int] = {}
+        self.units = align_units(self.tools, [])
+
+    def numbers(self, blocks: list[str]) -> list[np.ndarray]:
+        """Numbers of the units of some blocks; those met for the first time are tokenized."""
+        if len(self.number) > MOST_UNITS:
+            self._clear()
+        known = len(self.number)
+        found = [np.array([self.number.setdefault(part, len(self.number)) for part in _SAFE_CUT.split(text[1:])]
+                          if text else [], np.int64) for text in blocks]
+        fresh = align_units(self.tools, list(islice(self.number, known, None)))
+        old = self.units
+        self.units = Units(*(np.concatenate([getattr(old, f), getattr(fresh, f)])
+                             for f in ("ok", "n_a", "n_b", "n_links")), old.texts + fresh.texts,
+                           np.concatenate([old.links, fresh.links]))
+        return found
+
+    def links_of(self, units: np.ndarray) -> np.ndarray:
+        """Links of some units, end to end."""
+        sizes = self.units.n_links[units]
+        first = (np.cumsum(self.units.n_links) - self.units.n_links)[units]
+        return self.units.links[np.repeat(first - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())]
+
+
+def _sums_by(sizes: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Sums of consecutive groups of values."""
+    total = np.append(0, np.cumsum(values))
+    edges = np.append(0, np.cumsum(sizes))
+    return total[edges[1:]] - total[edges[:-1]]
 
 
 def _bundles(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[list[tuple]]:
@@ -315,59 +415,57 @@ def _digest(groups: bytes) -> str:
     return hashlib.sha256(groups[:-1]).hexdigest()
 
 
-def _packed(places: np.ndarray, pairs: int) -> bytes:
-    """Places as a short buffer; the most frequent pairs have the smallest."""
-    return pa.compress(places.astype(np.uint16 if pairs <= 1 << 16 else np.uint32).tobytes(), "zstd", asbytes=True)
+def _packed(numbers: np.ndarray) -> bytes:
+    return pa.compress(numbers.astype(np.uint32).tobytes(), "zstd", asbytes=True)
 
 
-def _unpacked(raw: bytes, links: int, pairs: int) -> np.ndarray:
-    kind = np.dtype(np.uint16 if pairs <= 1 << 16 else np.uint32)
-    return np.frombuffer(pa.decompress(raw, links * kind.itemsize, "zstd", asbytes=True), kind)
+def _unpacked(raw: bytes, size: int) -> np.ndarray:
+    return np.frombuffer(pa.decompress(raw, 4 * size, "zstd", asbytes=True), np.uint32).astype(np.int64)
 
 
 def _bundle_rows(byte_path: str, piece_path: str, limit: int):
     schema = pa.schema([
         ("uid", pa.int64()), ("block", pa.int32()), ("blocks", pa.int32()), ("ok", pa.bool_()),
         ("docs", pa.list_(pa.struct([
-            ("uid", pa.int64()), ("doc_id", pa.int64()), ("blocks", pa.int32()),
+            ("uid", pa.int64()), ("doc_id", pa.int64()), ("blocks", pa.int32()), ("n_units", pa.int64()),
             ("n_a", pa.int64()), ("n_b", pa.int64()), ("n_groups", pa.int64()), ("n_links", pa.int64()),
             ("groups_sha256", pa.string())]))),
-        ("pairs", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64())), ("links", pa.binary()),
-        ("head", pa.binary()), ("body", pa.binary()), ("tail", pa.binary())])
+        ("pairs", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64())), ("units", pa.binary()),
+        ("unit_links", pa.binary()), ("n_distinct", pa.int32()), ("n_places", pa.int32()), ("head", pa.binary()), ("body", pa.binary()), ("tail", pa.binary())])
 
-    def row_of(tools: Aligner, rows: list[tuple]) -> dict:
-        texts = [r[4] for r in rows]
-        raw = [t.encode() for t in texts]
-        lists_a, back_a = _tokens(tools.a, texts, raw)
-        lists_b, back_b = _tokens(tools.b, texts, raw)
-        good = [i for i, ok in enumerate(zip(back_a, back_b, raw)) if all(ok)]
-        docs = [dict(uid=uid, doc_id=doc_id, blocks=blocks, n_a=0, n_b=0, n_groups=0, n_links=0,
+    def row_of(table: UnitTable, rows: list[tuple]) -> dict:
+        of_doc = table.numbers([r[4] for r in rows])
+        units = table.units
+        docs = [dict(uid=uid, doc_id=doc_id, blocks=blocks, n_units=0, n_a=0, n_b=0, n_groups=0, n_links=0,
                      groups_sha256="") for uid, doc_id, _, blocks, _ in rows]
         uid, _, block, blocks, _ = rows[0]
+        good = [i for i, u in enumerate(of_doc) if len(u) and units.ok[u].all()]
         out = dict(uid=uid, block=block, blocks=blocks, ok=len(good) == len(rows), docs=docs, pairs=[], counts=[],
-                   links=b"", head=None, body=None, tail=None)
+                   units=b"", unit_links=b"", n_distinct=0, n_places=0, head=None, body=None, tail=None)
         if not good:
             return out
-        aligned = _align(tools, [lists_a[i] for i in good], [lists_b[i] for i in good], [raw[i] for i in good])
-        pairs, place, counts = np.unique(aligned.links, return_inverse=True, return_counts=True)
-        order = np.argsort(-counts, kind="stable")
-        rank = np.empty(len(order), np.int64)
-        rank[order] = np.arange(len(order))
-        out.update(pairs=pairs[order], counts=counts[order], links=_packed(rank[place], len(pairs)))
-        for k, i in enumerate(good):
-            groups = int(aligned.n_groups[k])
-            docs[i].update(n_a=int(aligned.n_a[k]), n_b=int(aligned.n_b[k]), n_groups=groups, n_links=groups)
+        sizes = [len(of_doc[i]) for i in good]
+        flat = np.concatenate([of_doc[i] for i in good])
+        sums = [_sums_by(sizes, n[flat]).tolist() for n in (units.n_a, units.n_b, units.n_links)]
+        used, own, times = np.unique(flat, return_inverse=True, return_counts=True)
+        pairs, place = np.unique(table.links_of(used), return_inverse=True)
+        counts = np.bincount(place, np.repeat(times, units.n_links[used]), len(pairs)).astype(np.int64)
+        out.update(pairs=pairs, counts=counts, units=_packed(own), n_distinct=len(used), n_places=len(place),
+                   unit_links=_packed(np.concatenate([units.n_links[used], place])))
+        for i, size, n_a, n_b, n_links in zip(good, sizes, *sums):
+            docs[i].update(n_units=size, n_a=n_a, n_b=n_b, n_groups=n_links, n_links=n_links)
+            groups = b"".join(map(units.texts.__getitem__, of_doc[i].tolist()))
             if blocks == 1:
-                docs[i]["groups_sha256"] = _digest(aligned.texts[k])
-        if blocks > 1:
-            whole = _as_fragment(aligned.texts[0])
-            out.update(head=whole.head.dump(), body=whole.body, tail=whole.tail.dump())
+                docs[i]["groups_sha256"] = _digest(groups)
+            else:
+                whole = _as_fragment(groups)
+                out.update(head=whole.head.dump(), body=whole.body, tail=whole.tail.dump())
         return out
 
     def run(batches):
-        tools = aligner(byte_path, piece_path)
+        table = UnitTable(aligner(byte_path, piece_path))
         for rows in _bundles(batches, limit):
-            yield pa.RecordBatch.from_pylist([row_of(tools, rows)], schema)
+            yield pa.RecordBatch.from_pylist([row_of(table, rows)], schema)
 
     return run
 
@@ -419,20 +517,23 @@ def _sum_rows(bundles: pa.Table, found: pa.Table) -> pa.Table:
     """Per document of a bundle: its links whose count is the highest of their id, and all counts."""
     bundles = bundles.combine_chunks()
     docs = bundles["docs"].chunk(0).flatten()
-    uid, doc_id, blocks, n_a, n_b, n_groups, n_links, digest = docs.flatten()
-    edges = np.append(0, np.cumsum(n_links.to_numpy()))
-    count, best = np.zeros(len(found), np.int64), np.zeros(len(found), np.int64)
-    place = found["place"].to_numpy()
-    count[place] = found["count"].to_numpy()
-    best[place] = found["best"].to_numpy()
-    links = _unpacked(bundles["links"][0].as_py(), int(edges[-1]), len(found)) if edges[-1] else np.zeros(0, np.int64)
+    uid, doc_id, blocks, n_units, n_a, n_b, n_groups, n_links, digest = docs.flatten()
+    of_docs = n_units.to_numpy()
+    best = count = np.zeros(len(docs), np.int64)
+    if of_docs.sum():
+        flat = _unpacked(bundles["units"][0].as_py(), int(of_docs.sum()))
+        distinct, places = bundles["n_distinct"][0].as_py(), bundles["n_places"][0].as_py()
+        unit_links = _unpacked(bundles["unit_links"][0].as_py(), distinct + places)
+        place = found["place"].to_numpy()
 
-    def sums(values):
-        total = np.append(0, np.cumsum(values[links]))
-        return pa.array(total[edges[1:]] - total[edges[:-1]], pa.int64())
+        def sums(column):
+            of_pair = np.zeros(len(found), np.int64)
+            of_pair[place] = found[column].to_numpy()
+            return _sums_by(of_docs, _sums_by(unit_links[:distinct], of_pair[unit_links[distinct:]])[flat])
 
-    return pa.table([uid, doc_id, blocks, n_a, n_b, n_groups, n_links, sums(best), sums(count), digest],
-                    schema=SUMS_SCHEMA)
+        best, count = sums("best"), sums("count")
+    return pa.table([uid, doc_id, blocks, n_a, n_b, n_groups, n_links, pa.array(best, pa.int64()),
+                     pa.array(count, pa.int64()), digest], schema=SUMS_SCHEMA)
 
 
 def pair_counts(bundles: DataFrame) -> DataFrame:
@@ -465,14 +566,14 @@ def align_documents(docs: DataFrame, byte_path: str = BYTE_TOKENIZER, piece_path
     long = bundles.where("blocks > 1")
     spoilt = long.where("not ok").select("uid").distinct()
     whole = long.join(spoilt, "uid", "left_anti")
-    kept = [*BUNDLE_KEY, "docs", "pairs", "counts", "links"]
+    kept = [*BUNDLE_KEY, "docs", "pairs", "counts", "units", "unit_links", "n_distinct", "n_places"]
     counted = bundles.where("blocks = 1").select(kept).unionByName(whole.select(kept))
     pairs = scratch.write(pair_counts(counted), "pairs")
     found = (counted.select(F.col("uid").alias("of_uid"), F.col("block").alias("of_block"),
                             F.posexplode("pairs").alias("place", "pair")).join(pairs, "pair")
              .select("of_uid", "of_block", "place", "count", F.col("best").cast("long").alias("best")))
     sums = scratch.write(
-        counted.select(*BUNDLE_KEY, "docs", "links").groupBy(*BUNDLE_KEY)
+        counted.select(*BUNDLE_KEY, "docs", "units", "unit_links", "n_distinct", "n_places").groupBy(*BUNDLE_KEY)
         .cogroup(found.groupBy("of_uid", "of_block"))
         .applyInArrow(_sum_rows, SUMS), "sums")
     return (sums.where("blocks = 1").select(RESULT)
