@@ -76,13 +76,28 @@ def test_absent_column_has_a_status_row(spark, files):
 
 def test_absent_column_has_no_profile(spark, files):
     opened = Y.open_years(spark, files)
-    present = Y.schema_rows(spark, opened).select("ano", F.col("coluna").alias("variavel"))
-    scan = Y.scan_years(opened, V.PROFILED).withColumn("GESTACAO", F.lit(None).cast("string"))
-    assert P.code_distribution(P.with_column(scan, present, "GESTACAO"), "GESTACAO", {}).count() == 0
-    kept = P.with_column(scan, present, "GRAVIDEZ")
+    assert len(opened.having("GESTACAO")) == 0
+    kept = Y.scan_years(opened.having("GRAVIDEZ"), ("GRAVIDEZ",))
     assert P.code_distribution(kept, "GRAVIDEZ", {}).select("ano").distinct().count() == 2
 
 
+def test_one_scan_per_schema(spark, tmp_path):
+    paths = {}
+    for year in range(2015, 2021):
+        paths[year] = str(tmp_path / f"births_{year}.parquet")
+        kind = "double" if year == 2017 else "string"
+        spark.createDataFrame([(str(year), 1)], "x string, k int").select(
+            F.col("x").cast(kind).alias("x"), "k").write.parquet(paths[year])
+    paths[2014] = str(tmp_path / "births 2014=a")
+    spark.range(3).select(F.lit("2014").alias("x"), F.lit(1).alias("k")).write.parquet(paths[2014])
+    opened = Y.open_years(spark, paths)
+    scan = Y.scan_years(opened, ("x",))
+    assert {(r.ano, r.x) for r in scan.collect()} == {(y, str(y)) for y in range(2014, 2021)}
+    plan = scan._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") == len(opened.tables) == 2
+    assert opened[2014].count() == 3 and len(opened) == 7
+
+
 def test_schema_rows_carry_counts_of_values(spark, files):
     opened = Y.open_years(spark, files)
     filled = Y.with_filled(Y.schema_rows(spark, opened), opened)
@@ -158,3 +173,16 @@ def test_tiers(spark):
                                 (5, None, True)], "k int, e boolean, d boolean")
     out = df.select(R.tier(F.col("k"), 2, F.col("e"), F.col("d")).alias("t")).collect()
     assert [r.t for r in out] == ["Alta", "Média", "Baixa", "Baixa", "Média"]
+
+
+def test_phrases_of_several_words(spark):
+    df = spark.createDataFrame([
+        (1, "Clima e Saúde; clima  e saúde"), (2, "xclima e saúde, saúde materno-infantil!"), (3, "SIM sim simples"),
+        (4, "saúde pública_saúde digital3"), (5, "")], "id int, t string")
+    rows = {r.id: r.achados for r in R.with_hits(df, "t", V.KEYWORDS).collect()}
+    assert rows == {1: ["clima e saúde"], 2: ["saúde materno-infantil"], 3: ["SIM"],
+                    4: ["saúde digital", "saúde pública"], 5: []}
+    many = [f"palavra{chr(97 + i // 26)}{chr(97 + i % 26)} nova" for i in range(500)]
+    assert R.with_hits(df, "t", [*V.KEYWORDS, *many]).where("n_achados = 1").count() == 3
+    with pytest.raises(ValueError):
+        R.with_hits(df, "t", ["3 dias"])

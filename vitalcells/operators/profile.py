@@ -41,12 +41,6 @@ def missingness(scan: DataFrame, present: DataFrame) -> DataFrame:
         F.when(F.col("ok"), "ok").otherwise("AUSENTE").alias("status"))
 
 
-def with_column(scan: DataFrame, present: DataFrame, column: str) -> DataFrame:
-    """Rows of the years whose file has the column; the others have no profile of it."""
-    years = present.where(F.col("variavel") == column).select("ano")
-    return scan.join(years, "ano", "left_semi")
-
-
 def code_distribution(scan: DataFrame, column: str, labels: dict[str, str]) -> DataFrame:
     """Code counts per year with labels and the share of the year."""
     counts = scan.groupBy("ano", F.col(column).alias("codigo")).agg(F.count("*").alias("n"))

@@ -1,6 +1,7 @@
 """Relevance of texts to a list of phrases: hits, tier, ordered report, dated snapshots."""
 
 import re
+from itertools import groupby
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,16 +14,37 @@ def whole_words(phrase: str) -> str:
     return rf"(^|[^\p{{L}}]){re.escape(phrase.lower())}($|[^\p{{L}}])"
 
 
+def pieces(text: str) -> list[str]:
+    """Runs of letters and of other characters, in turn."""
+    return ["".join(run) for _, run in groupby(text, str.isalpha)]
+
+
 def with_hits(rows: DataFrame, text: str, phrases: tuple[str, ...] | list[str]) -> DataFrame:
     """Add the phrases each text contains as whole words, ignoring case, and their number.
 
-    The whole text is searched. It is lowered once, in its own step.
+    A text is cut into runs of letters and runs of other characters once. Where a run is some phrase's
+    first word, the runs from there on, as many as a phrase has, are looked up among the phrases; both
+    lookups are by hash, so the work does not grow with the number of phrases. The whole text is searched.
     """
-    found = F.array(*[F.when(F.col("_lowered").contains(p.lower())
-                             & F.col("_lowered").rlike(whole_words(p)), F.lit(p)) for p in phrases])
-    return (rows.withColumn("_lowered", F.lower(text)).withColumn("_found", found)
-            .withColumn("achados", F.array_compact("_found"))
-            .withColumn("n_achados", F.size("achados")).drop("_lowered", "_found"))
+    shown = {p.lower(): p for p in phrases}
+    cut = {low: pieces(low) for low in shown}
+    for low, parts in cut.items():
+        if not (parts and parts[0].isalpha() and parts[-1].isalpha()):
+            raise ValueError(f"{low!r} must begin and end with a letter")
+    firsts = sorted({parts[0] for parts in cut.values()})
+    lengths = F.array(*[F.lit(n) for n in sorted({len(parts) for parts in cut.values()})])
+    runs = F.col("_runs")
+
+    def starting(run, at):
+        ahead = F.transform(lengths, lambda n: F.array_join(F.slice(runs, at + 1, n), ""))
+        return F.when(run.isin(firsts), ahead).otherwise(F.array().cast("array<string>"))
+
+    found = F.filter(F.flatten(F.transform(runs, starting)), lambda p: p.isin(list(shown)))
+    in_order = F.array_intersect(F.array(*[F.lit(p) for p in shown]), F.coalesce(found, F.array().cast("array<string>")))
+    names = F.create_map(*[F.lit(x) for pair in shown.items() for x in pair])
+    return (rows.withColumn("_runs", F.regexp_extract_all(F.lower(text), F.lit(r"(\p{L}+|[^\p{L}]+)"), F.lit(1)))
+            .withColumn("achados", F.transform(in_order, lambda p: F.element_at(names, p)))
+            .withColumn("n_achados", F.size("achados")).drop("_runs"))
 
 
 def tier(hits: Column, central: int, eligible: Column, deadline_open: Column) -> Column:

@@ -13,6 +13,7 @@ from vitalcells.plans.reports import extremes
 from vitalcells.registry.base import Workspace, query
 from vitalcells.registry.sources_q import MISSINGNESS_SQL, missingness_table
 from vitalcells.sources import star_births as S
+from vitalcells.sources.yearly import scan_years
 
 STUDY_YEARS = list(range(S.YEARS[0], S.YEARS[1] + 1))
 FOCUS_LABELS = [f"NATION_{int(code) - 11}" for code in S.FOCUS_CODES]
@@ -45,7 +46,8 @@ select ano, coalesce(codigo, '(null)') as codigo, case when codigo is null then
 
 
 def of_years_with(w, column: str):
-    return P.with_column(w.profiled, w.schemas.select("ano", F.col("coluna").alias("variavel")), column)
+    """The column's cleaned text, of the files that have it."""
+    return scan_years(w.files.having(column), (column,))
 
 
 @query("e03_exposure_codes", distribution_sql("RACACORMAE", V.RACE_PROFILE))

@@ -14,7 +14,7 @@ from vitalcells.operators import cohort as K
 from vitalcells.plans.cube import measure_cube
 from vitalcells.plans.studies import Run
 from vitalcells.sources import star_births as S
-from vitalcells.sources.yearly import (normalise, open_years, scan_years, schema_rows,
+from vitalcells.sources.yearly import (YearFiles, normalise, open_years, scan_years, schema_rows,
                                        with_filled, with_states)
 from vitalcells.storage import is_written, shared_folder, small, stored
 
@@ -133,7 +133,7 @@ class Workspace:
         return {y: f"{folder}/{part_of(y)}/ANO_ARQUIVO={y}" for y in EXPECTED_FILE_YEARS}
 
     @cached_property
-    def files(self) -> dict[int, DataFrame]:
+    def files(self) -> YearFiles:
         return open_years(self.spark, self.yearly_paths)
 
     @cached_property

@@ -1,6 +1,6 @@
 """Relevance tiering over the whole text table.
 
-The texts are invented prose, so the phrases searched here are common words of its languages;
+The texts are invented prose, so beside the scan's own phrases some are searched that such texts hold;
 eligibility and deadline come from columns of the table.
 """
 
@@ -11,7 +11,7 @@ from vitalcells.plans import relevance as R
 from vitalcells.registry.base import Workspace, query
 from vitalcells.storage import exists, spread
 
-PHRASES = (*V.KEYWORDS, "license", "token", "rights reserved", "in the", "of the", "de la", "ist der")
+PHRASES = (*V.KEYWORDS, "license", "token", "rights reserved", "creative commons", "public license", "copyright")
 CENTRAL_HITS = 2
 
 PHRASE_LIST = ", ".join(

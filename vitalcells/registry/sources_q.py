@@ -8,7 +8,6 @@ from vitalcells.functions.derive import r6
 from vitalcells.operators import profile as P
 from vitalcells.operators.cohort import cascade
 from vitalcells.operators.describe import prevalence
-from vitalcells.operators.reshape import union_all
 from vitalcells.registry.base import (EXPECTED_FILE_YEARS, GESTACAO_FROM, IDS, NUMERIC_FILE_YEAR,
                                       Workspace, query)
 from vitalcells.sources import reports as R
@@ -33,11 +32,9 @@ def _(w: Workspace):
 @query("a02_column_subset", """
 select ANO_ARQUIVO as ano, count(*) as n, count(ESCMAE2010) as n_esc2010 from births_raw group by 1""")
 def _(w):
-    parts = [Y.columns_of(file, ["ESCMAE2010", "ESCMAE2010"])
-             .agg(F.lit(year).alias("ano"), F.count("*").alias("n"),
-                  F.count("ESCMAE2010").alias("n_esc2010")) for year, file in w.files.items()]
-
-    return union_all(parts)
+    return w.files.united(lambda table: Y.columns_of(table, ["ESCMAE2010", "ESCMAE2010", Y.FILE_YEAR])
+                          .groupBy(F.col(Y.FILE_YEAR).alias("ano"))
+                          .agg(F.count("*").alias("n"), F.count("ESCMAE2010").alias("n_esc2010")))
 
 
 @query("a03_lazy_scan", """

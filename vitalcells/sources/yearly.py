@@ -1,9 +1,12 @@
 """Yearly record files: load and normalise, inventory, schema drift, variable dictionary."""
 
+from collections.abc import Callable, Mapping
 from functools import reduce
+from urllib.parse import quote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from vitalcells import fixed_values as V
 from vitalcells.functions import normalize as N
@@ -43,10 +46,61 @@ def focus_codes() -> list[str]:
     return list(V.STATES[V.FOCUS_REGION])
 
 
-def open_years(spark: SparkSession, expected: dict[int, str]) -> dict[int, DataFrame]:
+FILE_YEAR = "_file_year"
+
+
+class YearFiles(Mapping):
+    """Yearly files that exist, by year. Files of the same schema are read by one scan, which tells the
+    year from the file's own path, so a plan has a scan per schema and not one per file."""
+
+    def __init__(self, spark: SparkSession, paths: dict[int, str], schemas: dict[int, StructType]):
+        self.spark, self.paths, self.schemas = spark, paths, schemas
+
+    def __len__(self) -> int:
+        return len(self.paths)
+
+    def __iter__(self):
+        return iter(self.paths)
+
+    def __getitem__(self, year: int) -> DataFrame:
+        """One year alone."""
+        return self.spark.read.schema(self.schemas[year]).parquet(self.paths[year])
+
+    def having(self, column: str) -> "YearFiles":
+        """The files that have a column."""
+        years = [y for y, schema in self.schemas.items() if column in schema.names]
+        return YearFiles(self.spark, {y: self.paths[y] for y in years}, {y: self.schemas[y] for y in years})
+
+    @property
+    def tables(self) -> list[DataFrame]:
+        """One table per schema, with the file's year as FILE_YEAR."""
+        groups: dict[tuple, list[int]] = {}
+        for year, schema in self.schemas.items():
+            groups.setdefault(tuple((f.name, f.dataType.simpleString()) for f in schema), []).append(year)
+        out = []
+        for years in groups.values():
+            table = self.spark.read.schema(self.schemas[years[0]]).parquet(*[self.paths[y] for y in years])
+            out.append(table.withColumn(FILE_YEAR, self._year(years)))
+        return out
+
+    def _year(self, years: list[int]) -> Column:
+        if len(years) == 1:
+            return F.lit(years[0])
+        path, year = F.col("_metadata.file_path"), F.lit(None).cast("int")
+        for y in years:
+            name = "/" + quote(self.paths[y].rstrip("/").rsplit("/", 1)[-1], safe="!$&'()*+,;=:@")
+            year = F.when(path.contains(name + "/") | path.endswith(name), y).otherwise(year)
+        return year
+
+    def united(self, one: Callable[[DataFrame], DataFrame]) -> DataFrame:
+        """A projection of every table, united."""
+        return reduce(DataFrame.unionByName, [one(table) for table in self.tables])
+
+
+def open_years(spark: SparkSession, expected: dict[int, str]) -> YearFiles:
     """The expected yearly files that exist, each with its schema read once."""
-    return {year: spark.read.parquet(path) for year, path in expected.items()
-            if exists(spark, path)}
+    paths = {year: path for year, path in expected.items() if exists(spark, path)}
+    return YearFiles(spark, paths, {year: spark.read.parquet(path).schema for year, path in paths.items()})
 
 
 def columns_of(file: DataFrame, columns) -> DataFrame:
@@ -54,64 +108,64 @@ def columns_of(file: DataFrame, columns) -> DataFrame:
     return file.select(*dict.fromkeys(columns))
 
 
-def load_years(files: dict[int, DataFrame], states: DataFrame, codes: list[str],
+def load_years(files: YearFiles, states: DataFrame, codes: list[str],
                window: tuple[int, int] = V.YEARS, keep: tuple[str, ...] = ()) -> DataFrame:
     """All yearly files of the given state codes as one table.
 
     Files are normalised before the union because their column types differ.
     """
-    parts = [normalise(columns_of(file, [*keep, *V.COLUMNS]), F.lit(year), window, keep)
-             for year, file in files.items()]
-    births = reduce(DataFrame.unionByName, parts).where(F.col("uf_code").isin(codes))
+    births = files.united(lambda table: normalise(
+        columns_of(table, [*keep, *V.COLUMNS, FILE_YEAR]), F.col(FILE_YEAR), window, keep))
+    births = births.where(F.col("uf_code").isin(codes))
     return with_states(births, states)
 
 
-def scan_years(files: dict[int, DataFrame], columns) -> DataFrame:
+def scan_years(files: YearFiles, columns) -> DataFrame:
     """The cleaned text of some columns of every year; a column a year lacks is null."""
-    def one(year, file):
-        types = {f.name: f.dataType for f in file.schema}
-        return file.select(
-            F.lit(year).alias("ano"),
+    def one(table):
+        types = {f.name: f.dataType for f in table.schema}
+        return table.select(
+            F.col(FILE_YEAR).alias("ano"),
             *[(N.clean(F.col(c), types[c]) if c in types else F.lit(None).cast("string")).alias(c)
               for c in columns])
 
-    return reduce(DataFrame.unionByName, [one(*item) for item in files.items()])
+    return files.united(one)
 
 
-def schema_rows(spark: SparkSession, files: dict[int, DataFrame]) -> DataFrame:
+def schema_rows(spark: SparkSession, files: YearFiles) -> DataFrame:
     """One row per (year, column) with its position and type, from the files' schemas alone."""
     rows = [(year, position, field.name, field.dataType.simpleString())
-            for year, file in files.items() for position, field in enumerate(file.schema)]
+            for year, schema in files.schemas.items() for position, field in enumerate(schema)]
     return spark.createDataFrame(rows, "ano int, posicao int, coluna string, tipo string")
 
 
-def with_filled(schemas: DataFrame, files: dict[int, DataFrame]) -> DataFrame:
-    """Schema rows with the number of values that are not null (preenchidos), counted in one pass per file."""
-    def one(year, file):
-        counts = file.agg(*[F.count(c).alias(c) for c in file.columns])
-        return counts.select(F.lit(year).alias("ano"), F.inline(F.array(*[
-            F.struct(F.lit(c).alias("coluna"), F.col(c).alias("preenchidos")) for c in file.columns])))
+def with_filled(schemas: DataFrame, files: YearFiles) -> DataFrame:
+    """Schema rows with the number of values that are not null (preenchidos), counted in one pass."""
+    def one(table):
+        columns = [c for c in table.columns if c != FILE_YEAR]
+        counts = table.groupBy(F.col(FILE_YEAR).alias("ano")).agg(*[F.count(c).alias(c) for c in columns])
+        return counts.select("ano", F.inline(F.array(*[
+            F.struct(F.lit(c).alias("coluna"), F.col(c).alias("preenchidos")) for c in columns])))
 
-    filled = reduce(DataFrame.unionByName, [one(*item) for item in files.items()])
-    return schemas.join(filled, ["ano", "coluna"])
+    return schemas.join(files.united(one), ["ano", "coluna"])
 
 
 def inventory(spark: SparkSession, expected: dict[int, str],
-              files: dict[int, DataFrame]) -> DataFrame:
-    """Expected years with rows, columns and size; absent files are flagged.
+              files: YearFiles) -> DataFrame:
+    """Expected years with rows, columns and size; absent files are flagged, and a file without rows has 0.
 
     Counting needs no column, and sizes come from the file system's own listing.
     """
-    counts = reduce(DataFrame.unionByName, [
-        file.agg(F.count("*").alias("n_linhas")).withColumn("ano", F.lit(year))
-        for year, file in files.items()])
-    known = [(year, len(files[year].columns) if year in files else None,
+    counts = files.united(lambda table: table.groupBy(F.col(FILE_YEAR).alias("ano"))
+                          .agg(F.count("*").alias("n_linhas")))
+    known = [(year, len(files.schemas[year]) if year in files else None,
               round(size_of(spark, path) / 1e6, 1) if year in files else None)
              for year, path in expected.items()]
     years = spark.createDataFrame(known, "ano int, n_colunas bigint, tamanho_mb double")
-    found = F.col("n_linhas").isNotNull()
+    found = F.col("n_colunas").isNotNull()
     return years.join(counts, "ano", "left").select(
-        "ano", found.alias("existe"), "n_linhas", "n_colunas", "tamanho_mb",
+        "ano", found.alias("existe"), F.when(found, F.coalesce("n_linhas", F.lit(0))).alias("n_linhas"),
+        "n_colunas", "tamanho_mb",
         F.when(found, "presente").otherwise("ausente").alias("escopo"))
 
 
