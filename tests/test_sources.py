@@ -1,5 +1,10 @@
 """Yearly files and report files."""
 
+import json
+import subprocess
+import sys
+from pathlib import Path
+
 import pytest
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
@@ -9,7 +14,7 @@ from vitalcells.operators import profile as P
 from vitalcells.plans import relevance as R
 from vitalcells.sources import reports as S
 from vitalcells.sources import yearly as Y
-from vitalcells.storage import shared_folder, small, stored
+from vitalcells.storage import Store, shared_folder, small, stored
 
 TEXT = dict(CODMUNRES=" 520870", RACACORMAE="1", SEMAGESTAC="36", ESCMAE="4", ESCMAE2010="",
             IDADEMAE="x", DTNASC="1012022", CONSULTAS="9", QTDFILVIVO="99", ESTCIVMAE=" 2 ",
@@ -144,6 +149,53 @@ def test_stored_table_is_reused(spark, tmp_path):
     assert stored(spark, path, lambda: spark.range(9)).count() == 3
 
 
+OTHER_PROCESS = """
+import json, sys
+sys.path.insert(0, sys.argv[1])
+from vitalcells.session import local_session
+from vitalcells.storage import Store
+spark = local_session(2)
+store = Store(spark, sys.argv[2], [sys.argv[3]], sys.argv[4])
+built = []
+def build():
+    built.append(1)
+    return spark.read.parquet(sys.argv[3]).withColumn("half", __import__("pyspark").sql.functions.expr("id % 2"))
+rows = store.table("t", build, ("half",)).count()
+print("RESULT", json.dumps([len(built), rows, store.manifest("t")["inputs"][0]["files"] > 0]))
+"""
+
+
+def test_another_process_reuses_a_stored_table(spark, tmp_path):
+    source, root = str(tmp_path / "in.parquet"), str(tmp_path / "store")
+    here = str(Path(__file__).resolve().parents[1])
+
+    def other(rules):
+        run = subprocess.run([sys.executable, "-c", OTHER_PROCESS, here, root, source, rules],
+                             capture_output=True, text=True, timeout=300)
+        line = [x for x in run.stdout.splitlines() if x.startswith("RESULT")]
+        assert line, run.stderr[-2000:]
+        return json.loads(line[0][7:])
+
+    def builds(rules):
+        built = []
+        store = Store(spark, root, [source], rules)
+        rows = store.table("t", lambda: built.append(1) or spark.read.parquet(source).withColumn("half", F.expr("id % 2")),
+                           ("half",)).count()
+        return len(built), rows
+
+    spark.range(10).write.parquet(source)
+    assert builds("a") == (1, 10) and builds("a") == (0, 10)
+    assert other("a") == [0, 10, True]
+    assert builds("b") == (1, 10)  # other rules: a table of their own, beside the first
+    assert len(list((tmp_path / "store" / "t").iterdir())) == 2
+    spark.range(25).write.mode("overwrite").parquet(source)
+    assert other("a") == [1, 25, True]  # a changed input rebuilds it and removes the old one
+    assert len(list((tmp_path / "store" / "t").iterdir())) == 2
+    assert builds("a") == (0, 25) and builds("b") == (1, 25)
+    plan = Store(spark, root, [source], "a").table("t", lambda: None).where("half = 1")
+    assert "PartitionFilters: [isnotnull(half" in plan._jdf.queryExecution().executedPlan().toString()
+
+
 def test_shared_folder_is_the_checkpoint_folder(spark):
     assert shared_folder(spark).startswith(spark.conf.get("spark.checkpoint.dir"))
 

@@ -1,5 +1,6 @@
 """Query registration and the tables the queries share."""
 
+import inspect
 import re
 import threading
 from collections.abc import Callable
@@ -8,15 +9,18 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vitalcells import fixed_values
 from vitalcells.fixed_values import PROFILED
+from vitalcells.functions import derive, normalize
 from vitalcells.operators import cells as C
 from vitalcells.operators import cohort as K
-from vitalcells.plans.cube import measure_cube
+from vitalcells.plans import cube
 from vitalcells.plans.studies import Run
 from vitalcells.sources import star_births as S
+from vitalcells.sources import yearly
 from vitalcells.sources.yearly import (YearFiles, normalise, open_years, scan_years, schema_rows,
                                        with_filled, with_states)
-from vitalcells.storage import is_written, shared_folder, small, stored
+from vitalcells.storage import Store, is_written, lasting_folder, shared_folder, small, stored
 
 IDS = ("l_orderkey", "l_linenumber")
 NUMERIC_FILE_YEAR = 2000
@@ -36,6 +40,13 @@ class Workspace:
         self._lattices: dict[str, C.Lattice] = {}
         self._lock = threading.RLock()
 
+    @cached_property
+    def store(self) -> Store:
+        """Tables that the next process finds again: named by the sources' state and the code behind them."""
+        sources = [f"{self.folder}/{t}.parquet" for t in ("lineitem", "orders", "customer", "part", "nation", "region")]
+        rules = [inspect.getsource(m) for m in (S, K, C, cube, derive, normalize, yearly, fixed_values)]
+        return Store(self.spark, lasting_folder(self.spark), sources, "\n".join(rules))
+
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
@@ -76,13 +87,13 @@ class Workspace:
                 flagged = K.with_flags(flagged, rules)
             return K.with_categories(flagged)
 
-        return stored(self.spark, f"{self.root}/cohort", build)
+        return self.store.table("cohort", build, ("regiao",))
 
     @cached_property
     def cube(self) -> DataFrame:
         """Counts of all states by year and exposure group, for both teams' samples, from one pass."""
         arms = {"ours": C.ARMS["ESCMAE"], "theirs": C.ARMS["variant"]}
-        return stored(self.spark, f"{self.root}/cube", lambda: measure_cube(
+        return self.store.table("cube", lambda: cube.measure_cube(
             self.cohort, self.rules["ESCMAE"], {p: (arm.primary, arm.sensitivity) for p, arm in arms.items()}))
 
     @property
@@ -91,7 +102,8 @@ class Workspace:
 
     @property
     def focus(self) -> DataFrame:
-        return self.cohort.where(F.col("uf_code").isin(*S.FOCUS_CODES))
+        # Naming the region leaves the other regions' files unread.
+        return self.cohort.where((F.col("regiao") == S.FOCUS_REGION_NAME) & F.col("uf_code").isin(*S.FOCUS_CODES))
 
     def run(self, arm: str = "ESCMAE", national: bool = False) -> Run:
         with self._lock:
@@ -99,8 +111,8 @@ class Workspace:
                 spec = C.ARMS[arm]
                 rows = C.arm_rows(self.cohort, spec)
                 if arm not in self._lattices:
-                    self._lattices[arm] = C.Lattice(stored(
-                        self.spark, f"{self.root}/cells_{arm}", lambda: C.views(rows), ("view",)))
+                    self._lattices[arm] = C.Lattice(self.store.table(
+                        f"cells_{arm}", lambda: C.views(rows), ("view",)))
                 names = ", ".join(f"'{uf}'" for uf in self.focus_states)
                 region = "true" if national else f"uf_cat in ({names})"
                 self._runs[arm, national] = Run(self._lattices[arm], rows, S.YEARS, S.PERIODS, region)

@@ -13,7 +13,7 @@ from vitalcells.registry.base import (EXPECTED_FILE_YEARS, GESTACAO_FROM, IDS, N
 from vitalcells.sources import reports as R
 from vitalcells.sources import star_births as S
 from vitalcells.sources import yearly as Y
-from vitalcells.storage import is_written, stored
+from vitalcells.storage import is_written
 
 PROVENANCE = "vitalcells | seed 42 | anos 1995-2001"
 
@@ -165,7 +165,8 @@ select ANO as ano, count(*) as n, cast(sum(ptb) as bigint) as ptb_n,
   count(case when in_sens then 1 end) as n_sens
 from cohort where in_primary group by 1""")
 def _(w):
-    cached = stored(w.spark, f"{w.root}/primary_sample", lambda: w.cohort.where("in_primary"))
+    """The primary sample as a lasting table by region, reused by later processes."""
+    cached = w.store.table("primary_sample", lambda: w.cohort.where("in_primary"), ("regiao",))
     return cached.groupBy(F.col("ANO").alias("ano")).agg(
         F.count("*").alias("n"), F.sum("ptb").alias("ptb_n"),
         F.count_if("in_sens").alias("n_sens"))
