@@ -4,9 +4,11 @@ Every text is cut into units: runs of windows of `least` bytes that share their
 GRAM bytes (winnowing). Equal windows always lie in units of the same key, so the key is the bucket
 of the suffix array. Within a bucket, units with the same bytes are one leaf, whose smallest doc_id
 settles all its other occurrences. Buckets with several different leaves go on: their bytes are
-fetched, sorted into an enhanced suffix array, and scanned for maximal repeats with all occurrences.
+fetched and sorted into an enhanced suffix array, whose topmost intervals decide the rest. The maximal
+repeats themselves, with all occurrences, are what repeat_groups() returns.
 
-Defined results: null text is an empty text; texts shorter than `least` bytes lose nothing; a null
+Defined results: null text is an empty text; a very long text is a piece of its own, with arrays as long
+as it is; texts shorter than `least` bytes lose nothing; a null
 doc_id counts as larger than every other, and equal doc_ids (repeated rows) do not remove from each
 other; other columns of the input are not read.
 """
@@ -15,12 +17,12 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vitalcells.llm.arrow import LAST, by_key, longs, record_batch
 from vitalcells.llm.scratch import Scratch
-from vitalcells.llm.suffix_array import maximal_repeats
+from vitalcells.llm.suffix_array import build, maximal_intervals, runs_of_least
 from vitalcells.llm.textbytes import Hasher, mix, pieces, row_sums, signed, texts_of
 
 LEAST_BYTES = 50
@@ -30,7 +32,7 @@ MOST_WINDOWS = 64
 #: A bucket with more leaves is dealt anew by single windows, which no shared edge keeps together.
 MOST_LEAVES = 20_000
 #: Bytes of leaves sorted at a time; a bucket is never cut.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 2 << 20
 SHIFT = 12
 
 UNIT = "key long, span long, doc long, text_id long, place long"
@@ -206,7 +208,11 @@ def _merged(owner, start, end):
 
 
 def repeat_ranges(least: int, block_bytes: int):
-    """Maximal repeats of the leaves of each key; their occurrences after the smallest document."""
+    """Occurrences of repeats of `least` bytes after their smallest document.
+
+    Of the interval tree only the topmost intervals are needed here: deeper ones begin at the same bytes,
+    and a longer repeat is covered by the windows in it.
+    """
     names = ["doc", "text_id", "place"]
 
     def run(batches):
@@ -215,18 +221,15 @@ def repeat_ranges(least: int, block_bytes: int):
             settled = part["leaf"].is_null().to_numpy(zero_copy_only=False)
             doc, text_id, place, key = (longs(part[c]) for c in ("doc", "text_id", "place", "key"))
             texts = texts_of(part["leaf"].fill_null(b""))
-            _, owner, position, length = maximal_repeats(
-                texts.data, texts.offsets[:-1], texts.offsets[1:], key, least)
+            array = build(texts.data, texts.offsets[:-1], texts.offsets[1:], key, least)
             out = [(doc[settled], text_id[settled], place[settled])]
-            if len(owner):
-                repeat = _
-                begins = np.flatnonzero(np.append(True, repeat[1:] != repeat[:-1]))
-                smallest = np.minimum.reduceat(doc[owner], begins)[repeat]
-                later = doc[owner] > smallest
-                owner, position, length = owner[later], position[later], length[later]
+            if len(array.positions):
+                begins, run_of = runs_of_least(array.prefix, least)
+                owner = array.owners
+                later = doc[owner] > np.minimum.reduceat(doc[owner], begins)[run_of]
+                owner, start = owner[later], (array.positions - texts.offsets[array.owners])[later]
                 if len(owner):
-                    start = position - texts.offsets[owner]
-                    owner, start, end = _merged(owner, start, start + length)
+                    owner, start, end = _merged(owner, start, start + least)
                     out.append((doc[owner], text_id[owner],
                                 (((place[owner] >> SHIFT) + start) << SHIFT) | (end - start)))
             doc, text_id, place = (np.concatenate(x) for x in zip(*out))
@@ -294,6 +297,81 @@ def repeated_ranges(docs: DataFrame, scratch: Scratch, least: int = LEAST_BYTES,
     return settled.where(F.col("state") == SETTLED).select("doc", "text_id", "place").union(found)
 
 
+LEAVES_SCHEMA = "key long, span long, doc long, text_id long, place long, leaf binary"
+GROUPS_SCHEMA = "key long, first long, last long, length long, span long, shift long"
+
+
+def _unit_bytes(least: int):
+    """Every unit with its bytes."""
+    names = ["key", "span", "doc", "text_id", "place", "leaf"]
+
+    def run(batches):
+        for batch in batches:
+            for rows, texts in pieces(batch):
+                key, span, row, start, size = _units(texts, least)
+                raw, at = texts.data.tobytes(), texts.offsets[row] + start
+                leaf = [raw[s:s + n] for s, n in zip(at.tolist(), size.tolist())]
+                if leaf:
+                    doc, text_id = (longs(rows.column(c))[row] for c in ("doc", "text_id"))
+                    yield record_batch(names, signed(key), signed(span), doc, text_id, (start << SHIFT) | size,
+                                       pa.array(leaf, pa.binary()))
+
+    return run
+
+
+def _group_rows(least: int, block_bytes: int):
+    """Per key: its suffixes in order (first: rank, span and shift: the leaf and where in it), and its
+    maximal repeats (first and last rank, length)."""
+    names = ["key", "first", "last", "length", "span", "shift"]
+
+    def run(batches):
+        for part in by_key(batches, ["key", "span", "leaf"], lambda p: p["leaf"].nbytes + 1, block_bytes):
+            key, span = longs(part["key"]), longs(part["span"])
+            texts = texts_of(part["leaf"])
+            array = build(texts.data, texts.offsets[:-1], texts.offsets[1:], key, least)
+            if not len(array.positions):
+                continue
+            of = key[array.owners]
+            base = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
+            rank = np.arange(len(of)) - base[np.cumsum(np.append(True, of[1:] != of[:-1])) - 1]
+            none = pa.nulls(len(of), pa.int64())
+            yield record_batch(names, of, rank, none, none, span[array.owners],
+                               array.positions - texts.offsets[array.owners])
+            first, last, length = maximal_intervals(texts.data, texts.offsets[:-1], array, least)
+            none = pa.nulls(len(first), pa.int64())
+            yield record_batch(names, of[first], rank[first], rank[last], length, none, none)
+
+    return run
+
+
+def repeat_groups(docs: DataFrame, least: int = LEAST_BYTES,
+                  block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Maximal repeats within the units of the texts, with all their occurrences, as three tables:
+
+    groups (key, first, last, length): a repeat is the first `length` bytes of the key's suffixes of rank
+    first to last; suffixes (key, rank, span, shift): a suffix is a place in a leaf, that is in the bytes
+    that equal units share; and leaves (key, span, doc, text_id, start): where each leaf stands. Every
+    occurrence is found by joining them; written out they would be as many as nested repeats have.
+    A repeat of more than one unit appears once per unit.
+    """
+    scratch = Scratch(docs.sparkSession, "repeat-groups")
+    units = scratch.write(_keyed(docs).select("doc", "text_id", "text").mapInArrow(_unit_bytes(least), LEAVES_SCHEMA),
+                          "units")
+    distinct = units.groupBy("key", "span").agg(F.first("leaf").alias("leaf"))
+    found = scratch.write(distinct.repartition("key").sortWithinPartitions("key")
+                          .mapInArrow(_group_rows(least, block_bytes), GROUPS_SCHEMA), "groups")
+    # A leaf that stands in several places repeats as a whole; its one suffix has a rank below zero.
+    rank = -F.row_number().over(Window.partitionBy("key").orderBy("span")).cast("long")
+    whole = (units.groupBy("key", "span").agg(F.count("*").alias("n"), F.first(F.length("leaf")).alias("length"))
+             .where("n > 1").withColumn("rank", rank))
+    groups = found.where("span is null").select("key", "first", "last", "length").unionByName(
+        whole.select("key", F.col("rank").alias("first"), F.col("rank").alias("last"),
+                     F.col("length").cast("long").alias("length")))
+    suffixes = found.where("span is not null").select("key", F.col("first").alias("rank"), "span", "shift").unionByName(
+        whole.select("key", "rank", "span", F.lit(0).cast("long").alias("shift")))
+    return groups, suffixes, units.select("key", "span", "doc", "text_id", F.shiftright("place", SHIFT).alias("start"))
+
+
 def without_repeats(docs: DataFrame, least: int = LEAST_BYTES, with_text: bool = False,
                     most_leaves: int = MOST_LEAVES, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Each document with its repeated passages removed: doc_id, n_bytes, n_removed, n_spans,

@@ -103,25 +103,25 @@ def intervals(prefix: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, n
     return out[:, 0], out[:, 1], out[:, 2]
 
 
-def maximal_repeats(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, groups: np.ndarray,
-                    least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """All occurrences of all maximal repeats of `least` bytes or more within groups of texts.
+def runs_of_least(prefix: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """The topmost intervals: where each begins, and the interval of every suffix."""
+    fresh = np.append(True, prefix < least)
+    return np.flatnonzero(fresh), np.cumsum(fresh) - 1
 
-    Returns, per occurrence: the repeat's number, the text, the position in data, the length. A text's
-    first suffix counts as preceded by a byte of its own, since what stands before it is not known.
+
+def maximal_intervals(data: np.ndarray, starts: np.ndarray, array: SuffixArray,
+                      least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First and last suffix and length of all maximal repeats of `least` bytes or more.
+
+    The suffixes from first to last are a repeat's occurrences. A text's first suffix counts as preceded
+    by a byte of its own, since what stands before it is not known.
     """
-    array = build(data, starts, ends, groups, least)
     first, last, length = intervals(array.prefix, least)
     if not len(first):
-        none = np.zeros(0, np.int64)
-        return none, none, none, none
+        return first, last, length
     opening = array.positions == starts[array.owners]
     before = data[np.maximum(array.positions - 1, 0)].astype(np.int64)
     differs = (before[1:] != before[:-1]) | opening[1:] | opening[:-1]
     changes = np.concatenate([[0], np.cumsum(differs)])
     diverse = changes[last] > changes[first]
-    first, last, length = first[diverse], last[diverse], length[diverse]
-    count = last - first + 1
-    repeat = np.repeat(np.arange(len(first)), count)
-    suffix = first[repeat] + np.arange(len(repeat)) - (np.cumsum(count) - count)[repeat]
-    return repeat, array.owners[suffix], array.positions[suffix], length[repeat]
+    return first[diverse], last[diverse], length[diverse]
