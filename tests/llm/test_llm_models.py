@@ -67,11 +67,40 @@ def test_language_model_odd_rows(documents):
 
 
 def test_language_model_is_normalised():
+    """Both steps: over the units, and over the words and the rest of each unit."""
     rng = np.random.default_rng(0)
-    vocabulary = L.Vocabulary(0, 0, np.zeros(0, np.uint64), rng.integers(0, 9, L.UNITS), np.zeros(L.UNITS))
+    edges = np.sort(rng.integers(0, 40, L.UNITS + 1))
+    edges[0], edges[-1] = 0, 40
+    own = rng.integers(1, 1 << 62, 40).astype(np.uint64)
+    vocabulary = L.Vocabulary(0, 0, np.zeros(0, np.uint64), rng.integers(900, 999, L.UNITS), np.full(L.UNITS, 50), own,
+                              rng.integers(1, 9, 40), edges)
+    assert (vocabulary.words(own) == np.arange(40)).all() and vocabulary.words(own[:1] + np.uint64(1))[0] == -1
     model = L.Model.initial(vocabulary)
-    before = np.repeat(rng.integers(0, L.UNITS + 1, (1, L.CONTEXT)), L.UNITS, 0)
-    assert np.exp(model.log_probabilities(np.arange(L.UNITS), before)).sum() == pytest.approx(1, abs=1e-4)
+    unit_of = np.repeat(np.arange(L.UNITS), np.diff(edges))
+    units, words = np.concatenate([np.arange(L.UNITS), unit_of]), np.concatenate([np.full(L.UNITS, -1), np.arange(40)])
+    before = np.repeat(rng.integers(0, L.UNITS + 42, (1, 2 * L.CONTEXT)), len(units), 0)
+    assert np.exp(model.log_probabilities(vocabulary, units, words, before)).sum() == pytest.approx(1, abs=1e-4)
+
+
+def test_words_of_their_own_grow_with_the_texts_and_help(spark):
+    (docs,) = tables(spark, "documents")
+    few = L.score_documents(docs, own_from=10**9).collect()
+    many = L.score_documents(docs, own_from=40).collect()
+    held_out = [sum(r.score for r in rows if r.held_out) for rows in (few, many)]
+    assert held_out[1] > held_out[0]
+    text = docs.select("doc_id", F.lit(0).alias("bucket"), F.lit(False).alias("held_out"), "text")
+    sizes = []
+    for part in (text.where("doc_id % 4 = 0"), text):
+        counts = part.groupBy("bucket").applyInArrow(L._count, L.COUNTS)
+        totals = counts.selectExpr("bucket", "word", "n", "n as total", "unit", "true as first")
+        sizes.append(len(L._vocabulary(totals, 40).own))
+    assert sizes[1] > 2 * sizes[0] > 0
+
+
+def test_very_long_text_is_scored_whole(documents):
+    rows = [(1, "one two three " * 100_000), (2, "one two three"), (9, "two")]
+    got = {r.doc_id: r for r in L.score_documents(documents(rows)).collect()}
+    assert got[1].n_tokens == 300_001 and np.isfinite(got[1].score) and got[1].score < got[2].score < 0
 
 
 def brute_counts(text):

@@ -1,18 +1,23 @@
 """Scores of texts under a log-bilinear language model trained with noise-contrastive estimation.
 
 Words are counted over all training texts. The commonest ones are units of their own, all others fall
-into units by their spelling, and one unit ends a text. The model predicts the next unit: the vectors
-of the CONTEXT units before it, each scaled by its place, are summed and multiplied with a vector per
-unit. Each task trains it on its whole share of the training texts against sampled noise units, and
-the tasks' parameters are averaged by the units they saw. Scoring multiplies batches of contexts with
-all unit vectors and normalises over them; inside a unit a word has its share of the unit's counts,
-one more for each word and one for words never seen.
+into units by their spelling, and one unit ends a text. The model predicts the next word in two steps,
+its unit and then the word inside the unit. The vectors of the CONTEXT words before it, each scaled by
+its place, are summed and multiplied with a vector per unit, and then with a vector per word of the unit.
+Every word that occurs OWN times or more in training has vectors of its own, as context and as word, so
+the vocabulary of the model grows with the texts; the other words of a unit are one entry, inside which
+a word has its share of the counts, one more for each word and one for words never seen.
+
+Training goes in rounds, each over its share of the texts: each task starts from the same parameters
+and learns against sampled noise, and after a round the tasks' parameters are averaged by the words they
+saw. Scoring multiplies batches of contexts with all vectors of a step and normalises over them.
 
 Words go by 64-bit hashes. Texts are dealt into buckets by a hash of the row; a bucket's distinct words
 meet the counts once, not word by word.
 
 Defined results: null and empty texts consist of the end token. A null doc_id is a training row.
-Without training rows every count is 0. Repeated rows get equal scores; other columns are not read.
+A very long text is a piece of its own,
+with arrays as long as it is. Without training rows every count is 0. Repeated rows get equal scores; other columns are not read.
 """
 
 from dataclasses import dataclass
@@ -35,7 +40,11 @@ BUCKET_BYTES = 32 << 20
 COMMON, SPELLINGS = 127, 128
 UNITS = 1 + COMMON + SPELLINGS
 WIDTH, CONTEXT = 24, 5
-NOISE, MINIBATCH, RATE, SEED = 48, 1024, 0.08, 5
+NOISE, INNER_NOISE, MINIBATCH, RATE, SEED = 32, 16, 1024, 0.08, 5
+#: Training occurrences from which on a word has vectors of its own.
+OWN = 1000
+#: Averagings of the tasks' parameters.
+ROUNDS = 3
 #: Contexts scored at a time.
 SCORED = 2048
 END = 0x2545F4914F6CDD1D
@@ -109,13 +118,22 @@ def _renamed(batches):
 
 @dataclass
 class Vocabulary:
-    """Totals of the training texts, and the words that are units."""
+    """Totals of the training texts, the words that are units, and the words with vectors of their own."""
 
     tokens: int
     distinct: int
     common: np.ndarray  # hashes of the commonest words, sorted; their units by the same order
     counts: np.ndarray  # training tokens of each unit
     kinds: np.ndarray  # distinct training words of each unit
+    own: np.ndarray  # hashes of the words with vectors, by unit and hash
+    own_counts: np.ndarray  # training tokens of each of them
+    edges: np.ndarray  # where each unit's words begin among them
+
+    def __post_init__(self):
+        self.order = np.argsort(self.own)
+        inside = np.append(0, np.cumsum(self.own_counts))
+        self.rest = self.counts - (inside[self.edges[1:]] - inside[self.edges[:-1]])
+        self.rest_kinds = self.kinds - np.diff(self.edges)
 
     def units(self, hashes: np.ndarray, spelled: np.ndarray) -> np.ndarray:
         if not len(self.common):
@@ -123,134 +141,224 @@ class Vocabulary:
         at = np.minimum(np.searchsorted(self.common, hashes), len(self.common) - 1)
         return np.where(self.common[at] == hashes, 1 + at, spelled).astype(np.int32)
 
+    def words(self, hashes: np.ndarray) -> np.ndarray:
+        """The place of each word among those with vectors, or -1."""
+        if not len(self.own):
+            return np.full(len(hashes), -1, np.int32)
+        at = np.minimum(np.searchsorted(self.own, hashes, sorter=self.order), len(self.own) - 1)
+        return np.where(self.own[self.order[at]] == hashes, self.order[at], -1).astype(np.int32)
+
 
 @dataclass
 class Model:
-    """unit vectors of contexts and of targets, biases, scales of the context places."""
+    """Vectors of contexts and of targets, biases, scales of the context places.
+
+    Contexts: a row per unit, one for what stands before a text, one per word with vectors, which is added
+    to its unit's, and one for words without, which stays zero. Targets of the first step: a row per unit.
+    Of the second: a row per unit, for its other words, and one per word. The last column of targets is a
+    bias. Before training a word is its unit as context, and has its share of it as target.
+    """
 
     context: np.ndarray
     target: np.ndarray
-    bias: np.ndarray
+    inner: np.ndarray
     scale: np.ndarray
 
     @classmethod
     def initial(cls, vocabulary: Vocabulary) -> "Model":
         rng = np.random.default_rng(SEED)
+        words = len(vocabulary.own)
         small = lambda *shape: rng.normal(0, 0.1, shape).astype(np.float32)
         share = (vocabulary.counts + 1) / (vocabulary.counts.sum() + UNITS)
+        target, inner = small(UNITS, WIDTH + 1), np.zeros((UNITS + words, WIDTH + 1), np.float32)
+        target[:, -1] = np.log(share)
+        # Shares within the unit; contrastive estimation keeps them normalised.
+        unit = np.concatenate([np.arange(UNITS), np.repeat(np.arange(UNITS), np.diff(vocabulary.edges))])
+        inside = np.concatenate([vocabulary.rest + 1, vocabulary.own_counts + 1]).astype(float)
+        inner[:, -1] = np.log(inside / np.bincount(unit, inside, UNITS)[unit])
         scale = np.repeat(1 / np.arange(1, CONTEXT + 1, dtype=np.float32)[:, None], WIDTH, 1)
-        return cls(small(UNITS + 1, WIDTH), small(UNITS, WIDTH), np.log(share).astype(np.float32), scale)
+        context = np.concatenate([small(UNITS + 1, WIDTH), np.zeros((words + 1, WIDTH), np.float32)])
+        return cls(context, target, inner, scale)
 
     def parts(self) -> list[np.ndarray]:
-        return [self.context, self.target, self.bias, self.scale]
+        return [self.context, self.target, self.inner, self.scale]
 
-    def flat(self) -> np.ndarray:
-        return np.concatenate([p.ravel() for p in self.parts()]).astype(np.float64)
+    def rows(self) -> np.ndarray:
+        """All parameters as rows of one width."""
+        wide = [np.pad(p, ((0, 0), (0, WIDTH + 1 - p.shape[1]))) for p in self.parts()]
+        return np.concatenate(wide)
 
-    def from_flat(self, values: np.ndarray) -> "Model":
+    def with_rows(self, places: np.ndarray, values: np.ndarray) -> "Model":
+        """The model with some rows replaced."""
+        flat = self.rows()
+        flat[places] = values
         out, at = [], 0
         for p in self.parts():
-            out.append(values[at:at + p.size].reshape(p.shape).astype(np.float32))
-            at += p.size
+            out.append(np.ascontiguousarray(flat[at:at + len(p), :p.shape[1]]))
+            at += len(p)
         return Model(*out)
 
-    def log_probabilities(self, units: np.ndarray, before: np.ndarray) -> np.ndarray:
-        """Natural log of each unit's probability after the units before it."""
+    def hidden(self, before: np.ndarray) -> np.ndarray:
+        """Sums of scaled context vectors: of the units, and of the words with vectors."""
         tables = [self.context * s for s in self.scale]
-        out = np.empty(len(units))
-        weights = np.ascontiguousarray(self.target.T)
+        out = tables[0][before[:, 0]]
+        for i in range(1, 2 * CONTEXT):
+            out += tables[i % CONTEXT][before[:, i]]
+        return out
+
+    def log_probabilities(self, vocabulary: Vocabulary, units: np.ndarray, words: np.ndarray,
+                          before: np.ndarray) -> np.ndarray:
+        """Natural log of the probability of each word with vectors, or of the other words of its unit."""
+        out, hidden = np.empty(len(units)), self.hidden(before)
         for a in range(0, len(units), SCORED):
             part = slice(a, a + SCORED)
-            hidden = tables[0][before[part, 0]]
-            for i in range(1, CONTEXT):
-                hidden += tables[i][before[part, i]]
-            scores = hidden @ weights
-            scores += self.bias
-            own = scores[np.arange(len(scores)), units[part]]
-            np.exp(scores, out=scores)
-            out[part] = own - np.log(scores.sum(1))
+            out[part] = _log_softmax(hidden[part], self.target, units[part])
+        order = np.argsort(units, kind="stable")
+        ends = np.searchsorted(units[order], np.arange(UNITS + 1))
+        for unit in np.flatnonzero(np.diff(vocabulary.edges)):
+            at = order[ends[unit]:ends[unit + 1]]
+            rows = _entries(vocabulary, unit)
+            for a in range(0, len(at), SCORED):
+                part = at[a:a + SCORED]
+                out[part] += _log_softmax(hidden[part], self.inner[rows], _entry(vocabulary, unit, words[part]))
         return out
 
 
-def contexts(units: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """The CONTEXT units before each token of its row, nearest first; UNITS where the row begins."""
-    place = np.arange(len(units)) - np.repeat(first[:-1], np.diff(first))
-    out = np.full((len(units), CONTEXT), UNITS, np.int32)
+def _log_softmax(hidden: np.ndarray, target: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+    scores = hidden @ target[:, :-1].T
+    scores += target[:, -1]
+    own = scores[np.arange(len(scores)), chosen]
+    np.exp(scores, out=scores)
+    return own - np.log(scores.sum(1))
+
+
+def _entries(vocabulary: Vocabulary, unit: int) -> np.ndarray:
+    """Rows of a unit in the second step: its other words, then each word with vectors."""
+    return np.append(unit, UNITS + np.arange(vocabulary.edges[unit], vocabulary.edges[unit + 1]))
+
+
+def _entry(vocabulary: Vocabulary, unit: int, words: np.ndarray) -> np.ndarray:
+    return np.where(words < 0, 0, words - vocabulary.edges[unit] + 1)
+
+
+def contexts(ids: np.ndarray, first: np.ndarray, outside: int) -> np.ndarray:
+    """The CONTEXT tokens before each token of its row, nearest first; `outside` where the row begins."""
+    place = np.arange(len(ids)) - np.repeat(first[:-1], np.diff(first))
+    out = np.full((len(ids), CONTEXT), outside, np.int32)
     for i in range(CONTEXT):
         inside = np.flatnonzero(place > i)
-        out[inside, i] = units[inside - i - 1]
+        out[inside, i] = ids[inside - i - 1]
     return out
 
 
+def read(vocabulary: Vocabulary, hashes: np.ndarray, spelled: np.ndarray, first: np.ndarray):
+    """Units and words of tokens, and the context rows before each: those of units, then of words."""
+    units, words = vocabulary.units(hashes, spelled), vocabulary.words(hashes)
+    none = UNITS + 1 + len(vocabulary.own)
+    own = np.where(words < 0, none, UNITS + 1 + words)
+    return units, words, np.concatenate([contexts(units, first, UNITS), contexts(own, first, none)], 1)
+
+
 class Trainer:
     """Noise-contrastive estimation by minibatches with adaptive rates."""
 
     def __init__(self, model: Model, vocabulary: Vocabulary, seed: int):
-        self.model = model
+        self.model = Model(*[p.copy() for p in model.parts()])
+        self.vocabulary = vocabulary
         self.squares = [np.full(p.shape, 0.1, np.float32) for p in model.parts()]
-        share = (vocabulary.counts + 1) / (vocabulary.counts.sum() + UNITS)
-        self.edges = np.cumsum(share)
-        self.log_noise = np.log(NOISE * share).astype(np.float32)
+        self.touched = [np.zeros(len(p), bool) for p in model.parts()]
+        self.share = (vocabulary.counts + 1) / (vocabulary.counts.sum() + UNITS)
         self.rng = np.random.default_rng(seed)
 
-    def learn(self, units: np.ndarray, before: np.ndarray) -> None:
+    def learn(self, units: np.ndarray, words: np.ndarray, before: np.ndarray) -> None:
         order = self.rng.permutation(len(units))
+        every = np.arange(UNITS)
         for a in range(0, len(order), MINIBATCH):
-            self._step(units[order[a:a + MINIBATCH]], before[order[a:a + MINIBATCH]])
-
-    def _step(self, units: np.ndarray, before: np.ndarray) -> None:
-        m, n = self.model, len(units)
-        vectors = [m.context[before[:, i]] for i in range(CONTEXT)]
-        hidden = sum(v * s for v, s in zip(vectors, m.scale))
-        noise = np.minimum(np.searchsorted(self.edges, self.rng.random(NOISE)), UNITS - 1)
-        own = np.einsum("ij,ij->i", hidden, m.target[units]) + m.bias[units] - self.log_noise[units]
-        others = hidden @ m.target[noise].T + (m.bias - self.log_noise)[noise]
-        # Rise for what was read, fall for what was drawn as noise.
+            at = order[a:a + MINIBATCH]
+            self._step(1, every, self.share, NOISE, units[at], before[at], True)
+        v = self.vocabulary
+        order = order[np.argsort(units[order], kind="stable")]
+        ends = np.searchsorted(units[order], np.arange(UNITS + 1))
+        for unit in np.flatnonzero(np.diff(v.edges)):
+            inside = np.append(v.rest[unit], v.own_counts[v.edges[unit]:v.edges[unit + 1]]) + 1
+            rows, at = _entries(v, unit), order[ends[unit]:ends[unit + 1]]
+            for a in range(0, len(at), MINIBATCH):
+                part = at[a:a + MINIBATCH]
+                self._step(2, rows, inside / inside.sum(), INNER_NOISE, _entry(v, unit, words[part]), before[part], False)
+
+    def _step(self, part: int, rows: np.ndarray, share: np.ndarray, draws: int, chosen: np.ndarray,
+              before: np.ndarray, contexts_too: bool) -> None:
+        """Rise for what was read, fall for what was drawn as noise among some rows of targets."""
+        m, n = self.model, len(chosen)
+        target, log_noise = m.parts()[part][rows], np.log(draws * share).astype(np.float32)
+        hidden = m.hidden(before)
+        noise = np.minimum(np.searchsorted(np.cumsum(share), self.rng.random(draws)), len(rows) - 1)
+        own = np.einsum("ij,ij->i", hidden, target[chosen, :-1]) + target[chosen, -1] - log_noise[chosen]
+        others = hidden @ target[noise, :-1].T + (target[:, -1] - log_noise)[noise]
         up = 1 / (1 + np.exp(np.clip(own, -30, 30)))
         down = -1 / (1 + np.exp(-np.clip(others, -30, 30)))
-        towards = up[:, None] * m.target[units] + down @ m.target[noise]
-        target = _scatter(units, up[:, None] * hidden, UNITS)
-        np.add.at(target, noise, down.T @ hidden)
-        bias = np.bincount(units, up, UNITS) + np.bincount(noise, down.sum(0), UNITS)
-        context = sum(_scatter(before[:, i], towards * m.scale[i], UNITS + 1) for i in range(CONTEXT))
-        scale = np.stack([np.einsum("ij,ij->j", towards, v) for v in vectors])
-        for part, square, g in zip(m.parts(), self.squares, (context, target, bias, scale)):
-            g = (g / np.sqrt(n)).astype(np.float32)
-            square += g * g
-            part += RATE * g / np.sqrt(square)
-
-
-def _scatter(rows: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
-    """Sums of the values of each row: a product with the matrix that deals them out."""
-    order = np.argsort(rows, kind="stable")
-    rows = rows[order]
-    begins = np.flatnonzero(np.append(True, rows[1:] != rows[:-1]))
-    out = np.zeros((n, values.shape[1]), np.float32)
-    out[rows[begins]] = np.add.reduceat(values[order], begins, axis=0)
-    return out
-
-
-def _train(vocabulary: Vocabulary):
-    """Parameters after a pass over a task's training texts, times the units seen."""
+        at = np.concatenate([chosen, noise])
+        gains = np.concatenate([np.concatenate([up[:, None] * hidden, up[:, None]], 1),
+                                np.concatenate([down.T @ hidden, down.sum(0)[:, None]], 1)])
+        self._move(part, rows[at], gains, n)
+        if contexts_too:
+            towards = up[:, None] * target[chosen, :-1] + down @ target[noise, :-1]
+            scale = np.stack([np.einsum("ij,ij->j", towards, m.context[before[:, i]]) for i in range(CONTEXT)])
+            # Column by column, so that one sort deals out all places.
+            gains = (towards[None] * m.scale[:, None]).reshape(-1, WIDTH)
+            moved, told = before.T.ravel(), before[:, CONTEXT:].T.ravel() < len(m.context) - 1
+            told = np.concatenate([np.ones(len(gains), bool), told])
+            self._move(0, moved[told], np.concatenate([gains, gains])[told], n)
+            self._move(3, np.arange(CONTEXT), scale, n)
+
+    def _move(self, part: int, rows: np.ndarray, gains: np.ndarray, n: int) -> None:
+        """Add up the gains of each row and move it."""
+        order = np.argsort(rows, kind="stable")
+        rows = rows[order]
+        begins = np.flatnonzero(np.append(True, rows[1:] != rows[:-1]))
+        rows = rows[begins]
+        g = (np.add.reduceat(gains[order], begins, axis=0) / np.sqrt(n)).astype(np.float32)
+        squares = self.squares[part][rows] + g * g
+        self.squares[part][rows] = squares
+        self.model.parts()[part][rows] += RATE * g / np.sqrt(squares)
+        self.touched[part][rows] = True
+
+
+COLUMNS = [f"v{i}" for i in range(WIDTH + 1)]
+ROWS = "place int, weight double, " + ", ".join(f"{c} float" for c in COLUMNS)
+
+
+def _train(vocabulary: Vocabulary, model: Model):
+    """Rows that a task's training texts moved, and the tokens it saw."""
     def run(batches):
         trainer, seen = None, 0
         for batch in batches:
             for _, texts in pieces(batch):
                 hashes, spelled, first = tokens_of(texts)
                 if trainer is None:
-                    trainer = Trainer(Model.initial(vocabulary), vocabulary,
-                                      int(hashes[0] % np.uint64(1 << 31)))
-                units = vocabulary.units(hashes, spelled)
-                trainer.learn(units, contexts(units, first))
-                seen += len(units)
+                    trainer = Trainer(model, vocabulary, int(hashes[0] % np.uint64(1 << 31)))
+                trainer.learn(*read(vocabulary, hashes, spelled, first))
+                seen += len(hashes)
         if trainer is not None:
-            values = trainer.model.flat()
-            yield record_batch(["place", "value", "weight"], np.arange(len(values), dtype=np.int32),
-                               values * seen, np.full(len(values), float(seen)))
+            places = np.flatnonzero(np.concatenate(trainer.touched))
+            values = trainer.model.rows()[places]
+            yield record_batch(["place", "weight", *COLUMNS], places.astype(np.int32),
+                               np.full(len(places), float(seen)), *values.T)
 
     return run
 
 
+def _averaged(texts: DataFrame, vocabulary: Vocabulary, model: Model) -> Model:
+    """The model after a pass over some texts, averaged over the tasks by the tokens they saw."""
+    weight = F.sum("weight")
+    rows = (texts.select("text").mapInArrow(_train(vocabulary, model), ROWS).groupBy("place")
+            .agg(*[(F.sum(F.col(c) * F.col("weight")) / weight).cast("float").alias(c) for c in COLUMNS]).toArrow())
+    if not rows.num_rows:
+        return model
+    values = np.stack([rows.column(c).to_numpy() for c in COLUMNS], 1)
+    return model.with_rows(rows.column("place").to_numpy(), values)
+
+
 def _score(vocabulary: Vocabulary, model: Model):
     names = [c.split()[0] for c in SCORES.split(", ")]
     log10 = np.log(10)
@@ -260,17 +368,17 @@ def _score(vocabulary: Vocabulary, model: Model):
         total = longs(words.column("total").combine_chunks())
         order = np.argsort(known)
         known, total = known[order], total[order]
-        scale = vocabulary.counts + vocabulary.kinds + 1
+        scale = vocabulary.rest + vocabulary.rest_kinds + 1
         out = []
         for batch in table.to_batches():
             for rows, texts in pieces(batch):
                 hashes, spelled, first = tokens_of(texts)
                 count = total[np.searchsorted(known, hashes)]
                 base = np.log10((count + 1) / (vocabulary.tokens + vocabulary.distinct + 1))
-                units = vocabulary.units(hashes, spelled)
+                units, own, before = read(vocabulary, hashes, spelled, first)
                 # The end and the commonest words are units of one word each.
-                inside = np.where(units > COMMON, np.log((count + 1) / scale[units]), 0)
-                score = (model.log_probabilities(units, contexts(units, first)) + inside) / log10
+                inside = np.where((units > COMMON) & (own < 0), np.log((count + 1) / scale[units]), 0)
+                score = (model.log_probabilities(vocabulary, units, own, before) + inside) / log10
                 n = np.diff(first)
                 out.append(record_batch(
                     names, rows.column("doc_id"), rows.column("held_out"), n, row_sums(count > 0, first),
@@ -280,8 +388,9 @@ def _score(vocabulary: Vocabulary, model: Model):
     return run
 
 
-def _vocabulary(totals: DataFrame) -> Vocabulary:
-    """Bounded facts of the counts: sums, the commonest words, and the units' sums."""
+def _vocabulary(totals: DataFrame, own_from: int) -> Vocabulary:
+    """Facts of the counts: sums, the commonest words, the units' sums, and the words with vectors, of
+    which there is at most one for every `own_from` training tokens."""
     learned = totals.where("first and total > 0")
     end = int(signed(np.array([END], np.uint64))[0])
     per_unit = (learned.groupBy("unit")
@@ -298,11 +407,18 @@ def _vocabulary(totals: DataFrame) -> Vocabulary:
         counts[unit], kinds[unit] = common[i].total, 1
         counts[common[i].unit] -= common[i].total
         kinds[common[i].unit] -= 1
-    return Vocabulary(tokens, distinct, hashes[order], counts, kinds)
+    own = (learned.where((F.col("total") >= own_from) & (F.col("word") != end)
+                         & ~F.col("word").isin([r.word for r in common]))
+           .select("unit", "word", "total").toArrow())
+    unit, word = own.column("unit").to_numpy(), own.column("word").to_numpy().view(np.uint64)
+    rank = np.lexsort((word, unit))
+    edges = np.searchsorted(unit[rank], np.arange(UNITS + 1))
+    return Vocabulary(tokens, distinct, hashes[order], counts, kinds, word[rank],
+                      own.column("total").to_numpy()[rank].astype(np.int64), edges)
 
 
 def score_documents(docs: DataFrame, folds: int = FOLDS, held_fold: int = HELD_FOLD,
-                    bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+                    bucket_bytes: int = BUCKET_BYTES, own_from: int = OWN) -> DataFrame:
     """Per document: its tokens, those seen in training, a smoothed unigram score and the model's."""
     scratch = Scratch(docs.sparkSession, "lm")
     text = F.coalesce("text", F.lit(""))
@@ -315,13 +431,10 @@ def score_documents(docs: DataFrame, folds: int = FOLDS, held_fold: int = HELD_F
     counts = texts.select("bucket", "held_out", "text").groupBy("bucket").applyInArrow(_count, COUNTS)
     totals = scratch.write(counts.repartition("word").sortWithinPartitions("word")
                            .mapInArrow(_totals, TOTALS), "totals")
-    vocabulary = _vocabulary(totals)
-    sums = (texts.where("not held_out").select("text")
-            .mapInArrow(_train(vocabulary), "place int, value double, weight double")
-            .groupBy("place").agg((F.sum("value") / F.sum("weight")).alias("value"))
-            .orderBy("place").toArrow())
+    vocabulary = _vocabulary(totals, own_from)
     model = Model.initial(vocabulary)
-    if sums.num_rows:
-        model = model.from_flat(sums.column("value").to_numpy())
+    turn = F.pmod(F.xxhash64("text", "doc_id"), F.lit(ROUNDS))
+    for i in range(ROUNDS):
+        model = _averaged(texts.where(~F.col("held_out") & (turn == i)), vocabulary, model)
     return (texts.groupBy("bucket").cogroup(totals.select("bucket", "word", "total").groupBy("bucket"))
             .applyInArrow(_score(vocabulary, model), SCORES))
