@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from vitalcells import fixed_values as V
 from vitalcells.plans import relevance as R
 from vitalcells.registry.base import Workspace, query
-from vitalcells.storage import exists, spread
+from vitalcells.storage import exists
 
 PHRASES = (*V.KEYWORDS, "license", "token", "rights reserved", "creative commons", "public license", "copyright")
 CENTRAL_HITS = 2
@@ -26,7 +26,7 @@ tiers as (select *, len(achados) as n_achados, case when len(achados) >= 2 and e
 
 
 def scored(w: Workspace):
-    rows = R.with_hits(spread(w.table("documents")), "text", PHRASES)
+    rows = R.with_hits(w.table("documents"), "text", PHRASES)
     return rows.select(
         "doc_id", "source", "lang", "n_chars", "achados", "n_achados",
         (F.col("lang") == "en").alias("elegivel"), (F.col("n_chars") < 5000).alias("prazo"))

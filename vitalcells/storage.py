@@ -50,15 +50,6 @@ def is_written(spark: SparkSession, path: str) -> bool:
     return exists(spark, f"{path}/_SUCCESS")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Use every core when a file scan has fewer splits than there are cores.
-
-    Large inputs have more splits than cores and are left as they are.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def small(df: DataFrame, max_rows: int) -> DataFrame:
     """Mark a lookup for broadcast after checking its size; a larger one is left to Spark."""
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
