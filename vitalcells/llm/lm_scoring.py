@@ -2,11 +2,11 @@
 
 Words are counted over all training texts. The commonest ones are units of their own, all others fall
 into units by their spelling, and one unit ends a text. The model predicts the next word in two steps,
-its unit and then the word inside the unit. The vectors of the CONTEXT words before it, each scaled by
+its unit and then the word inside the unit. The vectors of the CONTEXT units before it, each scaled by
 its place, are summed and multiplied with a vector per unit, and then with a vector per word of the unit.
-Every word that occurs OWN times or more in training has vectors of its own, as context and as word, so
-the vocabulary of the model grows with the texts; the other words of a unit are one entry, inside which
-a word has its share of the counts, one more for each word and one for words never seen.
+Every word that occurs OWN times or more in training has a vector of its own, so the vocabulary of the
+model grows with the texts; the other words of a unit are one entry, inside which a word has its share of
+the counts, one more for each word and one for words never seen.
 
 Training goes in rounds, each over its share of the texts: each task starts from the same parameters
 and learns against sampled noise, and after a round the tasks' parameters are averaged by the words they
@@ -37,16 +37,16 @@ FOLDS, HELD_FOLD = 7, 2
 #: Bytes of text in a bucket, which one task scores at a time.
 BUCKET_BYTES = 32 << 20
 #: Unit 0 ends a text; then come the commonest words and the units of spelling.
-COMMON, SPELLINGS = 127, 128
+COMMON, SPELLINGS = 63, 64
 UNITS = 1 + COMMON + SPELLINGS
 WIDTH, CONTEXT = 24, 5
-NOISE, INNER_NOISE, MINIBATCH, RATE, SEED = 32, 16, 1024, 0.08, 5
+NOISE, INNER_NOISE, MINIBATCH, RATE, SEED = 32, 16, 2048, 0.08, 5
 #: Training occurrences from which on a word has vectors of its own.
 OWN = 1000
 #: Averagings of the tasks' parameters.
 ROUNDS = 3
 #: Contexts scored at a time.
-SCORED = 2048
+SCORED = 256
 END = 0x2545F4914F6CDD1D
 _STOPS = np.frombuffer(b".,;:!?)\"'", np.uint8)
 
@@ -153,10 +153,9 @@ class Vocabulary:
 class Model:
     """Vectors of contexts and of targets, biases, scales of the context places.
 
-    Contexts: a row per unit, one for what stands before a text, one per word with vectors, which is added
-    to its unit's, and one for words without, which stays zero. Targets of the first step: a row per unit.
-    Of the second: a row per unit, for its other words, and one per word. The last column of targets is a
-    bias. Before training a word is its unit as context, and has its share of it as target.
+    Contexts: a row per unit, and one for what stands before a text. Targets of the first step: a row per
+    unit. Of the second: a row per unit, for its other words, and one per word. The last column of targets
+    is a bias. Before training a word has its share of its unit.
     """
 
     context: np.ndarray
@@ -177,8 +176,7 @@ class Model:
         inside = np.concatenate([vocabulary.rest + 1, vocabulary.own_counts + 1]).astype(float)
         inner[:, -1] = np.log(inside / np.bincount(unit, inside, UNITS)[unit])
         scale = np.repeat(1 / np.arange(1, CONTEXT + 1, dtype=np.float32)[:, None], WIDTH, 1)
-        context = np.concatenate([small(UNITS + 1, WIDTH), np.zeros((words + 1, WIDTH), np.float32)])
-        return cls(context, target, inner, scale)
+        return cls(small(UNITS + 1, WIDTH), target, inner, scale)
 
     def parts(self) -> list[np.ndarray]:
         return [self.context, self.target, self.inner, self.scale]
@@ -199,11 +197,11 @@ class Model:
         return Model(*out)
 
     def hidden(self, before: np.ndarray) -> np.ndarray:
-        """Sums of scaled context vectors: of the units, and of the words with vectors."""
+        """Sums of scaled context vectors."""
         tables = [self.context * s for s in self.scale]
         out = tables[0][before[:, 0]]
-        for i in range(1, 2 * CONTEXT):
-            out += tables[i % CONTEXT][before[:, i]]
+        for i in range(1, CONTEXT):
+            out += tables[i][before[:, i]]
         return out
 
     def log_probabilities(self, vocabulary: Vocabulary, units: np.ndarray, words: np.ndarray,
@@ -241,22 +239,20 @@ def _entry(vocabulary: Vocabulary, unit: int, words: np.ndarray) -> np.ndarray:
     return np.where(words < 0, 0, words - vocabulary.edges[unit] + 1)
 
 
-def contexts(ids: np.ndarray, first: np.ndarray, outside: int) -> np.ndarray:
-    """The CONTEXT tokens before each token of its row, nearest first; `outside` where the row begins."""
-    place = np.arange(len(ids)) - np.repeat(first[:-1], np.diff(first))
-    out = np.full((len(ids), CONTEXT), outside, np.int32)
+def contexts(units: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The CONTEXT units before each token of its row, nearest first; UNITS where the row begins."""
+    place = np.arange(len(units)) - np.repeat(first[:-1], np.diff(first))
+    out = np.full((len(units), CONTEXT), UNITS, np.int32)
     for i in range(CONTEXT):
         inside = np.flatnonzero(place > i)
-        out[inside, i] = ids[inside - i - 1]
+        out[inside, i] = units[inside - i - 1]
     return out
 
 
 def read(vocabulary: Vocabulary, hashes: np.ndarray, spelled: np.ndarray, first: np.ndarray):
-    """Units and words of tokens, and the context rows before each: those of units, then of words."""
-    units, words = vocabulary.units(hashes, spelled), vocabulary.words(hashes)
-    none = UNITS + 1 + len(vocabulary.own)
-    own = np.where(words < 0, none, UNITS + 1 + words)
-    return units, words, np.concatenate([contexts(units, first, UNITS), contexts(own, first, none)], 1)
+    """Units and words of tokens, and the units before each."""
+    units = vocabulary.units(hashes, spelled)
+    return units, vocabulary.words(hashes), contexts(units, first)
 
 
 class Trainer:
@@ -306,9 +302,7 @@ class Trainer:
             scale = np.stack([np.einsum("ij,ij->j", towards, m.context[before[:, i]]) for i in range(CONTEXT)])
             # Column by column, so that one sort deals out all places.
             gains = (towards[None] * m.scale[:, None]).reshape(-1, WIDTH)
-            moved, told = before.T.ravel(), before[:, CONTEXT:].T.ravel() < len(m.context) - 1
-            told = np.concatenate([np.ones(len(gains), bool), told])
-            self._move(0, moved[told], np.concatenate([gains, gains])[told], n)
+            self._move(0, before.T.ravel(), gains, n)
             self._move(3, np.arange(CONTEXT), scale, n)
 
     def _move(self, part: int, rows: np.ndarray, gains: np.ndarray, n: int) -> None:
