@@ -80,14 +80,16 @@ class Workspace:
 
     @cached_property
     def cohort(self) -> DataFrame:
-        """All records with sample flags and categories, written once and pruned by readers."""
+        """All records with sample flags and categories. Numbers and flags are written once; readers derive
+        the categories they name. Deriving all of them in the write made its code too long for the JVM to
+        compile, and folders by region made every task sort its records."""
         def build():
             flagged = self.births()
             for rules in self.rules.values():
                 flagged = K.with_flags(flagged, rules)
-            return K.with_categories(flagged)
+            return flagged
 
-        return self.store.table("cohort", build, ("regiao",))
+        return K.with_categories(self.store.table("records", build))
 
     @cached_property
     def cube(self) -> DataFrame:
@@ -102,7 +104,7 @@ class Workspace:
 
     @property
     def focus(self) -> DataFrame:
-        # Naming the region leaves the other regions' files unread.
+        # The region's name is tested on the stored text, before the codes.
         return self.cohort.where((F.col("regiao") == S.FOCUS_REGION_NAME) & F.col("uf_code").isin(*S.FOCUS_CODES))
 
     def run(self, arm: str = "ESCMAE", national: bool = False) -> Run:
