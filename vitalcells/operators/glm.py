@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from vitalcells import fixed_values as V
 from vitalcells.operators.cells import collapse
+from vitalcells.storage import cached
 
 LEVEL_ORDER = {
     "raca": V.RACE_LEVELS,
@@ -157,13 +158,17 @@ class Coding:
         cells = range(len(self.kinds))
         pairs = [(0, 0), *[(0, j) for j in cells[1:]], *combinations(cells[1:], 2),
                  *[(j, j) for j in cells if self.value(self.kinds[j]) != "1D"]]
-        entries = ", ".join(
-            f"struct(({self.first[i]} + {self.place(self.kinds[i])}) * {self.total}L"
-            f" + {self.first[j]} + {self.place(self.kinds[j])} as k,"
-            f" {self.value(self.kinds[i])} * {self.value(self.kinds[j])} as v)" for i, j in pairs)
+        # A cell carries its place in every kind; a short expression picks the two of each pair. Writing
+        # out all pairs makes code that the JVM does not compile.
+        places = ", ".join(f"{first}L + {self.place(kind)}" for first, kind in zip(self.first, self.kinds))
+        values = ", ".join(f"cast({self.value(kind)} as double)" for kind in self.kinds)
+        picked = ", ".join(f"named_struct('i', {i}, 'j', {j})" for i, j in pairs)
         names = [f"m{i}" for i in range(len(measures))]
         rows = (data.selectExpr(*[f"cast({sql} as double) as {n}" for n, sql in zip(names, measures.values())],
-                                f"{most} as most", f"inline(array({entries}))")
+                                f"{most} as most", f"array({places}) as places", f"array({values}) as vals")
+                .selectExpr("*", f"inline(array({picked}))")
+                .selectExpr(*names, "most", f"get(places, i) * {self.total}L + get(places, j) as k",
+                            "get(vals, i) * get(vals, j) as v")
                 .groupBy("k").agg(F.max("most").alias("most"),
                                   *[F.sum(F.col(n) * F.col("v")).alias(n) for n in names]).collect())
         out = {m: np.zeros((self.total, self.total)) for m in measures}
@@ -336,8 +341,8 @@ def separating_direction(data: DataFrame, coding: Coding, terms, cells: np.ndarr
               .where("side is not null")
               .selectExpr(*[f"round(side * {z}, 9) + 0D as {z}" for z in names])
               .where(" or ".join(f"abs({z}) > 1e-7" for z in names))
-              .groupBy(*names).agg(F.count("*").alias("w")).persist())
-    try:
+              .groupBy(*names).agg(F.count("*").alias("w")))
+    with cached(points):
         inner = np.linalg.pinv(basis.T @ (whole - fixed) @ basis, hermitian=True)
         along, weights = "1D", None
         for _ in range(MOST_RECTIFIED):
@@ -350,26 +355,30 @@ def separating_direction(data: DataFrame, coding: Coding, terms, cells: np.ndarr
             weights = inner @ np.array(wish)
             along = " + ".join(f"({z} * {w!r}D)" for z, w in zip(names, weights.tolist()))
         return None
-    finally:
-        points.unpersist()
 
 
 def fit(cells: DataFrame, model: Model, robust: bool = False, rows: DataFrame | None = None,
-        correction_n: str = "rows", levels: dict[str, tuple[str, ...]] | None = None) -> Fit:
+        correction_n: str = "rows", levels: dict[str, tuple[str, ...]] | None = None,
+        most_cells: int | None = None) -> Fit:
     """Fit a model on cells; `rows` are the single records (ptb, CODMUNRES) behind them, for cluster
-    errors; `levels` lists at least all levels that occur, where the caller has them.
+    errors; `levels` lists at least all levels that occur, and `most_cells` is a bound on the cells, where
+    the caller has them.
 
     Where some outcomes can be told apart by the design, their cells fit perfectly in the limit and say
     nothing of the rest: they are set aside, what becomes infinite is reported as separated, and the
     other effects are those of the remaining cells.
     """
+    if most_cells is not None:
+        # Dealt by the keys to the few tasks that they need, where they are summed without a second shuffle.
+        cells = cells.repartition(_tasks(most_cells), *model.keys)
     data = collapse(cells, *model.keys)
     coding = Coding(model, levels or levels_of(data, model.factors))
-    data = coding.apply(data, "succ", "n").persist()
-    try:
+    with cached(coding.apply(data, "succ", "n")) as data:
         return _fit(data, coding, robust, rows, correction_n)
-    finally:
-        data.unpersist()
+
+
+def _tasks(cells: float) -> int:
+    return max(1, math.ceil(cells / CELLS_PER_TASK))
 
 
 def _fit(data: DataFrame, coding: Coding, robust: bool, rows: DataFrame | None, correction_n: str) -> Fit:
@@ -383,7 +392,7 @@ def _fit(data: DataFrame, coding: Coding, robust: bool, rows: DataFrame | None,
     result = Fit(model, whole, (), 0, math.nan, (), n_params=len(whole), coding=coding,
                  status={t[0][1]: OK for t in whole if len(t) == 1 and t[0][0] == EXPOSURE})
     # Small cell tables run in few tasks; the number of tasks grows with the cells.
-    left = data = data.coalesce(max(1, math.ceil(before["cells"][0, 0] / CELLS_PER_TASK)))
+    left = data = data.coalesce(_tasks(before["cells"][0, 0]))
     while True:
         coefficients, converged = _estimate(left, coding, result.terms)
         result = replace(result, coefficients=tuple(coefficients))
@@ -436,13 +445,10 @@ def _estimate(data: DataFrame, coding: Coding, terms):
     else:
         inputs = inputs.selectExpr("cast(succ as double) as y", "ln(cast(n as double)) as offset", "features")
         glm = GeneralizedLinearRegression(family="poisson", link="log", offsetCol="offset", **common)
-    inputs = inputs.persist()
-    try:
+    with cached(inputs):
         fitted = glm.fit(inputs)
         coefficients = [fitted.intercept, *fitted.coefficients]
         converged = fitted.summary.numIterations < MOST_ROUNDS
-    finally:
-        inputs.unpersist()
     return coefficients, converged
 
 

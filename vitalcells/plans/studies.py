@@ -86,8 +86,9 @@ class Run:
         with self._locks[task]:
             if task not in self._done:
                 rows = self.rows_of(task) if task.cluster else None
+                view = self.cells.parent(task.sample, self._columns(task))
                 self._done[task] = fit(self.cells_of(task), task.model, task.robust, rows,
-                                       task.correction_n, self._levels_of(task))
+                                       task.correction_n, self._levels_of(task), self.cells.sizes.get(view.name, 0))
         return self._done[task]
 
     def fit_all(self, tasks: list[Task]) -> list[Fit]:

@@ -5,7 +5,8 @@ import json
 import tempfile
 import threading
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 _local_roots: dict[str, str] = {}
 _path_locks: dict[str, threading.RLock] = {}
 _guard = threading.Lock()
+_holders: dict[tuple[str, int], int] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -79,6 +81,27 @@ def stored(spark: SparkSession, path: str, build: Callable[[], DataFrame],
     return spark.read.parquet(path)
 
 
+@contextmanager
+def cached(df: DataFrame) -> Iterator[DataFrame]:
+    """A table kept as long as anybody works on it.
+
+    Spark knows a cached table by its plan and drops it for all at the first unpersist, so that of two
+    models on the same cells the slower one would compute them again in each of its passes.
+    """
+    key = (df.sparkSession.sparkContext.applicationId, df.semanticHash())
+    with _guard:
+        _holders[key] = _holders.get(key, 0) + 1
+        df.persist()
+    try:
+        yield df
+    finally:
+        with _guard:
+            _holders[key] -= 1
+            if not _holders[key]:
+                del _holders[key]
+                df.unpersist()
+
+
 def _short(text: str) -> str:
     return hashlib.sha256(text.encode()).hexdigest()[:16]
 
