@@ -69,3 +69,22 @@ def test_cross_sums_of_the_largest_model_are_compiled(spark, space, monkeypatch)
     first = coding.first[1]
     by_race = {r.raca: r.n for r in data.groupBy("raca").agg(F.sum("n").alias("n")).collect()}
     assert [sums["n"][0, first + i] for i in sorted(by_race)] == [by_race[i] for i in sorted(by_race)]
+
+
+def test_cluster_scores_of_the_largest_model_are_compiled(spark, space, monkeypatch):
+    """Reading categories, numbering levels and scoring them do not share one method."""
+    run, task = space.run(national=True), SETTINGS.or_vs_rr()[-1]
+    plans = []
+    frame = type(run.rows)
+    collect = frame.collect
+    cluster = G._cluster
+
+    def seen(*args):
+        with monkeypatch.context() as patch:
+            patch.setattr(frame, "collect", lambda df: plans.append(df) or collect(df))
+            return cluster(*args)
+
+    monkeypatch.setattr(G, "_cluster", seen)
+    fit = G.fit(run.cells_of(task), task.model, rows=run.rows_of(task))
+    assert set(fit.standard_errors["cluster"]) and len(plans) == 1
+    assert longest_method(spark, plans[0]) < COMPILED

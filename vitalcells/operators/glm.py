@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vitalcells import fixed_values as V
-from vitalcells.operators.cells import collapse
+from vitalcells.operators.cells import collapse, collapse_rows
 from vitalcells.storage import cached
 
 LEVEL_ORDER = {
@@ -496,18 +496,18 @@ def _margins(coding: Coding, fitted: np.ndarray, n: np.ndarray):
 
 def _cluster(rows: DataFrame, result: Fit, influence: dict[Term, np.ndarray], n: int,
              correction_n: str) -> dict[Term, float]:
-    """Scores summed per municipality. A score is linear in the outcome, so single records are summed,
-    each task handing on one row per municipality; large municipalities stay cheap."""
+    """Scores summed per municipality. A score is linear in the outcome, so records of one municipality and
+    one level pattern are one term, and numbering levels and scoring them are short passes of their own. The
+    patterns of a large municipality are spread over the tasks, each handing on one row of sums."""
     if not influence:
         return {}
+    keys = result.model.keys
     names = [f"u{i}" for i in range(len(influence))]
-    scores = [f"(ptb - mu) * ({result.coding.predictor(result.terms, w)}) as {u}"
+    scores = [f"(succ - n * mu) * ({result.coding.predictor(result.terms, w)}) as {u}"
               for u, w in zip(names, influence.values())]
-    # The number of cells matters only where the correction counts them; a town has few level patterns.
-    cells = F.size(F.collect_set(F.struct(*result.model.keys))) if correction_n == "cells" else F.lit(0)
-    per_town = (rows.selectExpr("*", f"{result.mean()} as mu")
-                .selectExpr("CODMUNRES", *[f"`{k}`" for k in result.model.keys], *scores)
-                .groupBy("CODMUNRES").agg(cells.alias("cells"), *[F.sum(u).alias(u) for u in names]))
+    per_town = (collapse_rows(rows, "CODMUNRES", *keys).selectExpr("*", f"{result.mean()} as mu")
+                .selectExpr("CODMUNRES", *scores)
+                .groupBy("CODMUNRES").agg(F.count("*").alias("cells"), *[F.sum(u).alias(u) for u in names]))
     row = per_town.agg(F.count("*").alias("groups"), F.sum("cells").alias("cells"),
                        *[F.sum(F.col(u) ** 2).alias(u) for u in names]).first()
     if row.groups < 2:
