@@ -82,6 +82,25 @@ def test_language_model_is_normalised():
     assert np.exp(model.log_probabilities(vocabulary, units, words, before)).sum() == pytest.approx(1, abs=1e-4)
 
 
+def test_a_unit_of_many_words_is_scored_by_groups():
+    """A token meets the square root of a unit's words, not all of them, and all still add up to 1."""
+    words, unit = 2500, 70
+    edges = np.where(np.arange(L.UNITS + 1) > unit, words, 0)
+    rng = np.random.default_rng(1)
+    vocabulary = L.Vocabulary(0, 0, np.zeros(0, np.uint64), np.full(L.UNITS, 10**6), np.full(L.UNITS, 5000),
+                              rng.integers(1, 1 << 62, words).astype(np.uint64), rng.integers(1, 99, words), edges)
+    every = np.full(words + 1, unit), np.arange(-1, words)
+    _, choices = vocabulary.sorted(*every, np.arange(words + 1))
+    assert max(len(weights) for _, weights, _, _ in choices) <= 1 + 50
+    model = L.Model.initial(vocabulary)
+    model.inner += rng.normal(0, 0.2, model.inner.shape).astype(np.float32)
+    before = np.repeat(rng.integers(0, L.UNITS + 1, (1, L.CONTEXT)), words + 1, 0)
+    whole = model.log_probabilities(vocabulary, np.arange(L.UNITS), np.full(L.UNITS, -1), before[:L.UNITS])
+    other = [i for i in range(L.UNITS) if i != unit]
+    total = np.exp(model.log_probabilities(vocabulary, *every, before)).sum() + np.exp(whole[other]).sum()
+    assert total == pytest.approx(1, abs=1e-4)
+
+
 def test_words_of_their_own_grow_with_the_texts_and_help(spark):
     (docs,) = tables(spark, "documents")
     few = L.score_documents(docs, own_from=10**9).collect()

@@ -1,16 +1,18 @@
 """Scores of texts under a log-bilinear language model trained with noise-contrastive estimation.
 
 Words are counted over all training texts. The commonest ones are units of their own, all others fall
-into units by their spelling, and one unit ends a text. The model predicts the next word in two steps,
-its unit and then the word inside the unit. The vectors of the CONTEXT units before it, each scaled by
-its place, are summed and multiplied with a vector per unit, and then with a vector per word of the unit.
+into units by their spelling, and one unit ends a text. The model predicts the next word in three steps:
+its unit, its group inside the unit, and the word inside the group. The vectors of the CONTEXT units before
+it, each scaled by its place, are summed and multiplied with a vector per unit, then per group of the unit,
+then per word of the group.
 Every word that occurs OWN times or more in training has a vector of its own, so the vocabulary of the
-model grows with the texts; the other words of a unit are one entry, inside which a word has its share of
-the counts, one more for each word and one for words never seen.
+model grows with the texts. A unit has as many groups as a group has words, so that scoring a token costs the
+square root of the unit's words; the other words of a unit are one entry beside its groups, inside which a
+word has its share of the counts, one more for each word and one for words never seen.
 
-Training goes in rounds, each over its share of the texts: each task starts from the same parameters
-and learns against sampled noise, and after a round the tasks' parameters are averaged by the words they
-saw. Scoring multiplies batches of contexts with all vectors of a step and normalises over them.
+Training goes in rounds, each over its share of the texts, with one task for TRAINED_BYTES of that share:
+each task starts from the same parameters and learns against noise, and after a round the tasks'
+parameters are averaged by the words they saw. Scoring multiplies batches of contexts with all vectors of a step and normalises over them.
 
 Words go by 64-bit hashes. Texts are dealt into buckets by a hash of the row; a bucket's distinct words
 meet the counts once, not word by word.
@@ -36,6 +38,8 @@ from vitalcells.llm.textbytes import (LOWER, NOT_SPACE, Texts, Words, mix, piece
 FOLDS, HELD_FOLD = 7, 2
 #: Bytes of text in a bucket, which one task scores at a time.
 BUCKET_BYTES = 32 << 20
+#: Bytes of text that a task learns from in a round, before it hands on its parameters.
+TRAINED_BYTES = 16 << 20
 #: Unit 0 ends a text; then come the commonest words and the units of spelling.
 COMMON, SPELLINGS = 63, 64
 UNITS = 1 + COMMON + SPELLINGS
@@ -133,7 +137,18 @@ class Vocabulary:
         self.order = np.argsort(self.own)
         inside = np.append(0, np.cumsum(self.own_counts))
         self.rest = self.counts - (inside[self.edges[1:]] - inside[self.edges[:-1]])
-        self.rest_kinds = self.kinds - np.diff(self.edges)
+        words = np.diff(self.edges)
+        self.rest_kinds = self.kinds - words
+        # Groups of a unit: runs of its words, about as many as there are words in each.
+        size = np.maximum(np.ceil(np.sqrt(words)).astype(np.int64), 1)
+        self.group_edges = np.append(0, np.cumsum(-(-words // size)))  # where each unit's groups begin
+        unit = np.repeat(np.arange(UNITS), words)
+        self.group = (self.group_edges[unit] + (np.arange(len(unit)) - self.edges[unit]) // size[unit]).astype(np.int32)
+        # Where each group's words begin, and what they weigh.
+        self.group_words = np.searchsorted(self.group, np.arange(self.group_edges[-1] + 1))
+        self.inside = np.append(0.0, np.cumsum(self.own_counts + 1.0))
+        self.group_weight = self.inside[self.group_words[1:]] - self.inside[self.group_words[:-1]]
+        self.word_share = (self.own_counts + 1) / self.group_weight[self.group]
 
     def units(self, hashes: np.ndarray, spelled: np.ndarray) -> np.ndarray:
         if not len(self.common):
@@ -148,14 +163,54 @@ class Vocabulary:
         at = np.minimum(np.searchsorted(self.own, hashes, sorter=self.order), len(self.own) - 1)
         return np.where(self.own[self.order[at]] == hashes, self.order[at], -1).astype(np.int32)
 
+    def entries(self, unit: int) -> np.ndarray:
+        """Rows of a unit in the second step: its other words, then its groups."""
+        return np.append(unit, UNITS + len(self.own) + np.arange(self.group_edges[unit], self.group_edges[unit + 1]))
+
+    def entry(self, units: np.ndarray, words: np.ndarray) -> np.ndarray:
+        """Places in one row of the entries of all units."""
+        first = self.group_edges[units] + units
+        return first + np.where(words < 0, 0, self.group[words] - self.group_edges[units] + 1) if len(self.own) else first
+
+    def sorted(self, units: np.ndarray, words: np.ndarray, order: np.ndarray):
+        """An order of tokens by entry that keeps the given one inside, and what each unit and group with a
+        choice has: its rows of targets, what they weigh, its tokens in that order, and each one's row."""
+        entry = self.entry(units[order], words[order])
+        n = UNITS + len(self.group_weight)
+        by = np.argsort(_narrow(entry, n), kind="stable")
+        ends = np.append(0, np.cumsum(np.bincount(entry, minlength=n)))
+        order, entry = order[by], entry[by]
+        word = words[order]
+
+        def choices():
+            for unit in np.flatnonzero(np.diff(self.edges)):
+                low, high = self.group_edges[unit] + unit, self.group_edges[unit + 1] + unit + 1
+                a, b = ends[low], ends[high]
+                if a < b:
+                    yield self.entries(unit), self.weights(unit), slice(a, b), entry[a:b] - low
+                for at in range(low + 1, high):
+                    group = at - unit - 1
+                    first, last = self.group_words[group], self.group_words[group + 1]
+                    a, b = ends[at], ends[at + 1]
+                    if a < b and last - first > 1:
+                        yield (slice(UNITS + first, UNITS + last), self.word_share[first:last], slice(a, b),
+                               word[a:b] - first)
+
+        return order, choices()
+
+    def weights(self, unit: int) -> np.ndarray:
+        """What the entries of a unit weigh."""
+        return np.append(self.rest[unit] + 1.0, self.group_weight[self.group_edges[unit]:self.group_edges[unit + 1]])
+
 
 @dataclass
 class Model:
     """Vectors of contexts and of targets, biases, scales of the context places.
 
     Contexts: a row per unit, and one for what stands before a text. Targets of the first step: a row per
-    unit. Of the second: a row per unit, for its other words, and one per word. The last column of targets
-    is a bias. Before training a word has its share of its unit.
+    unit. Of the second and third: a row per unit, for its other words, then one per word, then one per group.
+    The last column of targets is a bias. Before training a word has its share of its group, and a group of
+    its unit.
     """
 
     context: np.ndarray
@@ -166,15 +221,17 @@ class Model:
     @classmethod
     def initial(cls, vocabulary: Vocabulary) -> "Model":
         rng = np.random.default_rng(SEED)
-        words = len(vocabulary.own)
+        v, words = vocabulary, len(vocabulary.own)
         small = lambda *shape: rng.normal(0, 0.1, shape).astype(np.float32)
-        share = (vocabulary.counts + 1) / (vocabulary.counts.sum() + UNITS)
-        target, inner = small(UNITS, WIDTH + 1), np.zeros((UNITS + words, WIDTH + 1), np.float32)
+        share = (v.counts + 1) / (v.counts.sum() + UNITS)
+        target = small(UNITS, WIDTH + 1)
+        inner = np.zeros((UNITS + words + len(v.group_weight), WIDTH + 1), np.float32)
         target[:, -1] = np.log(share)
-        # Shares within the unit; contrastive estimation keeps them normalised.
-        unit = np.concatenate([np.arange(UNITS), np.repeat(np.arange(UNITS), np.diff(vocabulary.edges))])
-        inside = np.concatenate([vocabulary.rest + 1, vocabulary.own_counts + 1]).astype(float)
-        inner[:, -1] = np.log(inside / np.bincount(unit, inside, UNITS)[unit])
+        # Shares within unit and group; contrastive estimation keeps them normalised.
+        for unit in range(UNITS):
+            weights = v.weights(unit)
+            inner[v.entries(unit), -1] = np.log(weights / weights.sum())
+        inner[UNITS:UNITS + words, -1] = np.log(v.word_share)
         scale = np.repeat(1 / np.arange(1, CONTEXT + 1, dtype=np.float32)[:, None], WIDTH, 1)
         return cls(small(UNITS + 1, WIDTH), target, inner, scale)
 
@@ -199,44 +256,48 @@ class Model:
     def hidden(self, before: np.ndarray) -> np.ndarray:
         """Sums of scaled context vectors."""
         tables = [self.context * s for s in self.scale]
-        out = tables[0][before[:, 0]]
+        out = np.take(tables[0], before[:, 0], 0)
         for i in range(1, CONTEXT):
-            out += tables[i][before[:, i]]
+            out += np.take(tables[i], before[:, i], 0)
         return out
 
     def log_probabilities(self, vocabulary: Vocabulary, units: np.ndarray, words: np.ndarray,
                           before: np.ndarray) -> np.ndarray:
         """Natural log of the probability of each word with vectors, or of the other words of its unit."""
-        out, hidden = np.empty(len(units)), self.hidden(before)
-        for a in range(0, len(units), SCORED):
-            part = slice(a, a + SCORED)
-            out[part] = _log_softmax(hidden[part], self.target, units[part])
-        order = np.argsort(units, kind="stable")
-        ends = np.searchsorted(units[order], np.arange(UNITS + 1))
-        for unit in np.flatnonzero(np.diff(vocabulary.edges)):
-            at = order[ends[unit]:ends[unit + 1]]
-            rows = _entries(vocabulary, unit)
-            for a in range(0, len(at), SCORED):
-                part = at[a:a + SCORED]
-                out[part] += _log_softmax(hidden[part], self.inner[rows], _entry(vocabulary, unit, words[part]))
+        order, choices = vocabulary.sorted(units, words, np.arange(len(units)))
+        hidden, unit = with_one(self.hidden(np.take(before, order, 0))), units[order]
+        found = np.zeros(len(units))
+        _add_log_softmax(found, hidden, self.target, unit)
+        for rows, _, at, chosen in choices:
+            _add_log_softmax(found[at], hidden[at], self.inner[rows], chosen)
+        out = np.empty(len(units))
+        out[order] = found
         return out
 
 
-def _log_softmax(hidden: np.ndarray, target: np.ndarray, chosen: np.ndarray) -> np.ndarray:
-    scores = hidden @ target[:, :-1].T
-    scores += target[:, -1]
-    own = scores[np.arange(len(scores)), chosen]
-    np.exp(scores, out=scores)
-    return own - np.log(scores.sum(1))
+def with_one(hidden: np.ndarray) -> np.ndarray:
+    """A last column that meets the bias."""
+    out = np.ones((len(hidden), WIDTH + 1), np.float32)
+    out[:, :-1] = hidden
+    return out
 
 
-def _entries(vocabulary: Vocabulary, unit: int) -> np.ndarray:
-    """Rows of a unit in the second step: its other words, then each word with vectors."""
-    return np.append(unit, UNITS + np.arange(vocabulary.edges[unit], vocabulary.edges[unit + 1]))
+def _narrow(rows: np.ndarray, n: int) -> np.ndarray:
+    """Numbers below n in the smallest type, which are sorted digit by digit."""
+    return rows.astype(np.uint8 if n <= 1 << 8 else np.uint16 if n <= 1 << 16 else np.uint32)
 
 
-def _entry(vocabulary: Vocabulary, unit: int, words: np.ndarray) -> np.ndarray:
-    return np.where(words < 0, 0, words - vocabulary.edges[unit] + 1)
+def _add_log_softmax(out: np.ndarray, hidden: np.ndarray, target: np.ndarray, chosen: np.ndarray) -> None:
+    for a in range(0, len(out), SCORED):
+        part = slice(a, a + SCORED)
+        out[part] += _log_softmax(hidden[part], target, chosen[part])
+
+
+def _log_softmax(hidden: np.ndarray, target: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+    scores = hidden @ target.T
+    own = scores[np.arange(len(scores)), chosen]
+    np.exp(scores, out=scores)
+    return own - np.log(scores.sum(1))
 
 
 def contexts(units: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -264,54 +325,82 @@ class Trainer:
         self.squares = [np.full(p.shape, 0.1, np.float32) for p in model.parts()]
         self.touched = [np.zeros(len(p), bool) for p in model.parts()]
         self.share = (vocabulary.counts + 1) / (vocabulary.counts.sum() + UNITS)
+        self.log_noise = np.log(NOISE * self.share).astype(np.float32)
         self.rng = np.random.default_rng(seed)
 
     def learn(self, units: np.ndarray, words: np.ndarray, before: np.ndarray) -> None:
         order = self.rng.permutation(len(units))
-        every = np.arange(UNITS)
         for a in range(0, len(order), MINIBATCH):
             at = order[a:a + MINIBATCH]
-            self._step(1, every, self.share, NOISE, units[at], before[at], True)
-        v = self.vocabulary
-        order = order[np.argsort(units[order], kind="stable")]
-        ends = np.searchsorted(units[order], np.arange(UNITS + 1))
-        for unit in np.flatnonzero(np.diff(v.edges)):
-            inside = np.append(v.rest[unit], v.own_counts[v.edges[unit]:v.edges[unit + 1]]) + 1
-            rows, at = _entries(v, unit), order[ends[unit]:ends[unit + 1]]
-            for a in range(0, len(at), MINIBATCH):
-                part = at[a:a + MINIBATCH]
-                self._step(2, rows, inside / inside.sum(), INNER_NOISE, _entry(v, unit, words[part]), before[part], False)
-
-    def _step(self, part: int, rows: np.ndarray, share: np.ndarray, draws: int, chosen: np.ndarray,
-              before: np.ndarray, contexts_too: bool) -> None:
-        """Rise for what was read, fall for what was drawn as noise among some rows of targets."""
-        m, n = self.model, len(chosen)
-        target, log_noise = m.parts()[part][rows], np.log(draws * share).astype(np.float32)
-        hidden = m.hidden(before)
-        noise = np.minimum(np.searchsorted(np.cumsum(share), self.rng.random(draws)), len(rows) - 1)
-        own = np.einsum("ij,ij->i", hidden, target[chosen, :-1]) + target[chosen, -1] - log_noise[chosen]
+            self._step(units[at], np.take(before, at, 0))
+        order, choices = self.vocabulary.sorted(units, words, order)
+        hidden = with_one(self.model.hidden(np.take(before, order, 0)))
+        for rows, weights, at, chosen in choices:
+            self._inner_step(rows, weights, chosen, hidden[at])
+
+    def _inner_step(self, rows, weights: np.ndarray, chosen: np.ndarray, hidden: np.ndarray) -> None:
+        """Rise for what was read among some rows of targets. They are few, so each falls by what the noise
+        would draw of it on average. Each minibatch has tokens from all over, since they are sorted."""
+        inner, squares = self.model.inner, self.squares[2]
+        share = INNER_NOISE * (weights / weights.sum())
+        log_noise, fall = np.log(share).astype(np.float32), -share.astype(np.float32)
+        self.touched[2][rows] = True
+        batches = -(-len(chosen) // MINIBATCH)
+        for i in range(batches):
+            near, read = hidden[i::batches], chosen[i::batches]
+            target, each = inner[rows], np.arange(len(read))
+            chance = near @ target.T
+            chance -= log_noise
+            np.clip(chance, -30, 30, out=chance)
+            np.negative(chance, out=chance)
+            np.exp(chance, out=chance)
+            chance += 1
+            np.reciprocal(chance, out=chance)
+            up = 1 - chance[each, read]
+            chance *= fall
+            chance[each, read] += up
+            g = chance.T @ near
+            g /= np.float32(np.sqrt(len(read)))
+            square = squares[rows] + g * g
+            squares[rows] = square
+            inner[rows] = target + RATE * g / np.sqrt(square)
+
+    def _step(self, chosen: np.ndarray, before: np.ndarray) -> None:
+        """Rise for the units read, fall for those drawn as noise; the contexts follow."""
+        m, n, hidden, target = self.model, len(chosen), self.model.hidden(before), self.model.target
+        share, draws, log_noise = self.share, NOISE, self.log_noise
+        noise = np.minimum(np.searchsorted(np.cumsum(share), self.rng.random(draws)), UNITS - 1)
+        read = np.take(target, chosen, 0)
+        own = np.einsum("ij,ij->i", hidden, read[:, :-1]) + read[:, -1] - log_noise[chosen]
         others = hidden @ target[noise, :-1].T + (target[:, -1] - log_noise)[noise]
         up = 1 / (1 + np.exp(np.clip(own, -30, 30)))
         down = -1 / (1 + np.exp(-np.clip(others, -30, 30)))
         at = np.concatenate([chosen, noise])
         gains = np.concatenate([np.concatenate([up[:, None] * hidden, up[:, None]], 1),
                                 np.concatenate([down.T @ hidden, down.sum(0)[:, None]], 1)])
-        self._move(part, rows[at], gains, n)
-        if contexts_too:
-            towards = up[:, None] * target[chosen, :-1] + down @ target[noise, :-1]
-            scale = np.stack([np.einsum("ij,ij->j", towards, m.context[before[:, i]]) for i in range(CONTEXT)])
-            # Column by column, so that one sort deals out all places.
-            gains = (towards[None] * m.scale[:, None]).reshape(-1, WIDTH)
-            self._move(0, before.T.ravel(), gains, n)
-            self._move(3, np.arange(CONTEXT), scale, n)
+        towards = up[:, None] * read[:, :-1] + down @ target[noise, :-1]
+        # What each unit's vector gets at each place, by one sort.
+        key = (before + np.arange(CONTEXT) * (UNITS + 1)).T.ravel()
+        order = np.argsort(_narrow(key, CONTEXT * (UNITS + 1)), kind="stable")
+        key = key[order]
+        begins = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        sums = np.zeros((CONTEXT * (UNITS + 1), WIDTH), np.float32)
+        sums[key[begins]] = np.add.reduceat(np.take(towards, order % n, 0), begins, axis=0)
+        sums = sums.reshape(CONTEXT, UNITS + 1, WIDTH)
+        scale = (sums * m.context).sum(1)
+        seen = np.unique(key[begins] % (UNITS + 1))
+        moved = (sums * m.scale[:, None]).sum(0)[seen]
+        self._move(1, at, gains, n)
+        self._move(0, seen, moved, n)
+        self._move(3, np.arange(CONTEXT), scale, n)
 
     def _move(self, part: int, rows: np.ndarray, gains: np.ndarray, n: int) -> None:
         """Add up the gains of each row and move it."""
-        order = np.argsort(rows, kind="stable")
+        order = np.argsort(_narrow(rows, len(self.touched[part])), kind="stable")
         rows = rows[order]
         begins = np.flatnonzero(np.append(True, rows[1:] != rows[:-1]))
         rows = rows[begins]
-        g = (np.add.reduceat(gains[order], begins, axis=0) / np.sqrt(n)).astype(np.float32)
+        g = (np.add.reduceat(np.take(gains, order, 0), begins, axis=0) / np.sqrt(n)).astype(np.float32)
         squares = self.squares[part][rows] + g * g
         self.squares[part][rows] = squares
         self.model.parts()[part][rows] += RATE * g / np.sqrt(squares)
@@ -428,7 +517,9 @@ def score_documents(docs: DataFrame, folds: int = FOLDS, held_fold: int = HELD_F
     vocabulary = _vocabulary(totals, own_from)
     model = Model.initial(vocabulary)
     turn = F.pmod(F.xxhash64("text", "doc_id"), F.lit(ROUNDS))
+    tasks = max(1, ceil(total / (ROUNDS * TRAINED_BYTES)))
     for i in range(ROUNDS):
-        model = _averaged(texts.where(~F.col("held_out") & (turn == i)), vocabulary, model)
+        # A round reads few texts of each file split, so that a task takes several.
+        model = _averaged(texts.where(~F.col("held_out") & (turn == i)).coalesce(tasks), vocabulary, model)
     return (texts.groupBy("bucket").cogroup(totals.select("bucket", "word", "total").groupBy("bucket"))
             .applyInArrow(_score(vocabulary, model), SCORES))
