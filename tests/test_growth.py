@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from vitalcells.operators import glm as G
 from vitalcells.operators.cells import collapse
 from vitalcells.registry.models_q import SETTINGS
+from vitalcells.sources import star_births
 from vitalcells.storage import cached
 
 # The JVM does not compile longer methods.
@@ -88,3 +89,24 @@ def test_cluster_scores_of_the_largest_model_are_compiled(spark, space, monkeypa
     fit = G.fit(run.cells_of(task), task.model, rows=run.rows_of(task))
     assert set(fit.standard_errors["cluster"]) and len(plans) == 1
     assert longest_method(spark, plans[0]) < COMPILED
+
+
+def nodes(plan):
+    yield plan
+    children = plan.children()
+    for i in range(children.size()):
+        yield from nodes(children.apply(i))
+
+
+def test_records_are_shuffled_for_orders_and_parts_only(spark):
+    """Customers join the orders; tables that outgrow a broadcast add no shuffle of the records for them."""
+    settings = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    try:
+        plan = star_births.births_raw(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan()
+        shuffled = [n for n in nodes(plan) if n.nodeName() == "Exchange" and "l_linenumber" in n.output().toString()]
+    finally:
+        for key in settings:
+            spark.conf.unset(key)
+    assert len(shuffled) == 2
