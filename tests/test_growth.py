@@ -110,3 +110,10 @@ def test_records_are_shuffled_for_orders_and_parts_only(spark):
         for key in settings:
             spark.conf.unset(key)
     assert len(shuffled) == 2
+
+
+def test_codes_are_not_cleaned_again_by_a_filter(spark, space):
+    """A join on a code that may be null makes Spark test it on the raw text, cleaned anew at each use."""
+    plan = space.births()._jdf.queryExecution().optimizedPlan()
+    assert not [n for n in nodes(plan) if n.nodeName() == "Filter" and "trim(" in n.condition().toString()]
+    assert longest_method(spark, space.births()) < 6500

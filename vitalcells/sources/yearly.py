@@ -20,20 +20,25 @@ def normalise(raw: DataFrame, file_year: Column, window: tuple[int, int],
     # Cleaned first, so that the expressions below read each cleaned value and not its recipe.
     text = raw.select(*keep, file_year.cast("int").alias("ANO_ARQUIVO"),
                       *[N.clean(F.col(name), types[name]).alias(name) for name in V.COLUMNS])
-    town = N.pad_left(F.col("CODMUNRES"), 6)
-    year = N.date_year(F.col("DTNASC"))
+    text = text.withColumns({"CODMUNRES": N.pad_left(F.col("CODMUNRES"), 6), "ANO": N.date_year(F.col("DTNASC"))})
     return text.select(
         *keep,
-        town.alias("CODMUNRES"),
-        N.state_code(town).alias("uf_code"),
+        "CODMUNRES",
+        N.state_code(F.col("CODMUNRES")).alias("uf_code"),
         *[N.number(F.col(name)).alias(name) for name in V.NUMERIC_COLUMNS],
-        N.year_or_file_year(year, F.col("ANO_ARQUIVO"), window).alias("ANO"),
+        N.year_or_file_year(F.col("ANO"), F.col("ANO_ARQUIVO"), window).alias("ANO"),
         "ANO_ARQUIVO")
 
 
 def with_states(births: DataFrame, states: DataFrame) -> DataFrame:
-    """Add state and region labels; unknown codes keep null labels."""
-    return births.join(states, "uf_code", "left")
+    """Add state and region labels; unknown codes keep null labels.
+
+    The key is never null, since for one that may be Spark tests the code on the uncleaned text first,
+    which cleans it several times over.
+    """
+    labels = states.select(F.col("uf_code").alias("_code"), *[c for c in states.columns if c != "uf_code"])
+    joined = births.join(labels, F.coalesce("uf_code", F.lit("")) == F.col("_code"), "left").drop("_code")
+    return joined.select("uf_code", *[c for c in joined.columns if c != "uf_code"])
 
 
 def national_states(spark: SparkSession) -> DataFrame:
