@@ -79,25 +79,14 @@ def _(w):
     return R.sample_sizes(ours, theirs)
 
 
-@query("d03_ratio_by_model", f"""
-with {crude_sql("a", "in_primary")}, {crude_sql("v", "in_primary_var")}
-select 'M1_Crude' as modelo, a.grupo, round(exp(a.b), 6) as nosso, round(exp(v.b), 6) as referencia,
-  round(exp(a.b) - exp(v.b), 6) as delta
-from a join v using (grupo) where grupo = 'Indigena'""")
-def _(w):
-    tables = []
-    for arm in ("ESCMAE", "variant"):
-        run = w.run(arm, True)
-        fits = run.fit_all(run.ladder()[:1])
-        tables.append(T.effect_table(w.spark, [(f, "model") for f in fits]))
-    return R.ratios_by_model(*tables).select("modelo", "grupo", *[
-        r6(F.col(c)).alias(c) for c in ("nosso", "referencia", "delta")])
-
-
-@query("d03_ratio_by_model_ladder", f"""
+RATIOS_SQL = f"""
 with recursive {newton("a", SETTINGS.ladder(), "cohort")}, {newton("v", SETTINGS.ladder(), "cohort", **VARIANT)}
 select modelo, grupo, {compared("exp(a.b)", "exp(v.b)")} from a_effects a join v_effects v using (modelo, grupo)
-where grupo = 'Indigena'""")
+where grupo = 'Indigena'"""
+
+
+@query("d03_ratio_by_model_ladder", RATIOS_SQL)
+@query("d03_ratio_by_model", RATIOS_SQL)
 def _(w):
     """Focal odds ratios of all eight models, ours beside the variant's."""
     tables = [T.effect_table(w.spark, [(f, "model") for f in run.fit_all(run.ladder())])
